@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from attriq.llm.common import q, table
 from attriq.llm.line_dedup import drop_shared_lines
+from attriq.llm.mixing import mix
 from attriq.llm.secrets import find_secrets
 from attriq.llm.token_counts import count_tokens
 
@@ -45,6 +46,11 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(text_of("base_spans"), 256).alias("base_sha256"), text_of("spans").alias("spans"))
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs, weights=(5, 2, 1), percent=150, cap=2).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -53,6 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op6_secret_scans": op6_secret_scans,
+    "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
 }
 
