@@ -10,6 +10,7 @@ from attriq.llm.common import q, table
 from attriq.llm.line_dedup import drop_shared_lines
 from attriq.llm.mixing import mix
 from attriq.llm.secrets import find_secrets
+from attriq.llm.simhash import near_duplicates
 from attriq.llm.token_counts import count_tokens
 
 
@@ -46,6 +47,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(text_of("base_spans"), 256).alias("base_sha256"), text_of("spans").alias("spans"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), bits=4, shingle=4)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs, weights=(5, 2, 1), percent=150, cap=2).select("doc_id", "size", "source_size", "target", "taken")
@@ -59,6 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op6_secret_scans": op6_secret_scans,
+    "op7_simhash": op7_simhash,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
 }
