@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attriq.llm.common import q, table
+from attriq.llm.common import crc_mod, q, table
 from attriq.llm.line_dedup import drop_shared_lines
 from attriq.llm.mixing import mix
+from attriq.llm.quality import learn, score_quality
 from attriq.llm.secrets import find_secrets
 from attriq.llm.simhash import near_duplicates
 from attriq.llm.token_counts import count_tokens
@@ -35,6 +36,12 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0, label="quality", sample=8000)
+    return score_quality(docs, model, threshold=0.3).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -63,6 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op6_secret_scans": op6_secret_scans,
     "op7_simhash": op7_simhash,
     "op9_mix_sources": op9_mix_sources,
