@@ -108,3 +108,34 @@ def map_arrow(df: DataFrame, schema: str, fn: Callable[[Iterator[dict[str, list]
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in to], schema=to)
 
     return df.mapInArrow(run, kind)
+
+
+def with_arrow(df: DataFrame, schema: str, fn: Callable[[Iterator[tuple]], Iterator[dict[str, list]]], *cols: Column, rows: int = 256) -> DataFrame:
+    """As with_python, for outputs as large as the texts: Python objects exist for `rows` rows at a time only.
+
+    The other columns pass through Python as Arrow arrays and aren't unpacked.
+    """
+    kind = StructType.fromDDL(schema)
+    new = [f.name for f in kind]
+    kept = [c for c in df.columns if c.lower() not in {n.lower() for n in new}]
+    names = fresh([*df.columns, *new], *[f"input{i}" for i in range(len(cols))])
+    ready = df.select(*map(q, kept), *[c.alias(n) for c, n in zip(cols, names, strict=True)])
+    out_kind = StructType([*df.select(*map(q, kept)).schema, *kind])
+    passed, given = len(kept), len(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = to_arrow_schema(kind)
+        current: list[pa.RecordBatch] = []
+
+        def pieces() -> Iterator[tuple]:
+            for b in batches:
+                for at in range(0, b.num_rows, rows):
+                    part = b.slice(at, rows)
+                    current[:] = [part]
+                    yield tuple(part.column(passed + i).to_pylist() for i in range(given))
+
+        for out in fn(pieces()):
+            arrays = [*current[0].columns[:passed], *[pa.array(out[f.name], f.type) for f in to]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new])
+
+    return ready.mapInArrow(run, out_kind)

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attriq.llm.common import map_arrow, only, q, with_python
+from attriq.llm.common import map_arrow, only, q, with_arrow
 
 
 def key_of(line: bytes, least: int) -> bytes | None:
@@ -45,18 +45,17 @@ def drop_shared_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", l
             yield {"id": ids, "h1": np.ascontiguousarray(pair[:, 0]), "h2": np.ascontiguousarray(pair[:, 1])}
 
     held = map_arrow(only(docs, id=id, text=text), "id long, h1 long, h2 long", lines)
-    held = held.select("h1", "h2", F.struct(F.col("id")).alias("own"))  # a struct, so that a null id counts too
     # k1, k2: the keys again, as values; the join then deals both its sides anew and Spark can split a hot key.
     shared = (
         held.groupBy("h1", "h2")
-        .agg(F.count_distinct("own").alias("n"), F.max("own").alias("keeper"), F.max("h1").alias("k1"), F.max("h2").alias("k2"))
+        .agg((F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("n"), F.max("id").alias("keeper"), F.max("h1").alias("k1"), F.max("h2").alias("k2"))
         .filter(F.col("n") >= documents)
         .select("k1", "k2", "keeper")
     )
     lost = (
         held.join(shared, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
-        .filter(~F.col("own").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("own.id").alias("lost_by"))
+        .filter(~F.col("id").eqNullSafe(F.col("keeper")))
+        .groupBy(F.col("id").alias("lost_by"))
         .agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
     )
 
@@ -81,5 +80,5 @@ def drop_shared_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", l
 def _assemble(both: DataFrame, docs: DataFrame, text: str, assemble) -> DataFrame:
     order = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     packed = both.select(F.struct("whole.*").alias("row"), F.col("found.lost").alias("lost"))
-    done = with_python(packed, "text string, n_lines long, n_dropped long", assemble, F.col("row").getField(text), F.col("lost"))
+    done = with_arrow(packed, "text string, n_lines long, n_dropped long", assemble, F.col("row").getField(text), F.col("lost"))
     return done.select(*[(F.col("text") if c == text else F.col("row").getField(c)).alias(c) for c in order], "n_lines", "n_dropped")
