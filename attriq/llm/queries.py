@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attriq.llm.common import crc_mod, q, table
+from attriq.llm.decontaminate import find_passages
 from attriq.llm.line_dedup import drop_shared_lines
 from attriq.llm.mixing import mix
 from attriq.llm.quality import learn, score_quality
@@ -42,6 +43,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, threshold=0.3).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), errors=0.2, least=5)
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -71,6 +76,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_decontamination": op4_decontamination,
     "op6_secret_scans": op6_secret_scans,
     "op7_simhash": op7_simhash,
     "op9_mix_sources": op9_mix_sources,
