@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attriq.llm import chat
 from attriq.llm.common import crc_mod, q, table
 from attriq.llm.decontaminate import find_passages
 from attriq.llm.line_dedup import drop_shared_lines
@@ -47,6 +48,33 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), errors=0.2, least=5)
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    say = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", say), (-7, 1, "assistant", say)], "conv_id long, turn long, role string, text string")
+    words = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    packs, members = chat.format_conversations(rows.unionByName(more), *words, pack_tokens=8192)
+    return chat.with_members(chat.digests(chat.read_back(packs, *words)), members)
+
+
+SQL_5 = r"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, length(regexp_replace(role, '(\\|<s>|</s>|\[INST\]|\[/INST\])', '\1~', 'g')) + length(regexp_replace(text, '(\\|<s>|</s>|\[INST\]|\[/INST\])', '\1~', 'g')) AS escaped
+  FROM every
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(20 + escaped) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -77,6 +105,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_secret_scans": op6_secret_scans,
     "op7_simhash": op7_simhash,
     "op9_mix_sources": op9_mix_sources,
@@ -85,4 +114,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": SQL_1,
+    "op5_chat_formatting": SQL_5,
 }
