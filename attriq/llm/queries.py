@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attriq.llm import chat
+from attriq.llm import chat, language_model
 from attriq.llm.common import crc_mod, q, table
 from attriq.llm.decontaminate import find_passages
 from attriq.llm.line_dedup import drop_shared_lines
@@ -38,6 +38,13 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = crc_mod(F.col("doc_id"), 7) == 2
+    scored = language_model.score_texts(docs, language_model.train(docs.filter(~out)))
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0, label="quality", sample=8000)
@@ -103,6 +110,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
     "op5_chat_formatting": op5_chat_formatting,
