@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from attriq.llm import chat, language_model
 from attriq.llm.common import crc_mod, q, table
 from attriq.llm.decontaminate import find_passages
+from attriq.llm.imatch import compare_edited
 from attriq.llm.line_dedup import drop_shared_lines
 from attriq.llm.mixing import mix
 from attriq.llm.quality import learn, score_quality
@@ -98,6 +99,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), bits=4, shingle=4)
 
 
+def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"), low=0.002, high=0.01)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs, weights=(5, 2, 1), percent=150, cap=2).select("doc_id", "size", "source_size", "target", "taken")
@@ -116,6 +121,7 @@ QUERIES = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_secret_scans": op6_secret_scans,
     "op7_simhash": op7_simhash,
+    "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
 }
