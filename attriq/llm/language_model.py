@@ -20,7 +20,7 @@ from attriq.llm.store import Store, shard_of
 #: Hashes that stand for a text's begin and end; no word hashes to them but by chance (1 in 2**64).
 BEGIN, END = (xxhash.xxh64_intdigest(x, 11) for x in (b" begin", b" end"))
 #: Training tokens that a task counts before it hands on sums; tokens scored at once.
-FLUSH, BATCH = 2_000_000, 500_000
+FLUSH, BATCH = 3_000_000, 500_000
 #: Bytes of input for each shard of the tables, about.
 SHARD_BYTES = 16 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -103,7 +103,8 @@ def _counted(texts: Iterator[list], shards: int) -> Iterator[dict]:
                 order = np.lexsort((at[b - a :], at[: b - a]))
                 kinds.append("pair")
                 where.append(s)
-                blobs.append(_packed(words, at[: b - a][order], at[b - a :][order], n[a:b][order]))
+                steps = np.diff(at[: b - a][order], prepend=0)  # small numbers, which shuffle files compress
+                blobs.append(_packed(words, steps, at[b - a :][order], n[a:b][order]))
         key, _, n = _summed(second, np.ones(len(second), dtype=np.uint64))
         edges = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
         for s in range(shards):
@@ -156,7 +157,7 @@ def _pairs_done(kind: str, shard: int, blobs: list[bytes], store: Store, shards:
         return {"kind": ["word"], "shard": [shard], "data": [_packed(key, n)]}
     firsts, seconds, counts = [], [], []
     for words, x, y, n in map(_unpacked, blobs):
-        firsts.append(words[x.astype(np.int64)])
+        firsts.append(words[np.cumsum(x.astype(np.int64))])
         seconds.append(words[y.astype(np.int64)])
         counts.append(n)
     first, second, n = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(counts)
