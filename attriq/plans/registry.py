@@ -1,6 +1,528 @@
-"""Queries of the engine's own operators and their SQL twins."""
+"""Queries of the engine's own operators over the driver's tables, and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from attriq.config import IDF_DEFAULT, RULE_FIRST_OF, STRATEGIES
+from attriq.functions import names, text
+from attriq.operators import arbiter, decide, features, joins, metrics, ranking, recall, sets, subtype
+from attriq.plans import fixtures as fx
+from attriq.streaming import records as stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _candidates(s, d) -> DataFrame:
+    return recall.recall(fx.pair_sims(s, d))
+
+
+def _classified(s, d) -> DataFrame:
+    return subtype.classify(fx.records(s, d), _candidates(s, d))
+
+
+def _decisions(s, d) -> DataFrame:
+    """The top candidate of each record, but for some that are none or error, so that each rule has cases."""
+    c = _classified(s, d).join(fx.records(s, d), "record_id")
+    kind = F.when(F.col("subtype") == "NONE", "none").when(F.col("subtype").startswith("P2"), "auto").otherwise("judge")
+    said = F.when(F.col("top.aid").isNull() | (F.col("pos") % 300 == 0), "none").when(F.col("pos") % 700 == 0, "error").otherwise(F.col("top.aid"))
+    return c.select("record_id", "pos", "truth", "subtype", kind.alias("strategy"), said.alias("predicted"), "num_candidates")
+
+
+def _arbitrated(s, d) -> DataFrame:
+    return arbiter.arbitrate(_decisions(s, d), fx.scores(_candidates(s, d)))
+
+
+def _map_sql(table: dict[str, str], key: str, default: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{default}' END"
+
+
+DIFFICULTY_SQL = "CASE WHEN subtype = 'NONE' THEN 'L0' WHEN subtype IN ('P1-Strong', 'P1-High', 'P0-High') THEN 'L1' WHEN subtype IN ('P1-Medium', 'P1-Strong-Comp', 'P1-High-Comp', 'P0-Medium', 'P2') THEN 'L2' ELSE 'L3' END"
+
+
+@query(f"WITH {fx.SQL_CANDIDATES} SELECT record_id, subtype, {DIFFICULTY_SQL} AS difficulty, {_map_sql(STRATEGIES, 'subtype', 'simplified')} AS strategy, num_candidates, round(top_title, 6) AS top_title FROM classified")
+def flagship(s, d):
+    return _classified(s, d).select("record_id", "subtype", "difficulty", "strategy", "num_candidates", F.round("top.title_sim_max", 6).alias("top_title"))
+
+
+# Recall and candidate order
+
+
+@query(f"WITH {fx.SQL_CANDIDATES} SELECT * FROM candidates")
+def candidate_recall(s, d):
+    return _candidates(s, d)
+
+
+@query(f"WITH {fx.SQL_PAPERS} SELECT * FROM pair_sims")
+def pair_similarities(s, d):
+    return fx.pair_sims(s, d)
+
+
+@query(f"""WITH {fx.SQL_PAPERS} SELECT record_id, aid, max(title_sim) AS title_max, max(venue_sim) AS venue_max, round(avg(venue_sim), 6) AS venue_avg,
+  max(coauthor_count)::DOUBLE AS coauthor_count_max, max(coauthor_ratio) AS coauthor_ratio_max, max(org_sim) AS org_max, max(coauthor_org_match_count)::DOUBLE AS coauthor_org_match_max
+  FROM pair_sims GROUP BY 1, 2""")
+def similarity_features(s, d):
+    return recall.sim_features(fx.pair_sims(s, d))
+
+
+VECTOR_SQL = """v AS (SELECT *, (CAST(floor(vec_id / 5) AS BIGINT)) % 10 AS block FROM embeddings), vs AS (
+  SELECT CAST(q.vec_id AS VARCHAR) AS record_id, CAST(q.label AS VARCHAR) AS truth, CAST(p.label AS VARCHAR) AS aid, p.vec_id AS pub_id,
+         round(list_dot_product(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS title_sim
+  FROM v p JOIN v q ON p.block = q.block AND q.vec_id % 5 = 0 AND p.vec_id % 5 <> 0)"""
+
+
+@query(f"WITH {VECTOR_SQL} SELECT record_id, aid, pub_id, title_sim FROM vs")
+def cosine_blocked(s, d):
+    return fx.vector_sims(s, d).drop("truth")
+
+
+@query(f"""WITH {VECTOR_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY record_id, aid ORDER BY title_sim DESC, pub_id) AS k FROM vs)
+  SELECT record_id, aid, max(title_sim) AS best, round(avg(title_sim) FILTER (k <= 3), 5) AS top3, round(avg(title_sim) FILTER (k <= 5), 5) AS top5 FROM r GROUP BY 1, 2 HAVING max(title_sim) >= 0.25""")
+def vector_topk_means(s, d):
+    w = Window.partitionBy("record_id", "aid").orderBy(F.col("title_sim").desc(), "pub_id")
+    r = fx.vector_sims(s, d).withColumn("k", F.row_number().over(w))
+    top = lambda n: F.round(F.avg(F.when(F.col("k") <= n, F.col("title_sim"))), 5)
+    return r.groupBy("record_id", "aid").agg(F.max("title_sim").alias("best"), top(3).alias("top3"), top(5).alias("top5")).filter("best >= 0.25")
+
+
+@query(f"WITH {fx.SQL_CANDIDATES} SELECT record_id, count(*) AS num_candidates, round(coalesce(max(title_sim_max) FILTER (rank = 1) - max(title_sim_max) FILTER (rank = 2), 0), 6) AS gap, (count(*) > 10 OR round(coalesce(max(title_sim_max) FILTER (rank = 1) - max(title_sim_max) FILTER (rank = 2), 0), 6) < 0.05) AS competition FROM candidates GROUP BY 1")
+def top_gap(s, d):
+    return subtype.top_gap(_candidates(s, d))
+
+
+CO_ORDER = "CASE WHEN coauthor_org_match_count > 0 THEN 0 WHEN coauthor_count > 0 THEN 1 ELSE 2 END, {m} DESC, org_sim DESC, venue_sim DESC, title_sim_max DESC, aid"
+
+
+@query(f"WITH {fx.SQL_CANDIDATES} SELECT record_id, aid, CAST(row_number() OVER (PARTITION BY record_id ORDER BY {CO_ORDER.format(m='coauthor_org_match_count')}) AS INTEGER) AS co_rank FROM candidates")
+def candidate_order(s, d):
+    return subtype.order_by_coauthors(_candidates(s, d)).select("record_id", "aid", "co_rank")
+
+
+@query(f"WITH {fx.SQL_CANDIDATES} SELECT record_id, aid FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {CO_ORDER.format(m='(coauthor_org_match_count > 0)::INT')}) AS k FROM candidates) WHERE k = 1")
+def merge_top1(s, d):
+    return subtype.order_by_coauthors(_candidates(s, d), boolean_match=True).filter("co_rank = 1").select("record_id", "aid")
+
+
+@query(f"""WITH {fx.SQL_PAPERS}, t AS (SELECT *, CASE WHEN coauthor_count > 0 AND coauthor_org_match_count > 0 THEN 0 WHEN coauthor_count > 0 THEN 1 WHEN org_sim >= 0.7 AND venue_sim >= 0.75 THEN 2 WHEN org_sim >= 0.7 OR venue_sim >= 0.75 THEN 3 ELSE 4 END AS tier FROM pair_sims),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY record_id, aid ORDER BY tier, CASE WHEN title_sim >= 0.9 THEN 3 WHEN title_sim >= 0.8 THEN 2 WHEN title_sim >= 0.7 THEN 1 ELSE 0 END DESC, coalesce(year_diff, 999),
+    CASE tier WHEN 0 THEN coauthor_count WHEN 1 THEN coauthor_count WHEN 2 THEN org_sim WHEN 3 THEN greatest(org_sim, venue_sim) ELSE title_sim END DESC,
+    CASE tier WHEN 0 THEN coauthor_org_match_count WHEN 1 THEN title_sim WHEN 2 THEN venue_sim WHEN 3 THEN least(org_sim, venue_sim) ELSE 0 END DESC,
+    CASE tier WHEN 0 THEN title_sim WHEN 1 THEN venue_sim WHEN 2 THEN title_sim WHEN 3 THEN title_sim ELSE 0 END DESC, pub_id) AS INTEGER) AS place FROM t)
+  SELECT record_id, aid, pub_id, place FROM r WHERE place <= 10""")
+def papers_by_relevance(s, d):
+    return ranking.sort_papers(fx.pair_sims(s, d), 10).select("record_id", "aid", "pub_id", "place")
+
+
+@query(f"""WITH {fx.SQL_PAPERS}, t AS (SELECT *, round(CASE WHEN coauthor_org_match_count > 0 THEN 1000 WHEN coauthor_count > 0 THEN 500 ELSE 0 END + 100 * title_sim + 10 * venue_sim + 10 * org_sim - 5 * year_diff, 6) AS score FROM pair_sims),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY record_id, aid ORDER BY score DESC, pub_id) AS INTEGER) AS place FROM t) SELECT record_id, aid, pub_id, score, place FROM r WHERE place <= 3""")
+def sampled_papers(s, d):
+    return ranking.sample_papers(fx.pair_sims(s, d), 3).select("record_id", "aid", "pub_id", "score", "place")
+
+
+# Classes
+
+
+@query(f"WITH {fx.SQL_CANDIDATES} SELECT subtype, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM classified GROUP BY 1")
+def subtype_distribution(s, d):
+    g = _classified(s, d).groupBy("subtype").agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))  # one row a subtype
+
+
+RULE_SQL = """CASE WHEN aid IS NULL THEN 'NONE' WHEN coauthor_count = 0 AND org_sim < 0.85 THEN 'NONE'
+  WHEN coauthor_count = 0 AND title_sim_max < 0.65 AND venue_sim < 0.7 AND org_sim < 0.95 THEN 'NONE'
+  WHEN coauthor_count >= 2 AND coauthor_org_match_count >= 1 THEN 'AUTO' WHEN coauthor_count = 0 AND org_sim >= 0.95 AND title_sim_max >= 0.7 THEN 'AUTO'
+  WHEN coauthor_org_match_count >= 1 AND title_sim_max >= 0.9 THEN 'AUTO' WHEN coauthor_org_match_count >= 1 AND title_sim_max >= 0.85 AND venue_sim >= 0.85 THEN 'AUTO'
+  WHEN coauthor_count >= 1 THEN 'LLM-Co' ELSE 'LLM-NoCo' END"""
+RULE_FIRST_SQL = f"co AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {CO_ORDER.format(m='coauthor_org_match_count')}) AS k FROM candidates), kinds AS (SELECT r.record_id, c.aid AS top_aid, {RULE_SQL} AS kind FROM records r LEFT JOIN co c ON r.record_id = c.record_id AND c.k = 1)"
+
+
+@query(f"WITH {fx.SQL_CANDIDATES}, {RULE_FIRST_SQL} SELECT * FROM kinds")
+def rule_first(s, d):
+    return subtype.rule_first(fx.records(s, d), _candidates(s, d))
+
+
+@query(f"WITH {fx.SQL_CANDIDATES} SELECT record_id, {_map_sql(RULE_FIRST_OF, 'subtype', 'LLM-Co')} AS kind FROM classified")
+def rule_first_from_subtype(s, d):
+    return _classified(s, d).select("record_id", subtype.rule_first_of(F.col("subtype")).alias("kind"))
+
+
+@query(f"""WITH {fx.SQL_CANDIDATES}, {RULE_FIRST_SQL} SELECT k.record_id, k.kind, coalesce(CASE k.kind WHEN 'AUTO' THEN k.top_aid WHEN 'LLM-Co' THEN CASE WHEN r.pos % 200 = 0 THEN c.top_aid END WHEN 'LLM-NoCo' THEN c.top_aid END, 'none') AS predicted
+  FROM kinds k JOIN classified c USING (record_id) JOIN records r USING (record_id)""")
+def merge_rule_first(s, d):
+    kinds = subtype.rule_first(fx.records(s, d), _candidates(s, d))
+    top = _classified(s, d).select("record_id", F.col("top.aid").alias("aid")).filter("aid is not null")
+    co = top.join(fx.records(s, d).filter("pos % 200 = 0"), "record_id", "left_semi")
+    return joins.merge_rule_first(kinds, kinds.withColumnRenamed("top_aid", "aid"), co, top)
+
+
+@query(f"""WITH {fx.SQL_CANDIDATES}, e AS (SELECT c.*, s.subtype, CASE WHEN c.aid::BIGINT % 9 = 0 THEN 'none' ELSE c.aid END AS predicted FROM candidates c JOIN classified s USING (record_id)),
+  q AS (SELECT *, CASE WHEN predicted = 'none' THEN 'low' WHEN (coauthor_org_match_count > 0 AND org_sim >= 0.7) OR (coauthor_count >= 2 AND org_sim >= 0.7 AND venue_sim >= 0.8) OR (title_sim_max >= 0.9 AND org_sim >= 0.8) THEN 'high'
+    WHEN coauthor_count >= 1 OR venue_sim >= 0.8 OR org_sim >= 0.7 THEN 'medium' ELSE 'low' END AS quantified FROM e)
+  SELECT record_id, aid, quantified, CASE WHEN predicted = 'none' THEN 'high' WHEN quantified <> 'high' THEN quantified
+    WHEN org_sim < 0.5 AND coauthor_count < 2 THEN 'medium' WHEN org_sim < 0.5 AND venue_sim < 0.8 THEN 'medium'
+    WHEN left(subtype, 2) IN ('P2', 'P3') AND coauthor_org_match_count = 0 THEN 'medium' WHEN left(subtype, 2) IN ('P2', 'P3') AND org_sim < 0.5 THEN 'low'
+    WHEN subtype LIKE 'P1-Weak%' AND coauthor_org_match_count = 0 THEN 'medium' WHEN subtype LIKE 'P1-Weak%' AND org_sim < 0.7 THEN 'low' WHEN subtype LIKE 'P1-Weak%' AND coauthor_count = 1 AND org_sim < 0.9 THEN 'low'
+    WHEN subtype IN ('P1-High', 'P1-Medium') AND venue_sim < 0.9 AND org_sim < 0.5 THEN 'low' WHEN subtype IN ('P1-High', 'P1-Medium') AND venue_sim < 0.9 AND coauthor_count = 1 AND coauthor_org_match_count = 0 THEN 'low'
+    WHEN subtype IN ('P1-High', 'P1-Medium') AND coauthor_count >= CASE WHEN subtype = 'P1-High' THEN 2 ELSE 1 END AND coauthor_org_match_count = 0 AND org_sim < 0.7 AND venue_sim < 0.9 THEN 'medium'
+    WHEN subtype = 'P0-Medium' AND org_sim < 0.85 THEN 'low'
+    WHEN subtype IN ('P1-Strong-Comp', 'P1-High-Comp', 'P1-Medium-Comp') AND NOT (coauthor_count >= 3 AND venue_sim >= 0.9) AND coauthor_org_match_count = 0 THEN 'medium'
+    WHEN subtype IN ('P1-Strong-Comp', 'P1-High-Comp', 'P1-Medium-Comp') AND NOT (coauthor_count >= 3 AND venue_sim >= 0.9) AND org_sim < 0.5 THEN 'low'
+    WHEN subtype IN ('P1-Strong-Comp', 'P1-High-Comp', 'P1-Medium-Comp') AND NOT (coauthor_count >= 3 AND venue_sim >= 0.9) AND coauthor_count < 2 AND org_sim < 0.7 THEN 'low' ELSE 'high' END AS calibrated FROM q""")
+def confidence_calibration(s, d):
+    e = _candidates(s, d).join(_classified(s, d).select("record_id", "subtype"), "record_id")
+    e = e.withColumn("predicted", F.when(F.col("aid").cast("long") % 9 == 0, "none").otherwise(F.col("aid")))
+    return e.select("record_id", "aid", decide.quantified_confidence().alias("quantified"), decide.calibrated_confidence(F.lit("high")).alias("calibrated"))
+
+
+# Names and words
+
+NAME_SQL = """n AS (SELECT p_partkey AS id, p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)"""
+
+
+@query(f"WITH {NAME_SQL} SELECT id, lower(a) || '_' || lower(b) AS key, lower(left(a, 1)) || '_' || lower(b) AS short_key, lower(b) || '_' || lower(a) AS swapped, trim(regexp_replace(lower(p_name), '[^a-z]+', ' ', 'g')) AS cleaned FROM n")
+def names_normal_form(s, d):
+    p = fx.read(s, d, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    w = F.split("p_name", " ")
+    return p.select("id", names.name_key(F.col("p_name")).alias("key"), names.name_key(F.concat(F.substring(w[0], 1, 1), F.lit(" "), w[1])).alias("short_key"), names.name_key(F.concat(w[1], F.lit(","), w[0])).alias("swapped"), names.clean_name(F.col("p_name")).alias("cleaned"))
+
+
+@query("""WITH d AS (SELECT DISTINCT split_part(lower(p_name), ' ', 1) AS a, split_part(lower(p_name), ' ', 2) AS b FROM part)
+  SELECT left(x.a, 1) || ' ' || x.b AS name, y.a || ' ' || y.b AS name_b FROM (SELECT DISTINCT left(a, 1) AS a, b FROM d) x JOIN d y ON (left(y.a, 1) = left(x.a, 1) OR left(y.b, 1) = left(x.a, 1)) AND (x.b = y.a OR x.b = y.b)""")
+def names_match_blocked(s, d):
+    w = F.split(F.lower("p_name"), " ")
+    both = fx.read(s, d, "part").select(F.concat_ws(" ", w[0], w[1]).alias("name_b"), F.concat_ws(" ", F.substring(w[0], 1, 1), w[1]).alias("name"))
+    a, b = both.select("name").distinct().withColumn("id", F.col("name")), both.select("name_b").distinct().withColumn("id_b", F.col("name_b"))
+    return joins.match_names(a, b).select("name", "name_b")
+
+
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '[0-9]+(\\.[0-9]+)?', '', 'g'), '\\s+', ' ', 'g')) AS title, md5(left(regexp_replace(split_part(text, chr(10), 1), '^\\s+|\\s+$', '', 'g'), 150)) AS org_key FROM documents""")
+def titles_and_org_keys(s, d):
+    first = F.split("text", "\n", 2)[0]
+    return fx.read(s, d, "documents").select("doc_id", text.clean_title(first).alias("title"), text.org_key(first).alias("org_key"))
+
+
+WORDS_SQL = "list_distinct(list_filter(string_split_regex(lower(trim({})), '\\s+'), lambda w: w <> ''))"
+
+
+@query(f"""WITH b AS (SELECT item_id, {WORDS_SQL.format('text')} AS w, string_split_regex(lower(trim(text)), '\s+')[1] AS first FROM benchmark),
+  p AS (SELECT x.item_id AS item_a, y.item_id AS item_b, x.w AS wa, y.w AS wb FROM b x JOIN b y ON x.first = y.first AND x.item_id < y.item_id)
+  SELECT item_a, item_b, round(len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))), 6) AS jaccard FROM p""")
+def jaccard_blocked(s, d):
+    b = fx.read(s, d, "benchmark").select("item_id", text.word_set(F.col("text")).alias("w")).withColumn("first", F.get("w", F.lit(0)))
+    x, y = b.select("first", F.col("item_id").alias("item_a"), F.col("w").alias("wa")), b.select("first", F.col("item_id").alias("item_b"), F.col("w").alias("wb"))
+    return x.join(y, "first").filter("item_a < item_b").select("item_a", "item_b", F.round(text.jaccard(F.col("wa"), F.col("wb")), 6).alias("jaccard"))
+
+
+@query("""WITH p AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS a, p_name AS b FROM part) SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS likeness FROM p""")
+def jaro_winkler_pairs(s, d):
+    p = fx.read(s, d, "part").select(F.split("p_name", " ")[0].alias("a"), F.col("p_name").alias("b")).distinct()
+    return p.select("a", "b", F.round(text.jaro_winkler("a", "b"), 6).alias("likeness"))
+
+
+# Features
+
+COAUTHOR_SQL = """sup AS (SELECT owner, unnest(coauthors) AS name, paper FROM papers WHERE paper % 100 <> 0), prof AS (SELECT owner, name, count(*) AS times FROM sup GROUP BY 1, 2),
+  sizes AS (SELECT owner, count(*) AS a FROM prof GROUP BY 1), rar AS (SELECT name, round(ln((SELECT count(DISTINCT owner) FROM prof) / count(*)), 6) AS rarity FROM prof GROUP BY 1),
+  rec AS (SELECT paper || '-0' AS record_id, block, coauthors, unnest(coauthors) AS name FROM papers WHERE paper % 100 = 0), blk AS (SELECT DISTINCT owner, block FROM papers),
+  sh AS (SELECT r.record_id, CAST(p.owner AS VARCHAR) AS aid, r.name, p.times, len(r.coauthors) AS pn, s.a FROM rec r JOIN blk b ON r.block = b.block JOIN prof p ON p.owner = b.owner AND p.name = r.name JOIN sizes s ON s.owner = p.owner)"""
+
+
+@query(f"""WITH {fx.SQL_PAPERS}, {COAUTHOR_SQL} SELECT record_id, aid, round(sum(rarity), 6) AS coauthor_idf, round(sum(rarity * times), 6) AS counted_coauthor_idf,
+  round(count(*) / (max(pn) + 1e-8), 6) AS paper_coauthor_ratio, round(count(*) / (max(a) + 1e-8), 6) AS author_coauthor_ratio FROM sh JOIN rar USING (name) GROUP BY 1, 2""")
+def coauthor_features(s, d):
+    every = fx.papers(s, d)
+    prof = every.filter("paper % 100 <> 0").select("owner", F.explode("coauthors").alias("name")).groupBy("owner", "name").agg(F.count("*").alias("times"))
+    size = prof.groupBy("owner").agg(F.count("*").alias("author_names"))
+    rarity = features.document_frequencies(prof, "owner", "name").withColumnRenamed("idf", "rarity")
+    rec = every.filter("paper % 100 = 0").select(F.concat(F.col("paper").cast("string"), F.lit("-0")).alias("record_id"), "block", F.size("coauthors").alias("paper_names"), F.explode("coauthors").alias("name"))
+    shared = rec.join(every.select("owner", "block").distinct(), "block").join(prof, ["owner", "name"]).join(size, "owner")
+    return features.coauthor_features(shared.withColumn("aid", F.col("owner").cast("string")), rarity)
+
+
+@query("""WITH w AS (SELECT CAST(item_id AS VARCHAR) AS pub_id, CAST(item_id % 10 AS VARCHAR) AS record_id, CAST(item_id % 7 AS VARCHAR) AS aid, list_sort(list_distinct(list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda w: w <> ''))) AS words FROM benchmark),
+  rw AS (SELECT record_id, words FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY CAST(pub_id AS BIGINT)) AS k FROM w) WHERE k = 1),
+  idf AS (SELECT word, round(ln((SELECT count(DISTINCT pub_id) FROM w) / count(DISTINCT pub_id)), 6) AS idf FROM (SELECT pub_id, unnest(words) AS word FROM w) GROUP BY 1),
+  b AS (SELECT w.record_id, w.aid, w.pub_id, r.words AS a, w.words AS t FROM w JOIN rw r USING (record_id)),
+  h AS (SELECT record_id, aid, round(max(len(list_intersect(a, t)) / len(list_distinct(list_concat(a, t)))), 6) AS max_jaccard, round(avg(len(list_intersect(a, t)) / len(list_distinct(list_concat(a, t)))), 6) AS mean_jaccard, count(*) AS papers FROM b GROUP BY 1, 2),
+  s AS (SELECT record_id, aid, round(sum(idf), 6) AS paper_score, sum(idf * times) AS s FROM (SELECT record_id, aid, word, count(*) AS times FROM (SELECT record_id, aid, unnest(list_intersect(a, t)) AS word FROM b) GROUP BY 1, 2, 3) JOIN idf USING (word) GROUP BY 1, 2)
+  SELECT record_id, aid, max_jaccard, mean_jaccard, coalesce(paper_score, 0) AS paper_score, round(coalesce(s / papers, 0), 6) AS author_score FROM h LEFT JOIN s USING (record_id, aid)""")
+def word_overlap_features(s, d):
+    w = fx.read(s, d, "benchmark").select(F.col("item_id").cast("string").alias("pub_id"), (F.col("item_id") % 10).cast("string").alias("record_id"), (F.col("item_id") % 7).cast("string").alias("aid"), text.word_set(F.col("text")).alias("words"), "item_id")
+    rw = w.groupBy("record_id").agg(F.min_by("words", "item_id").alias("words"))
+    idf = features.document_frequencies(w.select("pub_id", F.explode("words").alias("word")), "pub_id", "word")
+    return features.word_features(rw, w.select("record_id", "aid", "pub_id", "words"), idf, IDF_DEFAULT["title"])
+
+
+@query("""WITH c AS (SELECT o_custkey, o_orderpriority AS v, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY 1, 2)
+  SELECT o_custkey, v AS main FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, f) AS k FROM c) WHERE k = 1""")
+def main_venue(s, d):
+    return features.main_value(fx.read(s, d, "orders"), "o_custkey", "o_orderpriority", "o_orderkey")
+
+
+@query("SELECT o_custkey, list_sort(list(DISTINCT lower(trim(o_orderstatus)))) AS \"values\" FROM orders GROUP BY 1")
+def keyword_sets(s, d):
+    return features.value_set(fx.read(s, d, "orders"), "o_custkey", "o_orderstatus")
+
+
+@query(f"""WITH {fx.SQL_PAPERS}, ra AS (SELECT paper || '-0' AS record_id, block, unnest(coauthors) AS name, status AS org FROM papers WHERE paper % 100 = 0), pa AS (SELECT CAST(owner AS VARCHAR) AS aid, block, unnest(coauthors) AS name, status AS org_b FROM papers WHERE paper % 100 <> 0),
+  m AS (SELECT record_id, aid, name, max(CASE WHEN org = org_b THEN 0.85 ELSE 0.4 END) AS o FROM ra JOIN pa USING (block, name) GROUP BY 1, 2, 3) SELECT record_id, aid, count(*) AS matched, count(*) FILTER (o >= 0.7) AS verified FROM m GROUP BY 1, 2""")
+def coauthors_verified(s, d):
+    p = fx.papers(s, d)
+    a = p.filter("paper % 100 = 0").select(F.concat(F.col("paper").cast("string"), F.lit("-0")).alias("record_id"), "block", F.explode("coauthors").alias("name_key"), F.col("status").alias("org"))
+    b = p.filter("paper % 100 <> 0").select(F.col("owner").cast("string").alias("aid"), "block", F.explode("coauthors").alias("name_key"), F.col("status").alias("org_b"))
+    return joins.matched_coauthors(a, b, F.when(F.col("org") == F.col("org_b"), 0.85).otherwise(0.4))
+
+
+# Joins and sets
+
+
+@query("SELECT c_custkey AS record_id, coalesce(CAST(max(o_orderkey) AS VARCHAR), 'none') AS truth FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 3 = 0 GROUP BY 1")
+def truth_join(s, d):
+    t = fx.read(s, d, "orders").filter("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("record_id")).agg(F.max("o_orderkey").cast("string").alias("aid"))
+    return joins.with_truth(fx.read(s, d, "customer").select(F.col("c_custkey").alias("record_id")), t)
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS aid, CAST(o_orderkey AS VARCHAR) AS pub_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS pos, o_totalprice FROM orders")
+def profile_papers(s, d):
+    o = fx.read(s, d, "orders")
+    prof = o.groupBy(F.col("o_custkey").cast("string").alias("aid")).agg(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>").alias("pubs"))
+    return joins.profile_papers(prof, o.select(F.col("o_orderkey").cast("string").alias("pub_id"), "o_totalprice")).select("aid", "pub_id", "pos", "o_totalprice")
+
+
+@query("SELECT event_id AS record_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0")
+def resume_json(s, d):
+    e = fx.read(s, d, "events").select(F.col("event_id").alias("record_id"), F.from_json("props", "k int")["k"].alias("k"))
+    return joins.not_done(e, e.filter("record_id % 3 = 0"), e.filter("record_id % 5 = 0"))
+
+
+RUNS_SQL = "a AS (SELECT event_id AS record_id, event_type AS value FROM events WHERE event_id % 2 = 0), b AS (SELECT event_id AS record_id, 'b' AS value FROM events WHERE event_id % 3 = 0)"
+
+
+def _runs(s, d) -> tuple[DataFrame, DataFrame]:
+    e = fx.read(s, d, "events").select(F.col("event_id").alias("record_id"), F.col("event_type").alias("value"))
+    return e.filter("record_id % 2 = 0"), e.filter("record_id % 3 = 0").withColumn("value", F.lit("b"))
+
+
+@query(f"WITH {RUNS_SQL} SELECT record_id, coalesce(a.value, b.value) AS value, (a.value IS NOT NULL)::INT::BIGINT + (b.value IS NOT NULL)::INT::BIGINT AS copies FROM a FULL JOIN b USING (record_id)")
+def union_first_wins(s, d):
+    return sets.first_wins(*_runs(s, d))
+
+
+@query(f"WITH {RUNS_SQL} SELECT record_id, coalesce(b.value, a.value) AS value FROM a FULL JOIN b USING (record_id)")
+def union_last_wins(s, d):
+    return sets.last_wins(*_runs(s, d)).drop("copies")
+
+
+@query(f"WITH {RUNS_SQL} SELECT count(*) FILTER (b.record_id IS NULL) AS only_a, count(*) FILTER (a.record_id IS NULL) AS only_b, count(*) FILTER (a.value = b.value) AS same, count(*) FILTER (a.value <> b.value) AS different FROM a FULL JOIN b ON a.record_id = b.record_id")
+def compare_runs(s, d):
+    a, b = (x.withColumnRenamed("record_id", "key") for x in _runs(s, d))
+    return joins.compare_runs(a, b)
+
+
+@query(f"WITH {RUNS_SQL} SELECT record_id FROM a INTERSECT SELECT record_id FROM b")
+def intersect_keys(s, d):
+    a, b = _runs(s, d)
+    return a.select("record_id").intersect(b.select("record_id"))
+
+
+@query(f"""WITH {fx.SQL_CANDIDATES}, q AS (SELECT *, row_number() OVER (PARTITION BY subtype ORDER BY pos) AS k FROM classified WHERE subtype IN ('P0-High', 'P2', 'P1-Medium-Comp', 'P3'))
+  SELECT record_id, pos, subtype FROM q WHERE k <= CASE subtype WHEN 'P0-High' THEN 5 WHEN 'P2' THEN 3 ELSE CASE WHEN subtype = 'P1-Medium-Comp' THEN 20 ELSE 0 END END AND pos % 400 <> 0 ORDER BY pos LIMIT 12""")
+def run_filter(s, d):
+    r = _classified(s, d).join(fx.records(s, d), "record_id").select("record_id", "pos", "subtype")
+    limits = sets.parse_limits("P0-High:5,P2:3,P1-Medium-Comp:20")
+    return sets.run_filter(r, subtypes=[*limits, "P3"], quotas=limits, done=r.filter("pos % 400 = 0"), limit=12)
+
+
+@query()
+def shard_by_hash(s, d):
+    return sets.shard(fx.records(s, d), 4, 1)
+
+
+@query()
+def seeded_sample(s, d):
+    return sets.sampled(fx.records(s, d).select("record_id"), 25, 7)
+
+
+@query(f"WITH {fx.SQL_SCORES} SELECT predicted AS aid, list_sort(list(split_part(record_id, '-', 1))) AS pubs FROM arbitrated WHERE predicted NOT IN ('none', 'error') GROUP BY 1")
+def submission(s, d):
+    return sets.submission(_arbitrated(s, d))
+
+
+@query(f"WITH {fx.SQL_CANDIDATES} SELECT subtype, list_sort(list(record_id)) AS members FROM classified GROUP BY 1")
+def subtype_members(s, d):
+    return sets.inverted(_classified(s, d))
+
+
+# The gate and its replays
+
+
+@query(f"WITH {fx.SQL_SCORES} SELECT record_id, original, predicted, rule_applied, model_proba FROM arbitrated")
+def arbitration(s, d):
+    return _arbitrated(s, d).select("record_id", "original", "predicted", "rule_applied", "model_proba")
+
+
+@query(f"WITH {fx.SQL_SCORES} SELECT count(*) FILTER (rule_applied = 'A') AS withdrawn, count(*) FILTER (rule_applied = 'B') AS filled, count(*) FILTER (rule_applied = 'keep') AS kept, count(*) FILTER (rule_applied = 'skip') AS skipped, count(*) FILTER (original <> 'none' AND predicted <> 'none' AND original <> predicted) AS redirected FROM arbitrated")
+def rule_triggers(s, d):
+    return arbiter.rule_counts(_arbitrated(s, d))
+
+
+@query(f"WITH {fx.SQL_SCORES} SELECT r.record_id, CASE WHEN b.top_score >= 0.5 THEN b.top_aid ELSE 'none' END AS predicted FROM records r LEFT JOIN best b USING (record_id)")
+def score_threshold_decisions(s, d):
+    return arbiter.score_only(fx.records(s, d), fx.scores(_candidates(s, d)), 0.5)
+
+
+WF1_SQL = """tr AS (SELECT {by} truth AS aid, count(*) AS support, count(*) FILTER (predicted = truth) AS hits FROM {t} WHERE truth <> 'none' GROUP BY ALL),
+  gi AS (SELECT {by} predicted AS aid, count(*) AS given FROM {t} WHERE predicted <> 'none' GROUP BY ALL),
+  pr AS (SELECT {by} sum(support * hits / greatest(coalesce(given, 0), 1)) / sum(support) AS p, sum(hits) / sum(support) AS r FROM tr LEFT JOIN gi USING ({by} aid) GROUP BY {group}),
+  wf AS (SELECT {by} round(p, 6) AS wp, round(r, 6) AS wr, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS wf1 FROM pr)"""
+
+
+@query(f"WITH {fx.SQL_SCORES}, {WF1_SQL.format(by='', t='arbitrated', group='()')} SELECT * FROM wf")
+def weighted_f1(s, d):
+    return metrics.weighted_f1(_arbitrated(s, d))
+
+
+GRID_SQL = """gr AS (SELECT a.i AS ia, b.i AS ib, truth, CASE WHEN routed AND predicted <> 'none' AND own_score < a.i / 100 THEN 'none' WHEN routed AND predicted = 'none' AND top_score >= b.i / 100 THEN best_aid ELSE predicted END AS predicted
+  FROM scored, (SELECT unnest(range(31))::INTEGER AS i) a, (SELECT unnest(range(31))::INTEGER AS i) b)"""
+
+
+@query(f"WITH {fx.SQL_SCORES}, {GRID_SQL}, {WF1_SQL.format(by='ia, ib,', t='gr', group='ia, ib')} SELECT * FROM wf")
+def threshold_grid(s, d):
+    return arbiter.grid(_decisions(s, d), fx.scores(_candidates(s, d)), 31)
+
+
+@query()
+def threshold_transfer(s, d):
+    return arbiter.transfer(_decisions(s, d), fx.scores(_candidates(s, d)), 11)
+
+
+@query(f"""WITH {fx.SQL_SCORES}, f AS (SELECT record_id, count(DISTINCT aid) AS featured FROM scores WHERE CAST(aid AS BIGINT) % 11 <> 0 GROUP BY 1)
+  SELECT record_id, num_candidates, coalesce(featured, 0) AS featured FROM decisions LEFT JOIN f USING (record_id) WHERE predicted <> 'error' AND num_candidates <> coalesce(featured, 0)""")
+def candidate_consistency(s, d):
+    return joins.check_candidates(_decisions(s, d), fx.scores(_candidates(s, d)).filter("cast(aid as bigint) % 11 <> 0"))
+
+
+# Metrics
+
+F1_SQL = """count(*) FILTER (truth <> 'none' AND predicted = truth) AS tp, count(*) FILTER (truth = 'none' AND predicted <> 'none') AS fp, count(*) FILTER (truth <> 'none' AND predicted <> truth) AS fn, count(*) FILTER (truth = 'none' AND predicted = 'none') AS tn"""
+NIL_TRUTH = "nt AS (SELECT record_id, subtype, predicted, CASE WHEN pos % 500 = 0 THEN 'none' ELSE truth END AS truth FROM arbitrated)"
+PRF_SQL = "tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), {k}) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), {k}) AS recall, round(coalesce(2.0::DOUBLE * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / nullif(tp / nullif(tp + fp, 0) + tp / nullif(tp + fn, 0), 0), 0), {k}) AS f1"
+
+
+def _judged(s, d) -> DataFrame:
+    """Decisions after the gate; some records have no profile."""
+    return _arbitrated(s, d).withColumn("truth", F.when(F.col("pos") % 500 == 0, "none").otherwise(F.col("truth")))
+
+
+@query(f"WITH {fx.SQL_SCORES}, {NIL_TRUTH}, c AS (SELECT {F1_SQL} FROM nt) SELECT {PRF_SQL.format(k=6)} FROM c")
+def micro_f1(s, d):
+    return metrics.micro_f1(_judged(s, d))
+
+
+@query(f"WITH {fx.SQL_SCORES}, {NIL_TRUTH}, c AS (SELECT subtype, {F1_SQL} FROM nt GROUP BY 1) SELECT subtype, {PRF_SQL.format(k=4)} FROM c")
+def stratified_f1(s, d):
+    return metrics.stratified_f1(_judged(s, d))
+
+
+@query(f"WITH {fx.SQL_SCORES}, {NIL_TRUTH} SELECT count(*) AS n, round(avg((predicted = truth)::INT), 6) AS accuracy, round(avg((lower(predicted) = lower(truth))::INT), 6) AS accuracy_any_case, round(avg((predicted = 'none')::INT), 6) AS nil_rate FROM nt")
+def accuracy(s, d):
+    return metrics.accuracy(_judged(s, d))
+
+
+@query(f"WITH {fx.SQL_SCORES} SELECT subtype, strategy, rule_applied, count(*) AS n, round(avg((predicted = truth)::INT), 6) AS accuracy FROM arbitrated GROUP BY GROUPING SETS ((subtype), (strategy), (rule_applied), ())")
+def accuracy_by_group(s, d):
+    return metrics.accuracy_by(_arbitrated(s, d), "subtype", "strategy", "rule_applied")
+
+
+@query(f"WITH {fx.SQL_CANDIDATES} SELECT subtype, CAST(num_candidates % 3 AS INTEGER) AS strategy, count(*) AS n, CAST(sum(num_candidates * 40) AS BIGINT) AS tokens, round(avg(num_candidates * 40), 6) AS mean_tokens FROM classified GROUP BY GROUPING SETS ((subtype), (strategy), ())")
+def token_totals(s, d):
+    c = _classified(s, d).select("subtype", (F.col("num_candidates") % 3).cast("int").alias("strategy"), (F.col("num_candidates") * 40).alias("t"))
+    return metrics.token_totals(c, "t", "subtype", "strategy")
+
+
+PAIR_SQL = "pr2 AS (SELECT a.record_id, a.truth, a.original AS pa, a.predicted AS pb FROM arbitrated a)"
+
+
+def _two(s, d) -> tuple[DataFrame, DataFrame]:
+    a = _arbitrated(s, d)
+    return a.select("record_id", "truth", F.col("original").alias("predicted")), a.select("record_id", "truth", "predicted")
+
+
+@query(f"WITH {fx.SQL_SCORES}, {PAIR_SQL}, x AS (SELECT *, lower(pa) = lower(truth) AS a_ok, lower(pb) = lower(truth) AS b_ok FROM pr2), y AS (SELECT *, row_number() OVER (PARTITION BY a_ok, b_ok ORDER BY record_id) AS k FROM x) SELECT a_ok, b_ok, count(*) AS n, list_sort(list(record_id) FILTER (k <= 20)) AS sample FROM y GROUP BY 1, 2")
+def cross_tab(s, d):
+    return metrics.cross_tab(*_two(s, d))
+
+
+@query(f"WITH {fx.SQL_SCORES}, {PAIR_SQL} SELECT count(*) FILTER (pa = truth AND pb <> truth) AS a_only, count(*) FILTER (pa <> truth AND pb = truth) AS b_only, round(avg((pa = pb)::INT), 6) AS agreement FROM pr2")
+def paired_comparison(s, d):
+    return metrics.discordant(*_two(s, d))
+
+
+# Judgement
+
+
+@query(f"""WITH {fx.SQL_CANDIDATES}, l AS (SELECT record_id, string_agg(printf('[%d] %s title=%.3f coauthors=%d org=%.2f venue=%.2f', rank, aid, title_sim_max, coauthor_count, org_sim, venue_sim), chr(10) ORDER BY rank) AS t, list(aid ORDER BY rank) AS aids FROM candidates WHERE rank <= 5 GROUP BY 1)
+  SELECT record_id, 'Record ' || record_id || chr(10) || t AS prompt, aids FROM l""")
+def prompt_texts(s, d):
+    return decide.prompts(_candidates(s, d), "Record %s\n%s", most=5).select("record_id", "prompt", "aids")
+
+
+@query("""WITH a AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN '{"answer": "' || (turn + 1) || '", "confidence": "high"}' WHEN 1 THEN 'answer: a' || conv_id || chr(10) || 'confidence: LOW' WHEN 2 THEN 'so it is X' || (1000000 + conv_id) || ' then' ELSE 'no idea' END AS content, ['p0', 'p1', 'p2'] AS aids FROM conversations)
+  SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN coalesce(aids[turn + 1], CAST(turn + 1 AS VARCHAR)) WHEN 1 THEN 'a' || conv_id WHEN 2 THEN 'X' || (1000000 + conv_id) END AS answer, CASE conv_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS confidence FROM a""")
+def parsed_answers(s, d):
+    c, n = F.col("conv_id"), F.col("turn")
+    said = (
+        F.when(c % 4 == 0, F.concat(F.lit('{"answer": "'), (n + 1).cast("string"), F.lit('", "confidence": "high"}')))
+        .when(c % 4 == 1, F.concat(F.lit("answer: a"), c.cast("string"), F.lit("\nconfidence: LOW")))
+        .when(c % 4 == 2, F.concat(F.lit("so it is X"), (c + 1000000).cast("string"), F.lit(" then")))
+        .otherwise("no idea")
+    )
+    a = text.parse_answer(F.col("content"))
+    rows = fx.read(s, d, "conversations").select("conv_id", "turn", said.alias("content")).withColumn("a", a)
+    return rows.select("conv_id", "turn", text.resolve_answer(F.col("a.answer"), F.array(*map(F.lit, ("p0", "p1", "p2")))).alias("answer"), "a.confidence")
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || left(text, 80), chr(10) ORDER BY turn) AS prompt, CAST(sum(greatest(ceil(length(text) / 4), len(string_split_regex(trim(text), '\\s+')))) AS BIGINT) AS tokens FROM conversations GROUP BY 1")
+def conversation_prompts(s, d):
+    line = F.concat("role", F.lit(": "), F.substring("text", 1, 80))
+    g = fx.read(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"), F.sum(text.estimate_tokens(F.col("text"))).alias("tokens"))
+    return g.select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("prompt"), "tokens")
+
+
+@query()
+def rule_decisions(s, d):
+    return decide.decide_by_rules(_classified(s, d), _candidates(s, d))
+
+
+@query()
+def packed_requests(s, d):
+    r = decide.requests(decide.prompts(_candidates(s, d), "Record %s\n%s"), "model", "Decide.")
+    sized = r.select("record_id", F.octet_length("request").alias("bytes"), F.pmod(F.xxhash64("record_id"), F.lit(4)).cast("int").alias("shard"))
+    return decide.pack(sized, most=50, most_bytes=20_000)
+
+
+@query("SELECT page_id, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
+def page_titles(s, d):
+    return fx.read(s, d, "pages").select("page_id", "url", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+
+
+@query("SELECT DISTINCT event_id AS record_id, event_type AS subtype FROM events WHERE event_type IS NOT NULL")
+def streamed_records(s, d):
+    return stream.run_once(s, f"{d}/events.parquet")
+
+

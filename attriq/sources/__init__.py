@@ -1,0 +1,78 @@
+"""Readers: everything becomes a typed DataFrame; a file that is absent an empty one."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attriq import schemas
+from attriq.config import NIL
+from attriq.operators.features import feature_vector
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """(key, value) of a JSON file that is one object keyed by id; a schema of all ids is never inferred."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
+
+
+def papers(spark: SparkSession, path: str) -> DataFrame:
+    found = json_map(spark, path, f"struct<{schemas.PAPER}>").select("key", "value.*")
+    return found.withColumn("pub_id", F.col("key")).drop("key")
+
+
+def profiles(spark: SparkSession, path: str) -> DataFrame:
+    return json_map(spark, path, f"struct<{schemas.PROFILE}>").select(F.col("key").alias("aid"), "value.name", "value.pubs")
+
+
+def pair_sims(spark: SparkSession, path: str) -> DataFrame:
+    """Pair similarities from CSV; NaN counts as missing from here on."""
+    raw = spark.read.csv(path, header=True, schema=schemas.PAIR_SIM, enforceSchema=False)
+    doubles = [c for c, kind in raw.dtypes if kind == "double"]
+    return raw.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
+
+
+def decisions(spark: SparkSession, path: str) -> DataFrame:
+    """Decisions from quoted CSV, every column a string."""
+    return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+
+
+def predictions(spark: SparkSession, path: str, uid: str, pred: str) -> DataFrame:
+    found = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True).select(F.col(uid).alias("record_id"), F.col(pred).alias("predicted"))
+    return found.groupBy("record_id").agg(F.max("predicted").alias("predicted"))
+
+
+def features(spark: SparkSession, *paths: str) -> DataFrame:
+    """(record_id, aid, features, label) from JSON lines; a missing label is 0."""
+    raw = spark.read.schema("unass_record string, candidate_aid string, sim_features array<double>, hand_features array<double>, org_available double, features array<double>, label int").json(list(paths))
+    return raw.select(F.col("unass_record").alias("record_id"), F.col("candidate_aid").alias("aid"), feature_vector().alias("features"), F.coalesce("label", F.lit(0)).alias("label"))
+
+
+def truth(spark: SparkSession, path: str) -> DataFrame:
+    if not exists(spark, path):
+        return spark.createDataFrame([], schemas.GROUND_TRUTH)
+    return json_map(spark, path, "string").select(F.col("key").alias("record_id"), F.coalesce("value", F.lit(NIL)).alias("aid"))
+
+
+def done(spark: SparkSession, path: str) -> DataFrame:
+    if not exists(spark, path):
+        return spark.createDataFrame([], "record_id string")
+    return spark.read.parquet(path).select("record_id")
+
+
+def embeddings(stores: list[DataFrame], keys: DataFrame) -> DataFrame:
+    """keys(key) with their vectors from the first store that has them, else null."""
+    out = keys
+    for k, s in enumerate(stores):
+        out = out.join(s.select("key", F.col("vec").alias(f"v{k}")), "key", "left")
+    names = [f"v{k}" for k in range(len(stores))]
+    return out.withColumn("vec", F.coalesce(*names)).drop(*names)
+
+
+def paper_owner(spark: SparkSession, path: str) -> DataFrame:
+    return json_map(spark, path, "array<string>").select(F.explode("value").alias("pub_id"), F.col("key").alias("aid"))
