@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from attriq.config import NAME_RARITY_DEFAULT
 
 # One-word names that match alone.
-MONONYMS = ["yamaguchi"]
+MONONYMS = ["yamaguchi", "martini", "hirano"]
 
 
 def name_parts(name: Column) -> Column:
@@ -46,17 +46,17 @@ def clean_name(name: Column) -> Column:
 
 
 def is_abbreviation(part: Column) -> Column:
-    return (F.length(part) == 1) | ((F.length(part) == 2) & part.endswith("."))
+    return (F.length(part) == 1) | part.contains(".")
 
 
 def names_match(a: Column, b: Column) -> Column:
     """Whether the parts a, which may be abbreviated, name the same person as the parts b.
 
     An abbreviated part of a meets any part of b with that initial, another part its equal. Two hits are
-    enough; one is for names of one part and for the known one-word names.
+    enough; one is where a has one part or holds a known one-word name.
     """
     hits = F.size(F.filter(a, lambda p: (p != "") & F.when(is_abbreviation(p), F.exists(b, lambda x: x.startswith(F.substring(p, 1, 1)))).otherwise(F.array_contains(b, p))))
-    return (hits >= 2) | ((hits >= 1) & ((F.size(a) == 1) | (F.size(b) == 1) | F.arrays_overlap(a, F.array(*map(F.lit, MONONYMS)))))
+    return (hits >= 2) | ((hits >= 1) & ((F.size(a) == 1) | F.arrays_overlap(a, F.array(*map(F.lit, MONONYMS)))))
 
 
 def first_author(name_parts_: Column, authors_parts: Column) -> Column:
