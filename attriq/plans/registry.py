@@ -219,7 +219,7 @@ def titles_and_org_keys(s, d):
 WORDS_SQL = "list_distinct(list_filter(string_split_regex(lower(trim({})), '\\s+'), lambda w: w <> ''))"
 
 
-@query(f"""WITH b AS (SELECT item_id, {WORDS_SQL.format('text')} AS w, string_split_regex(lower(trim(text)), '\s+')[1] AS first FROM benchmark),
+@query(f"""WITH b AS (SELECT item_id, {WORDS_SQL.format('text')} AS w, string_split_regex(lower(trim(text)), '\\s+')[1] AS first FROM benchmark),
   p AS (SELECT x.item_id AS item_a, y.item_id AS item_b, x.w AS wa, y.w AS wb FROM b x JOIN b y ON x.first = y.first AND x.item_id < y.item_id)
   SELECT item_a, item_b, round(len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))), 6) AS jaccard FROM p""")
 def jaccard_blocked(s, d):
@@ -274,9 +274,10 @@ def main_venue(s, d):
     return features.main_value(fx.read(s, d, "orders"), "o_custkey", "o_orderpriority", "o_orderkey")
 
 
-@query("SELECT o_custkey, list_sort(list(DISTINCT lower(trim(o_orderstatus)))) AS \"values\" FROM orders GROUP BY 1")
+@query("SELECT o_custkey, array_to_string(list_sort(list(DISTINCT lower(trim(o_orderstatus)))), ',') AS keywords FROM orders GROUP BY 1")
 def keyword_sets(s, d):
-    return features.value_set(fx.read(s, d, "orders"), "o_custkey", "o_orderstatus")
+    found = features.value_set(fx.read(s, d, "orders"), "o_custkey", "o_orderstatus")
+    return found.select("o_custkey", F.array_join("values", ",").alias("keywords"))
 
 
 @query(f"""WITH {fx.SQL_PAPERS}, ra AS (SELECT paper || '-0' AS record_id, block, unnest(coauthors) AS name, status AS org FROM papers WHERE paper % 100 = 0), pa AS (SELECT CAST(owner AS VARCHAR) AS aid, block, unnest(coauthors) AS name, status AS org_b FROM papers WHERE paper % 100 <> 0),
@@ -358,14 +359,14 @@ def seeded_sample(s, d):
     return sets.sampled(fx.records(s, d).select("record_id"), 25, 7)
 
 
-@query(f"WITH {fx.SQL_SCORES} SELECT predicted AS aid, list_sort(list(split_part(record_id, '-', 1))) AS pubs FROM arbitrated WHERE predicted NOT IN ('none', 'error') GROUP BY 1")
+@query(f"WITH {fx.SQL_SCORES} SELECT predicted AS aid, array_to_string(list_sort(list(split_part(record_id, '-', 1))), ',') AS pubs FROM arbitrated WHERE predicted NOT IN ('none', 'error') GROUP BY 1")
 def submission(s, d):
-    return sets.submission(_arbitrated(s, d))
+    return sets.submission(_arbitrated(s, d)).withColumn("pubs", F.array_join("pubs", ","))
 
 
-@query(f"WITH {fx.SQL_CANDIDATES} SELECT subtype, list_sort(list(record_id)) AS members FROM classified GROUP BY 1")
+@query(f"WITH {fx.SQL_CANDIDATES} SELECT subtype, array_to_string(list_sort(list(record_id)), ',') AS members FROM classified GROUP BY 1")
 def subtype_members(s, d):
-    return sets.inverted(_classified(s, d))
+    return sets.inverted(_classified(s, d)).withColumn("members", F.array_join("members", ","))
 
 
 # The gate and its replays
@@ -463,9 +464,9 @@ def _two(s, d) -> tuple[DataFrame, DataFrame]:
     return a.select("record_id", "truth", F.col("original").alias("predicted")), a.select("record_id", "truth", "predicted")
 
 
-@query(f"WITH {fx.SQL_SCORES}, {PAIR_SQL}, x AS (SELECT *, lower(pa) = lower(truth) AS a_ok, lower(pb) = lower(truth) AS b_ok FROM pr2), y AS (SELECT *, row_number() OVER (PARTITION BY a_ok, b_ok ORDER BY record_id) AS k FROM x) SELECT a_ok, b_ok, count(*) AS n, list_sort(list(record_id) FILTER (k <= 20)) AS sample FROM y GROUP BY 1, 2")
+@query(f"WITH {fx.SQL_SCORES}, {PAIR_SQL}, x AS (SELECT *, lower(pa) = lower(truth) AS a_ok, lower(pb) = lower(truth) AS b_ok FROM pr2), y AS (SELECT *, row_number() OVER (PARTITION BY a_ok, b_ok ORDER BY record_id) AS k FROM x) SELECT a_ok, b_ok, count(*) AS n, array_to_string(list_sort(list(record_id) FILTER (k <= 20)), ',') AS sample FROM y GROUP BY 1, 2")
 def cross_tab(s, d):
-    return metrics.cross_tab(*_two(s, d))
+    return metrics.cross_tab(*_two(s, d)).withColumn("sample", F.array_join("sample", ","))
 
 
 @query(f"WITH {fx.SQL_SCORES}, {PAIR_SQL} SELECT count(*) FILTER (pa = truth AND pb <> truth) AS a_only, count(*) FILTER (pa <> truth AND pb = truth) AS b_only, round(avg((pa = pb)::INT), 6) AS agreement FROM pr2")
@@ -477,9 +478,9 @@ def paired_comparison(s, d):
 
 
 @query(f"""WITH {fx.SQL_CANDIDATES}, l AS (SELECT record_id, string_agg(printf('[%d] %s title=%.3f coauthors=%d org=%.2f venue=%.2f', rank, aid, title_sim_max, coauthor_count, org_sim, venue_sim), chr(10) ORDER BY rank) AS t, list(aid ORDER BY rank) AS aids FROM candidates WHERE rank <= 5 GROUP BY 1)
-  SELECT record_id, 'Record ' || record_id || chr(10) || t AS prompt, aids FROM l""")
+  SELECT record_id, 'Record ' || record_id || chr(10) || t AS prompt, array_to_string(aids, ',') AS aids FROM l""")
 def prompt_texts(s, d):
-    return decide.prompts(_candidates(s, d), "Record %s\n%s", most=5).select("record_id", "prompt", "aids")
+    return decide.prompts(_candidates(s, d), "Record %s\n%s", most=5).select("record_id", "prompt", F.array_join("aids", ",").alias("aids"))
 
 
 @query("""WITH a AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN '{"answer": "' || (turn + 1) || '", "confidence": "high"}' WHEN 1 THEN 'answer: a' || conv_id || chr(10) || 'confidence: LOW' WHEN 2 THEN 'so it is X' || (1000000 + conv_id) || ' then' ELSE 'no idea' END AS content, ['p0', 'p1', 'p2'] AS aids FROM conversations)
