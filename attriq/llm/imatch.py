@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attriq.llm.common import q
+from attriq.llm.common import cut, q
 
 #: (bits, number): so many random subsets of the lexicon hold each term with probability 2 ** -bits. Small
 #: subsets tell how much long texts share, large ones short texts.
@@ -35,15 +35,14 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = 0.002, high: float
     band = found.filter((F.col("df") >= low * n) & (F.col("df") <= max(high * n, 1)))
     bits = [b for b, k in SUBSETS for _ in range(k)]
     holds = [F.when(F.shiftrightunsigned(F.xxhash64("term", F.lit(j)), 64 - b) == 0, F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j, b in enumerate(bits)]
-    return band.select("term", reduce(lambda a, b: a.bitwiseOR(b), holds).alias("subsets")).filter("subsets <> 0")
+    return cut(band.select("term", reduce(lambda a, b: a.bitwiseOR(b), holds).alias("subsets")).filter("subsets <> 0"))
 
 
-def _signature(found: Column, version: int, whole: Column) -> Column:
-    """The hash of all terms, then one of each subset's sorted terms; null for a subset without terms."""
-    mine = F.array_sort(F.filter(found, lambda x: (x["version"] == version) & (x["subsets"] != 0)))
+def _signature(found: Column, whole: Column) -> Column:
+    """The hash of all terms, then one of each subset's sorted terms; null for a subset without terms. found: sorted (term, subsets)."""
 
     def one(j: int) -> Column:
-        own = F.transform(F.filter(mine, lambda x: x["subsets"].bitwiseAND(F.lit(1 << j)) != 0), lambda x: x["term"])
+        own = F.filter(found, lambda x: x["subsets"].bitwiseAND(F.lit(1 << j)) != 0)["term"]
         return F.when(F.size(own) > 0, F.xxhash64(own))
 
     return F.array(whole, *[one(j) for j in range(sum(k for _, k in SUBSETS))])
@@ -68,20 +67,20 @@ def with_signatures(rows: DataFrame, words: DataFrame, texts: dict[str, str]) ->
     broadcast, and a row's terms are gathered again by partial aggregates before they move.
     """
     kept = [c for c in rows.columns if c not in texts.values()]
-    ready = rows.select(*kept, *[terms(F.col(c)).alias(f"terms_{k}") for k, c in texts.items()])
-    ready = ready.withColumns({f"whole_{k}": F.xxhash64(F.array_sort(f"terms_{k}")) for k in texts})
-    none = F.array(F.struct(F.lit(0).alias("version"), F.lit("").alias("term")))  # so that each row meets one term at least
-
-    def of_version(v: int):
-        return lambda t: F.struct(F.lit(v).alias("version"), t.alias("term"))
-
-    each = [F.transform(f"terms_{k}", of_version(v)) for v, k in enumerate(texts)]
-    keys = [*kept, *[f"whole_{k}" for k in texts]]
-    apart = ready.select(*keys, F.explode(F.concat(none, *each)).alias("at")).select(*keys, "at.*")
-    every = words.unionByName(words.sparkSession.createDataFrame([("", 0)], "term string, subsets long"))
-    met = apart.join(F.broadcast(every) if words.count() <= FEW else every, "term")
-    found = met.groupBy(*keys).agg(F.collect_list(F.struct("version", "term", "subsets")).alias("found"))
-    return found.select(*kept, *[_signature(F.col("found"), v, F.col(f"whole_{k}")).alias(k) for v, k in enumerate(texts)])
+    versions = F.array(*[F.struct(F.lit(v).alias("version"), F.col(c).alias("text")) for v, c in enumerate(texts.values())])
+    apart = rows.select(*kept, F.explode(versions).alias("v")).select(*kept, "v.version", F.sort_array(terms(F.col("v.text"))).alias("terms"))
+    # The empty term, which the lexicon gets too, so that each text meets one term at least; it alone has a hash of all terms.
+    met = apart.select(*kept, "version", F.xxhash64("terms").alias("whole"), F.explode(F.array_append("terms", F.lit(""))).alias("term"))
+    every = words.unionByName(words.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("subsets")))
+    met = met.join(F.broadcast(every) if words.count() <= FEW else every, "term")
+    lists, wholes = {}, {}
+    for v, k in enumerate(texts):
+        mine = F.col("version") == v
+        lists[k] = F.collect_list(F.when(mine & (F.col("subsets") != 0), F.struct("term", "subsets"))).alias(f"terms_{k}")
+        wholes[k] = F.max(F.when(mine & (F.col("subsets") == 0), F.col("whole"))).alias(f"whole_{k}")
+    found = met.groupBy(*kept).agg(*lists.values(), *wholes.values())
+    found = found.withColumns({f"terms_{k}": F.sort_array(f"terms_{k}") for k in texts})
+    return found.select(*kept, *[_signature(F.col(f"terms_{k}"), F.col(f"whole_{k}")).alias(k) for k in texts])
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", low: float = 0.002, high: float = 0.01) -> DataFrame:
@@ -139,7 +138,7 @@ def compare_edited(docs: DataFrame, id: str = "doc_id", text: str = "text", low:
     edited = F.concat(F.substr("text", F.lit(1), size - half), F.substr("next_text", F.lit(1), half))
     rows = rows.select("bucket", "place", "last", "id", size.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    signed = with_signatures(rows, words, {"own": "text", "changed": "edited"})
+    signed = cut(with_signatures(rows, words, {"own": "text", "changed": "edited"}))  # read twice below
     jump = F.create_map(*[F.lit(x) for pair in after.items() for x in pair]) if after else F.lit(None).cast("map<int,int>")
     ends = F.col("last") == 1
     signed = signed.withColumn("to_bucket", F.when(ends, F.element_at(jump, F.col("bucket"))).otherwise(F.col("bucket"))).withColumn("to_place", F.when(ends, 1).otherwise(F.col("place") + 1))
