@@ -81,3 +81,30 @@ def name_rarity(name: Column, rarity: dict[str, float]) -> Column:
     table = F.create_map(*[F.lit(x) for kv in rarity.items() for x in kv]) if rarity else F.create_map(F.lit(""), F.lit(0.0))
     words = F.filter(F.split(clean_name(name), " "), lambda w: w != "")
     return F.aggregate(words, F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(table, w), F.lit(NAME_RARITY_DEFAULT)))
+
+
+# Words that are no part of a name, and short forms of given names.
+NAME_STOP_WORDS = ["dr", "prof", "mr", "ms", "jr", "sr"]
+SHORT_NAMES = {"bob": "robert", "bill": "william", "tom": "thomas", "mike": "michael", "dave": "david", "jim": "james", "joe": "joseph", "dan": "daniel"}
+
+
+def name_tokens(name: Column) -> Column:
+    """Tokens of a name: two capitals and dotted initials apart, quotes gone, titles dropped, short forms written out."""
+    s = F.regexp_replace(F.regexp_replace(name, "['\"`]", ""), "\\b([A-Z])([A-Z])\\b", "$1 $2")
+    words = F.split(F.lower(F.regexp_replace(F.regexp_replace(s, "\\.", " "), "[^\\p{L} ]+", " ")), " +")
+    full = F.create_map(*[F.lit(x) for kv in SHORT_NAMES.items() for x in kv])
+    return F.transform(F.filter(words, lambda w: (w != "") & ~w.isin(NAME_STOP_WORDS)), lambda w: F.coalesce(F.try_element_at(full, w), w))
+
+
+def paper_attributes(name: Column, authors: Column, venue: Column, keywords: Column, title: Column) -> Column:
+    """struct(slot, coauthors, org, venue, keywords, title) of a paper for the author of that name; authors are (name, org) structs."""
+    parts = F.transform(F.coalesce(authors, F.array().cast("array<struct<name:string,org:string>>")), lambda a: name_parts(a["name"]))
+    slot = first_author(name_parts(name), parts)
+    others = F.filter(authors, lambda a, i: i != slot)
+    clean = F.filter(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: k.isNotNull() & ~F.lower(F.trim(k)).isin("", "null", "none"))
+    return F.struct(
+        slot.alias("slot"), F.array_sort(F.array_distinct(F.transform(others, lambda a: name_key(a["name"])))).alias("coauthors"),
+        F.coalesce(F.get(authors, F.when(slot >= 0, slot))["org"], F.lit("")).alias("org"), F.coalesce(venue, F.lit("")).alias("venue"),
+        F.array_join(clean, " ").alias("keywords"), F.coalesce(title, F.lit("")).alias("title"),
+    )
+

@@ -85,6 +85,18 @@ def decide_by_rules(classified: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
+def auto_assign(candidates: DataFrame) -> DataFrame:
+    """The top candidate with high confidence, where no judgement is needed."""
+    return candidates.filter("rank = 1").select("record_id", F.col("aid").alias("predicted"), F.lit("high").alias("confidence"))
+
+
+def estimated_tokens(prompted: DataFrame, classified: DataFrame) -> DataFrame:
+    """Tokens that judging each record would take: none for those that need no judgement."""
+    free = F.col("strategy").isin("none", "auto")
+    out = classified.select("record_id", "subtype", "strategy").join(prompted.select("record_id", "tokens"), "record_id", "left")
+    return out.withColumn("tokens", F.when(free, 0).otherwise(F.coalesce("tokens", F.lit(0))))
+
+
 def prompts(candidates: DataFrame, template: str, most: int = 10, width: int = 500) -> DataFrame:
     """One prompt a record: the template with its candidates listed in rank order, the aids in that order, and a token estimate."""
     line = F.format_string("[%d] %s title=%.3f coauthors=%d org=%.2f venue=%.2f", "rank", "aid", "title_sim_max", "coauthor_count", "org_sim", "venue_sim")

@@ -115,3 +115,33 @@ def test_plans(spark):
         assert "CartesianProduct" not in p, name
     late = fx.read(spark, SF, "lineitem").filter("l_quantity > 49").select("l_orderkey")
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,49.0)]" in plan(late)
+
+
+def test_tokens_and_attributes(spark):
+    assert one(spark, names.name_tokens(F.col("n")), n="Dr. JR Smith 'Bob' A.B. Lee") == ["j", "r", "smith", "robert", "a", "b", "lee"]
+    authors = F.array(F.struct(F.lit("Wei Li").alias("name"), F.lit("X").alias("org")), F.struct(F.lit("Ann Bo").alias("name"), F.lit("Y").alias("org")))
+    got = spark.range(1).select(names.paper_attributes(F.lit("Li Wei"), authors, F.lit(None).cast("string"), F.array(F.lit("a"), F.lit("null")), F.lit("t"))).first()[0]
+    assert tuple(got) == (0, ["ann_bo"], "X", "", "a", "t")
+
+
+def test_scorer(spark, tmp_path):
+    from attriq.operators import scorer
+
+    rows = [(str(i), "a", [float(i % 2), float(i % 3)], i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "record_id string, aid string, features array<double>, label int")
+    scorer.save(scorer.train(df, trees=3, depth=2), str(tmp_path / "m"))
+    got = {r["record_id"]: r["score"] for r in scorer.score(scorer.load(str(tmp_path / "m")), df).collect()}
+    assert all((v > 0.5) == (int(k) % 2 == 1) for k, v in got.items())
+
+
+def test_stages(spark, tmp_path):
+    from attriq.plans import pipeline
+
+    stages = pipeline.attribution(fx.records(spark, SF), fx.pair_sims(spark, SF), fx.scores)
+    t = pipeline.run_stages(spark, str(tmp_path), stages)
+    assert t["arbitrated"].count() == t["decisions"].count() == fx.records(spark, SF).count()
+    assert pipeline.run_stages(spark, str(tmp_path), stages, chosen=[])["arbitrated"].count() == t["arbitrated"].count()
+    judge = lambda df: df.select("record_id", F.lit("ok").alias("status"))
+    records = fx.records(spark, SF)
+    assert pipeline.resume(spark, records, str(tmp_path / "done"), judge, probe=5) == records.count() - 5
+    assert pipeline.resume(spark, records, str(tmp_path / "done"), judge) == 0
