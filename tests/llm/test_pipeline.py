@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from attriq.llm.decontaminate import Benchmark, word_hashes
 from attriq.llm.simhash import fingerprint
@@ -45,3 +47,54 @@ def test_run(spark):
     rows = out.collect()
     assert rows and {"doc_id", "text", "copies", "taken"} <= set(out.columns)
     assert len({r["doc_id"] for r in rows}) == len(rows)
+
+
+def jaccard_groups(texts):
+    """Groups of indexes of texts linked at a five-word-shingle Jaccard similarity of 0.8 or more, by brute force."""
+    sets = []
+    for x in texts:
+        w = (x or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    up = list(range(len(sets)))
+    for b in range(len(sets)):
+        for a in range(b):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                old, new = up[b], up[a]
+                up = [new if r == old else r for r in up]
+    return up
+
+
+def test_edited_copies(spark):
+    rnd = random.Random(5)
+    texts = []
+    for k in range(40):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(60, 300))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 5, 8):
+            again = list(base)
+            for at in rnd.sample(range(len(base)), edits):
+                again[at] = f"new{rnd.randrange(10**6)}"
+            texts.append(" ".join(again))
+    # A large group of which many pairs are under 0.8, linked in chains.
+    base = [f"h{k}" for k in range(120)]
+    for k in range(120):
+        texts.append(" ".join(x if rnd.random() > 0.012 else f"e{rnd.randrange(10**6)}" for x in base))
+    texts += [None, "", "one two", "One  two", "one three"]
+    docs = spark.createDataFrame([(k, x, "en", "s", len(x or "")) for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    groups = jaccard_groups(texts)
+    first = {}
+    for k, g in enumerate(groups):
+        first.setdefault(g, k)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.copies(spark, docs, None).collect())
+    assert kept == sorted(first.values()) and len(kept) < len(texts) - 100
+
+
+def test_copies_against_brute_jaccard(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted(tuple(r) for r in docs.select("doc_id", "text").collect())
+    first = {}
+    for (i, _), g in zip(rows, jaccard_groups([x for _, x in rows]), strict=True):
+        first.setdefault(g, i)
+    again = docs.unionByName(docs.filter("doc_id < 5"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.copies(spark, again, sf).collect()) == sorted(first.values())
