@@ -89,6 +89,19 @@ def test_edited_copies(spark):
     assert kept == sorted(first.values()) and len(kept) < len(texts) - 100
 
 
+def test_rows_without_own_id(spark):
+    sf = "/root/testdata/sf0.001"
+    passage = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    words = [f"the only text number {k} with words of its own {k * 7} and {k * 11}" for k in range(6)]
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (3, words[1]), (3, words[2]), (3, words[3]), (3, words[3]), (None, None), (None, "")]
+    held = [(None, f"see {passage} there"), (3, f"{passage} too")]
+    frame = lambda x: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in x], "doc_id long, text string, lang string, source string, n_chars long")
+    read = lambda df: sorted(((r["doc_id"], r["text"] or "") for r in df.collect()), key=str)
+    want = [(None, words[0]), (3, words[1]), (3, words[2]), (3, words[3]), (None, "")]
+    assert read(corpus_pipeline.copies(spark, frame(rows), sf)) == sorted(want, key=str)
+    assert read(corpus_pipeline.benchmark(spark, frame(rows + held), sf)) == sorted(((i, t or "") for i, t in rows), key=str)
+
+
 def test_copies_against_brute_jaccard(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
