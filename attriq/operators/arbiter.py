@@ -82,7 +82,7 @@ def best_cell(cells: DataFrame, *by: str) -> DataFrame:
     return cells.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
 
 
-def transfer(decisions: DataFrame, scores: DataFrame, steps: int = 11) -> DataFrame:
+def transfer(decisions: DataFrame, scores: DataFrame, steps: int = 31) -> DataFrame:
     """Thresholds tuned on one half of the records (by crc32 parity) and scored on the other, both ways."""
     halves = decisions.withColumn("half", (F.crc32(F.col("record_id").cast("binary")) % 2).cast("int"))
     cells = grid(halves, scores, steps, "half")

@@ -409,7 +409,7 @@ def threshold_grid(s, d):
 
 @query()
 def threshold_transfer(s, d):
-    return arbiter.transfer(_decisions(s, d), fx.scores(_candidates(s, d)), 11)
+    return arbiter.transfer(_decisions(s, d), fx.scores(_candidates(s, d)), 31)
 
 
 @query(f"""WITH {fx.SQL_SCORES}, f AS (SELECT record_id, count(DISTINCT aid) AS featured FROM scores WHERE CAST(aid AS BIGINT) % 11 <> 0 GROUP BY 1)

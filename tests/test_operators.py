@@ -145,3 +145,15 @@ def test_stages(spark, tmp_path):
     records = fx.records(spark, SF)
     assert pipeline.resume(spark, records, str(tmp_path / "done"), judge, probe=5) == records.count() - 5
     assert pipeline.resume(spark, records, str(tmp_path / "done"), judge) == 0
+
+
+def test_transfer_beyond_a_tenth(spark):
+    """In both halves the best fill threshold is 0.16: 0.15 is a wrong fill, 0.25 a right one."""
+    import zlib
+
+    half = lambda h: [r for r in map(str, range(100)) if zlib.crc32(r.encode()) % 2 == h][:2]
+    rows = [(r, truth, score) for h in (0, 1) for r, truth, score in zip(half(h), ("a", "none"), (0.25, 0.15), strict=True)]
+    decisions = spark.createDataFrame([(r, truth, "P1-Medium", "judge", "none") for r, truth, _ in rows], "record_id string, truth string, subtype string, strategy string, predicted string")
+    scores = spark.createDataFrame([(r, "a", score) for r, _, score in rows], "record_id string, aid string, score double")
+    got = {r["tuned_on"]: (r["ia"], r["ib"], r["tuned_f1"], r["other_f1"]) for r in arbiter.transfer(decisions, scores).collect()}
+    assert got == {0: (0, 16, 1.0, 1.0), 1: (0, 16, 1.0, 1.0)}
