@@ -46,8 +46,8 @@ class RuleFirst:
 
 @dataclass(frozen=True)
 class Sampling:
-    verified_base: int = 1000
-    coauthor_base: int = 500
+    many_base: int = 1000
+    one_base: int = 500
     title: int = 100
     venue: int = 10
     org: int = 10
@@ -64,28 +64,56 @@ class Gate:
 STRATEGIES = {
     "NONE": "none",
     "AUTO": "auto",
-    "P0-High": "p0_high",
-    "P0-Medium": "p0_medium",
-    "P0-Low": "p0_low",
-    "P1-Strong": "p1_strong",
-    "P1-Strong-Comp": "p1_comp",
+    "LLM-Co": "simplified",
+    "LLM-NoCo": "p0_high",
+    "P1-Strong": "auto",
     "P1-High": "p1_high",
-    "P1-High-Comp": "p1_comp",
     "P1-Medium": "p1_medium",
+    "P1-Strong-Comp": "p1_comp",
+    "P1-High-Comp": "p1_comp",
     "P1-Medium-Comp": "p1_comp",
     "P1-Weak": "p1_weak",
-    "P1-Weak-Comp": "p1_comp",
-    "P2": "p2p3",
-    "P2-Comp": "p2p3",
-    "P3": "p2p3",
-    "P3-Comp": "p2p3",
-    "LLM-Co": "llm_co",
-    "LLM-NoCo": "llm_noco",
+    "P1-Weak-Comp": "p1_weak",
+    "P2": "p2_p3",
+    "P2-Comp": "p2_p3",
+    "P3": "p2_p3",
+    "P3-Comp": "p2_p3",
+    "P0-High": "p0_high",
+    "P0-Medium": "p0_medium",
+    "P0-Low": "p0_low",
 }
 DEFAULT_STRATEGY = "simplified"
 
-# Subtype of the first chain -> class of the rule-first chain, else LLM-Co.
-RULE_FIRST_OF = {"NONE": "NONE", "P1-Strong": "AUTO", "P0-High": "LLM-NoCo", "P0-Medium": "LLM-NoCo", "P0-Low": "LLM-NoCo"}
+# Strategy -> type of its system prompt, and the type of others.
+PROMPT_TYPES = {
+    "simplified": "simplified",
+    "p0_high": "llm_noco",
+    "p0_medium": "p0_medium",
+    "p0_low": "p0_low",
+    "p2_p3": "p2_p3",
+    "p1_weak": "p1_weak",
+    "p1_comp": "p1_comp",
+    "p1_high": "p1_high",
+    "p1_medium": "p1_medium",
+}
+DEFAULT_PROMPT = "standard"
+
+# Subtype of the first chain, or of an older one -> class of the rule-first chain, else LLM-Co.
+RULE_FIRST_OF = {
+    "NONE": "NONE",
+    "P1-Strong": "AUTO",
+    "A1-Strong": "AUTO",
+    "P0-High": "LLM-NoCo",
+    "P0-Medium": "LLM-NoCo",
+    "P0-Low": "LLM-NoCo",
+    "C0-Org-Strong": "LLM-NoCo",
+    "C0-Org-Medium": "LLM-NoCo",
+    "C0-NoOrg": "LLM-NoCo",
+    "C1-DefaultNone": "LLM-NoCo",
+}
+
+# Subtypes whose records go to the judgement by coauthors.
+CO_SUBTYPES = ["LLM-Co", "P1-High", "P1-Strong-Comp", "P1-High-Comp", "P1-Medium", "P1-Medium-Comp", "P1-Weak", "P1-Weak-Comp", "P2", "P2-Comp", "P3"]
 
 # Fallback inverse document frequencies by field.
 IDF_DEFAULT = {"org": 14.37, "venue": 10.42, "title": 4.0, "keyword": 1.0}

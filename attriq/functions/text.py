@@ -5,7 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
+
+from attriq.functions.names import AUTHORS, strip
 
 
 def clean_title(title: Column) -> Column:
@@ -27,12 +29,50 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.when((F.size(a) > 0) & (F.size(b) > 0), both / either), F.lit(0.0))
 
 
-def overlap(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b))
+def words(s: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(s, "(?U)\\s+"), lambda w: w != ""))
+
+
+# A paper's own fields, from authors (name, org structs) and venue.
+
+
+def author_set(authors: Column) -> Column:
+    """Distinct lower-case names of those authors that have one."""
+    named = F.filter(F.coalesce(authors, F.array().cast(AUTHORS)), lambda a: F.coalesce(a["name"], F.lit("")) != "")
+    return F.array_distinct(F.transform(named, lambda a: strip(F.lower(a["name"]))))
+
+
+def first_org(authors: Column) -> Column:
+    """The first author's organisation in lower case, or empty."""
+    return F.lower(F.coalesce(F.get(authors, F.lit(0))["org"], F.lit("")))
+
+
+def lower_venue(venue: Column) -> Column:
+    return F.lower(F.coalesce(venue, F.lit("")))
+
+
+def coauthor_overlap(authors_a: Column, authors_b: Column) -> Column:
+    return F.size(F.array_intersect(author_set(authors_a), author_set(authors_b)))
+
+
+def venue_likeness(a: Column, b: Column) -> Column:
+    return jaccard(words(lower_venue(a)), words(lower_venue(b)))
+
+
+def org_likeness(authors_a: Column, authors_b: Column) -> Column:
+    return jaccard(words(first_org(authors_a)), words(first_org(authors_b)))
+
+
+def elapsed(seconds: Column) -> Column:
+    """Seconds as 1h 2m 3s, without leading zero parts; below zero 0s."""
+    s = F.floor(F.greatest(seconds, F.lit(0)))
+    h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
+    part = lambda x, unit: F.concat(x.cast("long").cast("string"), F.lit(unit))
+    return F.when(h > 0, F.concat_ws(" ", part(h, "h"), part(m, "m"), part(r, "s"))).when(m > 0, F.concat_ws(" ", part(m, "m"), part(r, "s"))).otherwise(part(r, "s"))
 
 
 def org_key(org: Column, length: int = 150) -> Column:
-    return F.md5(F.substring(F.regexp_replace(org, "^\\s+|\\s+$", ""), 1, length))
+    return F.md5(F.substring(strip(org), 1, length).cast("binary"))
 
 
 def year_value(year: Column) -> Column:
@@ -63,7 +103,7 @@ def _jaro_winkler(a: str, b: str) -> float:
     if not hits:
         return 0.0
     others = [c for j, c in enumerate(b) if used[j]]
-    m, swaps = len(hits), sum(x != y for x, y in zip(hits, others, strict=True)) / 2
+    m, swaps = len(hits), sum(x != y for x, y in zip(hits, others, strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     prefix = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(len(a), len(b), 4))
     return jaro + prefix * 0.1 * (1 - jaro)
@@ -75,22 +115,48 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_jaro_winkler(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def jaro_winkler_all(a: pd.Series, items: pd.Series) -> pd.Series:
+    """The likeness of a text to each of an array of texts."""
+    return pd.Series([[_jaro_winkler(x or "", y or "") for y in ys] for x, ys in zip(a, items)], dtype=object)
+
+
+# The names under which a decider's fields may stand, the first found counts.
+ANSWER_NAMES = ["author_id", "作者ID", "预测作者", "answer"]
+CONFIDENCE_NAMES = ["confidence", "置信度"]
+REASON_NAMES = ["reasoning", "理由", "判断理由", "reason"]
+
+
+def _field(s: Column, names: list[str]) -> Column:
+    """What stands behind the first name found at a line's start with a colon, up to the next such line; empty if none."""
+    found = [F.nullif(F.regexp_extract(s, f"(?isuU)(?:^|\\n)\\s*{n}\\s*[:：]\\s*(.+?)(?=\\n\\s*\\w+\\s*[:：]|\\z)", 1), F.lit("")) for n in names]
+    return F.coalesce(*[strip(f) for f in found], F.lit(""))
+
+
 def parse_answer(text: Column) -> Column:
     """struct(answer, confidence, reasoning) from a decider's text.
 
-    A flat {...} is read as JSON, with aliases of its keys; else `key: value` lines; else the first word of
-    eight letters and digits. Confidence is high, medium or low by what the text holds, medium by default.
+    The first flat {...}, if it is JSON whose fields are texts: author_id (or answer), confidence and
+    reasoning (or reason), which are none, medium and empty where absent. Else `name: value` lines; else the
+    answer is the first word of eight letters and digits or none, and the confidence is high or low if the
+    text has that word, else medium.
     """
-    s = F.coalesce(text, F.lit(""))
-    body = F.regexp_extract(s, "(?s)\\{[^{}]*\\}", 0)
-    keys = ["answer", "author_id", "predicted_author_id", "id"]
-    js = F.coalesce(*[F.nullif(F.trim(F.get_json_object(body, f"$.{k}")), F.lit("")) for k in keys])
-    line = F.nullif(F.regexp_extract(s, "(?im)^\\s*(?:answer|author_id|predicted author|答案)\\s*[:：]\\s*([^\\s,，;]+)", 1), F.lit(""))
-    bare = F.nullif(F.regexp_extract(s, "(?<![A-Za-z0-9])([A-Za-z0-9]{8})(?![A-Za-z0-9])", 1), F.lit(""))
-    said = F.lower(F.coalesce(F.get_json_object(body, "$.confidence"), F.nullif(F.regexp_extract(s, "(?im)^\\s*(?:confidence|置信度)\\s*[:：]\\s*(\\S+)", 1), F.lit("")), F.lit("")))
-    confidence = F.when(said.contains("high") | said.contains("高"), "high").when(said.contains("low") | said.contains("低"), "low").otherwise("medium")
-    reason = F.coalesce(F.get_json_object(body, "$.reasoning"), F.get_json_object(body, "$.reason"), F.nullif(F.regexp_extract(s, "(?im)^\\s*(?:reasoning|reason|理由)\\s*[:：]\\s*(.*)$", 1), F.lit("")), F.lit(""))
-    return F.struct(F.coalesce(js, line, bare).alias("answer"), confidence.alias("confidence"), reason.alias("reasoning"))
+    s = strip(F.coalesce(text, F.lit("")))
+    js = F.try_parse_json(F.regexp_extract(s, "(?s)\\{[^{}]*\\}", 0))
+    raw = lambda n: F.try_variant_get(js, f"$.{n}", "variant")
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("ABSENT"))
+    both = lambda a, b: F.coalesce(raw(a), raw(b))
+    parts = [(both("author_id", "answer"), "none"), (raw("confidence"), "medium"), (both("reasoning", "reason"), "")]
+    is_json = js.isNotNull() & (kind(js) != "ABSENT")
+    for v, _ in parts:
+        is_json = is_json & kind(v).isin("ABSENT", "STRING")
+    said = [F.coalesce(v.cast("string"), F.lit(d)) for v, d in parts]
+    bare = F.coalesce(F.nullif(F.regexp_extract(s, "(?U)\\b[a-zA-Z0-9]{8}\\b", 0), F.lit("")), F.lit("none"))
+    low = F.lower(s)
+    level = F.when(low.contains("high"), "high").when(low.contains("low"), "low").otherwise("medium")
+    answer, confidence = (F.coalesce(F.nullif(_field(s, n), F.lit("")), other) for n, other in ((ANSWER_NAMES, bare), (CONFIDENCE_NAMES, level)))
+    lines = [answer, confidence, _field(s, REASON_NAMES)]
+    return F.struct(*[F.when(is_json, a).otherwise(b).alias(n) for a, b, n in zip(said, lines, ("answer", "confidence", "reasoning"), strict=True)])
 
 
 def resolve_answer(answer: Column, aids: Column) -> Column:

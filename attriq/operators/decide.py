@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,6 +49,7 @@ def calibrated_confidence(said: Column) -> Column:
         (narrow & (venue < 0.9) & (co == 1) & ~ver, "low"),
         (narrow & (co >= p1_cut) & ~ver & (org < 0.7) & (venue < 0.9), "medium"),
         ((s == "P0-Medium") & (org < 0.85), "low"),
+        ((s == "P0-Medium") & (venue < 0.8) & (org < 0.8), "low"),
         (comp & ~ver & high, "medium"),
         (comp & (org < 0.5), "low"),
         (comp & (co < 2) & (org < 0.7), "low"),
@@ -65,12 +68,12 @@ def rule_decision() -> Column:
     standard = ver | ((org >= 0.7) & (venue >= 0.8) & (title > 0.8)) | ((title > 0.9) & (org >= 0.7))
     return (
         F.when(strategy == "none", F.lit(False))
-        .when(strategy.isin("auto", "p1_strong"), F.lit(True))
+        .when(strategy == "auto", F.lit(True))
         .when(strategy == "p0_low", (title >= 0.70) & (org >= 0.85) & (venue >= 0.90))
         .when(strategy == "p0_medium", ((title >= 0.80) & (org >= 0.85) & (venue >= 0.80)) | ((title >= 0.85) & (org >= 0.90)))
         .when(strategy.isin("p1_high", "p1_medium", "p1_comp"), p1)
         .when(strategy == "p1_weak", ((co >= 3) & (venue >= 0.8)) | ((co >= 2) & ver & (org >= 0.7)) | ((co == 1) & ver & (org >= 0.9) & (venue >= 0.8)))
-        .when(strategy == "p2p3", ver | ((co >= 2) & (org >= 0.7) & (venue >= 0.8)))
+        .when(strategy == "p2_p3", ver | ((co >= 2) & (org >= 0.7) & (venue >= 0.8)))
         .otherwise(standard)
     )
 
@@ -111,52 +114,181 @@ def messages(system: Column, prompt: Column) -> Column:
     return F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), prompt.alias("content")))
 
 
-def requests(prompted: DataFrame, model: str, system: str) -> DataFrame:
-    body = F.struct(F.lit(model).alias("model"), messages(F.lit(system), F.col("prompt")).alias("messages"))
+def requests(prompted: DataFrame, system: str | None = None, temperature: float | None = None, **extra: object) -> DataFrame:
+    """(record_id, request): a bulk service's request for each prompt, with its system prompt or a given one, a temperature if wanted, and extra keys."""
+    more = {**({"temperature": temperature} if temperature is not None else {}), **extra}
+    said = F.col("system") if system is None else F.lit(system)
+    body = F.struct(messages(said, F.col("prompt")).alias("messages"), *[F.lit(v).alias(k) for k, v in more.items()])
     return prompted.select("record_id", F.to_json(F.struct(F.col("record_id").alias("custom_id"), body.alias("body"))).alias("request"))
 
 
-def call(prompted: DataFrame, client: Callable[[list[str]], list[str]], tries: int = 3, tasks: int = 8) -> DataFrame:
-    """(record_id, status, content) of each prompt, by a client called in batches; at most `tasks` calls run at once.
-
-    Blank answers are asked again; an error is a status, but a fatal one (no access, no money) fails the job.
-    Write the result to a table before using it twice: each use calls again.
+@dataclass(frozen=True)
+class Retry:
+    """How often a prompt is asked again, and for how long to wait: doubling after a blank, growing by error_wait after an error (None: an error isn't tried again)."""
+
+    tries: int = 3
+    blank_wait: float = 2.0
+    error_wait: float | None = None
+
+
+#: Judgement by coauthors leaves errors to its client; the one without waits longer each time.
+CO_RETRY, NOCO_RETRY = Retry(), Retry(error_wait=5.0)
+
+# Kinds of errors and what they are called.
+ERROR_KINDS = {
+    "timeout": "请求超时", "rate_limit": "API 限流", "connection": "连接错误", "empty_response": "LLM 空响应", "api_error": "API 错误 ({code})",
+    "data_error": "数据错误", "runtime_error": "运行时错误", "unknown": "未知错误 ({name})",
+}
+
+
+class EmptyAnswer(RuntimeError):
+    """A blank answer of a service."""
+
+
+def error_kind(e: Exception) -> tuple[str, str]:
+    """The kind of an error and what it is called; errors of a service tell their status_code."""
+    code = getattr(e, "status_code", None)
+    if isinstance(e, TimeoutError):
+        kind = "timeout"
+    elif code == 429:
+        kind = "rate_limit"
+    elif isinstance(e, ConnectionError):
+        kind = "connection"
+    elif isinstance(e, EmptyAnswer):
+        kind = "empty_response"
+    elif code is not None:
+        kind = "api_error"
+    elif isinstance(e, ValueError):
+        kind = "data_error"
+    else:
+        kind = "runtime_error" if isinstance(e, RuntimeError) else "unknown"
+    return kind, ERROR_KINDS[kind].format(code=code, name=type(e).__name__)
+
+
+ANSWER = "record_id string, status string, content string, kind string, in_tokens long, out_tokens long"
+
+
+def asked(f: pd.DataFrame, client: Callable[[list[tuple[str, str]]], list], retry: Retry, sleep: Callable[[float], None]) -> list[tuple]:
+    """The rows of call for a frame of (record_id, system, prompt)."""
+    todo = {r: (s, p) for r, s, p in zip(f["record_id"], f["system"], f["prompt"], strict=True)}
+    done: dict[str, tuple] = {}
+    for k in range(retry.tries):
+        left = [r for r in todo if r not in done]
+        if not left:
+            break
+        try:
+            got = client([todo[r] for r in left])
+        except Exception as e:
+            if getattr(e, "status_code", None) in FATAL:
+                raise
+            if retry.error_wait is not None and k + 1 < retry.tries:
+                sleep(retry.error_wait * (k + 1))
+                continue
+            kind, what = error_kind(e)
+            done |= {r: (ERROR, f"[{r}] {what}: {str(e)[:100]}", kind, 0, 0) for r in left}
+            break
+        for r, x in zip(left, got, strict=True):
+            text, *used = x if isinstance(x, tuple) else (x, 0, 0)
+            if text and text.strip():
+                done[r] = ("ok", text, None, *used)
+        if len(done) < len(todo) and k + 1 < retry.tries:
+            sleep(retry.blank_wait ** (k + 1))
+    return [(r, *done.get(r, ("unfinished", "", "empty_response", 0, 0))) for r in f["record_id"]]
+
+
+def call(prompted: DataFrame, client: Callable[[list[tuple[str, str]]], list], retry: Retry = CO_RETRY, tasks: int = 8, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(record_id, status, content, kind, in_tokens, out_tokens) of each prompt, by a client called in batches; at most `tasks` calls run at once.
+
+    prompted(record_id, prompt[, system]). The client takes (system, prompt) pairs and returns texts, or
+    (text, tokens in, tokens out). A status is ok, unfinished (blank after all tries) or error, with its kind
+    and what it says in content; an error without access or money fails the job. Blank answers and, if retry
+    says so, errors are asked again after a wait. Write the result to a table before using it twice: each use
+    calls again.
     """
+    system = F.coalesce(F.col("system"), F.lit("")) if "system" in prompted.columns else F.lit("")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            status, content = ["unfinished"] * len(f), [""] * len(f)
-            open_ = list(range(len(f)))
-            for _ in range(tries):
-                if not open_:
-                    break
-                try:
-                    got = client([f["prompt"].iloc[i] for i in open_])
-                except Exception as e:
-                    if getattr(e, "status_code", None) in FATAL:
-                        raise
-                    for i in open_:
-                        status[i], content[i] = ERROR, str(e)[:200]
-                    continue
-                for i, x in zip(open_, got, strict=True):
-                    if x and x.strip():
-                        status[i], content[i] = "ok", x
-                open_ = [i for i in open_ if status[i] != "ok"]
-            yield pd.DataFrame({"record_id": f["record_id"], "status": status, "content": content})
-
-    return prompted.select("record_id", "prompt").repartition(tasks).mapInPandas(run, "record_id string, status string, content string")
-
-
-def read_answers(answers: DataFrame) -> DataFrame:
-    """answers(record_id, content, aids) parsed and resolved: predicted, confidence, reasoning, status."""
-    a = parse_answer(F.col("content"))
-    out = answers.withColumn("a", a)
-    said = resolve_answer(F.col("a.answer"), F.col("aids"))
-    return out.select("record_id", F.coalesce(F.when(F.lower(said) == NIL, NIL).otherwise(said), F.lit(NIL)).alias("predicted"), "a.confidence", "a.reasoning", F.when(F.col("a.answer").isNull(), "parse_fail").otherwise("ok").alias("status"))
+            yield pd.DataFrame(asked(f, client, retry, sleep), columns=["record_id", "status", "content", "kind", "in_tokens", "out_tokens"])
+
+    return prompted.select("record_id", system.alias("system"), "prompt").repartition(tasks).mapInPandas(run, ANSWER)
+
+
+def by_place(answer: Column, aids: Column) -> Column:
+    """An answer that is none of the aids but the number of a place among them names the aid there."""
+    return F.when(F.array_contains(aids, answer), answer).otherwise(resolve_answer(answer, aids))
+
+
+def read_answers(answers: DataFrame, by_number: bool = False) -> DataFrame:
+    """answers(record_id, content, aids) parsed: predicted, confidence, reasoning; by_number reads numbers as places of aids."""
+    out = answers.withColumn("a", parse_answer(F.col("content")))
+    said = by_place(F.col("a.answer"), F.col("aids")) if by_number else F.col("a.answer")
+    return out.select("record_id", said.alias("predicted"), "a.confidence", "a.reasoning")
+
+
+def cases(answers: DataFrame, asked: DataFrame, truth: DataFrame, by_number: bool = False) -> DataFrame:
+    """(case_id, gt, pred, match, status, raw, in_tokens, out_tokens): outcomes of a judgement run.
+
+    answers: see call; asked(record_id, aids). An answer that came is parsed: status ok, or parse_fail where
+    it says nothing; else UNFINISHED. by_number reads numbers as places of aids.
+    """
+    out = answers.join(asked.select("record_id", "aids"), "record_id").join(truth.select("record_id", F.col("aid").alias("gt")), "record_id", "left")
+    said = parse_answer(F.col("content"))["answer"]
+    if by_number:
+        said = by_place(said, F.col("aids"))
+    came = F.col("status") == "ok"
+    pred = F.when(came, F.coalesce(F.nullif(said, F.lit("")), F.lit("PARSE_FAIL"))).otherwise("UNFINISHED")
+    out = out.withColumns({"pred": pred, "gt": F.coalesce("gt", F.lit(NIL))})
+    status = F.when(~came, "unfinished").when(F.col("pred") == "PARSE_FAIL", "parse_fail").otherwise("ok")
+    return out.select(
+        F.col("record_id").alias("case_id"), "gt", "pred", (F.lower("pred") == F.lower("gt")).alias("match"), status.alias("status"), F.substring("content", 1, 200).alias("raw"), "in_tokens", "out_tokens",
+    )
+
+
+def unfinished_cases(wanted: DataFrame, stored: DataFrame, only_ok: bool = True) -> DataFrame:
+    """The cases of wanted(record_id) that a run must still judge: those stored don't count unless they are ok (or at all, if not only_ok)."""
+    kept = stored.filter("status = 'ok'") if only_ok else stored
+    return wanted.join(kept.select(F.col("case_id").alias("record_id")), "record_id", "left_anti")
+
+
+# What decisions without judgement say.
+NO_CANDIDATES, ASSIGNED = "无候选作者", "自动分配: title_sim=%.2f, coauthor=%d, 机构验证=%s"
+
+
+def result_rows(classified: DataFrame, candidates: DataFrame, stats: DataFrame, answers: DataFrame, prompted: DataFrame, truth: DataFrame) -> DataFrame:
+    """The rows of a decision run, in the columns and order of schemas.DECISION.
+
+    Records without candidates are none and strong ones get their top candidate, both without judgement;
+    others get what answers (see call) say, with calibrated confidence. An error becomes a row of its own
+    kind with no numbers; a record whose answer is missing has none. The evidence for calibration is
+    that of the candidate with the first coauthor match.
+    """
+    top = candidates.filter("rank = 1").select("record_id", F.col("aid").alias("top_aid"), F.col("title_sim_max").alias("t"), F.col("coauthor_count").alias("c"), F.col("coauthor_org_match_count").alias("m"))
+    best = top.select("record_id", F.col("top_aid").alias("aid")).join(stats, ["record_id", "aid"], "left").drop("aid", "coauthor_org_match_count")
+    said = read_answers(answers.join(prompted.select("record_id", "aids"), "record_id")).withColumnRenamed("confidence", "said")
+    out = classified.select("record_id", "subtype", "strategy", "num_candidates", F.coalesce("hit.coauthor_count", F.lit(0)).alias("coauthor_count"), F.coalesce("hit.coauthor_org_match_count", F.lit(0)).alias("coauthor_org_match_count"))
+    out = out.join(top, "record_id", "left").join(best, "record_id", "left").join(said, "record_id", "left")
+    out = out.join(answers.select("record_id", "status", "content", "kind"), "record_id", "left").join(prompted.select("record_id", "tokens"), "record_id", "left")
+    out = out.join(truth.select("record_id", F.col("aid").alias("gt")), "record_id", "left")
+    none, auto = F.col("strategy") == "none", F.col("strategy") == "auto"
+    out = out.filter(none | auto | F.col("status").isNotNull())
+    bad = ~none & ~auto & (F.coalesce("status", F.lit("")) != "ok")
+    evidence = {"org_sim": F.coalesce("max_org_sim", F.lit(0.0)), "venue_sim": F.coalesce("max_venue_sim", F.lit(0.0)), "title_sim_max": F.coalesce("max_title_sim", F.lit(0.0))}
+    out = out.withColumns(evidence)
+    level = F.when(none | auto, "high").when(bad, ERROR).otherwise(calibrated_confidence(F.col("said")))
+    told = F.format_string(ASSIGNED, "t", "c", F.when(F.col("m") > 0, "True").otherwise("False"))
+    why = F.when(none, NO_CANDIDATES).when(auto, told).when(bad, F.concat(F.lit("["), F.coalesce("kind", F.lit("unknown")), F.lit("] "), F.coalesce("content", F.lit("")))).otherwise(F.col("reasoning"))
+    zero = lambda c: F.when(none | bad, 0).otherwise(F.coalesce(c, F.lit(0)))
+    who = F.when(none, NIL).when(auto, F.col("top_aid")).when(bad, ERROR).otherwise(F.coalesce("predicted", F.lit(NIL)))
+    return out.select(
+        "record_id", who.alias("predicted"), level.alias("confidence"), why.alias("reasoning"), F.coalesce("gt", F.lit(NIL)).alias("truth"), F.when(none, 0).otherwise(F.col("num_candidates")).cast("int").alias("num_candidates"), "subtype",
+        F.when(bad, ERROR).otherwise(F.col("strategy")).alias("strategy"), zero("max_title_sim").cast("double").alias("top1_title_sim"), zero("total_coauthor_count").cast("int").alias("top1_coauthor_count"),
+        zero("max_org_sim").cast("double").alias("top1_org_sim"), zero("max_venue_sim").cast("double").alias("top1_venue_sim"), F.when(none | auto | bad, 0).otherwise(F.coalesce("tokens", F.lit(0))).cast("int").alias("estimated_prompt_tokens"),
+    )
 
 
 def pack(items: DataFrame, most: int, most_bytes: int, envelope: int = 120, by: str = "shard", order: str = "record_id", size: str = "bytes") -> DataFrame:
-    """items with their chunk within each shard: filled in order until a count or a number of bytes is reached.
+    """items with their chunk within each shard: filled in order until a count or a number of bytes is reached, the chunk's envelope and a comma after each item included.
 
     An item larger than the limit has a chunk of its own. The fill depends on all before it, so it runs in
     order, in Python, over one shard at a time; shards bound what a task holds.
@@ -164,12 +296,11 @@ def pack(items: DataFrame, most: int, most_bytes: int, envelope: int = 120, by:
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(order)
-        chunk, n, total, out = 0, 0, 0, []
+        chunk, n, total, out = 0, 0, envelope, []
         for b in f[size]:
-            b += envelope
-            if n and (n >= most or total + b > most_bytes):
-                chunk, n, total = chunk + 1, 0, 0
-            n, total = n + 1, total + b
+            if n and (n >= most or total + b + 1 > most_bytes):
+                chunk, n, total = chunk + 1, 0, envelope
+            n, total = n + 1, total + b + 1
             out.append(chunk)
         return f.assign(chunk=out)
 

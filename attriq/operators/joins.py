@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attriq.config import NIL
-from attriq.functions.names import block_keys, name_parts, names_match
+from attriq.functions.names import answer_keys, name_parts, names_match, query_keys
 
 
 def with_truth(records: DataFrame, truth: DataFrame) -> DataFrame:
@@ -21,28 +25,72 @@ def profile_papers(profiles: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def matched_coauthors(record_authors: DataFrame, profile_authors: DataFrame, similar: Column, threshold: float = 0.7) -> DataFrame:
-    """Coauthors that a record shares with a profile, and those whose organisation is similar too.
+    """Profile's authors that a record shares, by the names' normal form, and those whose organisation is similar too.
 
-    record_authors(record_id, block, name_key, name, org) without the record's own slot;
-    profile_authors(aid, block, name_key, org_b). similar compares org and org_b.
+    record_authors(record_id, block, name_key, org) without the record's own slot; profile_authors(aid, block,
+    name, name_key, org_b). similar compares org and org_b (a cosine, say), null where either is missing.
+    Distinct names as they are written count; best is the greatest similarity over all.
     """
-    met = record_authors.join(profile_authors, ["block", "name_key"]).groupBy("record_id", "aid", "name_key").agg(F.max(similar).alias("org_sim"))
-    return met.groupBy("record_id", "aid").agg(F.count("*").alias("matched"), F.count_if(F.col("org_sim") >= threshold).alias("verified"))
+    met = record_authors.join(profile_authors, ["block", "name_key"]).groupBy("record_id", "aid", "name").agg(F.max(F.coalesce(similar, F.lit(0.0))).alias("org_sim"))
+    return met.groupBy("record_id", "aid").agg(F.count("*").alias("matched"), F.count_if(F.col("org_sim") >= threshold).alias("verified"), F.max("org_sim").alias("best"))
 
 
 def match_names(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of left(id, name) and right(id_b, name_b) whose names match, found through shared blocking keys."""
-    a = left.withColumn("parts", name_parts(F.col("name"))).withColumn("key", F.explode(block_keys(F.col("parts"))))
-    b = right.withColumn("parts_b", name_parts(F.col("name_b"))).withColumn("key", F.explode(block_keys(F.col("parts_b"))))
-    met = a.join(b, "key").filter(names_match(F.col("parts"), F.col("parts_b")))
-    return met.select("id", "name", "id_b", "name_b").distinct()
+    """Pairs of left(id, name) and right(id_b, name_b) whose names match; names of left may be abbreviated.
+
+    Two names only meet if they share two parts or initials (one where one is enough), so that an initial
+    alone brings together none but names of one part. Equal normal forms are compared once.
+    """
+    a, b = left.withColumn("parts", name_parts(F.col("name"))), right.withColumn("parts_b", name_parts(F.col("name_b")))
+    key = lambda keys: F.explode(F.transform(keys, lambda k: F.xxhash64(k))).alias("key")
+    x = a.select("parts").distinct().select("parts", key(query_keys(F.col("parts"))))
+    y = b.select("parts_b").distinct().select("parts_b", key(answer_keys(F.col("parts_b"))))
+    met = x.join(y, "key").filter(names_match(F.col("parts"), F.col("parts_b"))).select("parts", "parts_b").distinct()
+    return a.join(met, "parts").join(b, "parts_b").select("id", "name", "id_b", "name_b")
+
+
+def realigned(target: DataFrame, results: DataFrame) -> DataFrame:
+    """results in the order of target(record_id, pos), with the target's rows only."""
+    return target.select("record_id", "pos").join(results, "record_id").orderBy("pos").drop("pos")
+
+
+def vector_scores(queries: DataFrame, rows: DataFrame, parts: int | None = None, block: int = 2048) -> DataFrame:
+    """(q, id, score): the cosine of each vector of queries(q, vec) with each of rows(id, vec); 0 where a vector is zero.
+
+    Queries are dealt in blocks of about `block` and rows in parts; each block meets each part in one task,
+    as one product of matrices.
+    """
+    spark = rows.sparkSession
+    blocks = max(1, queries.count() // block)
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = queries.withColumn("block", at("q", blocks)).withColumn("part", each(parts))
+    b = rows.withColumn("part", at("id", parts)).withColumn("block", each(blocks))
+
+    def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"q": [], "id": [], "score": []})
+        unit = []
+        for f in (x, y):
+            m = np.stack(f["vec"].to_numpy()).astype("float64")
+            size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            unit.append(np.divide(m, size, out=np.zeros_like(m), where=size > 0))
+        scores = unit[0] @ unit[1].T
+        return pd.DataFrame({"q": np.repeat(x["q"].to_numpy(), len(y)), "id": np.tile(y["id"].to_numpy(), len(x)), "score": scores.ravel()})
+
+    kinds = f"q {queries.schema['q'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+    return a.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInPandas(product, kinds)
 
 
 def not_done(records: DataFrame, *done: DataFrame) -> DataFrame:
-    """Records that none of the done tables holds."""
-    for d in done:
-        records = records.join(d.select("record_id"), "record_id", "left_anti")
-    return records
+    """Records that none of the done tables holds: one anti join with their union."""
+    return records.join(done_ids(*done), "record_id", "left_anti") if done else records
+
+
+def done_ids(*done: DataFrame) -> DataFrame:
+    """The distinct ids of all the tables."""
+    return reduce(DataFrame.unionByName, [d.select("record_id") for d in done]).distinct()
 
 
 def merge_rule_first(records: DataFrame, auto: DataFrame, llm_co: DataFrame, llm_noco: DataFrame) -> DataFrame:

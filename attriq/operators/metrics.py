@@ -49,6 +49,30 @@ def accuracy_by(decisions: DataFrame, *keys: str) -> DataFrame:
     return decisions.groupingSets([*[[F.col(k)] for k in keys], []], *map(F.col, keys)).agg(F.count("*").alias("n"), F.round(F.avg(ok), 6).alias("accuracy"))
 
 
+def stratified_gate(arbitrated: DataFrame) -> DataFrame:
+    """(subtype, n, acc_llm_only, acc_gated) of the decisions that were judged: right before and after the gate."""
+    judged = arbitrated.filter((F.col("subtype") != "NONE") & (F.col("strategy") != "auto"))
+    share = lambda c: F.round(F.avg((F.col(c) == F.col("truth")).cast("double")), 4)
+    return judged.groupBy("subtype").agg(F.count("*").alias("n"), share("original").alias("acc_llm_only"), share("predicted").alias("acc_gated"))
+
+
+def case_totals(cases: DataFrame) -> DataFrame:
+    """Counts of a judgement run: all, right, unfinished, unparsed and none, and tokens in, out and on average."""
+    n = F.greatest(F.count("*"), F.lit(1))
+    mean = lambda c: F.floor(F.coalesce(F.sum(c), F.lit(0)) / n)
+    return cases.agg(
+        F.count("*").alias("n"), F.count_if("match").alias("correct"), F.count_if(F.col("status") == "unfinished").alias("unfinished"), F.count_if(F.col("status") == "parse_fail").alias("parse_fail"),
+        F.count_if(F.col("pred") == NIL).alias("none"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("in_tokens", "out_tokens")], mean("in_tokens").alias("mean_in"), mean("out_tokens").alias("mean_out"),
+    )
+
+
+def metrics_line(scores: DataFrame) -> DataFrame:
+    """One line of text for each row of micro_f1."""
+    p = [F.format_string("%.4f", c) for c in ("f1", "precision", "recall")]
+    counts = F.format_string("TP=%d FN=%d FP=%d TN=%d", "tp", "fn", "fp", "tn")
+    return scores.select(F.concat_ws("  ", F.concat(F.lit("F1="), p[0]), F.concat(F.lit("P="), p[1]), F.concat(F.lit("R="), p[2]), counts).alias("line"))
+
+
 def token_totals(decisions: DataFrame, tokens: str, *keys: str) -> DataFrame:
     return decisions.groupingSets([*[[F.col(k)] for k in keys], []], *map(F.col, keys)).agg(F.count("*").alias("n"), F.sum(tokens).alias("tokens"), F.round(F.avg(tokens), 6).alias("mean_tokens"))
 
@@ -65,10 +89,15 @@ def author_counts(decisions: DataFrame, *by: str, weight: str | None = None) ->
 def weighted_f1(decisions: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
     """Precision and recall of each true profile, weighted by its records, and the F of the two."""
     c = author_counts(decisions, *by, weight=weight)
+    return weighted_scores(c, *by)
+
+
+def weighted_scores(counts: DataFrame, *by: str) -> DataFrame:
+    """Weighted precision, recall and F of counts(aid, support, hits, given)."""
     n = F.sum("support")
     p = _zero_safe(F.sum(F.col("support") * F.col("hits") / F.greatest("given", F.lit(1))), n)
     r = _zero_safe(F.sum("hits").cast("double"), n)
-    out = c.groupBy(*by).agg(p.alias("p"), r.alias("r"))
+    out = counts.groupBy(*by).agg(p.alias("p"), r.alias("r"))
     return out.select(*by, F.round("p", 6).alias("wp"), F.round("r", 6).alias("wr"), F.round(_zero_safe(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), 6).alias("wf1"))
 
 

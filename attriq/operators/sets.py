@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attriq.config import ERROR, NIL
+from attriq.config import CO_SUBTYPES, ERROR, NIL
 
 
 def first_wins(*runs: DataFrame, key: str = "record_id") -> DataFrame:
@@ -43,8 +43,8 @@ def per_group(records: DataFrame, group: str, order: str, limits: dict[str, int]
 
 
 def sampled(records: DataFrame, n: int, seed: int, key: str = "record_id") -> DataFrame:
-    """n rows without replacement, the same for the same seed."""
-    return records.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """n rows without replacement, the same for the same seed: those of the least digests."""
+    return records.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary")), key).limit(n)
 
 
 def run_filter(
@@ -84,10 +84,40 @@ def inverted(records: DataFrame, key: str = "subtype", value: str = "record_id")
     return records.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("members"))
 
 
-def flat_truth(nested: DataFrame) -> DataFrame:
-    """(record_id, aid) from nested(name, profiles: map of aid to papers); of several aids the last wins."""
-    flat = nested.select(F.explode("profiles").alias("aid", "pubs")).select("aid", F.explode("pubs").alias("record_id"))
-    return flat.groupBy("record_id").agg(F.max("aid").alias("aid"))
+def flat_truth(nested: DataFrame, order: str) -> DataFrame:
+    """(record_id, aid) from nested(order, profiles: map of aid to papers); of several aids the last in order wins."""
+    flat = nested.select(order, F.posexplode("profiles").alias("place", "aid", "pubs"))
+    flat = flat.select(order, "place", "aid", F.posexplode("pubs").alias("at", "record_id"))
+    return flat.groupBy("record_id").agg(F.max_by("aid", F.struct(order, "place", "at")).alias("aid"))
+
+
+def by_record(decisions: DataFrame) -> DataFrame:
+    """Output order: the whole table by record."""
+    return decisions.orderBy("record_id")
+
+
+def merged_answers(*chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(contents, failed) of chunks(custom_id, content): the first chunk's content of each id, with copies; ids without content in any chunk."""
+    blank = F.trim(F.coalesce("content", F.lit(""))) == ""
+    found = first_wins(*[c.filter(~blank).select("custom_id", "content") for c in chunks], key="custom_id")
+    every = reduce(DataFrame.unionByName, [c.select("custom_id") for c in chunks]).distinct()
+    return found, every.join(found, "custom_id", "left_anti")
+
+
+def co_cases(records: DataFrame, truth: DataFrame, candidates: DataFrame, classified: DataFrame, papers: DataFrame, subtypes: list[str] | None = None, with_truth_only: bool = False) -> DataFrame:
+    """(record_id, truth, subtype) of the records to judge by coauthors, in order.
+
+    Those with candidates, a paper and a subtype among `subtypes` (those of the coauthor class, or none, by
+    default); with_truth_only leaves out records whose truth is none.
+    """
+    pub = F.split(F.col("record_id"), "-", 2)[0]
+    wanted = F.col("subtype").isin(*(subtypes or [*CO_SUBTYPES, NIL]))
+    out = records.select("record_id").join(truth.select("record_id", F.col("aid").alias("truth")), "record_id", "left").withColumn("truth", F.coalesce("truth", F.lit(NIL)))
+    if with_truth_only:
+        out = out.filter(F.col("truth") != NIL)
+    out = out.join(candidates.select("record_id"), "record_id", "left_semi").join(classified.select("record_id", "subtype"), "record_id", "left")
+    out = out.filter(wanted).withColumn("pub_id", pub).join(papers.select("pub_id"), "pub_id", "left_semi")
+    return out.select("record_id", "truth", "subtype").orderBy("record_id")
 
 
 def record_parts(record_id: Column) -> tuple[Column, Column]:

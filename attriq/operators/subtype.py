@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attriq.config import DEFAULT_STRATEGY, RULE_FIRST_OF, STRATEGIES, RuleFirst, Subtype
+from attriq.config import DEFAULT_PROMPT, DEFAULT_STRATEGY, PROMPT_TYPES, RULE_FIRST_OF, STRATEGIES, RuleFirst, Subtype
 
 
 def evidence(candidates: DataFrame) -> DataFrame:
@@ -60,6 +60,12 @@ def strategy(subtype: Column) -> Column:
     return F.coalesce(F.try_element_at(table, subtype), F.lit(DEFAULT_STRATEGY))
 
 
+def prompt_type(strategy: Column) -> Column:
+    """The type of a strategy's system prompt."""
+    table = F.create_map(*[F.lit(x) for kv in PROMPT_TYPES.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, strategy), F.lit(DEFAULT_PROMPT))
+
+
 def rule_first_of(subtype: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in RULE_FIRST_OF.items() for x in kv])
     return F.coalesce(F.try_element_at(table, subtype), F.lit("LLM-Co"))
@@ -97,15 +103,18 @@ def rule_first(records: DataFrame, candidates: DataFrame, c: RuleFirst = RuleFir
     best = order_by_coauthors(candidates).filter("co_rank = 1")
     co, match = F.col("coauthor_count"), F.col("coauthor_org_match_count")
     title, org, venue = F.col("title_sim_max"), F.col("org_sim"), F.col("venue_sim")
-    kind = (
-        F.when(F.col("aid").isNull(), "NONE")
-        .when((co == 0) & (org < c.none_org), "NONE")
-        .when((co == 0) & (title < c.none_title) & (venue < c.none_venue) & (org < c.none_strong_org), "NONE")
-        .when((co >= c.auto_coauthors) & (match >= c.auto_matches), "AUTO")
-        .when((co == 0) & (org >= c.auto_org) & (title >= c.auto_org_title), "AUTO")
-        .when((match >= c.auto_matches) & (title >= c.auto_match_title), "AUTO")
-        .when((match >= c.auto_matches) & (title >= c.auto_mixed_title) & (venue >= c.auto_mixed_venue), "AUTO")
-        .when(co >= 1, "LLM-Co")
-        .otherwise("LLM-NoCo")
-    )
-    return records.select("record_id").join(best, "record_id", "left").select("record_id", F.col("aid").alias("top_aid"), kind.alias("kind"))
+    rules = [
+        (F.col("aid").isNull(), "NONE", "no_candidates"),
+        ((co == 0) & (org < c.none_org), "NONE", "no_coauthor_weak_org_match"),
+        ((co == 0) & (title < c.none_title) & (venue < c.none_venue) & (org < c.none_strong_org), "NONE", "weak_title_weak_venue_medium_org"),
+        ((co >= c.auto_coauthors) & (match >= c.auto_matches), "AUTO", "multi_coauthor_org_verified"),
+        ((co == 0) & (org >= c.auto_org) & (title >= c.auto_org_title), "AUTO", "strong_org_match"),
+        ((match >= c.auto_matches) & (title >= c.auto_match_title), "AUTO", "org_verified_strong_title"),
+        ((match >= c.auto_matches) & (title >= c.auto_mixed_title) & (venue >= c.auto_mixed_venue), "AUTO", "org_verified_strong_title_venue"),
+        (co >= 1, "LLM-Co", None),
+    ]
+    kind, why = F.when(rules[0][0], rules[0][1]), F.when(rules[0][0], rules[0][2])
+    for when, then, because in rules[1:]:
+        kind, why = kind.when(when, then), why.when(when, F.lit(because))
+    out = records.select("record_id").join(best, "record_id", "left")
+    return out.select("record_id", F.col("aid").alias("top_aid"), kind.otherwise("LLM-NoCo").alias("kind"), why.alias("reason"))

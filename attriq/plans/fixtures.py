@@ -1,7 +1,8 @@
 """The attribution tables as views of the driver's tables.
 
 An order is a paper, its suppliers are its coauthors, its customer is the profile it belongs to, and
-customers of one nation and market segment share a name. Every hundredth order is a record to attribute.
+customers of one nation and market segment share a name. The records to attribute are the orders whose key
+is divisible by 50 (the query set), against all other orders.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attriq.functions.vectors import cosine, norm
+from attriq.operators.joins import vector_scores
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,15 +29,15 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").filter("o_orderkey % 100 = 0")
+    o = read(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0")
     return o.select(F.concat(F.col("o_orderkey").cast("string"), F.lit("-0")).alias("record_id"), F.col("o_orderkey").alias("pos"), F.col("o_custkey").cast("string").alias("truth"))
 
 
 def pair_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarities of each record with each paper of its block; an equi-join on the block."""
     every = papers(spark, sf_dir)
-    mine = every.filter("paper % 100 = 0").select("block", F.concat(F.col("paper").cast("string"), F.lit("-0")).alias("record_id"), *[F.col(c).alias(f"r_{c}") for c in ("year", "venue", "status", "price", "coauthors")])
-    theirs = every.filter("paper % 100 <> 0")
+    mine = every.filter("paper % 50 = 0").select("block", F.concat(F.col("paper").cast("string"), F.lit("-0")).alias("record_id"), *[F.col(c).alias(f"r_{c}") for c in ("year", "venue", "status", "price", "coauthors")])
+    theirs = every.filter("paper % 50 <> 0")
     both = mine.join(theirs, "block")
     shared = F.array_intersect("coauthors", "r_coauthors")
     return both.select(
@@ -50,17 +51,55 @@ def pair_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosines of every fifth vector with the other vectors of its block (id modulo 10, of the id over 5)."""
-    v = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", norm(F.col("embedding")).alias("n"), ((F.col("vec_id") / 5).cast("long") % 10).alias("block"))
-    q = v.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("q"), "block", F.col("embedding").alias("qe"), F.col("n").alias("qn"), F.col("label").alias("q_label"))
-    both = v.filter("vec_id % 5 <> 0").join(q, "block")
-    return both.select(F.col("q").cast("string").alias("record_id"), F.col("label").cast("string").alias("aid"), F.col("vec_id").alias("pub_id"), F.round(cosine(F.col("embedding"), F.col("qe"), F.col("n"), F.col("qn")), 6).alias("title_sim"), F.col("q_label").cast("string").alias("truth"))
+    """Cosines of the vectors whose id is divisible by 50 (the query set) with all other vectors."""
+    v = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
+    q, rest = v.filter("vec_id % 50 = 0"), v.filter("vec_id % 50 <> 0")
+    found = vector_scores(q.select(F.col("vec_id").alias("q"), "vec"), rest.select(F.col("vec_id").alias("id"), "vec"))
+    found = found.join(rest.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("aid")), "id")
+    return found.select(F.col("q").cast("string").alias("record_id"), "aid", F.col("id").alias("pub_id"), F.round("score", 6).alias("title_sim"))
+
+
+def full_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pub, owner, block, paper): each order as a paper with title, abstract, venue, year, keywords and authors.
+
+    The first author is the customer, under the name of its block; the others are the suppliers, under a
+    part's name, whose first word is an initial in the papers of records.
+    """
+    items = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    people = read(spark, sf_dir, "supplier").join(nation, "s_nationkey").join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("s_suppkey"), F.col("p_name").alias("person")), "s_suppkey").select("s_suppkey", "person", "n_name")
+    given = items.join(people, F.col("l_suppkey") == F.col("s_suppkey"))
+    of_record = F.col("l_orderkey") % 50 == 0
+    name = F.when(of_record, F.concat(F.substring("person", 1, 1), F.lit(". "), F.split("person", " ")[1])).otherwise(F.col("person"))
+    each = F.struct("l_suppkey", F.struct(name.alias("name"), F.col("n_name").alias("org")).alias("a"))
+    lines = given.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_set(each)).alias("people"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name"))).alias("parts"), F.array_sort(F.collect_set("p_type")).alias("types"),
+    )
+    block = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    block = block.select("c_custkey", F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("block"), F.concat_ws(" ", "c_mktsegment", F.replace("n_name", F.lit("_"), F.lit(""))).alias("own_name"), F.col("n_name").alias("own_org"))
+    orders = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(block, F.col("o_custkey") == F.col("c_custkey"))
+    own = F.array(F.struct(F.col("own_name").alias("name"), F.col("own_org").alias("org")))
+    title = F.array_join(F.transform("parts", lambda x: x["p_name"]), " ")
+    paper = F.struct(
+        F.col("o_orderkey").cast("string").alias("pub_id"), title.alias("title"), F.concat(F.lit("About "), title).alias("abstract"), F.concat_ws(" ", F.lit("Journal"), F.col("o_orderpriority")).alias("venue"), F.year("o_orderdate").alias("year"),
+        F.col("types").alias("keywords"), F.concat(own, F.transform("people", lambda x: x["a"])).alias("authors"),
+    )
+    return orders.select(F.col("o_orderkey").alias("pub"), F.col("o_custkey").cast("string").alias("owner"), "block", "own_name", paper.alias("paper"))
+
+
+def queries_of(full: DataFrame) -> DataFrame:
+    return full.filter("pub % 50 = 0").select(F.concat(F.col("pub").cast("string"), F.lit("-0")).alias("record_id"), F.lit(0).alias("author_order"), "block", "paper")
+
+
+def profile_papers_of(full: DataFrame) -> DataFrame:
+    rest = full.filter("pub % 50 <> 0")
+    return rest.select(F.col("owner").alias("aid"), F.col("pub").cast("string").alias("pub_id"), F.col("pub").alias("pos"), "block", "own_name", "paper")
 
 
 def scores(candidates: DataFrame) -> DataFrame:
     """A pseudo-score of each candidate, where no trained model is at hand."""
     number = F.split("record_id", "-")[0].cast("long")
-    return candidates.select("record_id", "aid", ((F.col("aid").cast("long") * 7 + number * 13) % 100 / 100.0).alias("score"))
+    return candidates.select("record_id", "aid", ((F.col("aid").cast("long") * 7 + number * 13) % 50 / 100.0).alias("score"))
 
 
 SQL_PAPERS = """
@@ -71,7 +110,7 @@ papers AS (
   JOIN (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS coauthors FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey
   JOIN customer ON o_custkey = c_custkey
 ), records AS (
-  SELECT o_orderkey || '-0' AS record_id, o_orderkey AS pos, CAST(o_custkey AS VARCHAR) AS truth FROM orders WHERE o_orderkey % 100 = 0
+  SELECT o_orderkey || '-0' AS record_id, o_orderkey AS pos, CAST(o_custkey AS VARCHAR) AS truth FROM orders WHERE o_orderkey % 50 = 0
 ), pair_sims AS (
   SELECT r.paper || '-0' AS record_id, CAST(p.owner AS VARCHAR) AS aid, p.paper AS pub_id,
          round(least(p.price, r.price) / greatest(p.price, r.price), 6) AS title_sim,
@@ -80,15 +119,15 @@ papers AS (
          round(len(list_intersect(p.coauthors, r.coauthors)) / len(r.coauthors), 6) AS coauthor_ratio,
          CAST(len(list_filter(list_intersect(p.coauthors, r.coauthors), lambda s: s % 3 = 0)) AS INTEGER) AS coauthor_org_match_count,
          CAST(abs(p.year - r.year) AS INTEGER) AS year_diff
-  FROM papers r JOIN papers p ON r.block = p.block AND r.paper % 100 = 0 AND p.paper % 100 <> 0
+  FROM papers r JOIN papers p ON r.block = p.block AND r.paper % 50 = 0 AND p.paper % 50 <> 0
 )"""
 
 SQL_CANDIDATES = SQL_PAPERS + """, placed AS (
   SELECT *, row_number() OVER (PARTITION BY record_id, aid ORDER BY title_sim DESC, pub_id) AS place FROM pair_sims
 ), grouped AS (
   SELECT record_id, aid, max(title_sim) AS title_sim_max,
-         round(avg(title_sim) FILTER (place <= 3), 6) AS title_sim_top3_avg, round(avg(title_sim) FILTER (place <= 5), 6) AS title_sim_top5_avg,
-         round(avg(title_sim) FILTER (place <= 10), 6) AS title_sim_top10_avg, max(coauthor_count) AS coauthor_count,
+         sum(title_sim::DECIMAL(18,12)) FILTER (place <= 3)::DOUBLE / count(*) FILTER (place <= 3) AS title_sim_top3_avg, sum(title_sim::DECIMAL(18,12)) FILTER (place <= 5)::DOUBLE / count(*) FILTER (place <= 5) AS title_sim_top5_avg,
+         sum(title_sim::DECIMAL(18,12)) FILTER (place <= 10)::DOUBLE / count(*) FILTER (place <= 10) AS title_sim_top10_avg, max(coauthor_count) AS coauthor_count,
          max(coauthor_org_match_count) AS coauthor_org_match_count, max(org_sim) AS org_sim, max(venue_sim) AS venue_sim
   FROM placed GROUP BY 1, 2
 ), candidates AS (
@@ -111,7 +150,7 @@ SQL_CANDIDATES = SQL_PAPERS + """, placed AS (
 )"""
 
 SQL_SCORES = SQL_CANDIDATES + """, scores AS (
-  SELECT record_id, aid, (CAST(aid AS BIGINT) * 7 + CAST(split_part(record_id, '-', 1) AS BIGINT) * 13) % 100 / 100.0::DOUBLE AS score FROM candidates
+  SELECT record_id, aid, (CAST(aid AS BIGINT) * 7 + CAST(split_part(record_id, '-', 1) AS BIGINT) * 13) % 50 / 100.0::DOUBLE AS score FROM candidates
 ), best AS (
   SELECT record_id, aid AS top_aid, score AS top_score FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, aid) AS k FROM scores) WHERE k = 1
 ), decisions AS (
@@ -131,3 +170,18 @@ SQL_SCORES = SQL_CANDIDATES + """, scores AS (
          round(CASE WHEN predicted = 'none' THEN top_score ELSE own_score END, 6) AS model_proba
   FROM ruled
 )"""
+
+SQL_FULL = """full_papers AS (
+  SELECT o_orderkey AS pub, CAST(o_custkey AS VARCHAR) AS owner, c_nationkey || '/' || c_mktsegment AS block, c_mktsegment || ' ' || replace(n_name, '_', '') AS own_name,
+         l.title, 'About ' || l.title AS abstract, 'Journal ' || o_orderpriority AS venue, CAST(year(o_orderdate) AS INTEGER) AS year, l.types AS keywords,
+         list_concat([{'name': c_mktsegment || ' ' || replace(n_name, '_', ''), 'org': n_name}], list_transform(l.people, lambda x: x.a)) AS authors
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  JOIN (SELECT l_orderkey, string_agg(p.p_name, ' ' ORDER BY l_linenumber, l_partkey, p.p_name) AS title, list_sort(list(DISTINCT p.p_type)) AS types,
+               list_sort(list(DISTINCT {'k': l_suppkey, 'a': {'name': CASE WHEN l_orderkey % 50 = 0 THEN left(w.p_name, 1) || '. ' || split_part(w.p_name, ' ', 2) ELSE w.p_name END, 'org': m.n_name}})) AS people
+        FROM lineitem JOIN part p ON l_partkey = p.p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation m ON s_nationkey = m.n_nationkey JOIN part w ON w.p_partkey = s_suppkey GROUP BY 1) l ON l_orderkey = o_orderkey
+), queries AS (SELECT pub || '-0' AS record_id, * FROM full_papers WHERE pub % 50 = 0
+), profile_papers AS (SELECT owner AS aid, CAST(pub AS VARCHAR) AS pub_id, * FROM full_papers WHERE pub % 50 <> 0)"""
+
+#: crc32 of an ASCII text as a DuckDB expression, by the table of the polynomial's remainders.
+CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({c}, ''), lambda x: unicode(x)::BIGINT)),
+  lambda c, b: xor(c >> 8, list_transform(range(256), lambda i: list_reduce(list_concat([i::BIGINT], range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END))[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"""

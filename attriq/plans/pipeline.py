@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from attriq.config import Gate
 from attriq.operators import arbiter, decide, recall, subtype
+from attriq.operators.joins import not_done, realigned
+from attriq.operators.sets import first_wins, merged_answers
 from attriq.sources import done, exists
 from attriq.sources.sinks import append, write_if_absent
 
@@ -46,9 +48,24 @@ def resume(spark: SparkSession, records: DataFrame, path: str, judge: Callable[[
     return records.join(done(spark, path), "record_id", "left_anti").count()
 
 
-def bulk_answers(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """requests(record_id, ...) with the content of responses(custom_id, body); blank, malformed and missing answers are failed."""
-    content = F.trim(F.get_json_object("body", "$.choices[0].message.content"))
-    found = responses.select(F.col("custom_id").alias("record_id"), content.alias("content")).groupBy("record_id").agg(F.max("content").alias("content"))
-    out = requests.join(found, "record_id", "left")
-    return out.withColumn("status", F.when(F.coalesce("content", F.lit("")) == "", "failed").otherwise("ok"))
+def bulk_contents(spark: SparkSession, path: str) -> DataFrame:
+    """(custom_id, content) of the results of bulk jobs, JSON lines; content is null where a result has no answer."""
+    at = ("$.response.body.choices[0].message.content", "$.response.choices[0].message.content")
+    return spark.read.text(path).select(F.get_json_object("value", "$.custom_id").alias("custom_id"), F.coalesce(*[F.get_json_object("value", a) for a in at]).alias("content"))
+
+
+def bulk_answers(requests: DataFrame, *contents: DataFrame) -> DataFrame:
+    """requests(record_id, ...) with what contents(custom_id, content) say and a status as decide.call has it; blank, malformed and missing answers are errors."""
+    found, _ = merged_answers(*contents)
+    out = requests.join(found.select(F.col("custom_id").alias("record_id"), "content"), "record_id", "left")
+    missing = F.col("content").isNull()
+    return out.withColumns({"status": F.when(missing, "error").otherwise("ok"), "kind": F.when(missing, "runtime_error"), "content": F.coalesce("content", F.lit("no answer in the bulk job")), "in_tokens": F.lit(0).cast("long"), "out_tokens": F.lit(0).cast("long")})
+
+
+def final_table(target: DataFrame, made: DataFrame, *done: DataFrame) -> DataFrame:
+    """The rows of target(record_id, pos), in its order: those made now before those done earlier, errors left out; fails if any is missing."""
+    every = first_wins(made.filter("predicted <> 'error'"), *done).drop("copies")
+    lost = not_done(target, every).count()
+    if lost:
+        raise ValueError(f"{lost} records are missing")
+    return realigned(target, every)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attriq.config import IDF_DEFAULT, RULE_FIRST_OF, STRATEGIES
 from attriq.functions import names, text
-from attriq.operators import arbiter, decide, features, joins, metrics, ranking, recall, sets, subtype
+from attriq.functions.vectors import cosine
+from attriq.operators import arbiter, decide, features, joins, metrics, prompts, ranking, recall, sets, subtype
 from attriq.plans import fixtures as fx
 from attriq.streaming import records as stream
 
@@ -48,14 +48,16 @@ def _arbitrated(s, d) -> DataFrame:
     return arbiter.arbitrate(_decisions(s, d), fx.scores(_candidates(s, d)))
 
 
-def _map_sql(table: dict[str, str], key: str, default: str) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{default}' END"
-
-
+# The tables of the decisions, written out once more for the twins.
+STRATEGY_SQL = """CASE WHEN subtype = 'NONE' THEN 'none' WHEN subtype IN ('AUTO', 'P1-Strong') THEN 'auto' WHEN subtype = 'P1-High' THEN 'p1_high' WHEN subtype = 'P1-Medium' THEN 'p1_medium'
+  WHEN subtype IN ('P1-Strong-Comp', 'P1-High-Comp', 'P1-Medium-Comp') THEN 'p1_comp' WHEN subtype IN ('P1-Weak', 'P1-Weak-Comp') THEN 'p1_weak' WHEN subtype IN ('P2', 'P2-Comp', 'P3', 'P3-Comp') THEN 'p2_p3'
+  WHEN subtype IN ('P0-High', 'LLM-NoCo') THEN 'p0_high' WHEN subtype = 'P0-Medium' THEN 'p0_medium' WHEN subtype = 'P0-Low' THEN 'p0_low' ELSE 'simplified' END"""
+CLASS_SQL = """CASE WHEN subtype = 'NONE' THEN 'NONE' WHEN subtype IN ('P1-Strong', 'A1-Strong') THEN 'AUTO'
+  WHEN subtype IN ('P0-High', 'P0-Medium', 'P0-Low', 'C0-Org-Strong', 'C0-Org-Medium', 'C0-NoOrg', 'C1-DefaultNone') THEN 'LLM-NoCo' ELSE 'LLM-Co' END"""
 DIFFICULTY_SQL = "CASE WHEN subtype = 'NONE' THEN 'L0' WHEN subtype IN ('P1-Strong', 'P1-High', 'P0-High') THEN 'L1' WHEN subtype IN ('P1-Medium', 'P1-Strong-Comp', 'P1-High-Comp', 'P0-Medium', 'P2') THEN 'L2' ELSE 'L3' END"
 
 
-@query(f"WITH {fx.SQL_CANDIDATES} SELECT record_id, subtype, {DIFFICULTY_SQL} AS difficulty, {_map_sql(STRATEGIES, 'subtype', 'simplified')} AS strategy, num_candidates, round(top_title, 6) AS top_title FROM classified")
+@query(f"WITH {fx.SQL_CANDIDATES} SELECT record_id, subtype, {DIFFICULTY_SQL} AS difficulty, {STRATEGY_SQL} AS strategy, num_candidates, round(top_title, 6) AS top_title FROM classified")
 def flagship(s, d):
     return _classified(s, d).select("record_id", "subtype", "difficulty", "strategy", "num_candidates", F.round("top.title_sim_max", 6).alias("top_title"))
 
@@ -63,9 +65,12 @@ def flagship(s, d):
 # Recall and candidate order
 
 
-@query(f"WITH {fx.SQL_CANDIDATES} SELECT * FROM candidates")
+MEANS = ("title_sim_top3_avg", "title_sim_top5_avg", "title_sim_top10_avg")
+
+
+@query(f"WITH {fx.SQL_CANDIDATES} SELECT * REPLACE ({', '.join(f'round({m}, 9) AS {m}' for m in MEANS)}) FROM candidates")
 def candidate_recall(s, d):
-    return _candidates(s, d)
+    return _candidates(s, d).withColumns({m: F.round(m, 9) for m in MEANS})
 
 
 @query(f"WITH {fx.SQL_PAPERS} SELECT * FROM pair_sims")
@@ -77,26 +82,31 @@ def pair_similarities(s, d):
   max(coauthor_count)::DOUBLE AS coauthor_count_max, max(coauthor_ratio) AS coauthor_ratio_max, max(org_sim) AS org_max, max(coauthor_org_match_count)::DOUBLE AS coauthor_org_match_max
   FROM pair_sims GROUP BY 1, 2""")
 def similarity_features(s, d):
-    return recall.sim_features(fx.pair_sims(s, d))
+    return recall.sim_features(fx.pair_sims(s, d)).withColumn("venue_avg", F.round("venue_avg", 6))
+
+
+@query(f"""WITH {fx.SQL_PAPERS} SELECT record_id, aid, max(title_sim) AS max_title_sim, max(org_sim) AS max_org_sim, max(venue_sim) AS max_venue_sim, max(coauthor_count) AS total_coauthor_count, max(coauthor_org_match_count) AS coauthor_org_match_count FROM pair_sims GROUP BY 1, 2""")
+def candidate_stats(s, d):
+    return features.candidate_stats(fx.pair_sims(s, d))
 
 
-VECTOR_SQL = """v AS (SELECT *, (CAST(floor(vec_id / 5) AS BIGINT)) % 10 AS block FROM embeddings), vs AS (
-  SELECT CAST(q.vec_id AS VARCHAR) AS record_id, CAST(q.label AS VARCHAR) AS truth, CAST(p.label AS VARCHAR) AS aid, p.vec_id AS pub_id,
+VECTOR_SQL = """vs AS (
+  SELECT CAST(q.vec_id AS VARCHAR) AS record_id, CAST(p.label AS VARCHAR) AS aid, p.vec_id AS pub_id,
          round(list_dot_product(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS title_sim
-  FROM v p JOIN v q ON p.block = q.block AND q.vec_id % 5 = 0 AND p.vec_id % 5 <> 0)"""
+  FROM embeddings p JOIN embeddings q ON q.vec_id % 50 = 0 AND p.vec_id % 50 <> 0)"""
 
 
 @query(f"WITH {VECTOR_SQL} SELECT record_id, aid, pub_id, title_sim FROM vs")
 def cosine_blocked(s, d):
-    return fx.vector_sims(s, d).drop("truth")
+    return fx.vector_sims(s, d)
 
 
 @query(f"""WITH {VECTOR_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY record_id, aid ORDER BY title_sim DESC, pub_id) AS k FROM vs)
-  SELECT record_id, aid, max(title_sim) AS best, round(avg(title_sim) FILTER (k <= 3), 5) AS top3, round(avg(title_sim) FILTER (k <= 5), 5) AS top5 FROM r GROUP BY 1, 2 HAVING max(title_sim) >= 0.25""")
+  SELECT record_id, aid, max(title_sim) AS best, round(sum(title_sim::DECIMAL(18,12)) FILTER (k <= 3)::DOUBLE / count(*) FILTER (k <= 3), 9) AS top3, round(sum(title_sim::DECIMAL(18,12)) FILTER (k <= 5)::DOUBLE / count(*) FILTER (k <= 5), 9) AS top5 FROM r GROUP BY 1, 2 HAVING max(title_sim) >= 0.25""")
 def vector_topk_means(s, d):
     w = Window.partitionBy("record_id", "aid").orderBy(F.col("title_sim").desc(), "pub_id")
-    r = fx.vector_sims(s, d).withColumn("k", F.row_number().over(w))
-    top = lambda n: F.round(F.avg(F.when(F.col("k") <= n, F.col("title_sim"))), 5)
+    r = fx.vector_sims(s, d).withColumn("place", F.row_number().over(w))
+    top = lambda n: F.round(recall.mean_of_first(n), 9)
     return r.groupBy("record_id", "aid").agg(F.max("title_sim").alias("best"), top(3).alias("top3"), top(5).alias("top5")).filter("best >= 0.25")
 
 
@@ -128,7 +138,7 @@ def papers_by_relevance(s, d):
     return ranking.sort_papers(fx.pair_sims(s, d), 10).select("record_id", "aid", "pub_id", "place")
 
 
-@query(f"""WITH {fx.SQL_PAPERS}, t AS (SELECT *, round(CASE WHEN coauthor_org_match_count > 0 THEN 1000 WHEN coauthor_count > 0 THEN 500 ELSE 0 END + 100 * title_sim + 10 * venue_sim + 10 * org_sim - 5 * year_diff, 6) AS score FROM pair_sims),
+@query(f"""WITH {fx.SQL_PAPERS}, t AS (SELECT *, round(CASE WHEN coauthor_count >= 2 THEN 1000 WHEN coauthor_count = 1 THEN 500 ELSE 0 END + 100 * title_sim + 10 * venue_sim + 10 * org_sim - 5 * year_diff, 6) AS score FROM pair_sims),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY record_id, aid ORDER BY score DESC, pub_id) AS INTEGER) AS place FROM t) SELECT record_id, aid, pub_id, score, place FROM r WHERE place <= 3""")
 def sampled_papers(s, d):
     return ranking.sample_papers(fx.pair_sims(s, d), 3).select("record_id", "aid", "pub_id", "score", "place")
@@ -148,7 +158,11 @@ RULE_SQL = """CASE WHEN aid IS NULL THEN 'NONE' WHEN coauthor_count = 0 AND org_
   WHEN coauthor_count >= 2 AND coauthor_org_match_count >= 1 THEN 'AUTO' WHEN coauthor_count = 0 AND org_sim >= 0.95 AND title_sim_max >= 0.7 THEN 'AUTO'
   WHEN coauthor_org_match_count >= 1 AND title_sim_max >= 0.9 THEN 'AUTO' WHEN coauthor_org_match_count >= 1 AND title_sim_max >= 0.85 AND venue_sim >= 0.85 THEN 'AUTO'
   WHEN coauthor_count >= 1 THEN 'LLM-Co' ELSE 'LLM-NoCo' END"""
-RULE_FIRST_SQL = f"co AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {CO_ORDER.format(m='coauthor_org_match_count')}) AS k FROM candidates), kinds AS (SELECT r.record_id, c.aid AS top_aid, {RULE_SQL} AS kind FROM records r LEFT JOIN co c ON r.record_id = c.record_id AND c.k = 1)"
+REASON_SQL = """CASE WHEN aid IS NULL THEN 'no_candidates' WHEN coauthor_count = 0 AND org_sim < 0.85 THEN 'no_coauthor_weak_org_match'
+  WHEN coauthor_count = 0 AND title_sim_max < 0.65 AND venue_sim < 0.7 AND org_sim < 0.95 THEN 'weak_title_weak_venue_medium_org'
+  WHEN coauthor_count >= 2 AND coauthor_org_match_count >= 1 THEN 'multi_coauthor_org_verified' WHEN coauthor_count = 0 AND org_sim >= 0.95 AND title_sim_max >= 0.7 THEN 'strong_org_match'
+  WHEN coauthor_org_match_count >= 1 AND title_sim_max >= 0.9 THEN 'org_verified_strong_title' WHEN coauthor_org_match_count >= 1 AND title_sim_max >= 0.85 AND venue_sim >= 0.85 THEN 'org_verified_strong_title_venue' END"""
+RULE_FIRST_SQL = f"co AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {CO_ORDER.format(m='coauthor_org_match_count')}) AS k FROM candidates), kinds AS (SELECT r.record_id, c.aid AS top_aid, {RULE_SQL} AS kind, {REASON_SQL} AS reason FROM records r LEFT JOIN co c ON r.record_id = c.record_id AND c.k = 1)"
 
 
 @query(f"WITH {fx.SQL_CANDIDATES}, {RULE_FIRST_SQL} SELECT * FROM kinds")
@@ -156,11 +170,23 @@ def rule_first(s, d):
     return subtype.rule_first(fx.records(s, d), _candidates(s, d))
 
 
-@query(f"WITH {fx.SQL_CANDIDATES} SELECT record_id, {_map_sql(RULE_FIRST_OF, 'subtype', 'LLM-Co')} AS kind FROM classified")
+@query(f"WITH {fx.SQL_CANDIDATES} SELECT record_id, {CLASS_SQL} AS kind FROM classified")
 def rule_first_from_subtype(s, d):
     return _classified(s, d).select("record_id", subtype.rule_first_of(F.col("subtype")).alias("kind"))
 
 
+CLASS_NAMES = ["NONE", "AUTO", "LLM-Co", "LLM-NoCo", "P1-Strong", "P1-High", "P1-Medium", "P1-Weak", "P1-Strong-Comp", "P1-High-Comp", "P1-Medium-Comp", "P1-Weak-Comp", "P2", "P2-Comp", "P3", "P3-Comp"]
+CLASS_NAMES += ["P0-High", "P0-Medium", "P0-Low", "A1-Strong", "A2-Confirm", "A2-Weak-Co", "B-Comp-2way", "B-Comp-3way", "C0-Org-Strong", "C0-Org-Medium", "C0-NoOrg", "C1-DefaultNone", "other"]
+
+
+@query(f"""WITH t AS (SELECT *, {STRATEGY_SQL} AS strategy FROM (SELECT unnest({CLASS_NAMES}) AS subtype)) SELECT subtype, strategy, {CLASS_SQL} AS kind, {DIFFICULTY_SQL} AS difficulty,
+  CASE WHEN strategy IN ('none', 'auto') THEN 'standard' WHEN strategy = 'p0_high' THEN 'llm_noco' ELSE strategy END AS prompt_type FROM t""")
+def class_tables(s, d):
+    c = F.col("subtype")
+    t = s.createDataFrame([(x,) for x in CLASS_NAMES], "subtype string").withColumns({"strategy": subtype.strategy(c), "kind": subtype.rule_first_of(c), "difficulty": subtype.difficulty(c)})
+    return t.withColumn("prompt_type", subtype.prompt_type(F.col("strategy")))
+
+
 @query(f"""WITH {fx.SQL_CANDIDATES}, {RULE_FIRST_SQL} SELECT k.record_id, k.kind, coalesce(CASE k.kind WHEN 'AUTO' THEN k.top_aid WHEN 'LLM-Co' THEN CASE WHEN r.pos % 200 = 0 THEN c.top_aid END WHEN 'LLM-NoCo' THEN c.top_aid END, 'none') AS predicted
   FROM kinds k JOIN classified c USING (record_id) JOIN records r USING (record_id)""")
 def merge_rule_first(s, d):
@@ -170,6 +196,11 @@ def merge_rule_first(s, d):
     return joins.merge_rule_first(kinds, kinds.withColumnRenamed("top_aid", "aid"), co, top)
 
 
+@query(f"WITH {fx.SQL_CANDIDATES} SELECT record_id, 'candidates=' || num_candidates || ' position=' || coalesce(hit, 0) || ' rivals=' || coalesce(rivals, 0) AS reason FROM classified")
+def class_reasons(s, d):
+    return _classified(s, d).select("record_id", "reason")
+
+
 @query(f"""WITH {fx.SQL_CANDIDATES}, e AS (SELECT c.*, s.subtype, CASE WHEN c.aid::BIGINT % 9 = 0 THEN 'none' ELSE c.aid END AS predicted FROM candidates c JOIN classified s USING (record_id)),
   q AS (SELECT *, CASE WHEN predicted = 'none' THEN 'low' WHEN (coauthor_org_match_count > 0 AND org_sim >= 0.7) OR (coauthor_count >= 2 AND org_sim >= 0.7 AND venue_sim >= 0.8) OR (title_sim_max >= 0.9 AND org_sim >= 0.8) THEN 'high'
     WHEN coauthor_count >= 1 OR venue_sim >= 0.8 OR org_sim >= 0.7 THEN 'medium' ELSE 'low' END AS quantified FROM e)
@@ -179,7 +210,7 @@ def merge_rule_first(s, d):
     WHEN subtype LIKE 'P1-Weak%' AND coauthor_org_match_count = 0 THEN 'medium' WHEN subtype LIKE 'P1-Weak%' AND org_sim < 0.7 THEN 'low' WHEN subtype LIKE 'P1-Weak%' AND coauthor_count = 1 AND org_sim < 0.9 THEN 'low'
     WHEN subtype IN ('P1-High', 'P1-Medium') AND venue_sim < 0.9 AND org_sim < 0.5 THEN 'low' WHEN subtype IN ('P1-High', 'P1-Medium') AND venue_sim < 0.9 AND coauthor_count = 1 AND coauthor_org_match_count = 0 THEN 'low'
     WHEN subtype IN ('P1-High', 'P1-Medium') AND coauthor_count >= CASE WHEN subtype = 'P1-High' THEN 2 ELSE 1 END AND coauthor_org_match_count = 0 AND org_sim < 0.7 AND venue_sim < 0.9 THEN 'medium'
-    WHEN subtype = 'P0-Medium' AND org_sim < 0.85 THEN 'low'
+    WHEN subtype = 'P0-Medium' AND org_sim < 0.85 THEN 'low' WHEN subtype = 'P0-Medium' AND venue_sim < 0.8 AND org_sim < 0.8 THEN 'low'
     WHEN subtype IN ('P1-Strong-Comp', 'P1-High-Comp', 'P1-Medium-Comp') AND NOT (coauthor_count >= 3 AND venue_sim >= 0.9) AND coauthor_org_match_count = 0 THEN 'medium'
     WHEN subtype IN ('P1-Strong-Comp', 'P1-High-Comp', 'P1-Medium-Comp') AND NOT (coauthor_count >= 3 AND venue_sim >= 0.9) AND org_sim < 0.5 THEN 'low'
     WHEN subtype IN ('P1-Strong-Comp', 'P1-High-Comp', 'P1-Medium-Comp') AND NOT (coauthor_count >= 3 AND venue_sim >= 0.9) AND coauthor_count < 2 AND org_sim < 0.7 THEN 'low' ELSE 'high' END AS calibrated FROM q""")
@@ -194,11 +225,18 @@ def confidence_calibration(s, d):
 NAME_SQL = """n AS (SELECT p_partkey AS id, p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)"""
 
 
-@query(f"WITH {NAME_SQL} SELECT id, lower(a) || '_' || lower(b) AS key, lower(left(a, 1)) || '_' || lower(b) AS short_key, lower(b) || '_' || lower(a) AS swapped, trim(regexp_replace(lower(p_name), '[^a-z]+', ' ', 'g')) AS cleaned FROM n")
+@query(f"""WITH {NAME_SQL} SELECT id, lower(a) || '_' || lower(b) AS key, lower(left(a, 1)) || '_' || lower(b) AS short_key, lower(b) || '_' || lower(a) AS swapped, 'éà' AS beyond,
+  lower(a) || ' ' || lower(b) AS cleaned, lower(b) || ' x' AS spaced, 'robert ' || lower(b) || ' a b smith' AS tokens, lower(left(a, 1)) || '_' || lower(left(b, 1)) AS initials FROM n""")
 def names_normal_form(s, d):
     p = fx.read(s, d, "part").select(F.col("p_partkey").alias("id"), "p_name")
     w = F.split("p_name", " ")
-    return p.select("id", names.name_key(F.col("p_name")).alias("key"), names.name_key(F.concat(F.substring(w[0], 1, 1), F.lit(" "), w[1])).alias("short_key"), names.name_key(F.concat(w[1], F.lit(","), w[0])).alias("swapped"), names.clean_name(F.col("p_name")).alias("cleaned"))
+    marked = F.translate("p_name", "aeiou", "áèïõü")
+    two = names.index_keys(names.name_parts(F.col("p_name")))
+    return p.select(
+        "id", names.name_key(F.col("p_name")).alias("key"), names.name_key(F.concat(F.substring(w[0], 1, 1), F.lit(" "), w[1])).alias("short_key"), names.name_key(F.concat(w[1], F.lit(","), w[0])).alias("swapped"),
+        F.array_join(names.name_parts(F.concat(w[0], F.lit("ÉÀ"))), "").alias("beyond"), names.clean_name(F.concat(marked, F.lit(" 12 "))).alias("cleaned"), names.spaced_name(F.concat(w[1], F.lit(", X"))).alias("spaced"),
+        names.name_tokens(F.concat(F.lit("Dr. Bob "), w[1], F.lit(" A.B. Smith III"))).alias("tokens"), two[0].alias("initials"),
+    )
 
 
 @query("""WITH d AS (SELECT DISTINCT split_part(lower(p_name), ' ', 1) AS a, split_part(lower(p_name), ' ', 2) AS b FROM part)
@@ -210,6 +248,15 @@ def names_match_blocked(s, d):
     return joins.match_names(a, b).select("name", "name_b")
 
 
+@query(f"""WITH {fx.SQL_FULL} SELECT pub, CAST(0 AS INTEGER) AS slot, array_to_string(list_sort(list_distinct(list_transform(list_filter(authors[2:], lambda a: true), lambda a: a.name))), ',') AS coauthors, authors[1].org AS org, venue, array_to_string(keywords, ' ') AS keywords, title,
+  array_to_string(list_sort(list_distinct(list_transform(authors, lambda a: a.name))), ',') AS everyone FROM full_papers""")
+def paper_attributes(s, d):
+    p = fx.full_papers(s, d)
+    fields = [F.col(f"paper.{c}") for c in ("authors", "venue", "keywords", "title")]
+    out = p.select("pub", names.paper_attributes(F.replace(F.lower("own_name"), F.lit(" "), F.lit("_")), *fields).alias("a"), names.paper_attributes_of_all(*fields)["coauthors"].alias("everyone"))
+    return out.select("pub", "a.slot", F.array_join("a.coauthors", ",").alias("coauthors"), "a.org", "a.venue", "a.keywords", "a.title", F.array_join("everyone", ",").alias("everyone"))
+
+
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '[0-9]+(\\.[0-9]+)?', '', 'g'), '\\s+', ' ', 'g')) AS title, md5(left(regexp_replace(split_part(text, chr(10), 1), '^\\s+|\\s+$', '', 'g'), 150)) AS org_key FROM documents""")
 def titles_and_org_keys(s, d):
     first = F.split("text", "\n", 2)[0]
@@ -236,36 +283,93 @@ def jaro_winkler_pairs(s, d):
 
 # Features
 
-COAUTHOR_SQL = """sup AS (SELECT owner, unnest(coauthors) AS name, paper FROM papers WHERE paper % 100 <> 0), prof AS (SELECT owner, name, count(*) AS times FROM sup GROUP BY 1, 2),
-  sizes AS (SELECT owner, count(*) AS a FROM prof GROUP BY 1), rar AS (SELECT name, round(ln((SELECT count(DISTINCT owner) FROM prof) / count(*)), 6) AS rarity FROM prof GROUP BY 1),
-  rec AS (SELECT paper || '-0' AS record_id, block, coauthors, unnest(coauthors) AS name FROM papers WHERE paper % 100 = 0), blk AS (SELECT DISTINCT owner, block FROM papers),
-  sh AS (SELECT r.record_id, CAST(p.owner AS VARCHAR) AS aid, r.name, p.times, len(r.coauthors) AS pn, s.a FROM rec r JOIN blk b ON r.block = b.block JOIN prof p ON p.owner = b.owner AND p.name = r.name JOIN sizes s ON s.owner = p.owner)"""
+CLEAN = "trim(regexp_replace(lower({}), '[^a-z]+', ' ', 'g'))"
+#: Two hits between the parts of names in lower case; parts of the first with a dot are initials.
+HITS = """len(list_filter(string_split(lower({a}), ' '), lambda p: CASE WHEN length(p) = 1 OR contains(p, '.') THEN len(list_filter(string_split(lower({b}), ' '), lambda x: starts_with(x, left(p, 1)))) > 0
+  ELSE list_contains(string_split(lower({b}), ' '), p) END)) >= 2"""
+RARITY_SQL = "rar AS (SELECT token, CASE WHEN length(token) % 2 = 0 THEN length(token) / 2.0::DOUBLE END AS score FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part)), rarity AS (SELECT * FROM rar WHERE score IS NOT NULL)"
+UNIQ_SQL = f"""uniq AS (SELECT clean, sum(coalesce(score, 10.0)) AS rarity FROM (SELECT clean, unnest(string_split(clean, ' ')) AS token FROM (SELECT {CLEAN.format('name')} AS clean FROM mine UNION SELECT {CLEAN.format('name')} FROM theirs)) LEFT JOIN rarity USING (token) GROUP BY 1)"""
+HAND_PAIRS = """hp AS (SELECT DISTINCT q.record_id, p.aid, q.block, q.own_name AS name FROM queries q JOIN profile_papers p USING (block)),
+  tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY pub) AS k FROM profile_papers) WHERE k <= 50),
+  mine AS (SELECT DISTINCT hp.record_id, hp.aid, unnest(list_transform(q.authors[2:], lambda a: a.name)) AS name FROM hp JOIN queries q USING (record_id)),
+  theirs AS (SELECT DISTINCT aid, pub_id, unnest(list_transform(authors[2:], lambda a: a.name)) AS name FROM tp)"""
+
+
+def _hand_pairs(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of the records to attribute with the profiles of their block, and their papers."""
+    full = fx.full_papers(s, d)
+    queries, profiles = fx.queries_of(full), fx.profile_papers_of(full)
+    pairs = queries.join(profiles.select("aid", "block", F.col("own_name").alias("name")).distinct(), "block")
+    return pairs.select("record_id", "aid", "name"), queries, profiles
+
+
+def _rarity(s, d) -> DataFrame:
+    token = fx.read(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("token")).distinct()
+    return token.filter(F.length("token") % 2 == 0).withColumn("score", F.length("token") / 2.0)
+
+
+def _idf(s, d) -> DataFrame:
+    """idf by field: of words of titles and organisations; venues have none."""
+    p = fx.full_papers(s, d).filter("pub % 50 <> 0")
+    texts = p.select("pub", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.split(F.lower(t), "[ _]").alias("w")) for f, t in (("title", "paper.title"), ("org", F.col("paper.authors")[0]["org"]))])).alias("t"))
+    words = texts.select("t.field", "pub", F.explode(F.array_distinct("t.w")).alias("word"))
+    df = words.groupBy("field", "word").agg(F.count("*").alias("df")).join(F.broadcast(words.groupBy("field").agg(F.count_distinct("pub").alias("n"))), "field")
+    return df.select("field", "word", F.round(F.ln(F.col("n") / F.col("df")), 6).alias("idf"))
+
 
+COAUTHOR_SQL = f"""times AS (SELECT aid, {CLEAN.format('name')} AS clean, count(*) AS times FROM theirs GROUP BY 1, 2),
+  shared AS (SELECT DISTINCT m.record_id, m.aid, {CLEAN.format('m.name')} AS clean FROM mine m JOIN (SELECT DISTINCT aid, name FROM theirs) t ON m.aid = t.aid AND {HITS.format(a='m.name', b='t.name')}),
+  ps AS (SELECT record_id, aid, sum(rarity) AS s FROM mine JOIN uniq ON clean = {CLEAN.format('name')} GROUP BY 1, 2), as_ AS (SELECT aid, sum(rarity * times) AS s FROM times JOIN uniq USING (clean) GROUP BY 1),
+  met AS (SELECT record_id, aid, sum(rarity) AS x, sum(rarity * coalesce(times, 1)) AS y FROM shared JOIN uniq USING (clean) LEFT JOIN times USING (aid, clean) GROUP BY 1, 2),
+  co AS (SELECT record_id, aid, coalesce(x, 0) AS coauthor_tfidf, round(coalesce(x, 0) / (ps.s + 1e-8), 6) AS paper_coauthor_tfidf_ratio, coalesce(y, 0) AS counted_coauthor_tfidf,
+         round(coalesce(y, 0) / (as_.s + 1e-8), 6) AS author_coauthor_tfidf_ratio FROM ps JOIN as_ USING (aid) LEFT JOIN met USING (record_id, aid))"""
 
-@query(f"""WITH {fx.SQL_PAPERS}, {COAUTHOR_SQL} SELECT record_id, aid, round(sum(rarity), 6) AS coauthor_idf, round(sum(rarity * times), 6) AS counted_coauthor_idf,
-  round(count(*) / (max(pn) + 1e-8), 6) AS paper_coauthor_ratio, round(count(*) / (max(a) + 1e-8), 6) AS author_coauthor_ratio FROM sh JOIN rar USING (name) GROUP BY 1, 2""")
+
+@query(f"WITH {fx.SQL_FULL}, {HAND_PAIRS}, {RARITY_SQL}, {UNIQ_SQL}, {COAUTHOR_SQL} SELECT record_id, aid, {', '.join(f'round({c}, 6) AS {c}' for c in features.COAUTHOR_FEATURES)} FROM co")
 def coauthor_features(s, d):
-    every = fx.papers(s, d)
-    prof = every.filter("paper % 100 <> 0").select("owner", F.explode("coauthors").alias("name")).groupBy("owner", "name").agg(F.count("*").alias("times"))
-    size = prof.groupBy("owner").agg(F.count("*").alias("author_names"))
-    rarity = features.document_frequencies(prof, "owner", "name").withColumnRenamed("idf", "rarity")
-    rec = every.filter("paper % 100 = 0").select(F.concat(F.col("paper").cast("string"), F.lit("-0")).alias("record_id"), "block", F.size("coauthors").alias("paper_names"), F.explode("coauthors").alias("name"))
-    shared = rec.join(every.select("owner", "block").distinct(), "block").join(prof, ["owner", "name"]).join(size, "owner")
-    return features.coauthor_features(shared.withColumn("aid", F.col("owner").cast("string")), rarity)
-
-
-@query("""WITH w AS (SELECT CAST(item_id AS VARCHAR) AS pub_id, CAST(item_id % 10 AS VARCHAR) AS record_id, CAST(item_id % 7 AS VARCHAR) AS aid, list_sort(list_distinct(list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda w: w <> ''))) AS words FROM benchmark),
-  rw AS (SELECT record_id, words FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY CAST(pub_id AS BIGINT)) AS k FROM w) WHERE k = 1),
-  idf AS (SELECT word, round(ln((SELECT count(DISTINCT pub_id) FROM w) / count(DISTINCT pub_id)), 6) AS idf FROM (SELECT pub_id, unnest(words) AS word FROM w) GROUP BY 1),
-  b AS (SELECT w.record_id, w.aid, w.pub_id, r.words AS a, w.words AS t FROM w JOIN rw r USING (record_id)),
-  h AS (SELECT record_id, aid, round(max(len(list_intersect(a, t)) / len(list_distinct(list_concat(a, t)))), 6) AS max_jaccard, round(avg(len(list_intersect(a, t)) / len(list_distinct(list_concat(a, t)))), 6) AS mean_jaccard, count(*) AS papers FROM b GROUP BY 1, 2),
-  s AS (SELECT record_id, aid, round(sum(idf), 6) AS paper_score, sum(idf * times) AS s FROM (SELECT record_id, aid, word, count(*) AS times FROM (SELECT record_id, aid, unnest(list_intersect(a, t)) AS word FROM b) GROUP BY 1, 2, 3) JOIN idf USING (word) GROUP BY 1, 2)
-  SELECT record_id, aid, max_jaccard, mean_jaccard, coalesce(paper_score, 0) AS paper_score, round(coalesce(s / papers, 0), 6) AS author_score FROM h LEFT JOIN s USING (record_id, aid)""")
-def word_overlap_features(s, d):
-    w = fx.read(s, d, "benchmark").select(F.col("item_id").cast("string").alias("pub_id"), (F.col("item_id") % 10).cast("string").alias("record_id"), (F.col("item_id") % 7).cast("string").alias("aid"), text.word_set(F.col("text")).alias("words"), "item_id")
-    rw = w.groupBy("record_id").agg(F.min_by("words", "item_id").alias("words"))
-    idf = features.document_frequencies(w.select("pub_id", F.explode("words").alias("word")), "pub_id", "word")
-    return features.word_features(rw, w.select("record_id", "aid", "pub_id", "words"), idf, IDF_DEFAULT["title"])
+    mine, theirs = features.attributes(*_hand_pairs(s, d))
+    found = features.coauthor_features(mine.select("record_id", "aid", F.explode("a.coauthors").alias("name")), theirs.select("aid", "pub_id", F.explode("a.coauthors").alias("name")), _rarity(s, d))
+    return found.withColumns({c: F.round(c, 6) for c in features.COAUTHOR_FEATURES})
+
+
+#: Jaro-Winkler with the prefix's share whatever the likeness.
+JARO = "(jaro_similarity(r.text, p.text) + 0.1 * len(list_filter([1, 2, 3, 4], lambda i: length(r.text) >= i AND left(r.text, i) = left(p.text, i))) * (1 - jaro_similarity(r.text, p.text)))"
+PLAIN = "trim(regexp_replace(regexp_replace({}, '[^a-zA-Z0-9]', ' ', 'g'), ' +', ' ', 'g'))"
+FIELD_SQL = {"org": "{t}authors[1].org", "venue": "{t}venue", "title": "{t}title", "keywords": "array_to_string({t}keywords, ' ')"}
+IDF_DEFAULT_SQL = "CASE field WHEN 'org' THEN 14.37::DOUBLE WHEN 'venue' THEN 10.42::DOUBLE WHEN 'title' THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END"
+WORDS_SQL = f"""iw AS (SELECT 'title' AS field, pub, unnest(list_distinct(string_split(lower(title), ' '))) AS word FROM full_papers WHERE pub % 50 <> 0 UNION ALL SELECT 'org', pub, unnest(list_distinct(string_split(lower(authors[1].org), '_'))) FROM full_papers WHERE pub % 50 <> 0),
+  idf AS (SELECT field, word, round(ln(n / count(*)), 6) AS idf FROM iw JOIN (SELECT field, count(DISTINCT pub) AS n FROM iw GROUP BY 1) USING (field) GROUP BY field, word, n),
+  rt AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT hp.record_id, hp.aid, '{f}' AS field, {PLAIN.format(x.format(t='q.'))} AS text FROM hp JOIN queries q USING (record_id)" for f, x in FIELD_SQL.items())}) WHERE text <> ''),
+  pt AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT aid, pub_id, '{f}' AS field, {PLAIN.format(x.format(t=''))} AS text FROM tp" for f, x in FIELD_SQL.items())}) WHERE text <> ''),
+  li AS (SELECT r.record_id, r.aid, r.field, {JARO} AS jaro, list_distinct(string_split(lower(r.text), ' ')) AS a, list_distinct(string_split(p.text, ' ')) AS b FROM rt r JOIN pt p USING (aid, field)),
+  hd AS (SELECT record_id, aid, field, max(jaro) AS max_jaro, avg(jaro) AS mean_jaro, max(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))) AS max_jaccard, avg(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))) AS mean_jaccard, count(*) AS papers FROM li GROUP BY 1, 2, 3),
+  rw AS (SELECT record_id, aid, field, word, n, coalesce(idf, {IDF_DEFAULT_SQL}) AS idf FROM (SELECT record_id, aid, field, word, count(*) AS n FROM (SELECT record_id, aid, field, unnest(string_split(lower(text), ' ')) AS word FROM rt) GROUP BY 1, 2, 3, 4) LEFT JOIN idf USING (field, word)),
+  pw AS (SELECT aid, field, word, n, coalesce(idf, {IDF_DEFAULT_SQL}) AS idf FROM (SELECT aid, field, word, count(*) AS n FROM (SELECT aid, field, unnest(string_split(lower(text), ' ')) AS word FROM pt) GROUP BY 1, 2, 3) LEFT JOIN idf USING (field, word)),
+  sw AS (SELECT r.record_id, r.aid, r.field, sum((r.idf * r.n)::DECIMAL(28,9))::DOUBLE AS p, sum((r.idf * p.n)::DECIMAL(28,9))::DOUBLE AS q FROM rw r JOIN pw p USING (aid, field, word) GROUP BY 1, 2, 3),
+  wf AS (SELECT record_id, aid, field, max_jaro, mean_jaro, max_jaccard, mean_jaccard, coalesce(p, 0) AS score_paper, round(coalesce(p, 0) / (a.t + 1e-8), 6) AS ratio_paper, coalesce(q, 0) / papers AS score_author, round(coalesce(q, 0) / (b.t + 1e-8), 6) AS ratio_author
+    FROM hd JOIN (SELECT record_id, aid, field, sum((idf * n)::DECIMAL(28,9))::DOUBLE AS t FROM rw GROUP BY 1, 2, 3) a USING (record_id, aid, field) JOIN (SELECT aid, field, sum((idf * n)::DECIMAL(28,9))::DOUBLE AS t FROM pw GROUP BY 1, 2) b USING (aid, field) LEFT JOIN sw USING (record_id, aid, field))"""
+_WIDE = [f"max(CASE WHEN field = '{f}' THEN {w} END) AS {p}_{w}" for f, p in zip(features.FIELDS, ("org", "venue", "title", "kw"), strict=True) for w in features.WORD_FEATURES]
+HAND_SQL = f"""{fx.SQL_FULL}, {HAND_PAIRS}, {RARITY_SQL}, {UNIQ_SQL}, {COAUTHOR_SQL}, {WORDS_SQL}, wide AS (SELECT record_id, aid, {', '.join(_WIDE)} FROM wf GROUP BY 1, 2),
+  hand AS (SELECT record_id, aid, {', '.join(f'coalesce({c}, 0) AS {c}' for c in features.HAND_FEATURES)} FROM hp LEFT JOIN co USING (record_id, aid) LEFT JOIN wide USING (record_id, aid))"""
+
+
+@query(f"WITH {HAND_SQL} SELECT record_id, aid, {', '.join(f'round({c}, 11) AS {c}' for c in features.HAND_FEATURES)} FROM hand")
+def hand_features(s, d):
+    found = features.hand_features(*_hand_pairs(s, d), _rarity(s, d), _idf(s, d))
+    return found.select("record_id", "aid", *[F.round(F.col("hand")[i], 11).alias(c) for i, c in enumerate(features.HAND_FEATURES)])
+
+
+#: The 11 hand features that are kept.
+CORE_NAMES = ["coauthor_tfidf", "counted_coauthor_tfidf", "author_coauthor_tfidf_ratio", "org_ratio_paper", "org_ratio_author", "title_max_jaccard", "title_mean_jaccard", "title_score_paper", "title_ratio_paper", "title_score_author", "title_ratio_author"]
+SIM_SQL = "(SELECT record_id, aid, max(title_sim) AS s0, max(venue_sim) AS s1, avg(venue_sim) AS s2, max(coauthor_count)::DOUBLE AS s3, max(coauthor_ratio) AS s4, max(org_sim) AS s5, max(coauthor_org_match_count)::DOUBLE AS s6 FROM pair_sims GROUP BY 1, 2)"
+
+
+@query(f"""WITH {fx.SQL_PAPERS}, {HAND_SQL} SELECT record_id, aid, {', '.join(f'round(coalesce(s{i}, 0), 11) AS f{i}' for i in range(7))}, {', '.join(f'round({c}, 11) AS f{i + 7}' for i, c in enumerate(CORE_NAMES))}, 1.0::DOUBLE AS f18
+  FROM hand LEFT JOIN {SIM_SQL} USING (record_id, aid)""")
+def assembled_features(s, d):
+    hand = features.hand_features(*_hand_pairs(s, d), _rarity(s, d), _idf(s, d), jaro=False)
+    found = features.assembled(recall.sim_features(fx.pair_sims(s, d)), hand, F.lit(True))
+    return found.select("record_id", "aid", *[F.round(F.col("features")[i], 11).alias(f"f{i}") for i in range(19)])
 
 
 @query("""WITH c AS (SELECT o_custkey, o_orderpriority AS v, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY 1, 2)
@@ -280,13 +384,72 @@ def keyword_sets(s, d):
     return found.select("o_custkey", F.array_join("values", ",").alias("keywords"))
 
 
-@query(f"""WITH {fx.SQL_PAPERS}, ra AS (SELECT paper || '-0' AS record_id, block, unnest(coauthors) AS name, status AS org FROM papers WHERE paper % 100 = 0), pa AS (SELECT CAST(owner AS VARCHAR) AS aid, block, unnest(coauthors) AS name, status AS org_b FROM papers WHERE paper % 100 <> 0),
-  m AS (SELECT record_id, aid, name, max(CASE WHEN org = org_b THEN 0.85 ELSE 0.4 END) AS o FROM ra JOIN pa USING (block, name) GROUP BY 1, 2, 3) SELECT record_id, aid, count(*) AS matched, count(*) FILTER (o >= 0.7) AS verified FROM m GROUP BY 1, 2""")
+@query(f"""WITH {fx.SQL_PAPERS}, ra AS (SELECT paper || '-0' AS record_id, block, 's' || k AS key, (s_nationkey + (status = 'F')::INT) AS vec FROM (SELECT *, unnest(coauthors) AS k FROM papers WHERE paper % 50 = 0) JOIN supplier ON s_suppkey = k),
+  pa AS (SELECT CAST(owner AS VARCHAR) AS aid, block, 's' || k AS key, CASE WHEN paper % 2 = 0 THEN 'S-' ELSE 's' END || k AS name, s_nationkey AS vec FROM (SELECT *, unnest(coauthors) AS k FROM papers WHERE paper % 50 <> 0) JOIN supplier ON s_suppkey = k),
+  e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT record_id, aid, name, max(coalesce(greatest(list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), -1), 0)) AS o
+    FROM ra JOIN pa USING (block, key) LEFT JOIN e x ON ra.vec = x.vec_id LEFT JOIN e y ON pa.vec = y.vec_id GROUP BY 1, 2, 3) SELECT record_id, aid, count(*) AS matched, count(*) FILTER (o >= 0.7) AS verified, round(max(o), 6) AS best FROM m GROUP BY 1, 2""")
 def coauthors_verified(s, d):
-    p = fx.papers(s, d)
-    a = p.filter("paper % 100 = 0").select(F.concat(F.col("paper").cast("string"), F.lit("-0")).alias("record_id"), "block", F.explode("coauthors").alias("name_key"), F.col("status").alias("org"))
-    b = p.filter("paper % 100 <> 0").select(F.col("owner").cast("string").alias("aid"), "block", F.explode("coauthors").alias("name_key"), F.col("status").alias("org_b"))
-    return joins.matched_coauthors(a, b, F.when(F.col("org") == F.col("org_b"), 0.85).otherwise(0.4))
+    p = fx.papers(s, d).withColumn("k", F.explode("coauthors"))
+    nation = fx.read(s, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey")
+    v = lambda name: fx.read(s, d, "embeddings").select(F.col("vec_id").alias("at"), F.col("embedding").alias(name))
+    p = p.join(nation, "k")
+    key = F.concat(F.lit("s"), F.col("k").cast("string"))
+    a = p.filter("paper % 50 = 0").select(F.concat(F.col("paper").cast("string"), F.lit("-0")).alias("record_id"), "block", names.name_key(key).alias("name_key"), (F.col("s_nationkey") + (F.col("status") == "F").cast("int")).alias("at"))
+    written = F.concat(F.when(F.col("paper") % 2 == 0, "S-").otherwise("s"), F.col("k").cast("string"))
+    b = p.filter("paper % 50 <> 0").select(F.col("owner").cast("string").alias("aid"), "block", written.alias("name"), names.name_key(written).alias("name_key"), F.col("s_nationkey").alias("at"))
+    found = joins.matched_coauthors(a.join(v("org"), "at", "left").drop("at"), b.join(v("org_b"), "at", "left").drop("at"), cosine(F.col("org"), F.col("org_b")))
+    return found.withColumn("best", F.round("best", 6))
+
+
+@query(f"""WITH {fx.SQL_FULL} SELECT DISTINCT q.record_id, p.aid, array_to_string(list_sort(list_distinct(list_transform(list_filter(q.authors[2:], lambda m: len(list_filter(p.authors[2:], lambda t: {HITS.format(a='m.name', b='t.name')})) > 0), lambda m: lower(m.name)))), ',') AS names, p.pub_id
+  FROM queries q JOIN profile_papers p USING (block)""")
+def matched_names(s, d):
+    full = fx.full_papers(s, d)
+    a = fx.queries_of(full).select("record_id", "block", F.transform(F.slice("paper.authors", 2, 1000), lambda x: x["name"]).alias("mine"))
+    b = fx.profile_papers_of(full).select("aid", "pub_id", "block", F.transform(F.slice("paper.authors", 2, 1000), lambda x: x["name"]).alias("theirs"))
+    return a.join(b, "block").select("record_id", "aid", F.array_join(names.matched_names(F.col("mine"), F.col("theirs")), ",").alias("names"), "pub_id")
+
+
+METADATA_SQL = "array_to_string(list_sort(list_distinct(list_transform(authors, lambda a: lower(a.name)))), ',')"
+SCORED_SQL = f"""sp AS (SELECT q.record_id, p.aid, p.pub_id, p.pub AS pos, CAST(len(list_intersect(list_distinct(list_transform(p.authors, lambda a: lower(a.name))), list_distinct(list_transform(q.authors, lambda a: lower(a.name))))) AS INTEGER) AS co,
+    coalesce(list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), 0) AS t, string_split(lower(p.venue), ' ') AS va, string_split(lower(q.venue), ' ') AS vb, (p.authors[1].org = q.authors[1].org)::INT::DOUBLE AS o, abs(p.year - q.year) AS yd
+  FROM queries q JOIN profile_papers p USING (block) LEFT JOIN e x ON x.vec_id = p.pub LEFT JOIN e y ON y.vec_id = q.pub),
+  ss AS (SELECT *, round(CASE WHEN co >= 2 THEN 1000 WHEN co = 1 THEN 500 ELSE 0 END + 100 * t + 10 * len(list_intersect(va, vb)) / len(list_distinct(list_concat(va, vb))) + 10 * o - 5 * yd, 6) AS score FROM sp),
+  best_papers AS (SELECT *, CAST(row_number() OVER (PARTITION BY record_id, aid ORDER BY score DESC, pos) AS INTEGER) AS place FROM ss)"""
+
+
+def _samples(s, d, candidates: DataFrame) -> DataFrame:
+    full = fx.full_papers(s, d)
+    vectors = fx.read(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vec"))
+    queries = fx.queries_of(full)
+    meta = ranking.query_metadata(queries.withColumn("own_id", F.col("paper.pub_id")), override="own_id")
+    return ranking.samples_of_candidates(candidates, fx.profile_papers_of(full), meta, vectors)
+
+
+@query(f"""WITH {fx.SQL_CANDIDATES}, {fx.SQL_FULL}, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), {SCORED_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {CO_ORDER.format(m='coauthor_org_match_count')}) AS k FROM candidates)
+  SELECT b.record_id, b.aid, b.pub_id, b.place, b.co AS coauthor_count, round(b.t, 6) AS title_sim, b.score FROM best_papers b JOIN c ON c.record_id = b.record_id AND c.aid = b.aid AND c.k <= 5 WHERE place <= 3""")
+def samples_of_candidates(s, d):
+    found = _samples(s, d, subtype.order_by_coauthors(_candidates(s, d)))
+    return found.select("record_id", "aid", "pub_id", "place", "coauthor_count", F.round("title_sim", 6).alias("title_sim"), "score")
+
+
+@query(f"""WITH {fx.SQL_FULL} SELECT record_id, {METADATA_SQL} AS author_names, array_to_string(list_sort(string_split(lower(venue), ' ')), ' ') AS venue_words, lower(authors[1].org) AS org, year AS query_year, '' AS paper_id FROM queries""")
+def query_metadata(s, d):
+    m = ranking.query_metadata(fx.queries_of(fx.full_papers(s, d)))
+    join = lambda c, x: F.array_join(F.array_sort(c), x)
+    return m.select("record_id", join("author_names", ",").alias("author_names"), join("venue_words", " ").alias("venue_words"), join("org_words", " ").alias("org"), "query_year", "paper_id")
+
+
+@query(f"""WITH {fx.SQL_FULL} SELECT q.record_id, p.pub_id, CAST(len(list_intersect(list_distinct(list_transform(p.authors, lambda a: lower(a.name))), list_distinct(list_transform(q.authors, lambda a: lower(a.name))))) AS INTEGER) AS shared,
+  (q.venue = p.venue)::INT AS same_venue, (q.authors[1].org = p.authors[1].org)::INT::DOUBLE AS org_sim, abs(q.year - p.year) AS years FROM queries q JOIN profile_papers p USING (block)""")
+def paper_likeness(s, d):
+    full = fx.full_papers(s, d)
+    a, b = fx.queries_of(full).select("record_id", "block", F.col("paper").alias("x")), fx.profile_papers_of(full).select("pub_id", "block", F.col("paper").alias("y"))
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    return a.join(b, "block").select(
+        "record_id", "pub_id", text.coauthor_overlap(x("authors"), y("authors")).alias("shared"), (text.venue_likeness(x("venue"), y("venue")) == 1).cast("int").alias("same_venue"),
+        text.org_likeness(x("authors"), y("authors")).alias("org_sim"), text.year_diff(x("year"), y("year")).alias("years"),
+    )
 
 
 # Joins and sets
@@ -349,21 +512,50 @@ def run_filter(s, d):
     return sets.run_filter(r, subtypes=[*limits, "P3"], quotas=limits, done=r.filter("pos % 400 = 0"), limit=12)
 
 
-@query()
+@query(f"WITH {fx.SQL_PAPERS} SELECT * FROM records WHERE {fx.CRC32.format(c='record_id')} % 4 = 1")
 def shard_by_hash(s, d):
     return sets.shard(fx.records(s, d), 4, 1)
 
 
-@query()
+@query(f"WITH {fx.SQL_PAPERS} SELECT record_id FROM records ORDER BY md5('7:' || record_id) LIMIT 25")
 def seeded_sample(s, d):
     return sets.sampled(fx.records(s, d).select("record_id"), 25, 7)
 
 
+@query(f"WITH {fx.SQL_CANDIDATES}, {RULE_FIRST_SQL} SELECT r.record_id, r.truth, k.kind AS subtype FROM records r JOIN kinds k USING (record_id) WHERE k.kind = 'LLM-Co' AND r.pos % 3 <> 0 AND r.pos IN (SELECT l_orderkey FROM lineitem)")
+def co_cases(s, d):
+    r, c = fx.records(s, d), _candidates(s, d)
+    kinds = subtype.rule_first(r, c).select("record_id", F.col("kind").alias("subtype"))
+    truth = r.select("record_id", F.when(F.col("pos") % 3 == 0, "none").otherwise(F.col("truth")).alias("aid"))
+    return sets.co_cases(r, truth, c, kinds, fx.papers(s, d).select(F.col("paper").cast("string").alias("pub_id")), with_truth_only=True)
+
+
+@query("""WITH a AS (SELECT event_id AS k, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN ' ' ELSE 'a' || event_id END AS x, CASE WHEN event_id % 5 = 0 THEN 'b' || event_id END AS y FROM events)
+  SELECT CAST(k AS VARCHAR) AS custom_id, CASE WHEN trim(coalesce(x, '')) <> '' THEN x ELSE y END AS content, (trim(coalesce(x, '')) <> '')::INT::BIGINT + (y IS NOT NULL)::INT::BIGINT AS copies FROM a""")
+def merged_answers(s, d):
+    k = F.col("event_id")
+    e = fx.read(s, d, "events").select(k.cast("string").alias("custom_id"), F.when(k % 4 == 0, None).when(k % 4 == 1, " ").otherwise(F.concat(F.lit("a"), k.cast("string"))).alias("content"), (k % 5 == 0).alias("second"))
+    found, failed = sets.merged_answers(e.drop("second"), e.filter("second").select("custom_id", F.concat(F.lit("b"), "custom_id").alias("content")))
+    return found.unionByName(failed.select("custom_id", F.lit(None).cast("string").alias("content"), F.lit(0).cast("long").alias("copies")))
+
+
+@query("SELECT o_orderkey AS record_id, o_totalprice AS value FROM orders WHERE o_orderkey % 2 = 0 ORDER BY o_totalprice, o_orderkey")
+def realigned_results(s, d):
+    o = fx.read(s, d, "orders")
+    target = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("record_id"), F.struct("o_totalprice", "o_orderkey").alias("pos"))
+    return joins.realigned(target, o.select(F.col("o_orderkey").alias("record_id"), F.col("o_totalprice").alias("value")))
+
+
 @query(f"WITH {fx.SQL_SCORES} SELECT predicted AS aid, array_to_string(list_sort(list(split_part(record_id, '-', 1))), ',') AS pubs FROM arbitrated WHERE predicted NOT IN ('none', 'error') GROUP BY 1")
 def submission(s, d):
     return sets.submission(_arbitrated(s, d)).withColumn("pubs", F.array_join("pubs", ","))
 
 
+@query(f"WITH {fx.SQL_SCORES} SELECT record_id, predicted FROM arbitrated ORDER BY record_id")
+def decisions_by_record(s, d):
+    return sets.by_record(_arbitrated(s, d).select("record_id", "predicted"))
+
+
 @query(f"WITH {fx.SQL_CANDIDATES} SELECT subtype, array_to_string(list_sort(list(record_id)), ',') AS members FROM classified GROUP BY 1")
 def subtype_members(s, d):
     return sets.inverted(_classified(s, d)).withColumn("members", F.array_join("members", ","))
@@ -407,11 +599,34 @@ def threshold_grid(s, d):
     return arbiter.grid(_decisions(s, d), fx.scores(_candidates(s, d)), 31)
 
 
-@query()
+TRANSFER_SQL = f"""WITH {fx.SQL_SCORES}, hv AS (SELECT *, CAST({fx.CRC32.format(c='record_id')} % 2 AS INTEGER) AS half FROM scored),
+  gr AS (SELECT half, a.i AS ia, b.i AS ib, truth, CASE WHEN routed AND predicted <> 'none' AND own_score < a.i / 100 THEN 'none' WHEN routed AND predicted = 'none' AND top_score >= b.i / 100 THEN best_aid ELSE predicted END AS predicted
+    FROM hv, (SELECT unnest(range(31))::INTEGER AS i) a, (SELECT unnest(range(31))::INTEGER AS i) b),
+  {{cells}}, bs AS (SELECT *, row_number() OVER (PARTITION BY half ORDER BY wf1 DESC, ia, ib) AS k FROM wf),
+  tf AS (SELECT t.half AS tuned_on, t.ia, t.ib, t.wf1 AS tuned_f1, o.wf1 AS other_f1, f.wf1 AS fixed_f1, p.wf1 AS plain_f1 FROM bs t JOIN wf o ON o.half = 1 - t.half AND o.ia = t.ia AND o.ib = t.ib JOIN wf f ON f.half = 1 - t.half AND f.ia = 14 AND f.ib = 20
+    JOIN {{plain}} p ON p.half = 1 - t.half WHERE t.k = 1)"""
+
+
+def _transfer_sql(select: str) -> str:
+    plain = WF1_SQL.format(by="half,", t="hv", group="half").replace("tr AS", "tr2 AS").replace("gi AS", "gi2 AS").replace("pr AS", "pr2 AS").replace("wf AS", "wf2 AS").replace("FROM tr LEFT JOIN gi", "FROM tr2 LEFT JOIN gi2").replace("FROM pr)", "FROM pr2)")
+    return TRANSFER_SQL.format(cells=WF1_SQL.format(by="half, ia, ib,", t="gr", group="half, ia, ib") + ", " + plain, plain="wf2") + select
+
+
+@query(_transfer_sql("SELECT * FROM tf"))
 def threshold_transfer(s, d):
     return arbiter.transfer(_decisions(s, d), fx.scores(_candidates(s, d)), 31)
 
 
+@query(_transfer_sql("SELECT round(avg(plain_f1), 6) AS plain, round(avg(other_f1), 6) AS transferred, round(avg(fixed_f1), 6) AS fixed, round(avg(fixed_f1) - avg(other_f1), 6) AS overfit FROM tf"))
+def threshold_transfer_means(s, d):
+    return arbiter.transfer_means(threshold_transfer(s, d))
+
+
+@query(f"WITH {fx.SQL_SCORES} SELECT subtype, count(*) AS n, round(avg((original = truth)::INT), 4) AS acc_llm_only, round(avg((predicted = truth)::INT), 4) AS acc_gated FROM arbitrated WHERE subtype <> 'NONE' AND strategy <> 'auto' GROUP BY 1")
+def stratified_gate(s, d):
+    return metrics.stratified_gate(_arbitrated(s, d))
+
+
 @query(f"""WITH {fx.SQL_SCORES}, f AS (SELECT record_id, count(DISTINCT aid) AS featured FROM scores WHERE CAST(aid AS BIGINT) % 11 <> 0 GROUP BY 1)
   SELECT record_id, num_candidates, coalesce(featured, 0) AS featured FROM decisions LEFT JOIN f USING (record_id) WHERE predicted <> 'error' AND num_candidates <> coalesce(featured, 0)""")
 def candidate_consistency(s, d):
@@ -435,6 +650,17 @@ def micro_f1(s, d):
     return metrics.micro_f1(_judged(s, d))
 
 
+@query(f"WITH {fx.SQL_SCORES}, {NIL_TRUTH}, c AS (SELECT {F1_SQL} FROM nt), m AS (SELECT {PRF_SQL.format(k=6)} FROM c) SELECT printf('F1=%.4f  P=%.4f  R=%.4f  TP=%d FN=%d FP=%d TN=%d', f1, precision, recall, tp, fn, fp, tn) AS line FROM m")
+def metrics_line(s, d):
+    return metrics.metrics_line(metrics.micro_f1(_judged(s, d)))
+
+
+@query("""SELECT event_id, CASE WHEN v // 3600 > 0 THEN printf('%dh %dm %ds', v // 3600, v % 3600 // 60, v % 60) WHEN v // 60 > 0 THEN printf('%dm %ds', v // 60, v % 60) ELSE printf('%ds', v) END AS t
+  FROM (SELECT event_id, greatest(event_id * 7 - 50, 0) AS v FROM events)""")
+def elapsed_times(s, d):
+    return fx.read(s, d, "events").select("event_id", text.elapsed(F.col("event_id") * 7 - 50).alias("t"))
+
+
 @query(f"WITH {fx.SQL_SCORES}, {NIL_TRUTH}, c AS (SELECT subtype, {F1_SQL} FROM nt GROUP BY 1) SELECT subtype, {PRF_SQL.format(k=4)} FROM c")
 def stratified_f1(s, d):
     return metrics.stratified_f1(_judged(s, d))
@@ -477,46 +703,195 @@ def paired_comparison(s, d):
 # Judgement
 
 
-@query(f"""WITH {fx.SQL_CANDIDATES}, l AS (SELECT record_id, string_agg(printf('[%d] %s title=%.3f coauthors=%d org=%.2f venue=%.2f', rank, aid, title_sim_max, coauthor_count, org_sim, venue_sim), chr(10) ORDER BY rank) AS t, list(aid ORDER BY rank) AS aids FROM candidates WHERE rank <= 5 GROUP BY 1)
+@query(f"""WITH {fx.SQL_CANDIDATES}, l AS (SELECT record_id, string_agg('[' || rank || '] ' || aid || ' title=' || CAST(CAST(title_sim_max AS DECIMAL(30,15)) AS DECIMAL(18,3)) || ' coauthors=' || coauthor_count || ' org=' || CAST(CAST(org_sim AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ' venue=' || CAST(CAST(venue_sim AS DECIMAL(30,15)) AS DECIMAL(18,2)), chr(10) ORDER BY rank) AS t, list(aid ORDER BY rank) AS aids FROM candidates WHERE rank <= 5 GROUP BY 1)
   SELECT record_id, 'Record ' || record_id || chr(10) || t AS prompt, array_to_string(aids, ',') AS aids FROM l""")
 def prompt_texts(s, d):
     return decide.prompts(_candidates(s, d), "Record %s\n%s", most=5).select("record_id", "prompt", F.array_join("aids", ",").alias("aids"))
 
 
-@query("""WITH a AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN '{"answer": "' || (turn + 1) || '", "confidence": "high"}' WHEN 1 THEN 'answer: a' || conv_id || chr(10) || 'confidence: LOW' WHEN 2 THEN 'so it is X' || (1000000 + conv_id) || ' then' ELSE 'no idea' END AS content, ['p0', 'p1', 'p2'] AS aids FROM conversations)
-  SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN coalesce(aids[turn + 1], CAST(turn + 1 AS VARCHAR)) WHEN 1 THEN 'a' || conv_id WHEN 2 THEN 'X' || (1000000 + conv_id) END AS answer, CASE conv_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS confidence FROM a""")
+@query("""WITH a AS (SELECT conv_id, turn, ['p0', 'p1', 'p2'] AS aids FROM conversations)
+  SELECT conv_id, turn, CASE conv_id % 7 WHEN 0 THEN coalesce(aids[turn + 1], CAST(turn + 1 AS VARCHAR)) WHEN 1 THEN 'a' || conv_id WHEN 2 THEN 'X' || (1000000 + conv_id) WHEN 4 THEN 'b' || turn WHEN 5 THEN 'none' WHEN 6 THEN 'c1' || chr(10) || 'more' ELSE 'none' END AS answer,
+    CASE conv_id % 7 WHEN 0 THEN 'high' WHEN 1 THEN 'LOW' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' WHEN 4 THEN 'medium' WHEN 5 THEN 'low' ELSE '中' END AS confidence,
+    CASE conv_id % 7 WHEN 0 THEN 'r' WHEN 4 THEN 'because' WHEN 6 THEN 'two' || chr(10) || 'lines' ELSE '' END AS reasoning FROM a""")
 def parsed_answers(s, d):
     c, n = F.col("conv_id"), F.col("turn")
+    say = lambda *xs: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in xs])
     said = (
-        F.when(c % 4 == 0, F.concat(F.lit('{"answer": "'), (n + 1).cast("string"), F.lit('", "confidence": "high"}')))
-        .when(c % 4 == 1, F.concat(F.lit("answer: a"), c.cast("string"), F.lit("\nconfidence: LOW")))
-        .when(c % 4 == 2, F.concat(F.lit("so it is X"), (c + 1000000).cast("string"), F.lit(" then")))
-        .otherwise("no idea")
+        F.when(c % 7 == 0, say('say {"answer": "', n + 1, '", "confidence": "high", "reason": "r"}'))
+        .when(c % 7 == 1, say("answer: a", c, "\nconfidence: LOW"))
+        .when(c % 7 == 2, say("so it is X", c + 1000000, " then"))
+        .when(c % 7 == 3, F.lit("I am highly confident that it is no one"))
+        .when(c % 7 == 4, say("预测作者：b", n, "\n判断理由: because"))
+        .when(c % 7 == 5, F.lit('{"author_id": 3} low'))
+        .otherwise(F.lit("Author_ID: c1\nmore\n置信度: 中\nreason: two\nlines"))
     )
-    a = text.parse_answer(F.col("content"))
-    rows = fx.read(s, d, "conversations").select("conv_id", "turn", said.alias("content")).withColumn("a", a)
-    return rows.select("conv_id", "turn", text.resolve_answer(F.col("a.answer"), F.array(*map(F.lit, ("p0", "p1", "p2")))).alias("answer"), "a.confidence")
+    rows = fx.read(s, d, "conversations").select("conv_id", "turn", text.parse_answer(said).alias("a"))
+    return rows.select("conv_id", "turn", decide.by_place(F.col("a.answer"), F.array(*map(F.lit, ("p0", "p1", "p2")))).alias("answer"), "a.confidence", "a.reasoning")
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || left(text, 80), chr(10) ORDER BY turn) AS prompt, CAST(sum(greatest(ceil(length(text) / 4), len(string_split_regex(trim(text), '\\s+')))) AS BIGINT) AS tokens FROM conversations GROUP BY 1")
+@query("SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS prompt, CAST(sum(greatest(ceil(length(text) / 4), len(string_split_regex(trim(text), '\\s+')))) AS BIGINT) AS tokens FROM conversations GROUP BY 1")
 def conversation_prompts(s, d):
-    line = F.concat("role", F.lit(": "), F.substring("text", 1, 80))
+    line = F.concat("role", F.lit(": "), F.coalesce("text", F.lit("")))
     g = fx.read(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"), F.sum(text.estimate_tokens(F.col("text"))).alias("tokens"))
     return g.select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("prompt"), "tokens")
 
 
-@query()
+VER, P1 = "coauthor_org_match_count > 0", "((coauthor_count >= 2 AND (coauthor_org_match_count > 0 OR (org_sim >= 0.7 AND venue_sim >= 0.8) OR venue_sim >= 0.9)) OR (coauthor_count >= 1 AND org_sim >= 0.85 AND venue_sim >= 0.9))"
+DECIDE_SQL = f"""CASE WHEN strategy = 'none' THEN false WHEN strategy = 'auto' THEN true WHEN strategy = 'p0_low' THEN title_sim_max >= 0.70 AND org_sim >= 0.85 AND venue_sim >= 0.90
+  WHEN strategy = 'p0_medium' THEN (title_sim_max >= 0.80 AND org_sim >= 0.85 AND venue_sim >= 0.80) OR (title_sim_max >= 0.85 AND org_sim >= 0.90) WHEN strategy IN ('p1_high', 'p1_medium', 'p1_comp') THEN {P1}
+  WHEN strategy = 'p1_weak' THEN (coauthor_count >= 3 AND venue_sim >= 0.8) OR (coauthor_count >= 2 AND {VER} AND org_sim >= 0.7) OR (coauthor_count = 1 AND {VER} AND org_sim >= 0.9 AND venue_sim >= 0.8)
+  WHEN strategy = 'p2_p3' THEN {VER} OR (coauthor_count >= 2 AND org_sim >= 0.7 AND venue_sim >= 0.8) ELSE {VER} OR (org_sim >= 0.7 AND venue_sim >= 0.8 AND title_sim_max > 0.8) OR (title_sim_max > 0.9 AND org_sim >= 0.7) END"""
+
+
+@query(f"""WITH {fx.SQL_CANDIDATES}, g AS (SELECT record_id, num_candidates, subtype, {STRATEGY_SQL} AS strategy FROM classified), k AS (SELECT g.*, c.aid, c.rank, {DECIDE_SQL} AS ok FROM g LEFT JOIN candidates c USING (record_id))
+  SELECT record_id, subtype, strategy, coalesce(arg_min(aid, rank) FILTER (ok), 'none') AS predicted, CAST(count(aid) AS INTEGER) AS num_candidates FROM k GROUP BY 1, 2, 3""")
 def rule_decisions(s, d):
     return decide.decide_by_rules(_classified(s, d), _candidates(s, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.SQL_PAPERS}, z AS (SELECT record_id, CAST({fx.CRC32.format(c='record_id')} % 4 AS INTEGER) AS shard, CAST(300 + pos % 700 AS INTEGER) AS bytes FROM records), o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY record_id) AS k FROM z),
+  p AS (SELECT record_id, bytes, shard, k, 0 AS chunk, 1 AS n, 121 + bytes AS total FROM o WHERE k = 1
+    UNION ALL SELECT o.record_id, o.bytes, o.shard, o.k, CASE WHEN p.n >= 50 OR p.total + o.bytes + 1 > 20000 THEN p.chunk + 1 ELSE p.chunk END, CASE WHEN p.n >= 50 OR p.total + o.bytes + 1 > 20000 THEN 1 ELSE p.n + 1 END,
+      CASE WHEN p.n >= 50 OR p.total + o.bytes + 1 > 20000 THEN 121 + o.bytes ELSE p.total + o.bytes + 1 END FROM p JOIN o ON o.shard = p.shard AND o.k = p.k + 1) SELECT record_id, bytes, shard, chunk FROM p""")
 def packed_requests(s, d):
-    r = decide.requests(decide.prompts(_candidates(s, d), "Record %s\n%s"), "model", "Decide.")
-    sized = r.select("record_id", F.octet_length("request").alias("bytes"), F.pmod(F.xxhash64("record_id"), F.lit(4)).cast("int").alias("shard"))
+    sized = fx.records(s, d).select("record_id", (300 + F.col("pos") % 700).cast("int").alias("bytes"), (F.crc32(F.col("record_id").cast("binary")) % 4).cast("int").alias("shard"))
     return decide.pack(sized, most=50, most_bytes=20_000)
 
 
+@query(f"""WITH {fx.SQL_CANDIDATES} SELECT record_id, '{{"custom_id":"' || record_id || '","body":{{"messages":[{{"role":"system","content":"Decide."}},{{"role":"user","content":"Record ' || record_id || ' of ' || count(*) || '"}}],"temperature":0.0,"top":5}}}}' AS request FROM candidates GROUP BY 1""")
+def bulk_requests(s, d):
+    p = _candidates(s, d).groupBy("record_id").agg(F.format_string("Record %s of %d", "record_id", F.count("*")).alias("prompt"))
+    return decide.requests(p, "Decide.", temperature=0.0, top=5)
+
+
+# Texts of the judgement
+
+AUTHOR_LINES = "array_to_string(list_transform({a}, lambda au, i: '  ' || i || '. ' || au.name || CASE WHEN i = 1 THEN ' *' ELSE '' END || ' - ' || au.org), chr(10))"
+QUERY_TEXT = f"""'【待消歧论文】' || chr(10) || '标题: ' || {{q}}title || chr(10) || '摘要: ' || left({{q}}abstract, 500) || CASE WHEN length({{q}}abstract) > 500 THEN '...' ELSE '' END || chr(10) || '发表: ' || {{q}}venue || ', ' || {{q}}year || chr(10) || '待消歧作者机构: ' || {{q}}authors[1].org || chr(10)
+  || '关键词: ' || array_to_string({{q}}keywords[:10], ', ') || chr(10) || chr(10) || '完整作者列表（标记 * 的为待消歧作者）:' || chr(10) || {AUTHOR_LINES.format(a='{q}authors')}"""
+
+
+@query(f"WITH {fx.SQL_FULL} SELECT record_id, {QUERY_TEXT.format(q='')} AS prompt FROM queries")
+def query_texts(s, d):
+    return fx.queries_of(fx.full_papers(s, d)).select("record_id", prompts.query_text(F.col("paper"), F.col("author_order")).alias("prompt"))
+
+
+PAPER_TEXT = """chr(10) || '  - 论文ID: ' || f.pub_id || chr(10) || '    标题: ' || f.title || ' (相似度: ' || CAST(CAST(x.title_sim AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ')' || chr(10) || '    摘要相似度: 0.00' || chr(10) || '    作者列表:' || chr(10)
+  || array_to_string(list_transform(f.authors[:10], lambda a: '      - ' || a.name || ' (' || a.org || ')'), chr(10)) || chr(10) || '    发表: ' || f.venue || ', ' || f.year || ' (相似度: ' || CAST(CAST(x.venue_sim AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ')'"""
+TEXTS_SQL = f"""rel AS (SELECT *, CASE WHEN coauthor_count > 0 AND coauthor_org_match_count > 0 THEN 0 WHEN coauthor_count > 0 THEN 1 WHEN org_sim >= 0.7 AND venue_sim >= 0.75 THEN 2 WHEN org_sim >= 0.7 OR venue_sim >= 0.75 THEN 3 ELSE 4 END AS tier FROM pair_sims),
+  rk AS (SELECT *, count(*) OVER (PARTITION BY record_id, aid) AS total, row_number() OVER (PARTITION BY record_id, aid ORDER BY tier, CASE WHEN title_sim >= 0.9 THEN 3 WHEN title_sim >= 0.8 THEN 2 WHEN title_sim >= 0.7 THEN 1 ELSE 0 END DESC, year_diff,
+    CASE tier WHEN 0 THEN coauthor_count WHEN 1 THEN coauthor_count WHEN 2 THEN org_sim WHEN 3 THEN greatest(org_sim, venue_sim) ELSE title_sim END DESC, CASE tier WHEN 0 THEN coauthor_org_match_count WHEN 1 THEN title_sim WHEN 2 THEN venue_sim WHEN 3 THEN least(org_sim, venue_sim) ELSE 0 END DESC,
+    CASE tier WHEN 0 THEN title_sim WHEN 1 THEN venue_sim WHEN 2 THEN title_sim WHEN 3 THEN title_sim ELSE 0 END DESC, pub_id) AS place FROM rel),
+  ft AS (SELECT x.record_id, x.aid, x.place, x.total, f.*, {PAPER_TEXT} AS told FROM rk x JOIN profile_papers f ON f.pub = x.pub_id WHERE place <= 10),
+  og AS (SELECT record_id, aid, org AS main FROM (SELECT record_id, aid, org, row_number() OVER (PARTITION BY record_id, aid ORDER BY count(*) DESC, min(place * 1000 + i)) AS k FROM (SELECT record_id, aid, place, unnest(authors).org AS org, unnest(range(len(authors))) AS i FROM ft) GROUP BY 1, 2, org) WHERE k = 1),
+  st AS (SELECT record_id, aid, max(title_sim) AS t, max(org_sim) AS o, max(venue_sim) AS v, max(coauthor_count) AS c, max(coauthor_org_match_count) AS m FROM pair_sims GROUP BY 1, 2),
+  kw AS (SELECT f.record_id, f.aid, list_sort(list_intersect(list_distinct(flatten(list(list_transform(f.keywords, lambda k: lower(k))))), any_value(list_transform(q.keywords, lambda k: lower(k))))) AS shared FROM ft f JOIN queries q ON q.record_id = f.record_id GROUP BY 1, 2),
+  ct AS (SELECT ft.record_id, ft.aid, '【作者ID: ' || ft.aid || '】' || CASE WHEN c > 0 THEN '⚠️ 有合作者匹配' ELSE '' END || chr(10) || '论文总数: ' || any_value(total) || chr(10) || '主要机构: ' || any_value(main) || ' (相似度: ' || CAST(CAST(o AS DECIMAL(30,15)) AS DECIMAL(18,2)) || CASE WHEN o >= 0.7 THEN '✓' ELSE '?' END || ')' || chr(10)
+    || '合作者匹配: ' || c || ' (机构验证✓: ' || m || ')' || chr(10) || '标题相似度: ' || CAST(CAST(t AS DECIMAL(30,15)) AS DECIMAL(18,2)) || chr(10) || '机构相似度: ' || CAST(CAST(o AS DECIMAL(30,15)) AS DECIMAL(18,2)) || chr(10) || '期刊相似度: ' || CAST(CAST(v AS DECIMAL(30,15)) AS DECIMAL(18,2)) || chr(10) || '关键词匹配数: ' || len(any_value(shared)) || chr(10)
+    || CASE WHEN len(any_value(shared)) > 0 THEN '匹配关键词: ' || array_to_string(any_value(shared)[:10], ', ') || chr(10) ELSE '' END || '代表性论文（展示前 10 篇）:' || chr(10) || string_agg(told, chr(10) ORDER BY place) AS text
+    FROM ft JOIN og USING (record_id, aid) JOIN st USING (record_id, aid) JOIN kw USING (record_id, aid) GROUP BY ft.record_id, ft.aid, c, m, t, o, v)"""
+
+
+def _texts(s, d, candidates: DataFrame) -> DataFrame:
+    full, sims = fx.full_papers(s, d), fx.pair_sims(s, d)
+    told = sims.withColumns({"pub_id": F.col("pub_id").cast("string"), "abstract_sim": F.lit(0.0)})
+    return prompts.candidate_texts(candidates.filter("rank <= 10"), fx.queries_of(full), fx.profile_papers_of(full), told, features.candidate_stats(sims))
+
+
+@query(f"WITH {fx.SQL_CANDIDATES}, {fx.SQL_FULL}, {TEXTS_SQL} SELECT ct.record_id, ct.aid, sha256(text) AS text, length(text) AS chars FROM ct JOIN candidates c ON c.record_id = ct.record_id AND c.aid = ct.aid AND c.rank <= 10")
+def candidate_texts(s, d):
+    return _texts(s, d, _candidates(s, d)).select("record_id", "aid", F.sha2("text", 256).alias("text"), F.length("text").cast("long").alias("chars"))
+
+
+SYSTEMS = [("standard", "Judge."), ("p0_low", "Judge with care."), ("llm_noco", "Judge by topic.")]
+
+
+@query(f"""WITH {fx.SQL_CANDIDATES}, {fx.SQL_FULL}, {TEXTS_SQL}, g AS (SELECT record_id, {STRATEGY_SQL} AS strategy FROM classified), cl AS (SELECT c.record_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS t, string_agg(c.aid, ',' ORDER BY rank) AS aids FROM candidates c JOIN ct USING (record_id, aid) WHERE rank <= 10 GROUP BY 1),
+  cp AS (SELECT record_id, count(*) AS n, max(title_sim_max) FILTER (rank = 1) AS a, coalesce(max(title_sim_max) FILTER (rank = 2), 0) AS b FROM candidates GROUP BY 1)
+  SELECT g.record_id, strategy, CASE WHEN strategy = 'p0_low' THEN 'Judge with care.' WHEN strategy = 'p0_high' THEN 'Judge by topic.' ELSE 'Judge.' END AS system, sha256(CASE WHEN strategy = 'p0_high' THEN '【竞争检测信息】' || chr(10) || '总候选作者数: ' || n || chr(10) || 'Top1标题相似度: ' || CAST(CAST(a AS DECIMAL(30,15)) AS DECIMAL(18,3)) || chr(10) || 'Top2标题相似度: '
+    || CAST(CAST(b AS DECIMAL(30,15)) AS DECIMAL(18,3)) || chr(10) || '差距: ' || CAST(CAST(a - b AS DECIMAL(30,15)) AS DECIMAL(18,3)) || chr(10) || '是否存在竞争: ' || CASE WHEN n > 10 OR a - b < 0.05 THEN '是' ELSE '否' END || chr(10) || chr(10) ELSE '' END || '候选作者列表:' || chr(10) || cl.t || chr(10) || chr(10) || '待消歧论文信息:' || chr(10) || {QUERY_TEXT.format(q='q.')}) AS prompt, aids
+  FROM g JOIN cl USING (record_id) JOIN cp USING (record_id) JOIN queries q ON q.record_id = g.record_id WHERE strategy NOT IN ('none', 'auto')""")
+def record_prompts(s, d):
+    c = _candidates(s, d)
+    made = prompts.record_prompts(_classified(s, d), c, fx.queries_of(fx.full_papers(s, d)), _texts(s, d, c), s.createDataFrame(SYSTEMS, "type string, text string"), competing=True)
+    return made.select("record_id", "strategy", "system", F.sha2("prompt", 256).alias("prompt"), F.array_join("aids", ",").alias("aids"))
+
+
+@query(f"""WITH {fx.SQL_CANDIDATES}, c AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {CO_ORDER.format(m='coauthor_org_match_count')}) AS k FROM candidates)
+  SELECT record_id, '候选作者列表:' || chr(10) || '候选作者列表（按可能性排序，编号仅用于引用）：' || chr(10) || string_agg('[' || k || '] aid=' || aid || ' | title_sim=' || CAST(CAST(title_sim_max AS DECIMAL(30,15)) AS DECIMAL(18,3)) || ' | org_sim=' || CAST(CAST(org_sim AS DECIMAL(30,15)) AS DECIMAL(18,3)) || ' | venue_sim=' || CAST(CAST(venue_sim AS DECIMAL(30,15)) AS DECIMAL(18,3)) || ' | coauthor=' || coauthor_count || ' | org_match=' || coauthor_org_match_count, chr(10) ORDER BY k) FILTER (k <= 10)
+    || CASE WHEN count(*) > 10 THEN chr(10) || '... 共 ' || count(*) || ' 个候选' ELSE '' END || chr(10) || chr(10) || '待消歧论文信息: （简略信息）' AS prompt, string_agg(aid, ',' ORDER BY k) FILTER (k <= 10) AS aids FROM c GROUP BY 1""")
+def listed_candidates(s, d):
+    return prompts.listed_candidates(subtype.order_by_coauthors(_candidates(s, d))).withColumn("aids", F.array_join("aids", ","))
+
+
+SAMPLE_TEXT = """'  [' || s.place || '] ' || f.year || ' - ' || left(f.title, 100) || chr(10) || '      [co=' || s.co || ' ts=' || CAST(CAST(s.t AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ' vs=' || CAST(CAST(len(list_intersect(va, vb)) / len(list_distinct(list_concat(va, vb))) AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ' os=' || CAST(CAST(s.o AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ' yr=' || s.yd || '] score=' || printf('%.0f', s.score) || chr(10)
+  || '      发表：' || f.venue || CASE WHEN len(f.authors) > 1 THEN chr(10) || '      合作者：' || array_to_string(list_transform(f.authors[2:7], lambda a: a.name), ', ') ELSE '' END"""
+
+
+@query(f"""WITH {fx.SQL_CANDIDATES}, {fx.SQL_FULL}, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), {SCORED_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {CO_ORDER.format(m='coauthor_org_match_count')}) AS k FROM candidates),
+  sm AS (SELECT s.record_id, s.aid, count(*) AS n, string_agg({SAMPLE_TEXT}, chr(10) ORDER BY s.place) AS t FROM best_papers s JOIN profile_papers f ON f.pub = s.pos WHERE place <= 3 GROUP BY 1, 2),
+  l AS (SELECT c.record_id, string_agg(chr(10) || '## 候选 [' || c.aid || '] ' || q.own_name || CASE WHEN coauthor_count > 0 THEN ' ⚠️有合作者匹配' ELSE '' END || chr(10) || '合作者匹配：' || coauthor_count || ' 篇（机构验证 ' || coauthor_org_match_count || ' 篇） | title_sim=' || CAST(CAST(title_sim_max AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ' org_sim=' || CAST(CAST(org_sim AS DECIMAL(30,15)) AS DECIMAL(18,2))
+    || ' venue_sim=' || CAST(CAST(venue_sim AS DECIMAL(30,15)) AS DECIMAL(18,2)) || chr(10) || '代表性论文（Top-' || sm.n || '）：' || chr(10) || sm.t, chr(10) ORDER BY k) AS t FROM c JOIN sm USING (record_id, aid) JOIN queries q ON q.record_id = c.record_id WHERE k <= 5 GROUP BY 1)
+  SELECT q.record_id, sha256('# 待消歧论文' || chr(10) || '标题：' || title || chr(10) || '作者：' || own_name || chr(10) || '机构：' || authors[1].org || chr(10) || '年份：' || year || chr(10) || '发表：' || venue || chr(10) || '关键词：' || array_to_string(keywords[:8], ', ') || chr(10) || chr(10) || '摘要：' || left(abstract, 400)
+    || CASE WHEN length(abstract) > 400 THEN '...' ELSE '' END || chr(10) || chr(10) || '完整作者列表（共 ' || len(authors) || ' 人）：' || chr(10) || {AUTHOR_LINES.format(a='authors[:15]')} || CASE WHEN len(authors) > 15 THEN chr(10) || '  ... (其余 ' || (len(authors) - 15) || ' 人省略)' ELSE '' END
+    || chr(10) || chr(10) || '# 候选作者' || chr(10) || l.t || chr(10) || chr(10) || '# 任务' || chr(10) || 'Decide.') AS prompt FROM queries q JOIN l USING (record_id)""")
+def co_prompts(s, d):
+    full = fx.full_papers(s, d)
+    queries = fx.queries_of(full)
+    c = subtype.order_by_coauthors(_candidates(s, d)).join(queries.select("record_id", F.col("paper.authors")[0]["name"].alias("name")), "record_id")
+    return prompts.co_prompts(c, queries, _samples(s, d, c), "Decide.").select("record_id", F.sha2("prompt", 256).alias("prompt"))
+
+
+def _answers(s, d) -> DataFrame:
+    """Answers to the judged records as decide.call gives them: some blank, some failed."""
+    pos = F.split("record_id", "-")[0].cast("long") / 50
+    c = _classified(s, d).select("record_id", F.col("top.aid").alias("aid"), pos.cast("long").alias("n"))
+    status = F.when(F.col("n") % 7 == 0, "error").when(F.col("n") % 11 == 0, "unfinished").otherwise("ok")
+    content = F.when(status == "error", F.lit("too fast")).when(status == "unfinished", "").otherwise(F.concat(F.lit("answer: "), F.when(F.col("n") % 5 == 0, "none").otherwise(F.coalesce("aid", F.lit("none"))), F.lit("\nconfidence: high\nreason: alike")))
+    kind = F.when(status == "error", "rate_limit").when(status == "unfinished", "empty_response")
+    return c.select("record_id", status.alias("status"), content.alias("content"), kind.alias("kind"), F.col("n").alias("in_tokens"), (F.col("n") % 3).alias("out_tokens"))
+
+
+ANSWERS_SQL = """an AS (SELECT record_id, n, top_aid, CASE WHEN n % 7 = 0 THEN 'error' WHEN n % 11 = 0 THEN 'unfinished' ELSE 'ok' END AS status, CASE WHEN n % 5 = 0 OR top_aid IS NULL THEN 'none' ELSE top_aid END AS said FROM (SELECT *, pos // 50 AS n FROM classified))"""
+
+
+@query(f"""WITH {fx.SQL_CANDIDATES}, {ANSWERS_SQL}, x AS (SELECT a.*, g.truth AS gt, CASE WHEN status = 'ok' THEN said ELSE 'UNFINISHED' END AS pred FROM an a JOIN classified g USING (record_id) WHERE g.num_candidates > 0)
+  SELECT record_id AS case_id, gt, pred, lower(pred) = lower(gt) AS match, CASE WHEN status = 'ok' THEN 'ok' ELSE 'unfinished' END AS status, CASE status WHEN 'error' THEN 'too fast' WHEN 'unfinished' THEN '' ELSE 'answer: ' || said || chr(10) || 'confidence: high' || chr(10) || 'reason: alike' END AS raw, n AS in_tokens, n % 3 AS out_tokens FROM x""")
+def judged_cases(s, d):
+    asked = prompts.listed_candidates(subtype.order_by_coauthors(_candidates(s, d)))
+    return decide.cases(_answers(s, d), asked, fx.records(s, d).select("record_id", F.col("truth").alias("aid")), by_number=True)
+
+
+@query(f"""WITH {fx.SQL_CANDIDATES}, {ANSWERS_SQL}, x AS (SELECT a.*, g.truth AS gt, CASE WHEN status = 'ok' THEN said ELSE 'UNFINISHED' END AS pred FROM an a JOIN classified g USING (record_id) WHERE g.num_candidates > 0)
+  SELECT count(*) AS n, count(*) FILTER (lower(pred) = lower(gt)) AS correct, count(*) FILTER (status <> 'ok') AS unfinished, 0::BIGINT AS parse_fail, count(*) FILTER (pred = 'none') AS none, CAST(sum(n) AS BIGINT) AS in_tokens, CAST(sum(n % 3) AS BIGINT) AS out_tokens, CAST(sum(n) // count(*) AS BIGINT) AS mean_in, CAST(sum(n % 3) // count(*) AS BIGINT) AS mean_out FROM x""")
+def case_totals(s, d):
+    return metrics.case_totals(judged_cases(s, d))
+
+
+@query(f"""WITH {fx.SQL_CANDIDATES}, {ANSWERS_SQL}, c AS (SELECT record_id, aid, {STRATEGY_SQL} AS strategy FROM candidates JOIN classified USING (record_id)), w AS (SELECT record_id FROM classified WHERE num_candidates > 0)
+  SELECT record_id FROM w WHERE record_id NOT IN (SELECT record_id FROM an WHERE status = 'ok')""")
+def unfinished_cases(s, d):
+    stored = judged_cases(s, d)
+    return decide.unfinished_cases(stored.select(F.col("case_id").alias("record_id")), stored)
+
+
+RESULT_SQL = f"""{fx.SQL_CANDIDATES}, {ANSWERS_SQL}, {RULE_FIRST_SQL}, g AS (SELECT record_id, truth, subtype, num_candidates, hit, {STRATEGY_SQL} AS strategy FROM classified),
+  y AS (SELECT g.*, an.n, an.status, an.said, t.title_sim_max AS tt, t.coauthor_count AS tc, t.coauthor_org_match_count AS tm, t.org_sim AS oo, t.venue_sim AS vv, t.aid AS top_aid, h.coauthor_count AS hc, h.coauthor_org_match_count AS hm
+    FROM g JOIN an USING (record_id) LEFT JOIN candidates t ON t.record_id = g.record_id AND t.rank = 1 LEFT JOIN candidates h ON h.record_id = g.record_id AND h.rank = g.hit),
+  z AS (SELECT *, strategy = 'none' AS is_none, strategy = 'auto' AS is_auto, strategy NOT IN ('none', 'auto') AND status <> 'ok' AS bad FROM y)"""
+
+
+@query(f"""WITH {RESULT_SQL} SELECT record_id, CASE WHEN is_none THEN 'none' WHEN is_auto THEN top_aid WHEN bad THEN 'error' ELSE said END AS predicted,
+  CASE WHEN is_none THEN '无候选作者' WHEN is_auto THEN '自动分配: title_sim=' || CAST(CAST(tt AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ', coauthor=' || tc || ', 机构验证=' || CASE WHEN tm > 0 THEN 'True' ELSE 'False' END WHEN bad THEN CASE status WHEN 'error' THEN '[rate_limit] too fast' ELSE '[empty_response] ' END ELSE 'alike' END AS reasoning,
+  truth, CAST(num_candidates AS INTEGER) AS num_candidates, subtype, CASE WHEN bad THEN 'error' ELSE strategy END AS strategy, CASE WHEN is_none OR bad THEN 0 ELSE round(tt, 6) END AS top1_title_sim, CAST(CASE WHEN is_none OR bad THEN 0 ELSE tc END AS INTEGER) AS top1_coauthor_count,
+  CASE WHEN is_none OR bad THEN 0 ELSE oo END AS top1_org_sim, CASE WHEN is_none OR bad THEN 0 ELSE vv END AS top1_venue_sim FROM z""")
+def result_rows(s, d):
+    c = _candidates(s, d)
+    asked = prompts.listed_candidates(subtype.order_by_coauthors(c)).withColumn("tokens", F.lit(7))
+    rows = decide.result_rows(_classified(s, d), c, features.candidate_stats(fx.pair_sims(s, d)), _answers(s, d), asked, fx.records(s, d).select("record_id", F.col("truth").alias("aid")))
+    return rows.drop("confidence", "estimated_prompt_tokens").withColumn("top1_title_sim", F.round("top1_title_sim", 6))
+
+
 @query("SELECT page_id, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
 def page_titles(s, d):
     return fx.read(s, d, "pages").select("page_id", "url", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))

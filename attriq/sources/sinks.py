@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attriq.operators.metrics import stratified_gate
 from attriq.operators.sets import submission
 from attriq.sources import exists
 
@@ -15,6 +16,29 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
+# Names of a decision row's columns in files, in order.
+RESULT_COLUMNS = {
+    "record_id": "unass_record", "predicted": "predicted_author_id", "confidence": "confidence", "reasoning": "reasoning", "truth": "ground_truth_author_id", "num_candidates": "num_candidates", "subtype": "subtype",
+    "strategy": "strategy", "top1_title_sim": "top1_title_sim", "top1_coauthor_count": "top1_coauthor_count", "top1_org_sim": "top1_org_sim", "top1_venue_sim": "top1_venue_sim", "estimated_prompt_tokens": "estimated_prompt_tokens",
+}
+
+
+def write_results(decisions: DataFrame, path: str) -> None:
+    """Decision rows as quoted CSV under the names that files have."""
+    write_csv(decisions.select(*[F.col(k).alias(v) for k, v in RESULT_COLUMNS.items()]), path)
+
+
+def write_grid(cells: DataFrame, path: str) -> None:
+    """The threshold grid: theta_a, theta_b, weighted_f1, in order."""
+    out = cells.select((F.col("ia") / 100).alias("theta_a"), (F.col("ib") / 100).alias("theta_b"), F.round("wf1", 6).alias("weighted_f1"))
+    out.orderBy("theta_a", "theta_b").coalesce(1).write.mode("overwrite").option("header", True).csv(path)  # a thousand rows at most
+
+
+def write_stratified(arbitrated: DataFrame, path: str) -> None:
+    """Accuracy of each subtype before and after the gate, largest first: subtype, n, acc_llm_only, acc_gated."""
+    stratified_gate(arbitrated).orderBy(F.col("n").desc(), "subtype").coalesce(1).write.mode("overwrite").option("header", True).csv(path)  # one row a subtype
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -1,14 +1,16 @@
 """Boundary rows and plans."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from attriq.config import Gate
 from attriq.functions import names, text
-from attriq.operators import arbiter, decide, metrics, recall, sets, subtype
+from attriq import sources
+from attriq.operators import arbiter, decide, joins, metrics, ranking, recall, sets, subtype
 from attriq.plans import fixtures as fx
-from attriq.plans import registry
-from attriq.sources import sinks
+from attriq.plans import pipeline, registry
+from attriq.sources import chat_service, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +21,7 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(
     ("name", "parts"),
-    [("José", ["é"]), ("Wei-Wei Li", ["weiwei", "li"]), ("Li, Wei", ["li", "wei"]), ("GS Lee", ["g", "s", "lee"]), (" J. Smith ", ["j.", "smith"]), ("Müller", ["muller"]), ("", [""])],
+    [("José", ["é"]), ("ÉÀ x", ["é", "à"]), ("Li,", ["li"]), ("Wei-Wei Li", ["weiwei", "li"]), ("Li, Wei", ["li", "wei"]), ("GS Lee", ["g", "s", "lee"]), (" J. Smith ", ["j.", "smith"]), ("Müller", ["muller"]), ("", [""])],
 )
 def test_name_parts(spark, name, parts):
     assert one(spark, names.name_parts(F.col("n")), n=name) == parts
@@ -33,8 +35,21 @@ def test_names_match(spark, a, b, same):
     assert one(spark, names.names_match(names.name_parts(F.col("a")), names.name_parts(F.col("b"))), a=a, b=b) is same
 
 
-def test_block_keys(spark):
-    assert set(one(spark, names.block_keys(names.name_parts(F.col("n"))), n="b a")) == {"single_b", "single_a", "ba", "ab"}
+def test_index_keys(spark):
+    assert set(one(spark, names.index_keys(names.name_parts(F.col("n"))), n="b a")) == {"single_b", "single_a", "b_a", "a_b"}
+    assert set(one(spark, names.index_keys(names.name_parts(F.col("n"))), n="b")) == {"single_b", "b"}
+    eight = one(spark, names.index_keys(names.name_parts(F.col("n"))), n="h g f e d c b a")
+    assert "h_a" in eight and "a_h" in eight and "single_a" in eight and "h_g_f_e_d_c_b_a" in eight
+
+
+def test_names_meet_as_by_brute_force(spark):
+    """Names of up to eight parts, initials, one-word names and repeated parts; against all pairs."""
+    few = ["j smith", "john smith", "smith j.", "j j", "john", "j", "hirano ken", "ken b hirano", "k. hirano", "yamaguchi x", "a b c d e f g h", "h. g. q r s t u v", "v q", "mary ann lee", "lee m", "m. a. lee", "john john", "x y"]
+    a = spark.createDataFrame([(n, n) for n in few], "id string, name string")
+    b = a.toDF("id_b", "name_b")
+    got = {(r["name"], r["name_b"]) for r in joins.match_names(a, b).collect()}
+    every = a.crossJoin(b).filter(names.names_match(names.name_parts(F.col("name")), names.name_parts(F.col("name_b"))))
+    assert got == {(r["name"], r["name_b"]) for r in every.collect()} and ("h. g. q r s t u v", "a b c d e f g h") in got
 
 
 def test_titles(spark):
@@ -44,7 +59,10 @@ def test_titles(spark):
 
 @pytest.mark.parametrize(
     ("said", "answer", "confidence"),
-    [('{"author_id": "a1", "confidence": "High"}', "a1", "high"), ("答案：b2\n置信度: 低", "b2", "low"), ("it is Abcd1234.", "Abcd1234", "medium"), ("", None, "medium"), ('x {"answer": ""} answer: c3', None, "medium")],
+    [
+        ('{"author_id": "a1", "confidence": "High"}', "a1", "High"), ("答案：b2\n置信度: 低", "none", "低"), ("作者ID：b2\n置信度: low", "b2", "low"), ("it is Abcd1234.", "Abcd1234", "medium"), ("", "none", "medium"),
+        ('x {"answer": ""} answer: c3', "", "medium"), ("{}", "none", "medium"), ('{"author_id": 3} I am highly confident', "none", "high"), ("{broken\nanswer: q7 and more\nstill\nreason: r}", "q7 and more\nstill", "medium"),
+    ],
 )
 def test_parse(spark, said, answer, confidence):
     got = one(spark, text.parse_answer(F.col("t")), t=said)
@@ -95,7 +113,118 @@ def test_call(spark):
         return ["" if "blank" in p else f"answer: {p}" for p in prompts]
 
     df = spark.createDataFrame([("1", "a"), ("2", "blank")], "record_id string, prompt string")
-    assert {r["record_id"]: r["status"] for r in decide.call(df, client, tasks=2).collect()} == {"1": "ok", "2": "unfinished"}
+    got = {r["record_id"]: (r["status"], r["content"]) for r in decide.call(df, lambda pairs: client([p for _, p in pairs]), tasks=2, sleep=lambda t: None).collect()}
+    assert got == {"1": ("ok", "answer: a"), "2": ("unfinished", "")}
+
+
+class Refused(Exception):
+    status_code = 402
+
+
+@pytest.mark.parametrize(("error", "kind"), [(TimeoutError("t"), "timeout"), (ConnectionError("c"), "connection"), (ValueError("v"), "data_error"), (RuntimeError("r"), "runtime_error"), (KeyError("k"), "unknown"), (decide.EmptyAnswer("e"), "empty_response"), (chat_service.ServiceError(429, "s"), "rate_limit"), (chat_service.ServiceError(500, "s"), "api_error")])
+def test_error_kinds(error, kind):
+    assert decide.error_kind(error)[0] == kind
+
+
+def test_errors_are_rows_but_fatal_ones_fail(spark):
+    def client(pairs):
+        raise Refused("no money") if pairs[0][1] == "fatal" else TimeoutError("slow")
+
+    df = spark.createDataFrame([("1", "a")], "record_id string, prompt string")
+    row = decide.call(df, client, tasks=1, sleep=lambda t: None).first()
+    assert (row["status"], row["kind"], row["content"]) == ("error", "timeout", "[1] 请求超时: slow")
+    with pytest.raises(Exception, match="no money"):
+        decide.call(df.withColumn("prompt", F.lit("fatal")), client, tasks=1, sleep=lambda t: None).collect()
+
+
+def test_waits_between_tries():
+    waits = []
+    made = iter(["", "", "x"])
+    frame = pd.DataFrame({"record_id": ["1"], "system": [""], "prompt": ["p"]})
+    assert decide.asked(frame, lambda pairs: [next(made)], decide.Retry(), waits.append)[0][1:3] == ("ok", "x") and waits == [2.0, 4.0]
+    waits.clear()
+
+    def fails(pairs):
+        raise ConnectionError("gone")
+
+    assert decide.asked(frame, fails, decide.NOCO_RETRY, waits.append)[0][1] == "error" and waits == [5.0, 10.0]
+
+
+def test_chat_service():
+    sent = []
+
+    def transport(method, url, headers, payload):
+        sent.append((method, url, payload["model"], payload.get("reasoning_effort"), payload["temperature"]))
+        blank = payload["messages"][1]["content"] == "blank"
+        return 200, {"choices": [{"message": {"content": " " if blank else " yes "}}], "usage": {"prompt_tokens": 3, "completion_tokens": 1}}
+
+    service = chat_service.ChatService("http://x/v1", "k", "m", chat_service.extra_body('{"reasoning_effort": "max"}'), transport=transport)
+    assert service([("s", "p"), ("s", "blank")]) == [("yes", 3, 1), ("", 0, 0)]
+    assert sent[0] == ("POST", "http://x/v1/chat/completions", "m", "max", 0.0)
+    with pytest.raises(ValueError):
+        chat_service.extra_body("{no")
+
+
+def test_bulk_job(spark, tmp_path):
+    states = iter([(404, {}), (200, {"data": {"status": "running"}}), (200, {"data": {"status": "completed", "results": [{"custom_id": "1", "response": {"body": {"choices": [{"message": {"content": "answer: a"}}]}}}, {"custom_id": "2", "response": {}}]}})])
+    bulk = chat_service.BulkService("http://x/batches", "k", "m", lambda method, *_: (200, {"id": "j"}) if method == "POST" else next(states), sleep=lambda t: None)
+    packed = spark.createDataFrame([(0, 0, '{"custom_id": "1"}'), (0, 0, '{"custom_id": "2"}')], "shard int, chunk int, request string")
+    bulk.run(spark, packed, str(tmp_path / "out"))
+    asked = spark.createDataFrame([("1",), ("2",), ("3",)], "record_id string")
+    got = {r["record_id"]: (r["status"], r["content"]) for r in pipeline.bulk_answers(asked, pipeline.bulk_contents(spark, str(tmp_path / "out"))).collect()}
+    assert got["1"] == ("ok", "answer: a") and got["2"][0] == got["3"][0] == "error"
+
+
+def test_final_table(spark):
+    target = spark.createDataFrame([("b", 0), ("a", 1)], "record_id string, pos int")
+    made, done = (spark.createDataFrame(rows, "record_id string, predicted string") for rows in ([("a", "error"), ("b", "new")], [("a", "old"), ("b", "old")]))
+    assert [tuple(r) for r in pipeline.final_table(target, made, done).collect()] == [("b", "new"), ("a", "old")]
+    with pytest.raises(ValueError, match="1 records"):
+        pipeline.final_table(target, made)
+
+
+def test_readers(spark, tmp_path):
+    def put(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    p = put("p.csv", "uid,pred\n1,z\n2,b\n1,a\n")
+    assert {tuple(r) for r in sources.predictions(spark, p, "uid", "pred").collect()} == {("1", "a"), ("2", "b")}
+    f = put("f.jsonl", '{"unass_record": "1", "candidate_aid": "a", "features": [2.0]}\n{"unass_record": "1", "candidate_aid": "a", "sim_features": [1.0], "hand_features": [0.5], "org_available": 1}\n')
+    assert [r["features"] for r in sources.feature_index(spark, f).collect()] == [[1.0, 0.5, 1.0]] and sources.features(spark, f).count() == 2
+    c = put("c.json", '{"1-0": {"subtype": "P2", "candidates": [{"candidate_aid": "x", "main_org_sim": 0.4, "title_sim": 0.6}, {"aid": "y", "org_sim": 0.5, "title_sim_max": 0.7, "coauthor_count": 2}]}, "2-0": {"candidates": []}}')
+    got = {(r["record_id"], r["subtype"], r["rank"], r["aid"], r["org_sim"], r["title_sim_max"], r["coauthor_count"]) for r in sources.filtered_candidates(spark, c).collect()}
+    assert got == {("1-0", "P2", 1, "x", 0.4, 0.6, 0), ("1-0", "P2", 2, "y", 0.5, 0.7, 2), ("2-0", "P0-Low", None, None, 0.0, 0.0, 0)}
+    assert {r["record_id"]: len(r["candidates"]) for r in sources.all_records(spark, c).collect()} == {"1-0": 2, "2-0": 0}
+    assert sources.filtered_candidates(spark, str(tmp_path / "none")).count() == sources.classified(spark, str(tmp_path / "none")).count() == 0
+    k = put("k.csv", "unass_record,subtype\n1-0,P2\n")
+    assert [tuple(r) for r in sources.classified(spark, k).collect()] == [("1-0", "P2")]
+    g = put("g.json", '{"n": {"b": ["1", "2"], "a": ["1"]}, "m": {"c": ["2"]}}')
+    assert {tuple(r) for r in sources.ground_truth(spark, g).collect()} == {("1", "a"), ("2", "c")}
+    i = put("i.json", '{"w": 2.5}')
+    assert [tuple(r) for r in sources.idf_tables(spark, {"org": i, "venue": str(tmp_path / "none")}).collect()] == [("org", "w", 2.5)]
+    t = spark.createDataFrame([("1", "abc"), ("2", ""), ("3", None), ("4", "bad")], "key string, text string")
+
+    def provider(texts):
+        if "bad" in texts:
+            raise RuntimeError("no")
+        return [[float(len(x))] for x in texts]
+
+    assert {r["key"]: r["vec"] for r in sources.vectors_of(t, provider, length=2, batch=1).collect()} == {"1": [2.0], "2": None, "3": None, "4": [2.0]}
+    cells = spark.createDataFrame([(0, 1, 0.5)], "ia int, ib int, wf1 double")
+    sinks.write_grid(cells, str(tmp_path / "grid"))
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "grid"), header=True).collect()] == [("0.0", "0.01", "0.5")]
+
+
+def test_calibration_of_p0_medium(spark):
+    row = {"predicted": "a", "subtype": "P0-Medium", "coauthor_count": 0, "coauthor_org_match_count": 0, "title_sim_max": 0.95}
+    for org, venue, level in ((0.86, 0.7, "high"), (0.84, 0.9, "low")):
+        assert one(spark, decide.calibrated_confidence(F.lit("high")), **row, org_sim=org, venue_sim=venue) == level
+
+
+def test_hybrid_score(spark):
+    for co, base in ((0, 0), (1, 500), (2, 1000), (5, 1000)):
+        assert one(spark, ranking.hybrid_score(F.lit(co), F.lit(0.5), F.lit(0.5), F.lit(0.5), F.lit(2)), x=1) == base + 50 + 5 + 5 - 10
 
 
 def test_tables(spark, tmp_path):
@@ -112,16 +241,18 @@ def test_plans(spark):
     assert "WindowGroupLimit" in plan(registry.QUERIES["papers_by_relevance"](spark, SF))
     for name in ("flagship", "cosine_blocked", "names_match_blocked", "coauthor_features", "arbitration"):
         p = plan(registry.QUERIES[name](spark, SF))
-        assert "CartesianProduct" not in p, name
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
     late = fx.read(spark, SF, "lineitem").filter("l_quantity > 49").select("l_orderkey")
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,49.0)]" in plan(late)
 
 
 def test_tokens_and_attributes(spark):
-    assert one(spark, names.name_tokens(F.col("n")), n="Dr. JR Smith 'Bob' A.B. Lee") == ["j", "r", "smith", "robert", "a", "b", "lee"]
+    for said, tokens in (("Andy Chuck Smith III Junior", "andrew charles smith"), ("Dr. JR Smith 'Bob' A.B. Lee", "j r smith robert a b lee"), ("Dave Müller", "dave muller"), ("J. Smith", "j. smith")):
+        assert one(spark, names.name_tokens(F.col("n")), n=said) == tokens, said
+    assert one(spark, names.clean_name(F.col("n")), n=" José O'Müller-Łoś 3 Straße ") == "jose o muller los strasse"
     authors = F.array(F.struct(F.lit("Wei Li").alias("name"), F.lit("X").alias("org")), F.struct(F.lit("Ann Bo").alias("name"), F.lit("Y").alias("org")))
-    got = spark.range(1).select(names.paper_attributes(F.lit("Li Wei"), authors, F.lit(None).cast("string"), F.array(F.lit("a"), F.lit("null")), F.lit("t"))).first()[0]
-    assert tuple(got) == (0, ["ann_bo"], "X", "", "a", "t")
+    got = spark.range(1).select(names.paper_attributes(F.lit("li_wei"), authors, F.lit(None).cast("string"), F.array(F.lit("a"), F.lit("null")), F.lit("t"))).first()[0]
+    assert tuple(got) == (0, ["Ann Bo"], "X", "", "a", "t")
 
 
 def test_scorer(spark, tmp_path):
@@ -135,8 +266,6 @@ def test_scorer(spark, tmp_path):
 
 
 def test_stages(spark, tmp_path):
-    from attriq.plans import pipeline
-
     stages = pipeline.attribution(fx.records(spark, SF), fx.pair_sims(spark, SF), fx.scores)
     t = pipeline.run_stages(spark, str(tmp_path), stages)
     assert t["arbitrated"].count() == t["decisions"].count() == fx.records(spark, SF).count()
