@@ -65,19 +65,30 @@ class Pack:
         self.ends: list[dict] = []
         self.stack: list[tuple[tuple[str, str], int]] = []  # the turns from a root to the last node
 
-    def add(self, leaf: str, turns: list[tuple[str, str]]) -> None:
-        shared = 0
-        while shared < min(len(self.stack), len(turns)) and self.stack[shared][0] == turns[shared]:
-            shared += 1
+    def shared(self, turns: list[tuple[str, str]]) -> int:
+        """How many first turns the pack's last conversation has in common with these."""
+        n = 0
+        while n < min(len(self.stack), len(turns)) and self.stack[n][0] == turns[n]:
+            n += 1
+        return n
+
+    def encoded(self, turn: tuple[str, str]) -> tuple[list[int], list[int]]:
+        """The tokens of a turn before its text and those of the text."""
+        begin, _, open_, close = self.control
+        role, text = (self.enc.encode_ordinary(escape(x)) for x in turn)
+        return [begin, open_, *role, close], text
+
+    def add(self, leaf: str, turns: list[tuple[str, str]], encoded: list[tuple[list[int], list[int]]] | None = None) -> None:
+        """A conversation; encoded: the tokens of its turns, if they are at hand."""
+        shared = self.shared(turns)
         del self.stack[shared:]
-        for turn in turns[shared:]:
-            begin, end, open_, close = self.control
-            role, text = (self.enc.encode_ordinary(escape(x)) for x in turn)
-            head = [begin, open_, *role, close]
+        for k in range(shared, len(turns)):
+            turn = turns[k]
+            head, text = self.encoded(turn) if encoded is None else encoded[k]
             parent = self.stack[-1][1] if self.stack else -1
             above = [*self.nodes[parent]["attends"]] if self.stack else []
             at, start = len(self.tokens), sum(b["end"] - b["start"] for b in above)
-            self.tokens += [*head, *text, end]
+            self.tokens += [*head, *text, self.control[1]]
             size = len(self.tokens) - at
             self.positions += range(start, start + size)
             self.loss += [False] * len(head) + [turn[0] == TRAINED] * len(text) + [False]
@@ -107,8 +118,9 @@ def format_conversations(rows: DataFrame, ranks_path: str, pattern: str, id: str
 
     Copies of a conversation fall together by partial aggregates, so many of them weigh no more than one. The
     distinct ones are range-partitioned in the order of their prefix hashes, which is depth-first order: a
-    tree with a third of all conversations spreads over partitions. A pack ends before a conversation
-    that would take it over pack_tokens, and the next repeats only the turns above its first one.
+    tree with a third of all conversations spreads over partitions. A pack ends before a conversation whose
+    new turns would take it over pack_tokens, by their real tokens; the next repeats the turns above its
+    first one. Only a single conversation can make a pack larger.
     """
     tidy = only(rows, id=id, turn=turn, role=role, text=text)
     say = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -124,14 +136,19 @@ def format_conversations(rows: DataFrame, ranks_path: str, pattern: str, id: str
 
     def build(batches):
         enc = encoding(ranks_path, pattern)
-        pack = Pack(enc)
+        pack, last, made = Pack(enc), [], []  # the turns of the last conversation and their tokens
         for b in batches:
             for leaf, turns in zip(b["leaf"], b["turns"], strict=True):
                 talk = [(t["role"], t["text"]) for t in turns]
-                if pack.ends and len(pack.tokens) + sum(len(t[1].encode()) // 3 + 5 for t in talk) > pack_tokens:
+                same = 0
+                while same < min(len(last), len(talk)) and last[same] == talk[same]:
+                    same += 1
+                last, made = talk, made[:same] + [pack.encoded(t) for t in talk[same:]]
+                more = sum(len(head) + len(text) + 1 for head, text in made[pack.shared(talk) :])
+                if pack.ends and len(pack.tokens) + more > pack_tokens:
                     yield pack.row()
                     pack = Pack(enc)
-                pack.add(leaf, talk)
+                pack.add(leaf, talk, made)
         if pack.ends:
             yield pack.row()
 
@@ -146,14 +163,18 @@ def read_back(packs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for b in batches:
             out: dict[str, list] = {"leaf": [], "formatted": [], "turns": [], "loss": []}
             for tokens, mask, nodes, ends in zip(b["tokens"], b["loss_mask"], b["nodes"], b["conversations"], strict=True):
+                told = {}  # what each interval says, by its start: read once, however many conversations share it
+                for node in nodes:
+                    at, end = node["attends"][-1]["start"], node["attends"][-1]["end"]
+                    formatted = enc.decode_bytes(tokens[at:end]).decode()
+                    loss = enc.decode_bytes([t for t, m in zip(tokens[at:end], mask[at:end], strict=True) if m]).decode()
+                    told[at] = formatted, [{"role": r, "text": x} for r, x in parse(formatted)], unescape(loss)
                 for end in ends:
-                    spans = [(s["start"], s["end"]) for s in nodes[end["node"]]["attends"]] if end["node"] >= 0 else []
-                    seen = [k for s in spans for k in range(*s)]
-                    formatted = enc.decode_bytes([tokens[k] for k in seen]).decode()
+                    seen = [told[s["start"]] for s in nodes[end["node"]]["attends"]] if end["node"] >= 0 else []
                     out["leaf"].append(end["leaf"])
-                    out["formatted"].append(formatted)
-                    out["turns"].append([{"role": r, "text": x} for r, x in parse(formatted)])
-                    out["loss"].append(unescape(enc.decode_bytes([tokens[k] for k in seen if mask[k]]).decode()))
+                    out["formatted"].append("".join(x[0] for x in seen))
+                    out["turns"].append([t for x in seen for t in x[1]])
+                    out["loss"].append("".join(x[2] for x in seen))
             yield out
 
     return map_arrow(packs, "leaf string, formatted string, turns array<struct<role:string,text:string>>, loss string", read, rows=16)

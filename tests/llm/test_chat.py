@@ -68,6 +68,23 @@ def test_query_and_cases(spark, tmp_path):
     assert empty[0].count() == empty[1].count() == read_back(empty[0], *PATH).count() == 0
 
 
+def test_shared_turn_of_over_half_a_pack(spark):
+    enc = encoding(*PATH)
+    shared = " the" * 4500
+    rows = [(i, k, r, x) for i in range(50) for k, (r, x) in enumerate([("user", shared), ("assistant", f"answer number {i}")])]
+    rows += [(100 + i, 0, "user", f"{i} " + "x9Qz" * 1500) for i in range(8)]  # texts of few bytes a token
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        packs = format_conversations(df, *PATH, pack_tokens=8192)[0].collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    long = [p for p in packs if any(len(enc.decode_bytes(p["tokens"][:9000]).decode().split(" the")) > 4000 for _ in [0])]
+    assert len(long) == 1 and sum(len(p["conversations"]) for p in packs) == 58
+    assert all(len(p["tokens"]) <= 8192 or len(p["conversations"]) == 1 for p in packs)
+
+
 def test_sql(spark):
     import duckdb
 
