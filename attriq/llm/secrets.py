@@ -17,16 +17,21 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ["assign", "access", "hex", "random"]
 
-#: Strings that the efficiency test looks at: runs of key characters.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Known digests (MD5, SHA-1, SHA-224/256/384/512 in hex) and identifiers (UUID, plain numbers, dates).
+#: Strings that the efficiency test looks at: runs of key characters, and their parts between / and =.
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile(r"[A-Za-z0-9+_-]{16,}")
+#: Known digests (MD5, SHA-1, SHA-224/256/384/512 in hex) and identifiers (UUID, plain numbers, dates, digests with their names).
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 KNOWN = [
     re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),
     re.compile(r"[0-9_=+/-]+"),
     re.compile(r"(?i)(?:sha1|sha224|sha256|sha384|sha512|md5)[-=_][A-Za-z0-9+/=]+"),
 ]
-IDENTIFIER = re.compile(r"[A-Za-z]{2,}(?:[_/-][A-Za-z]+|[A-Z][a-z]+)*[0-9]{0,4}")
+#: Words with separators between them, and a number behind at most.
+WORDS = re.compile(r"[A-Za-z]+(?:[_/-]+[A-Za-z]+)+[_/-]?[0-9]{0,4}")
+#: A run in one case, the first letter aside, may be a long word: (least length, characters a token) under which it isn't.
+ONE_CASE = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
+WORD_RATIOS = ((20, 2.0), (16, 1.6))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -48,19 +53,31 @@ class Efficiency:
         self.ratio = ratio
 
     def known(self, s: str) -> bool:
-        if any(p.fullmatch(s) for p in KNOWN) or IDENTIFIER.fullmatch(s):
+        if any(p.fullmatch(s) for p in KNOWN):
             return True
+        if WORDS.fullmatch(s):  # an identifier, if each of its words is short or tokenises as words do
+            return all(len(w) <= 3 or len(w) >= 2 * len(self.encoding.encode_ordinary(w)) for w in re.findall("[A-Za-z]+", s))
         return len(s) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) is not None
 
+    def random(self, s: str) -> bool:
+        ratio = self.ratio
+        if ONE_CASE.fullmatch(s):
+            ratio = min(ratio, next(r for least, r in WORD_RATIOS if len(s) >= least))
+        return len(s) < ratio * len(self.encoding.encode_ordinary(s)) and not self.known(s)
+
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         found = []
         for m in RUN.finditer(text):
             s = m[0].strip("=-_/+")
-            if len(s) < 20 or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or self.known(s):
-                continue
-            if len(s) < self.ratio * len(self.encoding.encode_ordinary(s)):
-                at = m.start() + m[0].index(s)
+            at = m.start() + m[0].index(s)
+            if len(s) >= 16 and self.random(s):
                 found.append((at, at + len(s), "random"))
+            elif "/" in s or "=" in s:
+                for part in PART.finditer(s):
+                    x = part[0].strip("-_+")
+                    if len(x) >= 16 and self.random(x):
+                        a = at + part.start() + part[0].index(x)
+                        found.append((a, a + len(x), "random"))
         return found
 
 
@@ -75,8 +92,9 @@ def find_secrets(docs: DataFrame, ranks_path: str, pattern: str, text: str = "te
     """docs with base_spans and spans: arrays of struct(kind, start, end), sorted by start, then kind.
 
     Offsets are code points, the end exclusive. spans holds the base spans and those of the efficiency
-    test: runs of at least 20 key characters with fewer than `ratio` characters a token that are neither
-    known digests nor identifiers and do not overlap a base span. A null or empty text has none. Whole
+    test: runs of at least 16 key characters, or parts of them between / and =, with fewer than `ratio`
+    characters a token that are neither known digests nor identifiers and do not overlap a base span. A run
+    of letters in one case counts by the lower WORD_RATIOS, as it may be a long word. A null or empty text has none. Whole
     texts are searched. Repeated rows stay; an input column with an output's name is replaced.
     """
 

@@ -1,10 +1,13 @@
 import hashlib
+import random
 import re
-
-from attriq.llm.queries import QUERIES
-from attriq.llm.secrets import base_spans
+import string
 
 import public_tokenizers as P
+import pytest
+
+from attriq.llm.queries import QUERIES
+from attriq.llm.secrets import Efficiency, base_spans, find_secrets
 
 
 def brute(text):
@@ -43,3 +46,34 @@ def test_query(spark, tmp_path):
     by = {r["doc_id"]: r["spans"] for r in out}
     n = len(CASES)
     assert by[n] == "random:4:28" and by[n + 1] == by[n + 2] == ""
+
+
+RANDOM = {
+    "letters": string.ascii_letters, "letters and digits": string.ascii_letters + string.digits, "lower and digits": string.ascii_lowercase + string.digits,
+    "upper and digits": string.ascii_uppercase + string.digits, "base64": string.ascii_letters + string.digits + "+/", "lower": string.ascii_lowercase,
+}
+
+
+@pytest.mark.parametrize(("kind", "size", "least"), [(k, n, 0.9) for k in RANDOM for n in (20, 24, 40) if (k, n) != ("lower", 20)] + [("lower", 20, 0.85)] + [(k, n, 0.9) for k in RANDOM if k != "lower" for n in (16, 18)])
+def test_recall(kind, size, least):
+    """Random strings are found; letters in one case of under 20 characters, which may be words, mostly aren't."""
+    test = Efficiency(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 2.2)
+    rnd = random.Random(size)
+    found = sum(bool(test.spans(f"key {''.join(rnd.choices(RANDOM[kind], k=size))} end")) for _ in range(200))
+    assert found >= least * 200
+
+
+def test_left_alone():
+    test = Efficiency(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 2.2)
+    for x in ("antidisestablishmentarianism", "services/production/application/credentials", "get_user_name_from_database", "d41d8cd98f00b204e9800998ecf8427e", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "2024-01-02/2025-03-04", "Donaudampfschifffahrtsgesellschaft"):
+        assert not test.spans(f"see {x} there"), x
+    path = "services/production/application/credentials/qzXvkJwpBmhgTrnfdLsc1234"
+    assert [path[a:b] for a, b, _ in test.spans(path)] == ["qzXvkJwpBmhgTrnfdLsc1234"]
+
+
+def test_empty_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "secret=abcdefghijklmnop", "x", "y")], "doc_id long, text string, spans string, Base_Spans string")
+    args = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    assert find_secrets(df.limit(0), *args).count() == 0
+    row = find_secrets(df, *args).first()
+    assert [x["kind"] for x in row["spans"]] == ["assign"] and row["base_spans"] == row["spans"]
