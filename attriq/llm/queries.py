@@ -110,7 +110,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512, fit=True).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
 
 
 QUERIES = {

@@ -50,6 +50,7 @@ class PrefixCounter:
         self.units: dict[str, int] = {}
         self.pieces: dict[str, int] = {}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.tables: dict[bytes, list[int]] = {}
 
     def _merge(self, text: bytes) -> list[bytes]:
         """The encoding itself, by merging the pair of least rank first."""
@@ -79,7 +80,18 @@ class PrefixCounter:
         return known
 
     def prefixes(self, piece: bytes) -> list[int]:
-        """Token counts of the first 0, 1, ... bytes of a piece of the split rule."""
+        """Token counts of the first 0, 1, ... bytes of a piece of the split rule; those of short pieces are kept."""
+        known = self.tables.get(piece)
+        if known is not None:
+            return known
+        count = self._prefixes(piece)
+        if len(piece) <= 32:
+            if len(self.tables) > self.limit // 4:
+                self.tables.clear()
+            self.tables[piece] = count
+        return count
+
+    def _prefixes(self, piece: bytes) -> list[int]:
         vocab, pair = self.vocab, self._pair
         last: list[bytes] = [b""]
         count = [0]
@@ -159,6 +171,18 @@ class PrefixCounter:
                 base_seg = base - sum(map(self._piece, pieces[keep:]))
         return out
 
+    def within(self, text: str, total: int, budget: int) -> int:
+        """Most code points of a prefix of text, which has `total` tokens, whose count is within the budget: read from the table of the prefixes that come near it."""
+        if total <= budget:
+            return len(text)
+        # A prefix has no more tokens than its bytes; the count seldom falls from one prefix to the next, and by a few at most.
+        end = min(len(text), 4 * budget + 64)
+        while True:
+            table = self.table(text[:end])
+            if end == len(text) or table[-1] > budget + 32:
+                return longest_within(table, budget)
+            end = min(len(text), 2 * end)
+
     def _segment(self, text: str) -> int:
         return sum(map(self._piece, self.split.findall(text)))
 
@@ -209,8 +233,11 @@ def counter(path: str) -> PrefixCounter:
     return _made[path]
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = 512, keep_table: bool = False) -> DataFrame:
-    """docs with n_bytes, n_tokens and over_limit (and prefix_tokens: the count of every prefix).
+def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = 512, keep_table: bool = False, fit: bool = False) -> DataFrame:
+    """docs with n_bytes, n_tokens and over_limit (and prefix_tokens: the count of every prefix; and fit_chars).
+
+    fit_chars is the number of code points of the longest prefix that has at most `limit` tokens, read from
+    the prefix counts; nothing is encoded for it.
 
     A null text counts as empty: 0 bytes, 0 tokens. Whole texts are counted, however long. Repeated rows
     stay, with equal counts; an empty table gives an empty table. An input column with the name of an
@@ -227,6 +254,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
                 out["n_tokens"] = [t[-1] for t in out["prefix_tokens"]]
             else:
                 out["n_tokens"] = list(map(own.count, texts))
+            if fit:
+                out["fit_chars"] = [own.within(x, n, limit) for x, n in zip(texts, out["n_tokens"], strict=True)]
             yield out | {"over_limit": [n > limit for n in out["n_tokens"]]}
 
-    return with_python(docs, "n_bytes long, n_tokens long, over_limit boolean" + ", prefix_tokens array<int>" * keep_table, counts, q(text))
+    return with_python(docs, "n_bytes long, n_tokens long, over_limit boolean" + ", prefix_tokens array<int>" * keep_table + ", fit_chars long" * fit, counts, q(text))

@@ -30,6 +30,12 @@ def test_budget():
         assert longest_within(t, n) == max(i for i in range(len(x) + 1) if number(x[:i]) <= n)
 
 
+@settings(max_examples=150, deadline=None)
+@given(TEXTS, st.integers(0, 12))
+def test_longest_prefix(x, budget):
+    assert OWN.within(x, OWN.count(x), budget) == max(i for i in range(len(x) + 1) if number(x[:i]) <= budget)
+
+
 def test_operator(spark):
     rows = [(1, "hello world", 5), (None, None, 6), (3, "", 7), (3, "", 7), (4, "ab " * 40_000, 8), (5, "z" * 50_000, 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
@@ -47,3 +53,6 @@ def test_query(spark, sf):
     texts = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     out = QUERIES["op10_token_counts"](spark, sf).collect()
     assert len(out) == len(texts) and all(r["n_tokens"] == number(texts[r["doc_id"]]) for r in out)
+    for r in out:
+        x, n = texts[r["doc_id"]], r["fit_chars"]
+        assert number(x[:n]) <= 512 and (n == len(x) or all(number(x[:k]) > 512 for k in range(n + 1, min(len(x), n + 4) + 1)))
