@@ -63,15 +63,13 @@ def features(text: str | None) -> np.ndarray:
 def _descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: np.ndarray, epochs: int) -> tuple[np.ndarray, float]:
     """L1-loss support vector machine by dual coordinate descent over rows scaled by r to unit length, with a bias input."""
     w, bias, alpha = np.zeros(len(r), dtype=np.float64), 0.0, np.zeros(len(rows))
-    values = []
-    for x in rows:
-        v = r[x]
-        values.append(v / (np.sqrt(v @ v) or 1.0))
+    size = np.array([np.sqrt(r[x] @ r[x]) or 1.0 for x in rows])
     order = np.random.default_rng(7)
     for _ in range(epochs):
         worst = 0.0
         for i in order.permutation(len(rows)):
-            x, v = rows[i], values[i]
+            x = rows[i]
+            v = r[x] / size[i]
             gradient = y[i] * (w[x] @ v + bias) - 1
             new = min(max(alpha[i] - gradient / (v @ v + 1), 0.0), cost[i])
             step = new - alpha[i]

@@ -58,3 +58,37 @@ def test_query(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     held = [(labels[r["doc_id"]], r["predicted"]) for r in got if r["held_out"] and r["doc_id"] in labels]
     assert np.mean([a == b for a, b in held]) > 0.95 and spark.range(1).select(crc_mod(F.lit(None).cast("long"), 5)).first()[0] == 0
+
+
+def test_scores_by_brute_force(spark):
+    """Log-count ratios by counting, and every score of the query from weights and ratios by plain loops."""
+    import math
+
+    import xxhash
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect()}
+    use = sorted(i for i in labels if i in texts and zlib.crc32(str(i).encode()) % 5 != 0)
+    model = Model(fit([texts[i] for i in use], np.array([labels[i] for i in use])))
+    folds = [xxhash.xxh64_intdigest((texts[i] or "").encode(), 5) % 5 == 0 for i in use]
+    counts = [[1.0] * (1 << 18), [1.0] * (1 << 18)]
+    for i, held in zip(use, folds, strict=True):
+        if not held:
+            for k in features(texts[i]).tolist():
+                counts[labels[i]][k] += 1
+    totals = [sum(c) for c in counts]
+    ratio = [math.log(counts[1][k] / totals[1]) - math.log(counts[0][k] / totals[0]) for k in range(1 << 18)]
+    assert np.allclose(model.weights[1], ratio, atol=1e-5)
+
+    def score(text):
+        places = features(text).tolist()
+        size = math.sqrt(sum(ratio[k] ** 2 for k in places)) or 1.0
+        margin = sum(float(model.weights[0][k]) * ratio[k] / size for k in places) + model.bias
+        return 1 / (1 + math.exp(-(model.slope * margin + model.offset)))
+
+    out = QUERIES["op3_quality_classifier"](spark, sf).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        want = score(texts[r["doc_id"]])
+        assert abs(r["score"] - want) < 1e-4 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
