@@ -17,7 +17,7 @@ PROBE = 4
 #: Bytes of benchmark text that are searched for in one pass over the documents.
 BLOCK_BYTES = 32 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_CACHE = 300_000
+_CACHE = 100_000
 
 
 class _Hashes(dict):

@@ -24,7 +24,7 @@ FLUSH, BATCH = 3_000_000, 500_000
 #: Bytes of input for each shard of the tables, about.
 SHARD_BYTES = 16 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_CACHE = 300_000
+_CACHE = 100_000
 
 PAIR_COLUMNS = [("key", "<u8"), ("count", "<u4")]
 WORD_COLUMNS = [("key", "<u8"), ("count", "<u8"), ("before", "<u8"), ("total", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")]

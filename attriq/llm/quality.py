@@ -14,7 +14,7 @@ from attriq.llm.common import map_arrow, only, q, with_python
 
 #: Hashed n-grams are told apart by so many bits.
 BITS = 18
-_CACHE = 300_000
+_CACHE = 100_000
 
 
 class _Known(dict):
