@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attriq.llm import chat, language_model
-from attriq.llm.common import crc_mod, q, table
+from attriq.llm.common import crc_mod, cut, q, table
 from attriq.llm.decontaminate import find_passages
 from attriq.llm.imatch import compare_edited
 from attriq.llm.line_dedup import drop_shared_lines
@@ -42,8 +42,10 @@ FROM marked GROUP BY doc_id
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = crc_mod(F.col("doc_id"), 7) == 2
-    scored = language_model.score_texts(docs, language_model.train(docs.filter(~out)))
-    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    model = language_model.train(docs.filter(~out), order=3)
+    scored = cut(language_model.score_texts(docs, model).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+    language_model.remove(spark, model)
+    return scored
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
