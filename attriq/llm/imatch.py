@@ -2,149 +2,161 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attriq.llm.common import cut, q
 
-#: (bits, number): so many random subsets of the lexicon hold each term with probability 2 ** -bits. Small
-#: subsets tell how much long texts share, large ones short texts.
-SUBSETS = ((2, 2), (4, 4), (6, 10), (8, 10), (10, 6))
-#: Lexicon terms that may be broadcast; beyond, the join on the term shuffles.
-FEW = 1_000_000
+#: Document frequencies are counted in so many (2 ** SLOT_BITS) slots of the terms' hashes.
+SLOT_BITS = 20
+#: Random subsets of each density, and densities (each half the one before) of a signature.
+SUBSETS, DENSITIES = 12, 3
+#: A text of which the band keeps less than this share of its terms is signed by all its terms.
+LEAST_SHARE = 0.2
+#: Density at which a subset most likely holds what two half-equal texts share and nothing else, times the number of terms.
+BEST = 0.81
 
 
 def terms(text: Column) -> Column:
-    """Distinct terms: runs of letters and digits, lower-cased."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(text), "[^\\p{L}\\p{N}]+")), "")
+    """Hashes of the distinct terms: runs of letters and digits, lower-cased."""
+    found = F.array_remove(F.array_distinct(F.split(F.lower(text), "[^\\p{L}\\p{N}]+")), "")
+    return F.transform(found, lambda t: F.xxhash64(t))
+
 
+def slot(term: Column) -> Column:
+    return F.shiftrightunsigned(term, 64 - SLOT_BITS).cast("int")
 
-def lexicon(docs: DataFrame, text: str = "text", low: float = 0.002, high: float = 0.01) -> DataFrame:
-    """(term, subsets): terms in at least `low` and at most `high` of all documents, with the subsets that hold each as bits.
 
-    That is the chosen band of inverse document frequency, between log(1 / high) and log(1 / low), counted
-    over all documents. As no document frequency is under low * documents, there are at most
-    mean distinct terms of a document / low such terms, however many documents there are.
+def frequent(docs: DataFrame, text: str, high: float) -> bytes:
+    """A byte for each slot: 1 if terms of that slot are in over `high` of all documents.
+
+    Slots take the place of terms, so that counting takes bounded memory however large the vocabulary; a
+    slot holds mean terms of a document / 2 ** SLOT_BITS of the documents by chance, far less than `high`
+    at any size. There are at most (mean terms / high) frequent slots, and never more than all of them.
     """
     n = docs.count()
-    found = docs.select(F.explode(terms(q(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    band = found.filter((F.col("df") >= low * n) & (F.col("df") <= max(high * n, 1)))
-    bits = [b for b, k in SUBSETS for _ in range(k)]
-    holds = [F.when(F.shiftrightunsigned(F.xxhash64("term", F.lit(j)), 64 - b) == 0, F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j, b in enumerate(bits)]
-    return cut(band.select("term", reduce(lambda a, b: a.bitwiseOR(b), holds).alias("subsets")).filter("subsets <> 0"))
+    counted = docs.select(F.explode(terms(F.coalesce(q(text), F.lit("")))).alias("t")).groupBy(slot(F.col("t")).alias("slot")).agg(F.count("*").alias("df"))
+    out = bytearray(1 << SLOT_BITS)
+    for r in counted.filter(F.col("df") > max(high * n, 1)).select("slot").collect():
+        out[r["slot"]] = 1
+    return bytes(out)
 
 
-def _signature(found: Column, whole: Column) -> Column:
-    """The hash of all terms, then one of each subset's sorted terms; null for a subset without terms. found: sorted (term, subsets)."""
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def one(j: int) -> Column:
-        own = F.filter(found, lambda x: x["subsets"].bitwiseAND(F.lit(1 << j)) != 0)["term"]
-        return F.when(F.size(own) > 0, F.xxhash64(own))
 
-    return F.array(whole, *[one(j) for j in range(sum(k for _, k in SUBSETS))])
+def signature(text: Column, stop: bytes) -> Column:
+    """struct(octave, whole, hashes) of a text.
 
+    The terms of the inverse document frequency band, those in none of the frequent slots, are sorted; each
+    lexicon subset keeps a term by a random hash, and a hash of those kept is the subset's, null if none
+    is. The densest subsets keep one of 2 ** (octave - 1) terms; the octave goes by the number of terms.
+    whole is the hash of all terms.
+    """
+    rare = lambda t: F.substring(F.lit(stop), slot(t) + 1, F.lit(1)) == F.lit(b"\x00")
 
-def likeness(a: Column, b: Column) -> Column:
-    """The share of equal hashes among those that either signature has."""
-    pairs = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), F.lit(None)).otherwise(F.coalesce(x == y, F.lit(False)).cast("int")))
-    known = F.filter(pairs, lambda x: x.isNotNull())
-    return F.aggregate(known, F.lit(0), lambda s, x: s + x) / F.size(known)
+    def subset(kept: Column, at: Column) -> Column:
+        mask = F.pow(F.lit(2.0), F.floor(at / SUBSETS)).cast("long") - 1
+        own = F.filter(kept, lambda t: F.xxhash64(t, at).bitwiseAND(mask) == 0)
+        return F.when(F.size(own) > 0, F.shiftright(F.xxhash64(own), 32).cast("int"))
 
+    def signed(every: Column) -> Column:
+        band = let(F.filter(every, rare), lambda kept: F.when(F.size(kept) >= LEAST_SHARE * F.size(every), kept).otherwise(every))
+        return let(F.array_sort(band), lambda kept: over(every, kept, F.greatest(F.round(F.log2(F.greatest(F.size(kept), F.lit(1)) / BEST)), F.lit(1)).cast("int")))
 
-def written(signature: Column) -> Column:
-    """A signature as text: hex digits of 32 bits of each hash, nothing for a null, with colons."""
-    return F.array_join(F.transform(signature, lambda x: F.coalesce(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(""))), ":")
+    def over(every: Column, kept: Column, octave: Column) -> Column:
+        first = (octave - 1) * SUBSETS
+        hashes = F.transform(F.sequence(first, first + (SUBSETS * DENSITIES - 1)), lambda at: subset(kept, at))
+        return F.struct(octave.alias("octave"), F.shiftright(F.xxhash64(F.array_sort(every)), 32).cast("int").alias("whole"), hashes.alias("hashes"))
 
+    return let(terms(text), signed)
 
-def with_signatures(rows: DataFrame, words: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """rows with a signature for each {signature column: text column}, without the texts.
 
-    Each row must differ from others in what is left of it. The terms meet the lexicon where they are, by a
-    broadcast, and a row's terms are gathered again by partial aggregates before they move.
-    """
-    kept = [c for c in rows.columns if c not in texts.values()]
-    versions = F.array(*[F.struct(F.lit(v).alias("version"), F.col(c).alias("text")) for v, c in enumerate(texts.values())])
-    apart = rows.select(*kept, F.explode(versions).alias("v")).select(*kept, "v.version", F.sort_array(terms(F.col("v.text"))).alias("terms"))
-    # The empty term, which the lexicon gets too, so that each text meets one term at least; it alone has a hash of all terms.
-    met = apart.select(*kept, "version", F.xxhash64("terms").alias("whole"), F.explode(F.array_append("terms", F.lit(""))).alias("term"))
-    every = words.unionByName(words.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("subsets")))
-    met = met.join(F.broadcast(every) if words.count() <= FEW else every, "term")
-    lists, wholes = {}, {}
-    for v, k in enumerate(texts):
-        mine = F.col("version") == v
-        lists[k] = F.collect_list(F.when(mine & (F.col("subsets") != 0), F.struct("term", "subsets"))).alias(f"terms_{k}")
-        wholes[k] = F.max(F.when(mine & (F.col("subsets") == 0), F.col("whole"))).alias(f"whole_{k}")
-    found = met.groupBy(*kept).agg(*lists.values(), *wholes.values())
-    found = found.withColumns({f"terms_{k}": F.sort_array(f"terms_{k}") for k in texts})
-    return found.select(*kept, *[_signature(F.col(f"terms_{k}"), F.col(f"whole_{k}")).alias(k) for k in texts])
-
-
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", low: float = 0.002, high: float = 0.01) -> DataFrame:
+def likeness(a: Column, b: Column) -> Column:
+    """1 for signatures of equal terms; else the share of equal hashes among those of the subsets common to both that either has, 0 if there are none."""
+    last = SUBSETS * DENSITIES - 1
+    step = (a["octave"] - b["octave"]) * SUBSETS
+    mine = F.filter(F.sequence(F.lit(0), F.lit(last)), lambda j: (j + step).between(0, last))
+    pairs = F.transform(mine, lambda j: F.struct(F.get(a["hashes"], j).alias("x"), F.get(b["hashes"], j + step).alias("y")))
+    known = F.filter(pairs, lambda p: p["x"].isNotNull() | p["y"].isNotNull())
+    same = F.filter(known, lambda p: p["x"] == p["y"])
+    return F.when(a["whole"] == b["whole"], 1.0).otherwise(F.coalesce(F.size(same) / F.nullif(F.size(known), F.lit(0)), F.lit(0.0)))
+
+
+def written(s: Column) -> Column:
+    """A signature as text: the octave, then hex digits of each hash, nothing for a null, with colons."""
+    digits = F.transform(s["hashes"], lambda x: F.coalesce(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit("")))
+    return F.concat_ws(":", s["octave"].cast("string"), F.lower(F.hex(s["whole"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.array_join(digits, ":"))
+
+
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", high: float = 0.01) -> DataFrame:
     """(id, fingerprint) of each row: equal texts have equal fingerprints.
 
     A null text counts as empty, whole texts are read, repeated rows stay, null ids are kept and other
-    columns don't matter; an empty table gives an empty table. Texts without terms in the band are told
-    apart by the hash of all their terms.
+    columns don't matter; an empty table gives an empty table. Frequencies are counted over all documents.
     """
-    rows = docs.select(q(id).alias("id"), F.coalesce(q(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    return with_signatures(rows, lexicon(docs, text, low, high), {"signature": "text"}).select(F.col("id").alias(id), written(F.col("signature")).alias("fingerprint"))
+    stop = frequent(docs, text, high)
+    return docs.select(q(id).alias(id), written(signature(F.coalesce(q(text), F.lit("")), stop)).alias("fingerprint"))
 
 
-def in_order(docs: DataFrame, id: str, text: str, n: int) -> tuple[DataFrame, dict[int, int]]:
-    """(bucket, place, id, text, next_text, last) of all rows in descending order of id (null last, ties by text, descending), and each bucket's successor.
+def neighbours(rows: DataFrame) -> DataFrame:
+    """(k1, k2, id, n, next1, next2, prev1, prev2, want) of the distinct rows(k1, k2, id, half): each one's neighbours in descending order of id.
 
-    Buckets are ranges of ids between quantiles, so the order is found in parallel; each bucket's last row
-    meets the first text of the next bucket, and the last of all that of the first, as one row more.
+    Null ids come last, equal ids go by key; the last one's next is the first. want is the half of the one
+    before. The keys alone are sorted, by ranges; one row of each range tells the others where it begins and ends.
     """
-    spark = docs.sparkSession
-    rows = docs.select(q(id).cast("long").alias("id"), F.coalesce(q(text), F.lit("")).alias("text"))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n // 3000, 20_000))
-    asked = [k / buckets for k in range(1, buckets)]
-    cuts = sorted(set(rows.select(F.col("id").cast("double").alias("at")).approxQuantile("at", asked, 0.25 / buckets))) if asked else []
-    if len(cuts) >= 1:
-        split = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="at", outputCol="b", handleInvalid="keep")
-        placed = split.transform(rows.withColumn("at", F.col("id").cast("double")))
-        placed = placed.select(F.when(F.col("id").isNull(), 1).otherwise(-F.col("b")).cast("int").alias("bucket"), "id", "text")
-    else:
-        placed = rows.select(F.when(F.col("id").isNull(), 1).otherwise(0).alias("bucket"), "id", "text")
-    firsts = placed.groupBy("bucket").agg(F.max("id").alias("id")).orderBy("bucket").collect()  # one number a bucket
-    order = [r["bucket"] for r in firsts]
-    after = {b: order[(k + 1) % len(order)] for k, b in enumerate(order)}
-    before = {v: k for k, v in after.items()}
-    heads = spark.createDataFrame([(r["bucket"], r["id"], before[r["bucket"]]) for r in firsts], "bucket_b int, id_b long, bucket int")
-    first = rows.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("id_b"))).groupBy("bucket").agg(F.max("text").alias("text"))
-    every = placed.withColumn("more", F.lit(0)).unionByName(first.select("bucket", F.lit(None).cast("long").alias("id"), "text", F.lit(1).alias("more")))
-    w = Window.partitionBy("bucket").orderBy("more", F.col("id").desc_nulls_last(), F.col("text").desc())
-    every = every.select("bucket", "id", "text", "more", F.row_number().over(w).alias("place"), F.lead("text").over(w).alias("next_text"), F.lead("more").over(w).alias("last"))
-    return every.filter("more = 0").drop("more"), after
-
-
-def compare_edited(docs: DataFrame, id: str = "doc_id", text: str = "text", low: float = 0.002, high: float = 0.01) -> DataFrame:
+    spark = rows.sparkSession
+    order = [F.col("id").desc_nulls_last(), F.col("k1"), F.col("k2")]
+    alike = cut(rows.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("half").alias("half"), F.count("*").alias("n")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(alike.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    w = Window.partitionBy("part").orderBy(*order)
+    at = {"next1": F.lead("k1").over(w), "next2": F.lead("k2").over(w), "prev1": F.lag("k1").over(w), "prev2": F.lag("k2").over(w), "want": F.lag("half").over(w)}
+    inside = cut(placed.withColumns(at))
+    heads = inside.filter("prev1 is null").select("part", F.col("k1").alias("first1"), F.col("k2").alias("first2"))
+    tails = inside.filter("next1 is null").select("part", F.col("k1").alias("last1"), F.col("k2").alias("last2"), F.col("half").alias("last_half"))
+    ring, whole = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row a partition
+    after = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(whole)).alias(f"after_{c}")
+    before = lambda c: F.coalesce(F.lag(c).over(ring), F.last(c).over(whole)).alias(f"before_{c}")
+    ends = heads.join(tails, "part").select("part", *map(after, ("first1", "first2")), *map(before, ("last1", "last2", "last_half")))
+    out = inside.join(F.broadcast(ends), "part")
+    pick = {"next1": "after_first1", "next2": "after_first2", "prev1": "before_last1", "prev2": "before_last2", "want": "before_last_half"}
+    return out.select("k1", "k2", "id", "n", *[F.coalesce(k, v).alias(k) for k, v in pick.items()])
+
+
+def compare_edited(docs: DataFrame, id: str = "doc_id", text: str = "text", high: float = 0.01) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
 
     A text's edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all)
     of the next document's, in descending order of id, the first's after the last. Null texts are empty; null
-    ids come last; rows with equal ids go by text, descending; one row is its own next. An empty table gives
-    an empty table. Other columns don't matter.
+    ids come last; rows with equal ids go by a hash, equal rows follow each other; one row is its own next.
+    An empty table gives an empty table. Other columns don't matter.
+
+    Texts are dealt once, by a key; what a text needs of the next one, half its own length at most, comes to it.
     """
-    words = lexicon(docs, text, low, high)
-    n = docs.count()
-    rows, after = in_order(docs, id, text, n)
-    size, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), size - half), F.substr("next_text", F.lit(1), half))
-    rows = rows.select("bucket", "place", "last", "id", size.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    signed = cut(with_signatures(rows, words, {"own": "text", "changed": "edited"}))  # read twice below
-    jump = F.create_map(*[F.lit(x) for pair in after.items() for x in pair]) if after else F.lit(None).cast("map<int,int>")
-    ends = F.col("last") == 1
-    signed = signed.withColumn("to_bucket", F.when(ends, F.element_at(jump, F.col("bucket"))).otherwise(F.col("bucket"))).withColumn("to_place", F.when(ends, 1).otherwise(F.col("place") + 1))
-    following = signed.select(F.col("bucket").alias("bucket_b"), F.col("place").alias("place_b"), F.col("own").alias("following"))
-    both = signed.join(following, (F.col("to_bucket") == F.col("bucket_b")) & (F.col("to_place") == F.col("place_b")))
-    return both.select(
+    stop = frequent(docs, text, high)
+    whole = F.coalesce(q(text), F.lit(""))
+    name = F.coalesce(q(id).cast("string"), F.lit("-"))
+    rows = docs.select(q(id).alias("id"), whole.alias("text"), F.xxhash64(name, whole).alias("k1"), F.xxhash64(F.lit(7), whole, name).alias("k2"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    order = cut(neighbours(rows.select("k1", "k2", "id", half.alias("half"))))
+    texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(order, ["k1", "k2"])
+    lent = texts.select(F.col("prev1").alias("b1"), F.col("prev2").alias("b2"), F.substr("text", F.lit(1), F.col("want")).alias("lent"))
+    both = texts.join(lent, (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")))
+    # Equal rows follow each other: all but the last of them have their own text next.
+    copies = both.withColumn("inner", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "n"), lambda k: k < F.col("n"))))
+    size = F.length("text")
+    edited = F.concat(F.substr("text", F.lit(1), size - half), F.when(F.col("inner"), F.substr("text", F.lit(1), half)).otherwise(F.col("lent")))
+    made = copies.select("k1", "k2", "next1", "next2", "inner", "id", size.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    made = made.select(*[c for c in made.columns if c not in ("text", "edited")], F.sha2("edited", 256).alias("edited_sha256"), signature(F.col("text"), stop).alias("own"), signature(F.col("edited"), stop).alias("changed"))
+    signed = cut(made)  # read twice below
+    following = signed.filter(~F.col("inner")).select(F.col("k1").alias("next1_b"), F.col("k2").alias("next2_b"), F.col("own").alias("following"))
+    out = signed.join(following, (F.col("next1") == F.col("next1_b")) & (F.col("next2") == F.col("next2_b")))
+    following = F.when(F.col("inner"), F.col("own")).otherwise(F.col("following"))
+    return out.select(
         F.col("id").alias(id), "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), following).alias("near_next"),
     )

@@ -102,7 +102,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"), low=0.002, high=0.01)
+    return compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"), high=0.01)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
