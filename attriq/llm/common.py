@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,6 +19,18 @@ from pyspark.sql.types import StructType
 SPACE = "[\\x20\\x09-\\x0D]"
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches; behind the last, what the worker's allocators keep of them goes back to the system, as workers live on for other tasks."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,8 +103,7 @@ def with_python(df: DataFrame, schema: str, fn: Callable[[Iterator[tuple]], Iter
     (at,) = fresh([*df.columns, *new], "made")
 
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for out in fn(tuple(s.tolist() for s in x) for x in batches):
-            yield pd.DataFrame({n: pd.Series(out[n], dtype=object) for n in new})
+        return released(pd.DataFrame({n: pd.Series(out[n], dtype=object) for n in new}) for out in fn(tuple(s.tolist() for s in x) for x in batches))
 
     def run_one(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         return run((s,) for s in batches)
@@ -112,8 +125,7 @@ def map_arrow(df: DataFrame, schema: str, fn: Callable[[Iterator[dict[str, list]
                     part = b.slice(at, rows)
                     yield {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
 
-        for out in fn(pieces()):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in to], schema=to)
+        return released(pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in to], schema=to) for out in fn(pieces()))
 
     return df.mapInArrow(run, kind)
 
@@ -142,8 +154,11 @@ def with_arrow(df: DataFrame, schema: str, fn: Callable[[Iterator[tuple]], Itera
                     current[:] = [part]
                     yield tuple(part.column(passed + i).to_pylist() for i in range(given))
 
-        for out in fn(pieces()):
-            arrays = [*current[0].columns[:passed], *[pa.array(out[f.name], f.type) for f in to]]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new])
+        def made() -> Iterator[pa.RecordBatch]:
+            for out in fn(pieces()):
+                arrays = [*current[0].columns[:passed], *[pa.array(out[f.name], f.type) for f in to]]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new])
+
+        return released(made())
 
     return ready.mapInArrow(run, out_kind)
