@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def train(features: DataFrame, trees: int = 50, depth: int = 4, seed: int = 1) -> GBTClassificationModel:
@@ -28,3 +33,67 @@ def score(model: GBTClassificationModel, features: DataFrame) -> DataFrame:
     checked = F.when(F.size("features") == n, F.col("features")).otherwise(F.raise_error(F.lit(f"a candidate hasn't {n} features")))
     out = model.transform(features.select("record_id", "aid", array_to_vector(checked).alias("x")))
     return out.select("record_id", "aid", vector_to_array("probability")[1].alias("score"))
+
+
+@dataclass(frozen=True)
+class TextModel:
+    """Boosted trees read from their text form: for each tree the split features, thresholds, kinds of decisions, children and leaf values."""
+
+    features: int
+    sigmoid: float
+    trees: tuple[dict[str, np.ndarray], ...]
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """The sum of the leaves of rows x; each tree takes all rows down a level at a time."""
+        out = np.zeros(len(x))
+        for t in self.trees:
+            at = np.zeros(len(x), dtype=np.int64) if len(t["split"]) else np.full(len(x), -1)
+            while (open_ := np.flatnonzero(at >= 0)).size:
+                node = at[open_]
+                value, kind = x[open_, t["split"][node]], t["kind"][node]
+                missing = (kind >> 2) & 3  # none, zero or NaN stands for missing
+                value = np.where(np.isnan(value) & (missing != 2), 0.0, value)
+                gone = np.where(missing == 1, np.abs(value) <= 1e-35, (missing == 2) & np.isnan(value))
+                left = np.where(gone, (kind & 2) > 0, value <= t["threshold"][node])
+                at[open_] = np.where(left, t["left"][node], t["right"][node])
+            out += t["leaf"][~at]
+        return out
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.sigmoid * self.raw(x)))
+
+
+def parse_text(text: str) -> TextModel:
+    """A model of numeric splits with a binary objective; other kinds are an error."""
+    head, *blocks = text.split("\nTree=")
+    fields = lambda block: dict(line.split("=", 1) for line in block.splitlines() if "=" in line)
+    top = fields(head)
+    objective = top.get("objective", "").split()
+    if objective[:1] != ["binary"]:
+        raise ValueError("only binary objectives are read")
+    sigmoid = next((float(o.split(":")[1]) for o in objective if o.startswith("sigmoid:")), 1.0)
+    trees = []
+    for block in blocks:
+        t = fields(block.split("end of trees")[0])
+        number = lambda name, kind: np.array(t.get(name, "").split(), dtype=kind)  # noqa: E731, B023
+        tree = {"split": number("split_feature", np.int64), "threshold": number("threshold", float), "kind": number("decision_type", np.int64), "left": number("left_child", np.int64), "right": number("right_child", np.int64), "leaf": number("leaf_value", float)}
+        if (tree["kind"] & 1).any():
+            raise ValueError("categorical splits aren't read")
+        trees.append(tree)
+    return TextModel(int(top["max_feature_idx"]) + 1, sigmoid, tuple(trees))
+
+
+def load_text(spark: SparkSession, path: str) -> TextModel:
+    return parse_text(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def score_text(model: TextModel, features: DataFrame) -> DataFrame:
+    """(record_id, aid, score) by a model read from text; features of another length fail the job."""
+
+    @F.pandas_udf(DoubleType())
+    def probability(x: pd.Series) -> pd.Series:
+        return pd.Series(model.probability(np.stack(x.to_numpy()).astype(float))) if len(x) else pd.Series([], dtype=float)
+
+    n = model.features
+    checked = F.when(F.size("features") == n, F.col("features")).otherwise(F.raise_error(F.lit(f"a candidate hasn't {n} features")))
+    return features.select("record_id", "aid", probability(checked).alias("score"))

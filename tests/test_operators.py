@@ -1,5 +1,7 @@
 """Boundary rows and plans."""
 
+import math
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 from attriq.config import Gate
 from attriq.functions import names, text
 from attriq import sources
-from attriq.operators import arbiter, decide, joins, metrics, ranking, recall, sets, subtype
+from attriq.__main__ import main
+from attriq.operators import arbiter, decide, joins, metrics, ranking, recall, scorer, sets, subtype
 from attriq.plans import fixtures as fx
 from attriq.plans import pipeline, registry
 from attriq.sources import chat_service, sinks
@@ -256,8 +259,6 @@ def test_tokens_and_attributes(spark):
 
 
 def test_scorer(spark, tmp_path):
-    from attriq.operators import scorer
-
     rows = [(str(i), "a", [float(i % 2), float(i % 3)], i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "record_id string, aid string, features array<double>, label int")
     scorer.save(scorer.train(df, trees=3, depth=2), str(tmp_path / "m"))
@@ -286,3 +287,56 @@ def test_transfer_beyond_a_tenth(spark):
     scores = spark.createDataFrame([(r, "a", score) for r, _, score in rows], "record_id string, aid string, score double")
     got = {r["tuned_on"]: (r["ia"], r["ib"], r["tuned_f1"], r["other_f1"]) for r in arbiter.transfer(decisions, scores).collect()}
     assert got == {0: (0, 16, 1.0, 1.0), 1: (0, 16, 1.0, 1.0)}
+
+
+TREES = """tree
+max_feature_idx=1
+objective=binary sigmoid:2
+
+Tree=0
+num_leaves=3
+split_feature=0 1
+threshold=0.5 2
+decision_type=2 10
+left_child=-1 -2
+right_child=1 -3
+leaf_value=0.1 -0.2 0.4
+
+Tree=1
+num_leaves=1
+leaf_value=0.05
+
+end of trees
+"""
+
+
+def test_trees_from_text(spark, tmp_path):
+    (tmp_path / "m.txt").write_text(TREES)
+    model = scorer.load_text(spark, str(tmp_path / "m.txt"))
+    rows = [("a", [0.5, 9.0], 0.1), ("b", [0.6, 2.0], -0.2), ("c", [0.6, 2.1], 0.4), ("d", [float("nan"), 9.0], 0.1), ("e", [1.0, float("nan")], -0.2)]
+    df = spark.createDataFrame([("r", k, x) for k, x, _ in rows], "record_id string, aid string, features array<double>")
+    got = {r["aid"]: r["score"] for r in scorer.score_text(model, df).collect()}
+    for k, _, leaf in rows:
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-2 * (leaf + 0.05)))), k
+    with pytest.raises(Exception, match="2 features"):
+        scorer.score_text(model, df.withColumn("features", F.array(F.lit(1.0)))).collect()
+    with pytest.raises(ValueError):
+        scorer.parse_text(TREES.replace("decision_type=2 10", "decision_type=1 10"))
+
+
+def test_commands(spark, tmp_path):
+    (tmp_path / "sims.csv").write_text("record_id,aid,pub_id,title_sim,abstract_sim,venue_sim,org_sim,coauthor_count,coauthor_ratio,coauthor_org_match_count,year_diff\n1-0,a,p,0.9,0.1,0.9,0.9,3,0.5,1,0\n1-0,b,q,0.6,0.1,0.1,0.1,0,0,0,0\n2-0,a,p,0.3,0.1,0.1,0.1,0,0,0,0\n")
+    main(["candidates", str(tmp_path / "sims.csv"), "--out", str(tmp_path / "out")])
+    got = {r["record_id"]: r["subtype"] for r in spark.read.parquet(str(tmp_path / "out/classified")).collect()}
+    assert got == {"1-0": "P1-Strong", "2-0": "NONE"} and spark.read.parquet(str(tmp_path / "out/candidates")).count() == 2
+    head = "unass_record,predicted_author_id,ground_truth_author_id,num_candidates,subtype,strategy\n"
+    (tmp_path / "r.csv").write_text(head + '"1-0","a","a","1","P1-High","p1_high"\n"2-0","none","a","1","P0-Low","p0_low"\n"3-0","none","none","0","NONE","none"\n')
+    (tmp_path / "f.jsonl").write_text("".join(f'{{"unass_record": "{r}", "candidate_aid": "a", "features": [0.6, {x}]}}\n' for r, x in (("1-0", 1), ("2-0", 3))))
+    (tmp_path / "m.txt").write_text(TREES)
+    main(["gate", str(tmp_path / "r.csv"), "--features", str(tmp_path / "f.jsonl"), "--model", str(tmp_path / "m.txt"), "--out", str(tmp_path / "g"), "--theta-a", "0.5", "--theta-b", "0.6"])
+    got = {r["record_id"]: (r["predicted"], r["rule_applied"]) for r in sources.decisions(spark, str(tmp_path / "g")).collect()}
+    assert got == {"1-0": ("none", "A"), "2-0": ("a", "B"), "3-0": ("none", "skip")}
+    main(["submission", str(tmp_path / "r.csv"), "--out", str(tmp_path / "s")])
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "s")).collect()] == ['{"a":["1"]}']
+    with pytest.raises(SystemExit):
+        main(["candidates", "x", "--out", "y", "--shard", "4:4"])
