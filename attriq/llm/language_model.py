@@ -88,13 +88,20 @@ def _summed(columns: list[np.ndarray], *values: np.ndarray) -> tuple[list[np.nda
     """Sorted distinct rows of the columns, and the values' sums for each."""
     if not len(columns[0]):
         return columns, [v.astype(np.uint64) for v in values]
-    known, local = np.unique(np.concatenate(columns), return_inverse=True)
-    bits = np.uint64(max(1, int(len(known)).bit_length()))
-    if int(bits) * len(columns) < 64:  # rows packed in one number each sort faster
+    # Rows packed in one number each sort faster; a column takes the bits of its largest number or of its places among its distinct ones.
+    bits, parts = [int(c.max()).bit_length() for c in columns], list(columns)
+    for i in np.argsort(bits)[::-1] if sum(bits) > 64 else []:
+        known, parts[i] = np.unique(columns[i], return_inverse=True)
+        bits[i] = (len(known) - 1).bit_length()
+        if sum(bits) <= 64:
+            break
+    if sum(bits) <= 64:
         key = np.zeros(len(columns[0]), dtype=np.uint64)
-        for part in local.reshape(len(columns), -1):
-            key = (key << bits) | part.astype(np.uint64)
+        for part, n in zip(parts, bits, strict=True):
+            key = (key << np.uint64(n)) | part.astype(np.uint64) if n < 64 else part.astype(np.uint64)
+        del parts
         order = np.argsort(key, kind="stable")
+        del key
     else:
         order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
