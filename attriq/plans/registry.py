@@ -12,6 +12,7 @@ from attriq.functions import names, text
 from attriq.functions.vectors import cosine
 from attriq.operators import arbiter, decide, features, joins, metrics, prompts, ranking, recall, sets, subtype
 from attriq.plans import fixtures as fx
+from attriq.plans.pipeline import once
 from attriq.streaming import records as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,20 +33,26 @@ def _candidates(s, d) -> DataFrame:
     return recall.recall(fx.pair_sims(s, d))
 
 
-def _classified(s, d) -> DataFrame:
-    return subtype.classify(fx.records(s, d), _candidates(s, d))
+def _stage(s, d) -> DataFrame:
+    """The candidates as a stage table, for queries that need them more than once: pairs meet once."""
+    return once(_candidates(s, d))
 
 
-def _decisions(s, d) -> DataFrame:
+def _classified(s, d, candidates: DataFrame | None = None) -> DataFrame:
+    return subtype.classify(fx.records(s, d), _candidates(s, d) if candidates is None else candidates)
+
+
+def _decisions(s, d, candidates: DataFrame) -> DataFrame:
     """The top candidate of each record, but for some that are none or error, so that each rule has cases."""
-    c = _classified(s, d).join(fx.records(s, d), "record_id")
+    c = _classified(s, d, candidates).join(fx.records(s, d), "record_id")
     kind = F.when(F.col("subtype") == "NONE", "none").when(F.col("subtype").startswith("P2"), "auto").otherwise("judge")
     said = F.when(F.col("top.aid").isNull() | (F.col("pos") % 300 == 0), "none").when(F.col("pos") % 700 == 0, "error").otherwise(F.col("top.aid"))
     return c.select("record_id", "pos", "truth", "subtype", kind.alias("strategy"), said.alias("predicted"), "num_candidates")
 
 
 def _arbitrated(s, d) -> DataFrame:
-    return arbiter.arbitrate(_decisions(s, d), fx.scores(_candidates(s, d)))
+    c = _stage(s, d)
+    return arbiter.arbitrate(_decisions(s, d, c), fx.scores(c))
 
 
 # The tables of the decisions, written out once more for the twins.
@@ -190,8 +197,9 @@ def class_tables(s, d):
 @query(f"""WITH {fx.SQL_CANDIDATES}, {RULE_FIRST_SQL} SELECT k.record_id, k.kind, coalesce(CASE k.kind WHEN 'AUTO' THEN k.top_aid WHEN 'LLM-Co' THEN CASE WHEN r.pos % 200 = 0 THEN c.top_aid END WHEN 'LLM-NoCo' THEN c.top_aid END, 'none') AS predicted
   FROM kinds k JOIN classified c USING (record_id) JOIN records r USING (record_id)""")
 def merge_rule_first(s, d):
-    kinds = subtype.rule_first(fx.records(s, d), _candidates(s, d))
-    top = _classified(s, d).select("record_id", F.col("top.aid").alias("aid")).filter("aid is not null")
+    c = _stage(s, d)
+    kinds = once(subtype.rule_first(fx.records(s, d), c))
+    top = once(_classified(s, d, c).select("record_id", F.col("top.aid").alias("aid")).filter("aid is not null"))
     co = top.join(fx.records(s, d).filter("pos % 200 = 0"), "record_id", "left_semi")
     return joins.merge_rule_first(kinds, kinds.withColumnRenamed("top_aid", "aid"), co, top)
 
@@ -215,7 +223,8 @@ def class_reasons(s, d):
     WHEN subtype IN ('P1-Strong-Comp', 'P1-High-Comp', 'P1-Medium-Comp') AND NOT (coauthor_count >= 3 AND venue_sim >= 0.9) AND org_sim < 0.5 THEN 'low'
     WHEN subtype IN ('P1-Strong-Comp', 'P1-High-Comp', 'P1-Medium-Comp') AND NOT (coauthor_count >= 3 AND venue_sim >= 0.9) AND coauthor_count < 2 AND org_sim < 0.7 THEN 'low' ELSE 'high' END AS calibrated FROM q""")
 def confidence_calibration(s, d):
-    e = _candidates(s, d).join(_classified(s, d).select("record_id", "subtype"), "record_id")
+    c = _stage(s, d)
+    e = c.join(_classified(s, d, c).select("record_id", "subtype"), "record_id")
     e = e.withColumn("predicted", F.when(F.col("aid").cast("long") % 9 == 0, "none").otherwise(F.col("aid")))
     return e.select("record_id", "aid", decide.quantified_confidence().alias("quantified"), decide.calibrated_confidence(F.lit("high")).alias("calibrated"))
 
@@ -524,7 +533,7 @@ def seeded_sample(s, d):
 
 @query(f"WITH {fx.SQL_CANDIDATES}, {RULE_FIRST_SQL} SELECT r.record_id, r.truth, k.kind AS subtype FROM records r JOIN kinds k USING (record_id) WHERE k.kind = 'LLM-Co' AND r.pos % 3 <> 0 AND r.pos IN (SELECT l_orderkey FROM lineitem)")
 def co_cases(s, d):
-    r, c = fx.records(s, d), _candidates(s, d)
+    r, c = fx.records(s, d), _stage(s, d)
     kinds = subtype.rule_first(r, c).select("record_id", F.col("kind").alias("subtype"))
     truth = r.select("record_id", F.when(F.col("pos") % 3 == 0, "none").otherwise(F.col("truth")).alias("aid"))
     return sets.co_cases(r, truth, c, kinds, fx.papers(s, d).select(F.col("paper").cast("string").alias("pub_id")), with_truth_only=True)
@@ -596,7 +605,8 @@ GRID_SQL = """gr AS (SELECT a.i AS ia, b.i AS ib, truth, CASE WHEN routed AND pr
 
 @query(f"WITH {fx.SQL_SCORES}, {GRID_SQL}, {WF1_SQL.format(by='ia, ib,', t='gr', group='ia, ib')} SELECT * FROM wf")
 def threshold_grid(s, d):
-    return arbiter.grid(_decisions(s, d), fx.scores(_candidates(s, d)), 31)
+    c = _stage(s, d)
+    return arbiter.grid(once(_decisions(s, d, c)), fx.scores(c), 31)
 
 
 TRANSFER_SQL = f"""WITH {fx.SQL_SCORES}, hv AS (SELECT *, CAST({fx.CRC32.format(c='record_id')} % 2 AS INTEGER) AS half FROM scored),
@@ -614,7 +624,8 @@ def _transfer_sql(select: str) -> str:
 
 @query(_transfer_sql("SELECT * FROM tf"))
 def threshold_transfer(s, d):
-    return arbiter.transfer(_decisions(s, d), fx.scores(_candidates(s, d)), 31)
+    c = _stage(s, d)
+    return arbiter.transfer(once(_decisions(s, d, c)), fx.scores(c), 31)
 
 
 @query(_transfer_sql("SELECT round(avg(plain_f1), 6) AS plain, round(avg(other_f1), 6) AS transferred, round(avg(fixed_f1), 6) AS fixed, round(avg(fixed_f1) - avg(other_f1), 6) AS overfit FROM tf"))
@@ -630,7 +641,8 @@ def stratified_gate(s, d):
 @query(f"""WITH {fx.SQL_SCORES}, f AS (SELECT record_id, count(DISTINCT aid) AS featured FROM scores WHERE CAST(aid AS BIGINT) % 11 <> 0 GROUP BY 1)
   SELECT record_id, num_candidates, coalesce(featured, 0) AS featured FROM decisions LEFT JOIN f USING (record_id) WHERE predicted <> 'error' AND num_candidates <> coalesce(featured, 0)""")
 def candidate_consistency(s, d):
-    return joins.check_candidates(_decisions(s, d), fx.scores(_candidates(s, d)).filter("cast(aid as bigint) % 11 <> 0"))
+    c = _stage(s, d)
+    return joins.check_candidates(_decisions(s, d, c), fx.scores(c).filter("cast(aid as bigint) % 11 <> 0"))
 
 
 # Metrics
@@ -686,7 +698,7 @@ PAIR_SQL = "pr2 AS (SELECT a.record_id, a.truth, a.original AS pa, a.predicted A
 
 
 def _two(s, d) -> tuple[DataFrame, DataFrame]:
-    a = _arbitrated(s, d)
+    a = once(_arbitrated(s, d))
     return a.select("record_id", "truth", F.col("original").alias("predicted")), a.select("record_id", "truth", "predicted")
 
 
@@ -746,7 +758,8 @@ DECIDE_SQL = f"""CASE WHEN strategy = 'none' THEN false WHEN strategy = 'auto' T
 @query(f"""WITH {fx.SQL_CANDIDATES}, g AS (SELECT record_id, num_candidates, subtype, {STRATEGY_SQL} AS strategy FROM classified), k AS (SELECT g.*, c.aid, c.rank, {DECIDE_SQL} AS ok FROM g LEFT JOIN candidates c USING (record_id))
   SELECT record_id, subtype, strategy, coalesce(arg_min(aid, rank) FILTER (ok), 'none') AS predicted, CAST(count(aid) AS INTEGER) AS num_candidates FROM k GROUP BY 1, 2, 3""")
 def rule_decisions(s, d):
-    return decide.decide_by_rules(_classified(s, d), _candidates(s, d))
+    c = _stage(s, d)
+    return decide.decide_by_rules(_classified(s, d, c), c)
 
 
 @query(f"""WITH RECURSIVE {fx.SQL_PAPERS}, z AS (SELECT record_id, CAST({fx.CRC32.format(c='record_id')} % 4 AS INTEGER) AS shard, CAST(300 + pos % 700 AS INTEGER) AS bytes FROM records), o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY record_id) AS k FROM z),
@@ -812,8 +825,8 @@ SYSTEMS = [("standard", "Judge."), ("p0_low", "Judge with care."), ("llm_noco",
     || CAST(CAST(b AS DECIMAL(30,15)) AS DECIMAL(18,3)) || chr(10) || '差距: ' || CAST(CAST(a - b AS DECIMAL(30,15)) AS DECIMAL(18,3)) || chr(10) || '是否存在竞争: ' || CASE WHEN n > 10 OR a - b < 0.05 THEN '是' ELSE '否' END || chr(10) || chr(10) ELSE '' END || '候选作者列表:' || chr(10) || cl.t || chr(10) || chr(10) || '待消歧论文信息:' || chr(10) || {QUERY_TEXT.format(q='q.')}) AS prompt, aids
   FROM g JOIN cl USING (record_id) JOIN cp USING (record_id) JOIN queries q ON q.record_id = g.record_id WHERE strategy NOT IN ('none', 'auto')""")
 def record_prompts(s, d):
-    c = _candidates(s, d)
-    made = prompts.record_prompts(_classified(s, d), c, fx.queries_of(fx.full_papers(s, d)), _texts(s, d, c), s.createDataFrame(SYSTEMS, "type string, text string"), competing=True)
+    c = _stage(s, d)
+    made = prompts.record_prompts(_classified(s, d, c), c, fx.queries_of(fx.full_papers(s, d)), _texts(s, d, c), s.createDataFrame(SYSTEMS, "type string, text string"), competing=True)
     return made.select("record_id", "strategy", "system", F.sha2("prompt", 256).alias("prompt"), F.array_join("aids", ",").alias("aids"))
 
 
@@ -824,7 +837,7 @@ def listed_candidates(s, d):
     return prompts.listed_candidates(subtype.order_by_coauthors(_candidates(s, d))).withColumn("aids", F.array_join("aids", ","))
 
 
-SAMPLE_TEXT = """'  [' || s.place || '] ' || f.year || ' - ' || left(f.title, 100) || chr(10) || '      [co=' || s.co || ' ts=' || CAST(CAST(s.t AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ' vs=' || CAST(CAST(len(list_intersect(va, vb)) / len(list_distinct(list_concat(va, vb))) AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ' os=' || CAST(CAST(s.o AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ' yr=' || s.yd || '] score=' || printf('%.0f', s.score) || chr(10)
+SAMPLE_TEXT = """'  [' || s.place || '] ' || f.year || ' - ' || left(f.title, 100) || chr(10) || '      [co=' || s.co || ' ts=' || CASE WHEN s.t < 0 AND s.t > -0.005 THEN '-' ELSE '' END || CAST(CAST(s.t AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ' vs=' || CAST(CAST(len(list_intersect(va, vb)) / len(list_distinct(list_concat(va, vb))) AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ' os=' || CAST(CAST(s.o AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ' yr=' || s.yd || '] score=' || printf('%.0f', s.score) || chr(10)
   || '      发表：' || f.venue || CASE WHEN len(f.authors) > 1 THEN chr(10) || '      合作者：' || array_to_string(list_transform(f.authors[2:7], lambda a: a.name), ', ') ELSE '' END"""
 
 
@@ -838,14 +851,14 @@ SAMPLE_TEXT = """'  [' || s.place || '] ' || f.year || ' - ' || left(f.title, 10
 def co_prompts(s, d):
     full = fx.full_papers(s, d)
     queries = fx.queries_of(full)
-    c = subtype.order_by_coauthors(_candidates(s, d)).join(queries.select("record_id", F.col("paper.authors")[0]["name"].alias("name")), "record_id")
+    c = subtype.order_by_coauthors(_stage(s, d)).join(queries.select("record_id", F.col("paper.authors")[0]["name"].alias("name")), "record_id")
     return prompts.co_prompts(c, queries, _samples(s, d, c), "Decide.").select("record_id", F.sha2("prompt", 256).alias("prompt"))
 
 
-def _answers(s, d) -> DataFrame:
+def _answers(s, d, candidates: DataFrame) -> DataFrame:
     """Answers to the judged records as decide.call gives them: some blank, some failed."""
     pos = F.split("record_id", "-")[0].cast("long") / 50
-    c = _classified(s, d).select("record_id", F.col("top.aid").alias("aid"), pos.cast("long").alias("n"))
+    c = _classified(s, d, candidates).select("record_id", F.col("top.aid").alias("aid"), pos.cast("long").alias("n"))
     status = F.when(F.col("n") % 7 == 0, "error").when(F.col("n") % 11 == 0, "unfinished").otherwise("ok")
     content = F.when(status == "error", F.lit("too fast")).when(status == "unfinished", "").otherwise(F.concat(F.lit("answer: "), F.when(F.col("n") % 5 == 0, "none").otherwise(F.coalesce("aid", F.lit("none"))), F.lit("\nconfidence: high\nreason: alike")))
     kind = F.when(status == "error", "rate_limit").when(status == "unfinished", "empty_response")
@@ -858,8 +871,9 @@ ANSWERS_SQL = """an AS (SELECT record_id, n, top_aid, CASE WHEN n % 7 = 0 THEN '
 @query(f"""WITH {fx.SQL_CANDIDATES}, {ANSWERS_SQL}, x AS (SELECT a.*, g.truth AS gt, CASE WHEN status = 'ok' THEN said ELSE 'UNFINISHED' END AS pred FROM an a JOIN classified g USING (record_id) WHERE g.num_candidates > 0)
   SELECT record_id AS case_id, gt, pred, lower(pred) = lower(gt) AS match, CASE WHEN status = 'ok' THEN 'ok' ELSE 'unfinished' END AS status, CASE status WHEN 'error' THEN 'too fast' WHEN 'unfinished' THEN '' ELSE 'answer: ' || said || chr(10) || 'confidence: high' || chr(10) || 'reason: alike' END AS raw, n AS in_tokens, n % 3 AS out_tokens FROM x""")
 def judged_cases(s, d):
-    asked = prompts.listed_candidates(subtype.order_by_coauthors(_candidates(s, d)))
-    return decide.cases(_answers(s, d), asked, fx.records(s, d).select("record_id", F.col("truth").alias("aid")), by_number=True)
+    c = _stage(s, d)
+    asked = prompts.listed_candidates(subtype.order_by_coauthors(c))
+    return decide.cases(_answers(s, d, c), asked, fx.records(s, d).select("record_id", F.col("truth").alias("aid")), by_number=True)
 
 
 @query(f"""WITH {fx.SQL_CANDIDATES}, {ANSWERS_SQL}, x AS (SELECT a.*, g.truth AS gt, CASE WHEN status = 'ok' THEN said ELSE 'UNFINISHED' END AS pred FROM an a JOIN classified g USING (record_id) WHERE g.num_candidates > 0)
@@ -871,7 +885,7 @@ def case_totals(s, d):
 @query(f"""WITH {fx.SQL_CANDIDATES}, {ANSWERS_SQL}, c AS (SELECT record_id, aid, {STRATEGY_SQL} AS strategy FROM candidates JOIN classified USING (record_id)), w AS (SELECT record_id FROM classified WHERE num_candidates > 0)
   SELECT record_id FROM w WHERE record_id NOT IN (SELECT record_id FROM an WHERE status = 'ok')""")
 def unfinished_cases(s, d):
-    stored = judged_cases(s, d)
+    stored = once(judged_cases(s, d))
     return decide.unfinished_cases(stored.select(F.col("case_id").alias("record_id")), stored)
 
 
@@ -886,9 +900,9 @@ RESULT_SQL = f"""{fx.SQL_CANDIDATES}, {ANSWERS_SQL}, {RULE_FIRST_SQL}, g AS (SEL
   truth, CAST(num_candidates AS INTEGER) AS num_candidates, subtype, CASE WHEN bad THEN 'error' ELSE strategy END AS strategy, CASE WHEN is_none OR bad THEN 0 ELSE round(tt, 6) END AS top1_title_sim, CAST(CASE WHEN is_none OR bad THEN 0 ELSE tc END AS INTEGER) AS top1_coauthor_count,
   CASE WHEN is_none OR bad THEN 0 ELSE oo END AS top1_org_sim, CASE WHEN is_none OR bad THEN 0 ELSE vv END AS top1_venue_sim FROM z""")
 def result_rows(s, d):
-    c = _candidates(s, d)
+    c = _stage(s, d)
     asked = prompts.listed_candidates(subtype.order_by_coauthors(c)).withColumn("tokens", F.lit(7))
-    rows = decide.result_rows(_classified(s, d), c, features.candidate_stats(fx.pair_sims(s, d)), _answers(s, d), asked, fx.records(s, d).select("record_id", F.col("truth").alias("aid")))
+    rows = decide.result_rows(_classified(s, d, c), c, features.candidate_stats(fx.pair_sims(s, d)), once(_answers(s, d, c)), asked, fx.records(s, d).select("record_id", F.col("truth").alias("aid")))
     return rows.drop("confidence", "estimated_prompt_tokens").withColumn("top1_title_sim", F.round("top1_title_sim", 6))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -17,6 +18,17 @@ from attriq.operators.features import feature_vector
 from attriq.operators.sets import flat_truth
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="attriq-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attriq.sources import shared_dir
 from attriq.sources.sinks import append_store
 
 
@@ -23,11 +23,7 @@ def start(rows: DataFrame, out: str, checkpoint: str):
 
 def run_once(spark: SparkSession, path: str) -> DataFrame:
     """The records of one Parquet file, read as a stream into a table of the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="attriq-")
+    shared = shared_dir(spark)
     base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     folder, _, name = path.rpartition("/")
     schema = spark.read.parquet(path).schema
