@@ -49,11 +49,22 @@ def attribution(records: DataFrame, pair_sims: DataFrame, scores: Callable[[Data
     ]
 
 
-def resume(spark: SparkSession, records: DataFrame, path: str, judge: Callable[[DataFrame], DataFrame], probe: int | None = None) -> int:
-    """Judges the records that path lacks (the first `probe` at most) and appends those that came out well; returns how many are missing still."""
-    left = records.join(done(spark, path), "record_id", "left_anti")
-    made = judge(left if probe is None else left.orderBy("record_id").limit(probe))
-    append(made.filter("status = 'ok'"), path)
+def resume(spark: SparkSession, records: DataFrame, path: str, judge: Callable[[DataFrame], DataFrame], probe: int | None = None, every: int | None = None) -> int:
+    """Judges the records that path lacks (the first `probe` at most) and appends those that came out well; returns how many are missing still.
+
+    With `every`, about so many are judged and saved at a time, dealt by their ids' hash. Records that don't come out well are not asked
+    again in the same run.
+    """
+    left = once(records.join(done(spark, path), "record_id", "left_anti"))
+    if probe is not None:
+        left = once(left.orderBy("record_id").limit(probe))
+    if every is None:
+        batches = [left]
+    else:
+        n = -(-left.count() // every)
+        batches = [left.filter(F.pmod(F.xxhash64("record_id"), F.lit(n)) == k) for k in range(n)]
+    for b in batches:
+        append(judge(b).filter("status = 'ok'"), path)
     return records.join(done(spark, path), "record_id", "left_anti").count()
 
 

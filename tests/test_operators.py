@@ -1,6 +1,7 @@
 """Boundary rows and plans."""
 
 import math
+import zlib
 
 import pandas as pd
 import pytest
@@ -274,13 +275,12 @@ def test_stages(spark, tmp_path):
     judge = lambda df: df.select("record_id", F.lit("ok").alias("status"))
     records = fx.records(spark, SF)
     assert pipeline.resume(spark, records, str(tmp_path / "done"), judge, probe=5) == records.count() - 5
-    assert pipeline.resume(spark, records, str(tmp_path / "done"), judge) == 0
+    assert pipeline.resume(spark, records, str(tmp_path / "done"), judge, every=10) == 0
+    assert spark.read.parquet(str(tmp_path / "done")).count() == records.count()
 
 
 def test_transfer_beyond_a_tenth(spark):
     """In both halves the best fill threshold is 0.16: 0.15 is a wrong fill, 0.25 a right one."""
-    import zlib
-
     half = lambda h: [r for r in map(str, range(100)) if zlib.crc32(r.encode()) % 2 == h][:2]
     rows = [(r, truth, score) for h in (0, 1) for r, truth, score in zip(half(h), ("a", "none"), (0.25, 0.15), strict=True)]
     decisions = spark.createDataFrame([(r, truth, "P1-Medium", "judge", "none") for r, truth, _ in rows], "record_id string, truth string, subtype string, strategy string, predicted string")
@@ -340,3 +340,24 @@ def test_commands(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "s")).collect()] == ['{"a":["1"]}']
     with pytest.raises(SystemExit):
         main(["candidates", "x", "--out", "y", "--shard", "4:4"])
+
+
+def test_run_filter_steps(spark):
+    rows = spark.createDataFrame([(f"{i}-0", i, "AB"[i % 2]) for i in range(40)], "record_id string, pos int, subtype string")
+    ids = rows.filter("pos < 20").select("record_id")
+    names = lambda df: sorted(r["pos"] for r in df.collect())
+    assert names(sets.run_filter(rows, only="7-0")) == [7] and names(sets.run_filter(rows, ids=ids)) == list(range(20))
+    parts = [names(sets.run_filter(rows, shard_of=(3, k))) for k in range(3)]
+    assert sorted(sum(parts, [])) == list(range(40)) and parts[1] == [i for i in range(40) if zlib.crc32(f"{i}-0".encode()) % 3 == 1]
+    # Done records go after the quota was filled, and the limit counts last.
+    assert names(sets.run_filter(rows, ids=ids, subtypes=["A"], quotas={"A": 5}, done=rows.filter("pos = 2").select("record_id"), limit=3)) == [0, 4, 6]
+    with pytest.raises(ValueError):
+        sets.shard(rows, 65, 0)
+
+
+def test_strict_candidate_check(spark):
+    d = spark.createDataFrame([("1", "a", 2), ("2", "error", 9), ("3", "none", None)], "record_id string, predicted string, num_candidates int")
+    f = spark.createDataFrame([("1", "a"), ("1", "b"), ("3", "x")], "record_id string, aid string")
+    assert [tuple(r) for r in joins.check_candidates(d, f).collect()] == [("3", -1, 1)]
+    with pytest.raises(Exception, match="candidates differ for 3"):
+        joins.check_candidates(d, f, strict=True).collect()
