@@ -34,7 +34,6 @@ HOT = 4
 #: Numbers of no word (before the first), of begin, and of the first word; an unknown word has one beyond all.
 NONE, START, FIRST, UNKNOWN = 0, 1, 2, 1 << 62
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_CACHE = 100_000
 
 #: A word of the vocabulary: its hash, how often it occurs, and its place among its shard's by frequency.
 VOCABULARY = [("key", "<u8"), ("count", "<u8"), ("rank", "<u4")]
@@ -44,24 +43,50 @@ WORDS = [("before", "<u8"), ("total", "<u8"), ("n1", "<u8"), ("n2", "<u8"), ("n3
 PAIRS, TRIPLES, CONTEXTS = ["count"], ["count"], ["total", "n1", "n2", "n3"]
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 11)
-        return value
+#: The white space between words, and powers of an odd number and of its inverse, for hashes of all words of a text at once.
+_SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_PIECE = 1 << 20
+_ODD_BASE = 0x9E6C63D0876A9A47
 
 
-_hashes = _Hashes()
+def _powers(x: int) -> np.ndarray:
+    out = np.full(_PIECE + 1, x, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_POWERS, _INVERSES = _powers(_ODD_BASE), _powers(pow(_ODD_BASE, -1, 1 << 64))
+
+
+def _word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word of at most _PIECE bytes: a polynomial of its bytes, by differences of running sums, then mixed."""
+    b = np.frombuffer(raw, dtype=np.uint8)
+    gap = np.ones(len(b) + 2, dtype=bool)
+    gap[1:-1] = _SPACES[b]
+    start, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    sums = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(b)], out=sums[1:])
+    return mixed((sums[end] - sums[start]) * _INVERSES[start], (end - start).astype(np.uint64))
 
 
 def token_hashes(text: str | None) -> np.ndarray:
     """Hashes of begin, the words (split at ASCII white space, A-Z lower-cased) and end."""
-    words = (text or "").encode().lower().split()
-    out = np.empty(len(words) + 2, dtype=np.uint64)
-    out[0], out[-1] = BEGIN, END
-    out[1:-1] = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    return out
+    raw = (text or "").encode().lower()
+    pieces, at = [np.array([BEGIN], dtype=np.uint64)], 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > _PIECE:  # cut at white space; a longer word is hashed on its own
+            end = max((raw.rfind(bytes([c]), at, at + _PIECE) for c in np.flatnonzero(_SPACES)), default=-1)
+            if end <= at:
+                ends = [k for c in np.flatnonzero(_SPACES) if (k := raw.find(bytes([c]), at + 1)) >= 0]
+                end = min(ends, default=len(raw))
+                if end - at > _PIECE:
+                    pieces.append(np.array([xxhash.xxh64_intdigest(raw[at:end].strip(), 11)], dtype=np.uint64))
+                    at = end
+                    continue
+        pieces.append(_word_hashes(raw[at:end]))
+        at = end
+    return np.concatenate([*pieces, np.array([END], dtype=np.uint64)])
 
 
 def mixed(*numbers: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from attriq.llm import language_model
-from attriq.llm.language_model import _packed, _unpacked, discounts, remove, score_texts, train
+from attriq.llm.language_model import _packed, _unpacked, discounts, remove, score_texts, token_hashes, train
 from attriq.llm.queries import QUERIES
 from attriq.llm.store import Buckets, Columns, local_path
 
@@ -146,6 +146,20 @@ def test_lost_file(spark):
     assert not os.path.exists(os.path.dirname(folder))
 
 
+def test_word_hashes():
+    """Words and only words: as many as split() has, equal ones alike, others apart, whatever is around them and wherever texts are cut."""
+    rnd = np.random.default_rng(3)
+    words = ["".join(rnd.choice(list("abcdé日"), rnd.integers(1, 9))) for _ in range(40_000)] + ["a", "aa", "aaa", "ab", "ba"]
+    text = "".join(w.upper() + str(rnd.choice(list(" \t\n\x0b\x0c\r"))) * int(rnd.integers(1, 3)) for w in words)
+    for x in (text * 5, "x" * (1 << 20) + " b", "y" * (3 << 20) + "\tb " + "z" * (2 << 20), " " * (2 << 20) + "a", "", " ", None):
+        want = (x or "").encode().lower().split()
+        got = token_hashes(x)
+        assert len(got) == len(want) + 2
+        pairs = set(zip(want, got[1:-1].tolist()))
+        assert len(pairs) == len(set(want)) == len({h for _, h in pairs})
+    assert token_hashes("A b")[1] == token_hashes("q a")[2] == token_hashes("x" * (1 << 20) + " a")[2]
+
+
 def test_store(tmp_path):
     rnd = np.random.default_rng(0)
     for n in (0, 1, 40, 100_000):
