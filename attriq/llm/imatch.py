@@ -52,24 +52,34 @@ def signature(text: Column, stop: bytes) -> Column:
     """struct(octave, whole, hashes) of a text.
 
     The terms of the inverse document frequency band, those in none of the frequent slots, are sorted; each
-    lexicon subset keeps a term by a random hash, and a hash of those kept is the subset's, null if none
-    is. The densest subsets keep one of 2 ** (octave - 1) terms; the octave goes by the number of terms.
+    random lexicon subset keeps the terms of one cell of a hash, and a hash of those kept is the subset's,
+    null if none is. The densest subsets keep one of 2 ** (octave - 1) terms; the octave goes by the number of terms.
     whole is the hash of all terms.
     """
     rare = lambda t: F.substring(F.lit(stop), slot(t) + 1, F.lit(1)) == F.lit(b"\x00")
 
-    def subset(kept: Column, at: Column) -> Column:
-        mask = F.pow(F.lit(2.0), F.floor(at / SUBSETS)).cast("long") - 1
-        own = F.filter(kept, lambda t: F.xxhash64(t, at).bitwiseAND(mask) == 0)
-        return F.when(F.size(own) > 0, F.shiftright(F.xxhash64(own), 32).cast("int"))
+    def subset(few: Column, x: Column, j: Column) -> Column:
+        # Of 2 ** bits cells of a random hash, a subset takes one; up to 16 subsets share a hash.
+        split = F.least(x["mask"] + 1, F.lit(16).cast("long"))
+        return let(F.struct((x["seed"] + F.floor(j / split)).cast("int").alias("seed"), F.pmod(j, split).alias("cell")), lambda y: last(F.filter(few, lambda t: F.xxhash64(t, y["seed"]).bitwiseAND(x["mask"]) == y["cell"])))
+
+    def last(own: Column) -> Column:
+        return let(own, lambda o: F.when(F.size(o) > 0, F.shiftright(F.xxhash64(o), 32).cast("int")))
+
+    def level(kept: Column, bits: Column) -> Column:
+        def made(x: Column) -> Column:
+            # Where one hash serves all subsets, most terms are in no cell of theirs and go at once.
+            few = F.when(x["mask"] >= 15, F.filter(kept, lambda t: F.xxhash64(t, x["seed"]).bitwiseAND(x["mask"]) < SUBSETS)).otherwise(kept)
+            return let(few, lambda f: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: subset(f, x, j)))
+
+        return let(F.struct((F.pow(F.lit(2.0), bits).cast("long") - 1).alias("mask"), (bits * 16).cast("int").alias("seed")), made)
 
     def signed(every: Column) -> Column:
         band = let(F.filter(every, rare), lambda kept: F.when(F.size(kept) >= LEAST_SHARE * F.size(every), kept).otherwise(every))
         return let(F.array_sort(band), lambda kept: over(every, kept, F.greatest(F.round(F.log2(F.greatest(F.size(kept), F.lit(1)) / BEST)), F.lit(1)).cast("int")))
 
     def over(every: Column, kept: Column, octave: Column) -> Column:
-        first = (octave - 1) * SUBSETS
-        hashes = F.transform(F.sequence(first, first + (SUBSETS * DENSITIES - 1)), lambda at: subset(kept, at))
+        hashes = F.flatten(F.transform(F.sequence(octave - 1, octave + (DENSITIES - 2)), lambda bits: level(kept, bits)))
         return F.struct(octave.alias("octave"), F.shiftright(F.xxhash64(F.array_sort(every)), 32).cast("int").alias("whole"), hashes.alias("hashes"))
 
     return let(terms(text), signed)

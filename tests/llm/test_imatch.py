@@ -90,9 +90,11 @@ class Brute:
         kept = sorted(kept if len(kept) >= 0.2 * len(every) else every, key=signed)
         octave = max(1, math.floor(math.log2(max(len(kept), 1) / 0.81) + 0.5))
         hashes = []
-        for at in range((octave - 1) * 12, (octave + 2) * 12):
-            own = [t for t in kept if xx(at.to_bytes(4, "little"), xx(t)) % 2 ** (at // 12) == 0]
-            hashes.append(f"{xx(own) >> 32:x}" if own else "")
+        for bits in (octave - 1, octave, octave + 1):
+            for j in range(12):
+                f, cell = divmod(j, min(2**bits, 16))
+                own = [t for t in kept if xx((bits * 16 + f).to_bytes(4, "little"), xx(t)) % 2**bits == cell]
+                hashes.append(f"{xx(own) >> 32:x}" if own else "")
         return octave, f"{xx(sorted(every, key=signed)) >> 32:x}", hashes
 
     @staticmethod
