@@ -13,6 +13,7 @@ from attriq.llm.imatch import compare_edited
 from attriq.llm.line_dedup import drop_shared_lines
 from attriq.llm.mixing import mix
 from attriq.llm.quality import learn, score_quality
+from attriq.llm.resampling import resample
 from attriq.llm.secrets import find_secrets
 from attriq.llm.simhash import near_duplicates
 from attriq.llm.token_counts import count_tokens
@@ -115,6 +116,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512, fit=True).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, size=10_000, seed=42)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -126,6 +132,7 @@ QUERIES = {
     "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
