@@ -121,6 +121,45 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+SQL_11 = r"""
+WITH RECURSIVE steps(i, k, v) AS (
+  SELECT range::BIGINT, 0, range::BIGINT FROM range(256)
+  UNION ALL SELECT i, k + 1, xor(v >> 1, (v & 1) * 3988292384) FROM steps WHERE k < 8
+), crcs AS (
+  SELECT list(v ORDER BY i) AS of_byte FROM steps WHERE k = 8
+), texts AS (
+  SELECT 0 AS side, row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, coalesce(text, '') FROM benchmark
+), worded AS (
+  SELECT side, row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), runs AS (
+  SELECT side, row, UNNEST(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+         list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM worded
+), counted AS (
+  SELECT side, row, f, count(*) AS n FROM runs GROUP BY ALL
+), hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda h: ('0x' || h)::BIGINT)),
+         lambda a, b: xor(a >> 8, of_byte[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM counted), crcs
+), totals AS (
+  SELECT bucket, CAST(coalesce(sum(n) FILTER (side = 0), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (side = 1), 0) AS DOUBLE) AS t FROM counted JOIN hashed USING (f) GROUP BY bucket
+), gained AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM totals) + 10000) / ((s + 1) * ((SELECT sum(t) FROM totals) + 10000)))) AS BIGINT) AS gain FROM totals
+), weighed AS (
+  SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM counted JOIN hashed USING (f) JOIN gained USING (bucket) WHERE side = 0 GROUP BY row
+), scored AS (
+  SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM worded d LEFT JOIN weighed USING (row) WHERE d.side = 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_words >= 20 AND place <= (SELECT count(*) FROM scored WHERE n_words >= 20) * 5 // 100 THEN place END AS rank
+FROM placed
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -138,4 +177,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": SQL_1,
     "op5_chat_formatting": SQL_5,
+    "op11_importance_resampling": SQL_11,
 }

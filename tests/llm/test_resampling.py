@@ -4,14 +4,15 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from attriq.llm.queries import QUERIES
+from attriq.llm.common import table
+from attriq.llm.queries import ORACLE_SQL, QUERIES
 from attriq.llm.radix import radix_ranks
 from attriq.llm.resampling import buckets, resample
-from attriq.llm.common import table
 
 
 def brute_buckets(text, size=10_000):
@@ -63,6 +64,10 @@ def test_query(spark):
     got = rows_of(QUERIES["op11_importance_resampling"](spark, sf))
     assert sorted(got) == sorted(brute(docs, target))
     assert sum(r[4] is not None for r in got) >= 5
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"create view {name} as from '{sf}/{name}.parquet'")
+    assert sorted(con.execute(ORACLE_SQL["op11_importance_resampling"]).fetchall(), key=str) == sorted(got, key=str)
 
 
 def test_odd_rows(spark):
