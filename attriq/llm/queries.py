@@ -12,6 +12,7 @@ from attriq.llm.decontaminate import find_passages
 from attriq.llm.imatch import compare_edited
 from attriq.llm.line_dedup import drop_shared_lines
 from attriq.llm.mixing import mix
+from attriq.llm.prefix_trie import lend_starts, number_turns, prefix_nodes
 from attriq.llm.quality import learn, score_quality
 from attriq.llm.resampling import resample
 from attriq.llm.secrets import find_secrets
@@ -160,6 +161,56 @@ FROM placed
 """
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = cut(number_turns(table(spark, sf_dir, "conversations")))
+    convs = turns.groupBy("conv").agg(F.count("*").alias("n"))
+    nodes = prefix_nodes(cut(lend_starts(turns, convs, group=100, most=6)), convs)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+SQL_12 = r"""
+WITH RECURSIVE steps(i, k, v) AS (
+  SELECT range::BIGINT, 0, range::BIGINT FROM range(256)
+  UNION ALL SELECT i, k + 1, xor(v >> 1, (v & 1) * 3988292384) FROM steps WHERE k < 8
+), crcs AS (
+  SELECT list(v ORDER BY i) AS of_byte FROM steps WHERE k = 8
+), numbered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, length(coalesce(text, '')) AS len
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, count(*) AS n,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+             lambda a, b: xor(a >> 8, any_value(of_byte)[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) % 6 AS h
+  FROM numbered, crcs GROUP BY conv_id
+), placed AS (
+  SELECT c.conv_id, b.pos, b.t, b.len FROM convs c JOIN numbered b ON b.conv_id = c.base AND b.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, o.pos - c.h + least(c.h, coalesce(b.n, 0)), o.t, o.len
+  FROM convs c JOIN numbered o ON o.conv_id = c.conv_id AND o.pos > c.h LEFT JOIN convs b ON b.conv_id = c.base
+), paths AS (
+  SELECT conv_id, pos AS depth, len, string_agg(t, '') OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), marked AS (
+  SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM paths
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(len) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM marked GROUP BY path, depth
+), born AS (
+  SELECT left(path, 32 * (depth - 1)) AS parent, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), counted AS (
+  SELECT n.*, coalesce(b.n_children, 0) AS n_children FROM nodes n LEFT JOIN born b ON b.parent = n.path
+), lines AS (
+  SELECT left(path, 32 * i) AS top, saved, CAST(n_children = 0 AS BIGINT) AS leaf FROM (SELECT *, UNNEST(range(0, depth + 1)) AS i FROM counted)
+), summed AS (
+  SELECT top, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM lines GROUP BY top
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM counted n JOIN summed s ON s.top = n.path LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, 32 * (n.depth - 1))
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -172,10 +223,12 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": SQL_1,
     "op5_chat_formatting": SQL_5,
     "op11_importance_resampling": SQL_11,
+    "op12_prefix_trie": SQL_12,
 }
