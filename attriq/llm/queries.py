@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attriq.llm import chat, language_model
+from attriq.llm import chat, language_model, minhash
 from attriq.llm.common import crc_mod, cut, q, table
 from attriq.llm.decontaminate import find_passages
 from attriq.llm.imatch import compare_edited
@@ -211,6 +211,10 @@ FROM counted n JOIN summed s ON s.top = n.path LEFT JOIN nodes p ON n.depth > 0
 """
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=80, shingle=4)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -224,6 +228,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
