@@ -215,6 +215,33 @@ def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=80, shingle=4)
 
 
+SQL_13 = r"""
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT DISTINCT row, UNNEST(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])
+         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+  FROM worded
+), sizes AS (
+  SELECT row, count(*) AS n FROM sets GROUP BY row
+), met AS (
+  SELECT a.row AS a, b.row AS b, count(*) AS common FROM sets a JOIN sets b USING (shingle) WHERE a.row < b.row GROUP BY ALL
+), linked AS (
+  SELECT a, b FROM met JOIN sizes x ON x.row = a JOIN sizes y ON y.row = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), edges AS (
+  SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked
+), reach(row, root) AS (
+  SELECT row, row FROM worded UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.row
+), least AS (
+  SELECT r.row, min(d.doc_id) AS component_id FROM reach r JOIN worded d ON d.row = r.root GROUP BY r.row
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id IS NOT DISTINCT FROM l.component_id AS kept
+FROM worded d JOIN least l USING (row) LEFT JOIN sizes s USING (row)
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -236,4 +263,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_formatting": SQL_5,
     "op11_importance_resampling": SQL_11,
     "op12_prefix_trie": SQL_12,
+    "op13_minhash": SQL_13,
 }
