@@ -18,6 +18,8 @@ BANDS, ROWS = 32, 5
 FINE_BANDS, FINE_ROWS, CROWD = 200, 12, 256
 #: Members of a bucket that all others of it are compared with before any other pair: least row ids, read under these masks.
 _MASKS = (0, 0x0000_0005_2DA3_9C71, 0x0000_000A_D25C_638E)
+#: Longs of a set's parity map.
+MAP = 16
 _CACHE = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1024
@@ -81,6 +83,12 @@ def signature(least: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(low[0::2] | (low[1::2] << 4)).view(np.int64)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """The parity of the hashes at each of 64 * MAP places: maps of two sets differ in no more bits than the sets in members."""
+    odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % (64 * MAP), minlength=64 * MAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 _signers: dict[tuple[int, int], Signer] = {}
 
 
@@ -96,15 +104,21 @@ def _most_differing(percent: int) -> int:
     return math.ceil(n * p + 6 * math.sqrt(n * p * (1 - p)))
 
 
-def _differing(a: str, b: str) -> Column:
-    """How many of the four-bit places of two signatures differ."""
-    total = None
-    for k in range(BANDS * ROWS // 16):
+def _able(a: str, b: str, n: str, m: str, percent: int) -> Column:
+    """Whether sets of n and m members, by their sizes, parity maps and signatures (columns a and b), can have the similarity.
+
+    Sizes and maps never mislead: sets that similar differ in (100 - percent) / (100 + percent) of n + m members at most.
+    """
+    from_sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    longs = BANDS * ROWS // 16
+    places, bits = F.lit(0), F.lit(0)
+    for k in range(longs):
         x = q(a)[k].bitwiseXOR(q(b)[k])
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
-        total = x if total is None else total + x
-    return total
+        places += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+    for k in range(longs, longs + MAP):
+        bits += F.bit_count(q(a)[k].bitwiseXOR(q(b)[k]))
+    return from_sizes & (bits * (100 + percent) <= (q(n) + q(m)) * (100 - percent)) & (places <= _most_differing(percent))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
@@ -123,37 +137,41 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
 
 
 def _alike(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b), once each, but for those that sizes or signatures keep apart."""
+    """The pairs(a, b), once each, but for those that sizes, maps or signatures keep apart."""
     side = lambda s: signed.select(F.col("node").alias(f"node_{s}"), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
     met = pairs.distinct().join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-    return met.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (_differing("sig_a", "sig_b") <= _most_differing(percent))).select("a", "b")
+    return met.filter(_able("sig_a", "sig_b", "n_a", "n_b", percent)).select("a", "b")
 
 
 def _apart(placed: DataFrame, texts: DataFrame, signed: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Pairs(a, b) of nodes of one bucket and different roots that sizes and signatures don't keep apart; placed has (bucket, node, root).
+    """Pairs(a, b) of nodes of one bucket and different roots that sizes, maps and signatures don't keep apart; placed has (bucket, node, root).
 
     Crowded buckets are dealt anew by finer bands of their members' sets, so what meets there is nearly as
     similar as a link.
     """
     sizes = placed.groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    left = cut(placed.join(sizes, F.col("bucket") == F.col("of")).select("bucket", "node", "root", "members"))
-    few = left.filter(F.col("members") <= CROWD).select("bucket", "node", "root")
+    weight = placed.groupBy(F.col("root").alias("of_root")).agg(F.count("*").alias("weight"))
+    left = placed.join(sizes, F.col("bucket") == F.col("of")).join(weight, F.col("root") == F.col("of_root"))
+    left = cut(left.select("bucket", "node", "root", "weight", "members"))
+    few = left.filter(F.col("members") <= CROWD).select("bucket", "node", "root", "weight")
 
     def fine(batches):
         signer = _signer(FINE_BANDS, FINE_ROWS)
         for b in batches:
             yield {"node": b["row"], "bands": [signer.bands(signer.minima(shingles(x, shingle))) for x in b["text"]]}
 
-    crowd = left.filter(F.col("members") > CROWD).groupBy(F.col("node").alias("want")).agg(F.min("root").alias("root"))
+    crowd = left.filter(F.col("members") > CROWD).groupBy(F.col("node").alias("want")).agg(F.min("root").alias("root"), F.min("weight").alias("weight"))
     if not crowd.isEmpty():
         banded = map_arrow(texts.join(crowd, F.col("row") == F.col("want"), "left_semi"), "node long, bands array<long>", fine)
-        again = banded.join(crowd, F.col("node") == F.col("want")).select(F.explode("bands").alias("bucket"), "node", "root")
-        few = few.unionByName(again)
-    known = few.join(signed.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("bucket", "node", "root", "n", "sig")
-    known = cut(known)
+        again = banded.join(crowd, F.col("node") == F.col("want")).select(F.explode("bands").alias("bucket"), "node", "root", "weight")
+        few = cut(few.unionByName(again))
+    # Of two members of different roots one at least isn't of the bucket's weightiest root, so that root's members needn't meet each other.
+    major = few.groupBy(F.col("bucket").alias("of")).agg(F.max_by("root", F.struct("weight", "root")).alias("major"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("of", "major")
+    known = few.join(major, F.col("bucket") == F.col("of")).drop("of").join(signed.withColumnRenamed("node", "of"), F.col("node") == F.col("of"))
+    known = cut(known.select("bucket", "node", "root", "major", "n", "sig"))
     other = known.select(F.col("bucket").alias("bucket_b"), F.col("node").alias("other"), F.col("root").alias("root_b"), F.col("n").alias("m"), F.col("sig").alias("sig_b"))
-    able = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (_differing("sig", "sig_b") <= _most_differing(percent))
-    met = known.join(other, (F.col("bucket") == F.col("bucket_b")) & (F.col("root") < F.col("root_b")) & able)
+    once = (F.col("root_b") == F.col("major")) | (F.col("root") < F.col("root_b"))
+    met = known.filter("root <> major").join(other, (F.col("bucket") == F.col("bucket_b")) & (F.col("root") != F.col("root_b")) & once & _able("sig", "sig_b", "n", "m", percent))
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
@@ -166,7 +184,7 @@ def near_groups(rows: DataFrame, row: str, id: str = "doc_id", text: str = "text
 
     Rows that share a band of minima meet: first all members of a bucket meet three of them, then all that
     are not yet connected meet each other, so no pair of a bucket is left out and a bucket of near-copies
-    isn't squared. Sizes and signatures discard pairs, and each link is verified on the whole sets. A pair
+    isn't squared. Sizes, parity maps and signatures discard pairs, and each link is verified on the whole sets. A pair
     is missed only where no band agrees or the signatures mislead.
     """
 
@@ -176,7 +194,7 @@ def near_groups(rows: DataFrame, row: str, id: str = "doc_id", text: str = "text
             found = [shingles(x, shingle) for x in b["text"]]
             least = [signer.minima(s) for s in found]
             keys = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 2**64) for s in found], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield {"row": b["row"], "id": b["id"], "n": [len(s) for s in found], "k1": keys[:, 0], "k2": keys[:, 1], "bands": [signer.bands(m) if len(s) else [] for s, m in zip(found, least, strict=True)], "sig": [signature(m) for m in least]}
+            yield {"row": b["row"], "id": b["id"], "n": [len(s) for s in found], "k1": keys[:, 0], "k2": keys[:, 1], "bands": [signer.bands(m) if len(s) else [] for s, m in zip(found, least, strict=True)], "sig": [np.concatenate([signature(m), parity(s)]) for s, m in zip(found, least, strict=True)]}
 
     spark, kind = rows.sparkSession, rows.schema[id].dataType.simpleString()
     given = only(rows, row=row, id=id, text=text)
