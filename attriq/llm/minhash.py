@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from attriq.llm.common import cut, map_arrow, new_path, only, q
+from attriq.llm.common import cut, map_arrow, new_path, only, q, released
 from attriq.llm.components import components
 
 #: A pair of similarity s shares one of BANDS bands of ROWS minima with probability 1 - (1 - s ** ROWS) ** BANDS: 0.999997 at 0.8.
@@ -20,6 +24,8 @@ FINE_BANDS, FINE_ROWS, CROWD = 200, 12, 256
 _MASKS = (0, 0x0000_0005_2DA3_9C71, 0x0000_000A_D25C_638E)
 #: Longs of a set's parity map.
 MAP = 16
+#: The bitmap of wanted rows has 2 ** FILTER places at most.
+FILTER = 26
 _CACHE = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1024
@@ -121,15 +127,44 @@ def _able(a: str, b: str, n: str, m: str, percent: int) -> Column:
     return from_sizes & (bits * (100 + percent) <= (q(n) + q(m)) * (100 - percent)) & (places <= _most_differing(percent))
 
 
+def _from_texts(texts: DataFrame, wanted: DataFrame, schema: str, make: Callable[[list], dict[str, list]]) -> DataFrame:
+    """A row (node and what make returns for the text) for each row of texts(row, text) whose row is in wanted(want), distinct.
+
+    So that texts needn't be shuffled, workers skip those that a bitmap of hashed places rules out: 16 places
+    a wanted row up to FILTER, 8 MB, that alone is sent; beyond that more pass it. The join decides in any case.
+    """
+    places = 1 << max(16, min(FILTER, (16 * wanted.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(places))
+    marked = wanted.select(place("want").alias("place")).groupBy(F.shiftright("place", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 31L AS int))")).alias("bits"))
+    found, words = marked.toArrow(), np.zeros(places // 32, dtype=np.uint32)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    kind = StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = to_arrow_schema(kind)
+
+        def made() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = b.column(2).to_numpy(zero_copy_only=False)
+                held = b.filter(pa.array((words[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
+                for k in range(0, held.num_rows, 256):
+                    part = held.slice(k, 256)
+                    out = {"node": part.column(0), **make(part.column(1).to_pylist())}
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in to], schema=to)
+
+        return released(made())
+
+    return texts.select("row", "text", place("row").alias("place")).mapInArrow(run, kind).join(wanted, F.col("node") == F.col("want"), "left_semi")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs(a, b) whose whole sets have a Jaccard similarity of at least `percent`; texts has (row, text)."""
 
-    def whole(batches):
-        for b in batches:
-            yield {"node": b["row"], "found": [shingles(x, shingle).view(np.int64) for x in b["text"]]}
+    def whole(part: list) -> dict[str, list]:
+        return {"found": [shingles(x, shingle).view(np.int64) for x in part]}
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct()
-    sets = cut(map_arrow(texts.join(wanted, F.col("row") == F.col("want"), "left_semi"), "node long, found array<long>", whole))
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct())
+    sets = cut(_from_texts(texts, wanted, "node long, found array<long>", whole))
     side = lambda s: sets.select(F.col("node").alias(f"node_{s}"), F.col("found").alias(f"found_{s}"))
     both = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
     common = F.size(F.array_intersect("found_a", "found_b"))
@@ -155,14 +190,14 @@ def _apart(placed: DataFrame, texts: DataFrame, signed: DataFrame, percent: int,
     left = cut(left.select("bucket", "node", "root", "weight", "members"))
     few = left.filter(F.col("members") <= CROWD).select("bucket", "node", "root", "weight")
 
-    def fine(batches):
+    def fine(part: list) -> dict[str, list]:
         signer = _signer(FINE_BANDS, FINE_ROWS)
-        for b in batches:
-            yield {"node": b["row"], "bands": [signer.bands(signer.minima(shingles(x, shingle))) for x in b["text"]]}
+        return {"bands": [signer.bands(signer.minima(shingles(x, shingle))) for x in part]}
 
     crowd = left.filter(F.col("members") > CROWD).groupBy(F.col("node").alias("want")).agg(F.min("root").alias("root"), F.min("weight").alias("weight"))
+    crowd = cut(crowd)
     if not crowd.isEmpty():
-        banded = map_arrow(texts.join(crowd, F.col("row") == F.col("want"), "left_semi"), "node long, bands array<long>", fine)
+        banded = _from_texts(texts, crowd.select("want"), "node long, bands array<long>", fine)
         again = banded.join(crowd, F.col("node") == F.col("want")).select(F.explode("bands").alias("bucket"), "node", "root", "weight")
         few = cut(few.unionByName(again))
     # Of two members of different roots one at least isn't of the bucket's weightiest root, so that root's members needn't meet each other.
