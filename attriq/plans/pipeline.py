@@ -11,6 +11,7 @@ from attriq.config import Gate
 from attriq.operators import arbiter, decide, recall, subtype
 from attriq.operators.joins import not_done, realigned
 from attriq.operators.sets import first_wins, merged_answers
+from attriq.plans.progress import Progress, Snapshot
 from attriq.sources import done, exists, shared_dir
 from attriq.sources.sinks import append, write_if_absent
 
@@ -49,11 +50,11 @@ def attribution(records: DataFrame, pair_sims: DataFrame, scores: Callable[[Data
     ]
 
 
-def resume(spark: SparkSession, records: DataFrame, path: str, judge: Callable[[DataFrame], DataFrame], probe: int | None = None, every: int | None = None) -> int:
+def resume(spark: SparkSession, records: DataFrame, path: str, judge: Callable[[DataFrame], DataFrame], probe: int | None = None, every: int | None = None, on_progress: Callable[[Snapshot], None] | None = None) -> int:
     """Judges the records that path lacks (the first `probe` at most) and appends those that came out well; returns how many are missing still.
 
     With `every`, about so many are judged and saved at a time, dealt by their ids' hash. Records that don't come out well are not asked
-    again in the same run.
+    again in the same run. on_progress gets snapshots while it runs, if judge's rows have in_tokens and out_tokens as decide.call's do.
     """
     left = once(records.join(done(spark, path), "record_id", "left_anti"))
     if probe is not None:
@@ -63,8 +64,14 @@ def resume(spark: SparkSession, records: DataFrame, path: str, judge: Callable[[
     else:
         n = -(-left.count() // every)
         batches = [left.filter(F.pmod(F.xxhash64("record_id"), F.lit(n)) == k) for k in range(n)]
-    for b in batches:
-        append(judge(b).filter("status = 'ok'"), path)
+    if on_progress is None:
+        for b in batches:
+            append(judge(b).filter("status = 'ok'"), path)
+    else:
+        progress = Progress(spark, left.count())
+        with progress.watch(on_progress):
+            for b in batches:
+                append(once(progress.counted(judge(b))).filter("status = 'ok'"), path)
     return records.join(done(spark, path), "record_id", "left_anti").count()
 
 

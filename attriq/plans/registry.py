@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from attriq.functions.vectors import cosine
 from attriq.operators import arbiter, decide, features, joins, metrics, prompts, ranking, recall, sets, subtype
 from attriq.plans import fixtures as fx
 from attriq.plans.pipeline import once
+from attriq.sources import shared_dir
+from attriq.streaming import attribution as attribution_stream
 from attriq.streaming import records as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,7 +47,10 @@ def _classified(s, d, candidates: DataFrame | None = None) -> DataFrame:
 
 def _decisions(s, d, candidates: DataFrame) -> DataFrame:
     """The top candidate of each record, but for some that are none or error, so that each rule has cases."""
-    c = _classified(s, d, candidates).join(fx.records(s, d), "record_id")
+    return _said(_classified(s, d, candidates).join(fx.records(s, d).select("record_id", "pos", "truth"), "record_id"))
+
+
+def _said(c: DataFrame) -> DataFrame:
     kind = F.when(F.col("subtype") == "NONE", "none").when(F.col("subtype").startswith("P2"), "auto").otherwise("judge")
     said = F.when(F.col("top.aid").isNull() | (F.col("pos") % 300 == 0), "none").when(F.col("pos") % 700 == 0, "error").otherwise(F.col("top.aid"))
     return c.select("record_id", "pos", "truth", "subtype", kind.alias("strategy"), said.alias("predicted"), "num_candidates")
@@ -916,3 +922,13 @@ def streamed_records(s, d):
     return stream.run_once(s, f"{d}/events.parquet")
 
 
+@query(f"WITH {fx.SQL_SCORES} SELECT record_id, original, predicted, rule_applied, model_proba FROM arbitrated")
+def streamed_attribution(s, d):
+    """The records, dealt into four files, as a stream of four batches against the pair similarities, up to the gate."""
+    base = f"{shared_dir(s).rstrip('/')}/attribution-{uuid.uuid4().hex}"
+    rows = fx.records(s, d)
+    rows.repartition(4, "record_id").write.parquet(f"{base}/in")
+    sims = once(fx.pair_sims(s, d))
+    stream_of = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    attribution_stream.start(stream_of, sims, lambda classified, _: _said(classified), fx.scores, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{base}/out").select("record_id", "original", "predicted", "rule_applied", "model_proba")
