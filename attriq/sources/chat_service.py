@@ -1,4 +1,4 @@
-"""Clients of a chat service and of its bulk jobs, for deciders; they run in tasks or, for bulk jobs, on the driver."""
+"""Clients of a chat service and of its bulk jobs, for deciders; they run in tasks or, for `BulkService.run`, on the driver."""
 
 from __future__ import annotations
 
@@ -119,23 +119,30 @@ class BulkService:
             raise RuntimeError(f"no id in {str(got)[:500]}")
         return found
 
+    def state(self, job: str) -> dict | None:
+        """What the service says of a job now; None if it doesn't know it."""
+        status, got = self._send("GET", f"{self.url.rstrip('/')}/{job}", None)
+        if status == 404:
+            return None
+        if status >= 400:
+            raise ServiceError(status, str(got)[:500])
+        return got.get("data", got)
+
     def wait(self, job: str, interval: float = 30, grace: int = 10) -> dict:
         """The job's final state; it may be unknown `grace` times at first."""
         missing = 0
         while True:
-            status, got = self._send("GET", f"{self.url.rstrip('/')}/{job}", None)
-            if status == 404 and missing < grace:
+            got = self.state(job)
+            if got is None:
                 missing += 1
-            elif status >= 400:
-                raise ServiceError(status, str(got)[:500])
-            else:
-                got = got.get("data", got)
-                if got.get("status") in TERMINAL:
-                    return got
+                if missing > grace:
+                    raise ServiceError(404, f"no job {job}")
+            elif got.get("status") in TERMINAL:
+                return got
             self.sleep(interval)
 
     def run(self, spark: SparkSession, packed: DataFrame, out: str) -> None:
-        """A job for each chunk of packed(shard, chunk, request), one after another; each one's results are appended as JSON lines under out. See plans.pipeline.bulk_answers."""
+        """A job for each chunk of packed(shard, chunk, request), one after another; each one's results are appended as JSON lines under out. See plans.pipeline.bulk_answers; plans.bulk runs all chunks at once, in tasks, and goes on after a loss."""
         for shard, chunk in _chunks(packed):
             rows = packed.filter((packed["shard"] == shard) & (packed["chunk"] == chunk)).select("request").toLocalIterator()
             state = self.wait(self.submit([json.loads(r["request"]) for r in rows]))

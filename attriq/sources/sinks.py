@@ -74,6 +74,12 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(x.getPath().getName()) for x in files.listStatus(_path(spark, folder)) if x.getPath().getName().isdigit())
 
 
+def last_version(spark: SparkSession, path: str) -> int | None:
+    """The number of the table's last version; None if it has none."""
+    found = _versions(spark, path)
+    return found[-1] if found else None
+
+
 def _pointed(spark: SparkSession, path: str, version: int) -> str:
     (row,) = spark.read.text(f"{path.rstrip('/')}/_versions/{version:012d}", wholetext=True).collect()
     return f"{path.rstrip('/')}/{row['value'].strip()}"

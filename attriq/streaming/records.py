@@ -29,4 +29,4 @@ def run_once(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     start(distinct_records(events).drop("ts"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").drop("batch")
