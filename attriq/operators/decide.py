@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from attriq.config import ERROR, NIL
 from attriq.functions.text import estimate_tokens, parse_answer, resolve_answer
+from attriq.operators.packing import pack as pack
 
 FATAL = (401, 402, 403)
 
@@ -285,23 +286,3 @@ def result_rows(classified: DataFrame, candidates: DataFrame, stats: DataFrame,
         F.when(bad, ERROR).otherwise(F.col("strategy")).alias("strategy"), zero("max_title_sim").cast("double").alias("top1_title_sim"), zero("total_coauthor_count").cast("int").alias("top1_coauthor_count"),
         zero("max_org_sim").cast("double").alias("top1_org_sim"), zero("max_venue_sim").cast("double").alias("top1_venue_sim"), F.when(none | auto | bad, 0).otherwise(F.coalesce("tokens", F.lit(0))).cast("int").alias("estimated_prompt_tokens"),
     )
-
-
-def pack(items: DataFrame, most: int, most_bytes: int, envelope: int = 120, by: str = "shard", order: str = "record_id", size: str = "bytes") -> DataFrame:
-    """items with their chunk within each shard: filled in order until a count or a number of bytes is reached, the chunk's envelope and a comma after each item included.
-
-    An item larger than the limit has a chunk of its own. The fill depends on all before it, so it runs in
-    order, in Python, over one shard at a time; shards bound what a task holds.
-    """
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order)
-        chunk, n, total, out = 0, 0, envelope, []
-        for b in f[size]:
-            if n and (n >= most or total + b + 1 > most_bytes):
-                chunk, n, total = chunk + 1, 0, envelope
-            n, total = n + 1, total + b + 1
-            out.append(chunk)
-        return f.assign(chunk=out)
-
-    return items.groupBy(by).applyInPandas(run, items.schema.simpleString()[7:-1] + ",chunk int")

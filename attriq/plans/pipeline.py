@@ -12,21 +12,12 @@ from attriq.operators import arbiter, decide, recall, subtype
 from attriq.operators.joins import not_done, realigned
 from attriq.operators.sets import first_wins, merged_answers
 from attriq.plans.progress import Progress, Snapshot
-from attriq.sources import done, exists, shared_dir
+from attriq.sources import done, exists, once
 from attriq.sources.sinks import append, write_if_absent
 
 Stage = tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]
 
 
-def once(df: DataFrame) -> DataFrame:
-    """df computed once, as a reliable checkpoint in the shared folder, for plans that use it more than once."""
-    folder = shared_dir(df.sparkSession)
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def run_stages(spark: SparkSession, base: str, stages: list[Stage], chosen: list[str] | None = None, force: bool = False) -> dict[str, DataFrame]:
     """Tables by stage: a stage runs if it is chosen and its table isn't there, or if forced; else its table is read."""
     tables: dict[str, DataFrame] = {}

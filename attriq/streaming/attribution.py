@@ -10,8 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from attriq.config import Gate
 from attriq.operators import arbiter, recall, subtype
-from attriq.plans.pipeline import once
-from attriq.sources import exists
+from attriq.sources import exists, once
 from attriq.sources.sinks import append_store
 
 Decider = Callable[[DataFrame, DataFrame], DataFrame]
