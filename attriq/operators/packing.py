@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attriq.sources import once
+from attriq.stages import once
 
 #: Rows of a block, unless a chunk may hold more.
 BLOCK = 4096

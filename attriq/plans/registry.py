@@ -311,11 +311,11 @@ HAND_PAIRS = """hp AS (SELECT DISTINCT q.record_id, p.aid, q.block, q.own_name A
 
 
 def _hand_pairs(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of the records to attribute with the profiles of their block, and their papers."""
-    full = fx.full_papers(s, d)
+    """Pairs of the records to attribute with the profiles of their block, and their papers. A stored pair is small and grows to many rows, so pairs stay in many parts."""
+    full = once(fx.full_papers(s, d))
     queries, profiles = fx.queries_of(full), fx.profile_papers_of(full)
-    pairs = queries.join(profiles.select("aid", "block", F.col("own_name").alias("name")).distinct(), "block")
-    return pairs.select("record_id", "aid", "name"), queries, profiles
+    pairs = once(queries.join(profiles.select("aid", "block", F.col("own_name").alias("name")).distinct(), "block").select("record_id", "aid", "name").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "record_id"))
+    return pairs, queries, profiles
 
 
 def _rarity(s, d) -> DataFrame:
@@ -327,9 +327,9 @@ def _idf(s, d) -> DataFrame:
     """idf by field: of words of titles and organisations; venues have none."""
     p = fx.full_papers(s, d).filter("pub % 50 <> 0")
     texts = p.select("pub", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.split(F.lower(t), "[ _]").alias("w")) for f, t in (("title", "paper.title"), ("org", F.col("paper.authors")[0]["org"]))])).alias("t"))
-    words = texts.select("t.field", "pub", F.explode(F.array_distinct("t.w")).alias("word"))
+    words = once(texts.select("t.field", "pub", F.explode(F.array_distinct("t.w")).alias("word")))
     df = words.groupBy("field", "word").agg(F.count("*").alias("df")).join(F.broadcast(words.groupBy("field").agg(F.count_distinct("pub").alias("n"))), "field")
-    return df.select("field", "word", F.round(F.ln(F.col("n") / F.col("df")), 6).alias("idf"))
+    return once(df.select("field", "word", F.round(F.ln(F.col("n") / F.col("df")), 6).alias("idf")))
 
 
 COAUTHOR_SQL = f"""times AS (SELECT aid, {CLEAN.format('name')} AS clean, count(*) AS times FROM theirs GROUP BY 1, 2),
@@ -361,7 +361,7 @@ WORDS_SQL = f"""iw AS (SELECT 'title' AS field, pub, unnest(list_distinct(string
   rw AS (SELECT record_id, aid, field, word, n, coalesce(idf, {IDF_DEFAULT_SQL}) AS idf FROM (SELECT record_id, aid, field, word, count(*) AS n FROM (SELECT record_id, aid, field, unnest(string_split(lower(text), ' ')) AS word FROM rt) GROUP BY 1, 2, 3, 4) LEFT JOIN idf USING (field, word)),
   pw AS (SELECT aid, field, word, n, coalesce(idf, {IDF_DEFAULT_SQL}) AS idf FROM (SELECT aid, field, word, count(*) AS n FROM (SELECT aid, field, unnest(string_split(lower(text), ' ')) AS word FROM pt) GROUP BY 1, 2, 3) LEFT JOIN idf USING (field, word)),
   sw AS (SELECT r.record_id, r.aid, r.field, sum((r.idf * r.n)::DECIMAL(28,9))::DOUBLE AS p, sum((r.idf * p.n)::DECIMAL(28,9))::DOUBLE AS q FROM rw r JOIN pw p USING (aid, field, word) GROUP BY 1, 2, 3),
-  wf AS (SELECT record_id, aid, field, max_jaro, mean_jaro, max_jaccard, mean_jaccard, coalesce(p, 0) AS score_paper, round(coalesce(p, 0) / (a.t + 1e-8), 6) AS ratio_paper, coalesce(q, 0) / papers AS score_author, round(coalesce(q, 0) / (b.t + 1e-8), 6) AS ratio_author
+  wf AS (SELECT record_id, aid, field, max_jaro, mean_jaro, max_jaccard, mean_jaccard, coalesce(p, 0) AS score_paper, round(coalesce(p, 0) / (a.t + 1e-8), 6) AS ratio_paper, round(coalesce(q, 0) / papers, 6) AS score_author, round(coalesce(q, 0) / (b.t + 1e-8), 6) AS ratio_author
     FROM hd JOIN (SELECT record_id, aid, field, sum((idf * n)::DECIMAL(28,9))::DOUBLE AS t FROM rw GROUP BY 1, 2, 3) a USING (record_id, aid, field) JOIN (SELECT aid, field, sum((idf * n)::DECIMAL(28,9))::DOUBLE AS t FROM pw GROUP BY 1, 2) b USING (aid, field) LEFT JOIN sw USING (record_id, aid, field))"""
 _WIDE = [f"max(CASE WHEN field = '{f}' THEN {w} END) AS {p}_{w}" for f, p in zip(features.FIELDS, ("org", "venue", "title", "kw"), strict=True) for w in features.WORD_FEATURES]
 HAND_SQL = f"""{fx.SQL_FULL}, {HAND_PAIRS}, {RARITY_SQL}, {UNIQ_SQL}, {COAUTHOR_SQL}, {WORDS_SQL}, wide AS (SELECT record_id, aid, {', '.join(_WIDE)} FROM wf GROUP BY 1, 2),
@@ -420,8 +420,8 @@ def coauthors_verified(s, d):
   FROM queries q JOIN profile_papers p USING (block)""")
 def matched_names(s, d):
     full = fx.full_papers(s, d)
-    a = fx.queries_of(full).select("record_id", "block", F.transform(F.slice("paper.authors", 2, 1000), lambda x: x["name"]).alias("mine"))
-    b = fx.profile_papers_of(full).select("aid", "pub_id", "block", F.transform(F.slice("paper.authors", 2, 1000), lambda x: x["name"]).alias("theirs"))
+    a = fx.queries_of(full).select("record_id", "block", F.transform(F.slice("paper.authors", 2, F.size("paper.authors")), lambda x: x["name"]).alias("mine"))
+    b = fx.profile_papers_of(full).select("aid", "pub_id", "block", F.transform(F.slice("paper.authors", 2, F.size("paper.authors")), lambda x: x["name"]).alias("theirs"))
     return a.join(b, "block").select("record_id", "aid", F.array_join(names.matched_names(F.col("mine"), F.col("theirs")), ",").alias("names"), "pub_id")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -16,26 +15,8 @@ from attriq.config import NIL
 from attriq.operators import recall
 from attriq.operators.features import feature_vector
 from attriq.operators.sets import flat_truth
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="attriq-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def once(df: DataFrame) -> DataFrame:
-    """df computed once, as a reliable checkpoint in the shared folder, for plans that use it more than once."""
-    folder = shared_dir(df.sparkSession)
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+from attriq.stages import once as once
+from attriq.stages import shared_dir as shared_dir
 
 
 def exists(spark: SparkSession, path: str) -> bool:
