@@ -81,26 +81,41 @@ class Pack:
     def add(self, leaf: str, turns: list[tuple[str, str]], encoded: list[tuple[list[int], list[int]]] | None = None) -> None:
         """A conversation; encoded: the tokens of its turns, if they are at hand."""
         shared = self.shared(turns)
-        del self.stack[shared:]
+        self.close(shared)
         for k in range(shared, len(turns)):
             turn = turns[k]
             head, text = self.encoded(turn) if encoded is None else encoded[k]
             parent = self.stack[-1][1] if self.stack else -1
-            above = [*self.nodes[parent]["attends"]] if self.stack else []
-            at, start = len(self.tokens), sum(b["end"] - b["start"] for b in above)
+            at, start = len(self.tokens), self.positions[self.nodes[parent]["end"] - 1] + 1 if self.stack else 0
             self.tokens += [*head, *text, self.control[1]]
             size = len(self.tokens) - at
             self.positions += range(start, start + size)
             self.loss += [False] * len(head) + [turn[0] == TRAINED] * len(text) + [False]
-            self.nodes.append({"parent": parent, "attends": [*above, {"start": at, "end": at + size}]})
+            self.nodes.append({"parent": parent, "start": at, "end": at + size, "subtree_end": -1})
             self.stack.append((turn, len(self.nodes) - 1))
         self.ends.append({"leaf": leaf, "node": self.stack[-1][1] if self.stack else -1})
 
+    def close(self, depth: int) -> None:
+        """Ends the subtrees of the path's nodes from this depth on."""
+        for _, node in self.stack[depth:]:
+            self.nodes[node]["subtree_end"] = len(self.tokens)
+        del self.stack[depth:]
+
     def row(self) -> dict[str, list]:
+        self.close(0)
         return {"pack_id": [self.ends[0]["leaf"]], "tokens": [self.tokens], "position_ids": [self.positions], "loss_mask": [self.loss], "nodes": [self.nodes], "conversations": [self.ends]}
 
 
-PACK = "pack_id string, tokens array<int>, position_ids array<int>, loss_mask array<boolean>, nodes array<struct<parent:int,attends:array<struct<start:int,end:int>>>>, conversations array<struct<leaf:string,node:int>>"
+def attended(nodes: list[dict], node: int) -> list[tuple[int, int]]:
+    """The token intervals, from the root's on, that a node attends to: its ancestors' and, causally, its own."""
+    out = []
+    while node >= 0:
+        out.append((nodes[node]["start"], nodes[node]["end"]))
+        node = nodes[node]["parent"]
+    return out[::-1]
+
+
+PACK = "pack_id string, tokens array<int>, position_ids array<int>, loss_mask array<boolean>, nodes array<struct<parent:int,start:int,end:int,subtree_end:int>>, conversations array<struct<leaf:string,node:int>>"
 
 
 def format_conversations(rows: DataFrame, ranks_path: str, pattern: str, id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", pack_tokens: int = 8192) -> tuple[DataFrame, DataFrame]:
@@ -108,8 +123,10 @@ def format_conversations(rows: DataFrame, ranks_path: str, pattern: str, id: str
 
     members(id, leaf): each conversation and the digest of its turns. packs: for each distinct conversation,
     its path through a tree of turns. A pack's tokens hold each turn of its trees once, depth first;
-    position_ids count along the path from the root; nodes name each turn's parent and the token intervals
-    that it attends to (its ancestors', then its own, causally); loss_mask marks the text of assistant
+    position_ids count along the path from the root; nodes name each turn's parent, the interval [start,
+    end) of its tokens, and the end of its subtree: the tokens of [start, end) are attended to, causally, by
+    all of [start, subtree_end) and by no others. So a pack grows with its tokens, however deep its trees
+    are; `attended` lists a node's intervals. loss_mask marks the text of assistant
     turns; conversations tell at which node each distinct conversation ends.
 
     Turns go by turn (null first), ties by role and text; repeated rows are repeated turns. A null role or
@@ -117,7 +134,7 @@ def format_conversations(rows: DataFrame, ranks_path: str, pattern: str, id: str
     row. No rows, no packs. Other columns don't matter.
 
     Copies of a conversation fall together by partial aggregates, so many of them weigh no more than one. The
-    distinct ones are range-partitioned in the order of their prefix hashes, which is depth-first order: a
+    distinct ones are range-partitioned in the order of their turns' hashes, which is depth-first order: a
     tree with a third of all conversations spreads over partitions. A pack ends before a conversation whose
     new turns would take it over pack_tokens, by their real tokens; the next repeats the turns above its
     first one. Only a single conversation can make a pack larger.
@@ -129,8 +146,7 @@ def format_conversations(rows: DataFrame, ranks_path: str, pattern: str, id: str
     talks = talks.withColumn("leaf", F.sha2(F.to_json("turns"), 256))
     members = talks.select(F.col("id").alias(id), "leaf")
     one = talks.groupBy("leaf").agg(F.first("turns").alias("turns"))
-    start = F.array(F.lit(0).cast("long"))
-    path = F.aggregate("turns", start, lambda p, t: F.concat(p, F.array(F.xxhash64(F.element_at(p, -1), t["role"], t["text"]))))
+    path = F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"]))
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = one.withColumn("path", path).repartitionByRange(partitions, "path", "leaf").sortWithinPartitions("path", "leaf").select("leaf", "turns")
 
@@ -165,12 +181,12 @@ def read_back(packs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             for tokens, mask, nodes, ends in zip(b["tokens"], b["loss_mask"], b["nodes"], b["conversations"], strict=True):
                 told = {}  # what each interval says, by its start: read once, however many conversations share it
                 for node in nodes:
-                    at, end = node["attends"][-1]["start"], node["attends"][-1]["end"]
+                    at, end = node["start"], node["end"]
                     formatted = enc.decode_bytes(tokens[at:end]).decode()
                     loss = enc.decode_bytes([t for t, m in zip(tokens[at:end], mask[at:end], strict=True) if m]).decode()
                     told[at] = formatted, [{"role": r, "text": x} for r, x in parse(formatted)], unescape(loss)
                 for end in ends:
-                    seen = [told[s["start"]] for s in nodes[end["node"]]["attends"]] if end["node"] >= 0 else []
+                    seen = [told[at] for at, _ in attended(nodes, end["node"])]
                     out["leaf"].append(end["leaf"])
                     out["formatted"].append("".join(x[0] for x in seen))
                     out["turns"].append([t for x in seen for t in x[1]])

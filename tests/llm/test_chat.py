@@ -4,7 +4,7 @@ import public_tokenizers as P
 from hypothesis import given
 from hypothesis import strategies as st
 
-from attriq.llm.chat import CONTROLS, Pack, encoding, escape, format_conversations, parse, read_back, unescape
+from attriq.llm.chat import CONTROLS, Pack, attended, encoding, escape, format_conversations, parse, read_back, unescape
 from attriq.llm.queries import ORACLE_SQL, QUERIES
 
 PATH = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
@@ -27,8 +27,10 @@ def test_pack(talks):
     assert len(pack.nodes) == len(prefixes)  # each shared turn once
     row = pack.row()
     for i, t in enumerate(talks):
-        spans = pack.nodes[pack.ends[i]["node"]]["attends"]
-        seen = [k for s in spans for k in range(s["start"], s["end"])]
+        spans = attended(pack.nodes, pack.ends[i]["node"])
+        seen = [k for a, b in spans for k in range(a, b)]
+        at = pack.nodes[pack.ends[i]["node"]]["start"]
+        assert spans == [(n["start"], n["end"]) for n in pack.nodes if n["start"] <= at < n["subtree_end"]]
         assert [pack.positions[k] for k in seen] == list(range(len(seen)))
         assert parse(enc.decode_bytes([pack.tokens[k] for k in seen]).decode()) == t
     assert len(row["tokens"][0]) == len(row["position_ids"][0]) == len(row["loss_mask"][0])
@@ -85,6 +87,24 @@ def test_shared_turn_of_over_half_a_pack(spark):
     assert all(len(p["tokens"]) <= 8192 or len(p["conversations"]) == 1 for p in packs)
 
 
+def test_long_conversations(spark, tmp_path):
+    n = 20_000
+    rows = [(c, k, "assistant" if k % 2 else "user", f"turn {k}") for c in (None, 1) for k in range(n)]
+    rows += [(2, k, "assistant" if k % 2 else "user", f"turn {k}" if k < n - 1 else "other") for k in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((tuple(r) for r in QUERIES["op5_chat_formatting"](spark, str(tmp_path)).collect()), key=str)
+    say = "</s>[INST] ok [/INST]"
+    assert got == brute([*rows, (-7, 0, "user", say), (-7, 1, "assistant", say)])
+    packs = format_conversations(spark.read.parquet(f"{tmp_path}/conversations.parquet"), *PATH)[0]
+    assert packs.selectExpr("sum(size(nodes))").first()[0] in (n + 1, 2 * n)  # one interval a turn
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a", "x", "y")], "conv_id long, turn long, role string, text string, leaf string, path string")
+    packs, members = format_conversations(df, *PATH)
+    assert packs.count() == 1 and [r["conv_id"] for r in members.collect()] == [1]
+
+
 def test_sql(spark):
     import duckdb
 
