@@ -39,11 +39,9 @@ def check(spark, rows):
     out = mix(df).collect()
     assert len(out) == len(rows)
     sizes, largest, taken = defaultdict(int), defaultdict(int), defaultdict(int)
-    same = defaultdict(int)
     for i, x, s in rows:
         sizes[s] += words(x)
-        same[i, x, s] += words(x)
-        largest[s] = max(largest[s], same[i, x, s])
+        largest[s] = max(largest[s], words(x))
     want = brute_targets(sizes)
     for r in out:
         assert r["size"] == words(r["text"]) and r["source_size"] == sizes[r["source"]]
@@ -64,6 +62,21 @@ def test_cases(spark):
     assert mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_equal_rows(spark):
+    rnd = random.Random(2)
+    others = [(i, "w " * rnd.randint(1, 5000), "b") for i in range(100)]
+    check(spark, [(None, "same words " * 500, "b")] * 300 + others + [(1000, "w " * 30_000, "a")])
+    check(spark, [(7, "x y z", "b")] * 2500 + [(8, "w " * 100, "a")] * 40)
+
+    rows = [(None, "a b c", "s", {"k": i % 2}) for i in range(40)] + [(1, "w " * 300, "r", {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, more map<string,int>")
+    out = mix(df).collect()
+    assert len(out) == 41 and sum(r["more"].get("k", 0) for r in out) == 20
+    for s in "rs":
+        mine = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine) / 2
+
+
 @settings(max_examples=2, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 9), st.sampled_from(["", "a", "a b c", "d " * 9]), st.sampled_from(["p", "q", "r", "s", None])), min_size=1, max_size=20))
 def test_random(spark, rows):
