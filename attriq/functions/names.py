@@ -127,16 +127,21 @@ def matched_names(mine: Column, theirs: Column, clean: Callable[[Column], Column
     return F.array_sort(F.array_distinct(F.transform(hit, clean)))
 
 
-def index_keys(parts: Column) -> Column:
+def index_keys(parts: Column, most: int = 12) -> Column:
     """Keys of the parts' initials: for each choice of two or more (and for all of them) in order, reversed and sorted, and one for each alone.
 
-    The choices are the numbers up to 2 ** parts, so this is for names, not for long lists.
+    Names of more than `most` parts (a name beyond ASCII has one a letter) have keys for each choice of two
+    and for all instead of for all 2 ** parts choices. No meeting is lost: names with a key of a larger
+    choice in common have one of each two of its initials in common.
     """
     initials = F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.substring(p, 1, 1))
     n = F.size(initials)
-    choices = F.sequence(F.lit(1), F.pow(F.lit(2), n).cast("int") - 1)
+    choices = F.sequence(F.lit(1), F.pow(F.lit(2), F.when(n <= most, n).otherwise(0)).cast("int"))
+    choices = F.slice(choices, 1, F.greatest(F.size(choices) - 1, F.lit(0)))
     bit = lambda m, i: F.pmod(F.floor(m / F.pow(F.lit(2), i)), F.lit(2)) == 1
     chosen = F.filter(F.transform(choices, lambda m: F.filter(initials, lambda c, i: bit(m, i))), lambda x: (F.size(x) > 1) | (n == 1))
+    pairs = F.flatten(F.transform(initials, lambda a, i: F.transform(F.slice(initials, i + 2, n), lambda b: F.array(a, b))))
+    chosen = F.when(n <= most, chosen).otherwise(F.concat(pairs, F.array(initials)))
     keys = F.flatten(F.transform(chosen, lambda x: F.array(F.array_join(x, "_"), F.array_join(F.reverse(x), "_"), F.array_join(F.array_sort(x), "_"))))
     return F.when(n > 0, F.array_distinct(F.concat(keys, F.transform(initials, lambda c: F.concat(F.lit("single_"), c))))).otherwise(F.array().cast("array<string>"))
 

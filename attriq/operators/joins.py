@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attriq.config import NIL
 from attriq.functions.names import answer_keys, name_parts, names_match, query_keys
@@ -54,15 +57,13 @@ def realigned(target: DataFrame, results: DataFrame) -> DataFrame:
     return target.select("record_id", "pos").join(results, "record_id").orderBy("pos").drop("pos")
 
 
-def vector_scores(queries: DataFrame, rows: DataFrame, parts: int | None = None, block: int = 2048) -> DataFrame:
-    """(q, id, score): the cosine of each vector of queries(q, vec) with each of rows(id, vec); 0 where a vector is zero.
+def _products(queries: DataFrame, rows: DataFrame, keep: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], kinds: str, block: int, part: int) -> DataFrame:
+    """What keep makes of each block of queries(q, vec), each part of rows(id, vec, ...) and the matrix of their cosines.
 
-    Queries are dealt in blocks of about `block` and rows in parts; each block meets each part in one task,
-    as one product of matrices.
+    A task's matrix has about block * part cells, whatever the sizes of the tables.
     """
-    spark = rows.sparkSession
-    blocks = max(1, queries.count() // block)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, math.ceil(queries.count() / block))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / part))
     at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = queries.withColumn("block", at("q", blocks)).withColumn("part", each(parts))
@@ -70,19 +71,56 @@ def vector_scores(queries: DataFrame, rows: DataFrame, parts: int | None = None,
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({"q": [], "id": [], "score": []})
+            return pd.DataFrame()
         unit = []
         for f in (x, y):
             m = np.stack(f["vec"].to_numpy()).astype("float64")
             size = np.sqrt((m * m).sum(axis=1, keepdims=True))
             unit.append(np.divide(m, size, out=np.zeros_like(m), where=size > 0))
-        scores = unit[0] @ unit[1].T
-        return pd.DataFrame({"q": np.repeat(x["q"].to_numpy(), len(y)), "id": np.tile(y["id"].to_numpy(), len(x)), "score": scores.ravel()})
+        return keep(x, y, unit[0] @ unit[1].T)
 
-    kinds = f"q {queries.schema['q'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
     return a.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInPandas(product, kinds)
 
 
+def vector_scores(queries: DataFrame, rows: DataFrame, least: float | None = None, block: int = 1024, part: int = 8192) -> DataFrame:
+    """(q, id, score): the cosine of each vector of queries(q, vec) with each of rows(id, vec); 0 where a vector is zero.
+
+    least: pairs that score less are left out where they meet. Queries are dealt in blocks of about `block`
+    and rows in parts of about `part`; each block meets each part in one task, as one product of matrices.
+    """
+
+    def keep(x: pd.DataFrame, y: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero(scores >= (-np.inf if least is None else least))
+        return pd.DataFrame({"q": x["q"].to_numpy()[i], "id": y["id"].to_numpy()[j], "score": scores[i, j]})
+
+    kinds = f"q {queries.schema['q'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+    return _products(queries, rows, keep, kinds, block, part)
+
+
+def vector_top(queries: DataFrame, rows: DataFrame, most: int, digits: int = 6, block: int = 1024, part: int = 8192) -> DataFrame:
+    """(q, group, id, score, place): the `most` best of rows(id, group, vec) by cosine for each query and group.
+
+    Scores are rounded to `digits`; ties go to the least id; a null group is a group. Each task keeps its own
+    best only, so what leaves it grows with queries * groups * most and not with the pairs.
+    """
+
+    def keep(x: pd.DataFrame, y: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
+        order = y["id"].argsort(kind="stable").to_numpy()
+        y, scores = y.iloc[order], np.round(scores[:, order], digits)
+        out = []
+        for members in y.groupby("group", dropna=False, sort=False).indices.values():
+            best = members[np.argsort(-scores[:, members], axis=1, kind="stable")[:, :most]]
+            i = np.repeat(np.arange(len(x)), best.shape[1])
+            j = best.ravel()
+            out.append(pd.DataFrame({"q": x["q"].to_numpy()[i], "group": y["group"].to_numpy()[j], "id": y["id"].to_numpy()[j], "score": scores[i, j]}))
+        return pd.concat(out)
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    found = _products(queries, rows, keep, f"q {kind(queries, 'q')}, group {kind(rows, 'group')}, id {kind(rows, 'id')}, score double", block, part)
+    place = F.row_number().over(Window.partitionBy("q", "group").orderBy(F.col("score").desc(), "id"))
+    return found.withColumn("place", place).filter(F.col("place") <= most)
+
+
 def not_done(records: DataFrame, *done: DataFrame) -> DataFrame:
     """Records that none of the done tables holds: one anti join with their union."""
     return records.join(done_ids(*done), "record_id", "left_anti") if done else records

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attriq.operators.joins import vector_scores
+from attriq.operators.joins import vector_scores, vector_top
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,14 @@ def vector_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("q").cast("string").alias("record_id"), "aid", F.col("id").alias("pub_id"), F.round("score", 6).alias("title_sim"))
 
 
+def vector_tops(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    """The `most` best of vector_sims for each query and label, with their places."""
+    v = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("group"), F.col("embedding").alias("vec"))
+    q, rest = v.filter("vec_id % 50 = 0"), v.filter("vec_id % 50 <> 0")
+    found = vector_top(q.select(F.col("vec_id").alias("q"), "vec"), rest.select(F.col("vec_id").alias("id"), "group", "vec"), most)
+    return found.select(F.col("q").cast("string").alias("record_id"), F.col("group").alias("aid"), F.col("score").alias("title_sim"), "place")
+
+
 def full_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pub, owner, block, paper): each order as a paper with title, abstract, venue, year, keywords and authors.
 

@@ -117,8 +117,7 @@ def cosine_blocked(s, d):
 @query(f"""WITH {VECTOR_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY record_id, aid ORDER BY title_sim DESC, pub_id) AS k FROM vs)
   SELECT record_id, aid, max(title_sim) AS best, round(sum(title_sim::DECIMAL(18,12)) FILTER (k <= 3)::DOUBLE / count(*) FILTER (k <= 3), 9) AS top3, round(sum(title_sim::DECIMAL(18,12)) FILTER (k <= 5)::DOUBLE / count(*) FILTER (k <= 5), 9) AS top5 FROM r GROUP BY 1, 2 HAVING max(title_sim) >= 0.25""")
 def vector_topk_means(s, d):
-    w = Window.partitionBy("record_id", "aid").orderBy(F.col("title_sim").desc(), "pub_id")
-    r = fx.vector_sims(s, d).withColumn("place", F.row_number().over(w))
+    r = fx.vector_tops(s, d, 5)
     top = lambda n: F.round(recall.mean_of_first(n), 9)
     return r.groupBy("record_id", "aid").agg(F.max("title_sim").alias("best"), top(3).alias("top3"), top(5).alias("top5")).filter("best >= 0.25")
 

@@ -1,8 +1,10 @@
 """Boundary rows and plans."""
 
 import math
+import random
 import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +48,41 @@ def test_index_keys(spark):
     assert "h_a" in eight and "a_h" in eight and "single_a" in eight and "h_g_f_e_d_c_b_a" in eight
 
 
+def test_index_keys_of_long_names(spark):
+    long = one(spark, names.index_keys(names.name_parts(F.col("n"))), n="абвгдежзийклмнопрстуфхцчшщъыьэюяѐёђѓєѕіїјљ")
+    assert len([k for k in long if not k.startswith("single_")]) == 42 * 41 + 2 and "а_б" in long and "б_а" in long
+    # Names that have a key in common with all choices have one with choices of two.
+    every = lambda n, most: set(one(spark, names.index_keys(names.name_parts(F.col("n")), most), n=n))
+    rnd = random.Random(4)
+    made = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 6))) for _ in range(12)]
+    full, pairs = {n: every(n, 12) for n in made}, {n: every(n, 2) for n in made}
+    for a in made:
+        assert pairs[a] <= full[a]
+        assert all(bool(full[a] & full[b]) == bool(full[a] & pairs[b]) == bool(pairs[a] & pairs[b]) for b in made)
+
+
+def test_vector_top(spark):
+    """Against all pairs: ties (equal vectors), zero vectors, a null group, a hot group, more blocks and parts than rows."""
+    rng = np.random.default_rng(3)
+    vecs = [[0.0, 0.0, 0.0], [1.0, 0.0, 0.0], *rng.normal(size=(20, 3)).tolist()]
+    rows = [(i, [None, "a", "b", "hot"][min(i % 9, 3)], vecs[i % len(vecs)]) for i in range(300)]
+    queries = [(k, vecs[k]) for k in range(8)]
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1)
+    want = []
+    for k, v in queries:
+        for g in (None, "a", "b", "hot"):
+            best = sorted((-round(float(unit(v) @ unit(x)), 6), i) for i, of, x in rows if of == g)[:5]
+            want += [(k, g, i, -s + 0.0, n + 1) for n, (s, i) in enumerate(best)]
+    q = spark.createDataFrame(queries, "q long, vec array<double>")
+    df = spark.createDataFrame(rows, "id long, group string, vec array<double>")
+    for block, part in ((1024, 8192), (2, 7)):
+        got = joins.vector_top(q, df, 5, block=block, part=part).select("q", "group", "id", "score", "place").collect()
+        assert sorted(map(str, (tuple(r)[:3] + (r["score"] + 0.0, r["place"]) for r in got))) == sorted(map(str, want))
+    assert joins.vector_top(q, df.limit(0), 5).count() == joins.vector_top(q.limit(0), df, 5).count() == 0
+    near = {(r["q"], r["id"]) for r in joins.vector_scores(q, df, least=0.5, part=50).collect()}
+    assert near == {(k, i) for k, v in queries for i, _, x in rows if unit(v) @ unit(x) >= 0.5}
+
+
 def test_names_meet_as_by_brute_force(spark):
     """Names of up to eight parts, initials, one-word names and repeated parts; against all pairs."""
     few = ["j smith", "john smith", "smith j.", "j j", "john", "j", "hirano ken", "ken b hirano", "k. hirano", "yamaguchi x", "a b c d e f g h", "h. g. q r s t u v", "v q", "mary ann lee", "lee m", "m. a. lee", "john john", "x y"]
