@@ -12,8 +12,8 @@ from attriq.llm.common import cut, q
 SLOT_BITS = 20
 #: Random subsets of each density, and densities (each half the one before) of a signature.
 SUBSETS, DENSITIES = 12, 3
-#: A text of which the band keeps less than this share of its terms is signed by all its terms.
-LEAST_SHARE = 0.2
+#: A term outside the band is in one of 2 ** OUTSIDE_BITS of the subsets that it would be in if it were inside.
+OUTSIDE_BITS = 3
 #: Density at which a subset most likely holds what two half-equal texts share and nothing else, times the number of terms.
 BEST = 0.81
 
@@ -28,18 +28,20 @@ def slot(term: Column) -> Column:
     return F.shiftrightunsigned(term, 64 - SLOT_BITS).cast("int")
 
 
-def frequent(docs: DataFrame, text: str, high: float) -> bytes:
-    """A byte for each slot: 1 if terms of that slot are in over `high` of all documents.
+def outside(docs: DataFrame, text: str, high: float, low: float = 0.0) -> bytes:
+    """A byte for each slot: 1 if terms of that slot are in over `high` or under `low` of all documents, so outside the band.
 
     Slots take the place of terms, so that counting takes bounded memory however large the vocabulary; a
     slot holds mean terms of a document / 2 ** SLOT_BITS of the documents by chance, far less than `high`
-    at any size. There are at most (mean terms / high) frequent slots, and never more than all of them.
+    at any size; a `low` below that share has no effect. There are at most (mean terms / high) slots over the
+    band and (mean terms / low) in it, and never more than all of them.
     """
     n = docs.count()
     counted = docs.select(F.explode(terms(F.coalesce(q(text), F.lit("")))).alias("t")).groupBy(slot(F.col("t")).alias("slot")).agg(F.count("*").alias("df"))
-    out = bytearray(1 << SLOT_BITS)
-    for r in counted.filter(F.col("df") > max(high * n, 1)).select("slot").collect():
-        out[r["slot"]] = 1
+    inside = (F.col("df") <= max(high * n, 1)) & (F.col("df") >= low * n)
+    out = bytearray([int(low > 0)]) * (1 << SLOT_BITS)
+    for r in counted.filter(inside if low > 0 else ~inside).select("slot").collect():
+        out[r["slot"]] = int(low <= 0)
     return bytes(out)
 
 
@@ -48,41 +50,51 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def signature(text: Column, stop: bytes) -> Column:
-    """struct(octave, whole, hashes) of a text.
+def signature(text: Column, out: bytes) -> Column:
+    """struct(octave, whole, hashes) of a text; out as `outside` gives it.
 
-    The terms of the inverse document frequency band, those in none of the frequent slots, are sorted; each
-    random lexicon subset keeps the terms of one cell of a hash, and a hash of those kept is the subset's,
-    null if none is. The densest subsets keep one of 2 ** (octave - 1) terms; the octave goes by the number of terms.
-    whole is the hash of all terms.
+    Each random lexicon subset takes the terms of the inverse document frequency band in one cell of a hash, and of
+    the terms outside it one in 2 ** OUTSIDE_BITS of those in the cell; a hash of the sorted terms taken is the
+    subset's, null if none is. Which subsets a term is in depends on the term alone, so a text and its
+    edited text share one lexicon. The densest subsets take one of 2 ** (octave - 1) terms; the octave goes by the
+    number of terms, those outside counted at their share. whole is the hash of all terms.
     """
-    rare = lambda t: F.substring(F.lit(stop), slot(t) + 1, F.lit(1)) == F.lit(b"\x00")
+    usual = lambda t: F.substring(F.lit(out), slot(t) + 1, F.lit(1)) == F.lit(b"\x00")
+    # For terms outside the band, some high bits of the hash have to be zero too.
+    high_bits = ((1 << OUTSIDE_BITS) - 1) << 40
+
+    def taken(kept: Column, x: Column, fits) -> Column:
+        chosen = lambda mask: lambda t: fits(F.xxhash64(t, x["seed"]).bitwiseAND(mask))
+        return F.struct(F.filter(kept["band"], chosen(x["mask"])).alias("band"), F.filter(kept["rest"], chosen(x["mask"] + high_bits)).alias("rest"))
 
     def subset(few: Column, x: Column, j: Column) -> Column:
         # Of 2 ** bits cells of a random hash, a subset takes one; up to 16 subsets share a hash.
         split = F.least(x["mask"] + 1, F.lit(16).cast("long"))
-        return let(F.struct((x["seed"] + F.floor(j / split)).cast("int").alias("seed"), F.pmod(j, split).alias("cell")), lambda y: last(F.filter(few, lambda t: F.xxhash64(t, y["seed"]).bitwiseAND(x["mask"]) == y["cell"])))
+        own = F.struct((x["seed"] + F.floor(j / split)).cast("int").alias("seed"), x["mask"].alias("mask"), F.pmod(j, split).alias("cell"))
+        return let(own, lambda y: last(taken(few, y, lambda h: h == y["cell"])))
 
     def last(own: Column) -> Column:
-        return let(own, lambda o: F.when(F.size(o) > 0, F.shiftright(F.xxhash64(o), 32).cast("int")))
+        return let(own, lambda o: let(F.concat(o["band"], o["rest"]), lambda c: F.when(F.size(c) > 0, F.shiftright(F.xxhash64(c), 32).cast("int"))))
 
     def level(kept: Column, bits: Column) -> Column:
         def made(x: Column) -> Column:
             # Where one hash serves all subsets, most terms are in no cell of theirs and go at once.
-            few = F.when(x["mask"] >= 15, F.filter(kept, lambda t: F.xxhash64(t, x["seed"]).bitwiseAND(x["mask"]) < SUBSETS)).otherwise(kept)
+            few = F.when(x["mask"] >= 15, taken(kept, x, lambda h: h < SUBSETS)).otherwise(kept)
             return let(few, lambda f: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: subset(f, x, j)))
 
         return let(F.struct((F.pow(F.lit(2.0), bits).cast("long") - 1).alias("mask"), (bits * 16).cast("int").alias("seed")), made)
 
     def signed(every: Column) -> Column:
-        band = let(F.filter(every, rare), lambda kept: F.when(F.size(kept) >= LEAST_SHARE * F.size(every), kept).otherwise(every))
-        return let(F.array_sort(band), lambda kept: over(every, kept, F.greatest(F.round(F.log2(F.greatest(F.size(kept), F.lit(1)) / BEST)), F.lit(1)).cast("int")))
+        parts = F.struct(F.filter(every, usual).alias("band"), F.filter(every, lambda t: ~usual(t)).alias("rest"))
+        weight = lambda kept: F.size(kept["band"]) + F.size(kept["rest"]) / (1 << OUTSIDE_BITS)
+        return let(parts, lambda kept: over(every, kept, F.greatest(F.round(F.log2(F.greatest(weight(kept), F.lit(1.0)) / BEST)), F.lit(1)).cast("int")))
 
     def over(every: Column, kept: Column, octave: Column) -> Column:
         hashes = F.flatten(F.transform(F.sequence(octave - 1, octave + (DENSITIES - 2)), lambda bits: level(kept, bits)))
-        return F.struct(octave.alias("octave"), F.shiftright(F.xxhash64(F.array_sort(every)), 32).cast("int").alias("whole"), hashes.alias("hashes"))
+        return F.struct(octave.alias("octave"), F.shiftright(F.xxhash64(every), 32).cast("int").alias("whole"), hashes.alias("hashes"))
 
-    return let(terms(text), signed)
+    # Sorted once, so every part of them is.
+    return let(F.array_sort(terms(text)), signed)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -102,14 +114,14 @@ def written(s: Column) -> Column:
     return F.concat_ws(":", s["octave"].cast("string"), F.lower(F.hex(s["whole"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.array_join(digits, ":"))
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", high: float = 0.01) -> DataFrame:
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", high: float = 0.01, low: float = 0.0) -> DataFrame:
     """(id, fingerprint) of each row: equal texts have equal fingerprints.
 
     A null text counts as empty, whole texts are read, repeated rows stay, null ids are kept and other
     columns don't matter; an empty table gives an empty table. Frequencies are counted over all documents.
     """
-    stop = frequent(docs, text, high)
-    return docs.select(q(id).alias(id), written(signature(F.coalesce(q(text), F.lit("")), stop)).alias("fingerprint"))
+    out_of_band = outside(docs, text, high, low)
+    return docs.select(q(id).alias(id), written(signature(F.coalesce(q(text), F.lit("")), out_of_band)).alias("fingerprint"))
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -137,7 +149,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return out.select("k1", "k2", "id", "n", *[F.coalesce(k, v).alias(k) for k, v in pick.items()])
 
 
-def compare_edited(docs: DataFrame, id: str = "doc_id", text: str = "text", high: float = 0.01) -> DataFrame:
+def compare_edited(docs: DataFrame, id: str = "doc_id", text: str = "text", high: float = 0.01, low: float = 0.0) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
 
     A text's edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all)
@@ -147,7 +159,7 @@ def compare_edited(docs: DataFrame, id: str = "doc_id", text: str = "text", high
 
     Texts are dealt once, by a key; what a text needs of the next one, half its own length at most, comes to it.
     """
-    stop = frequent(docs, text, high)
+    out_of_band = outside(docs, text, high, low)
     whole = F.coalesce(q(text), F.lit(""))
     name = F.coalesce(q(id).cast("string"), F.lit("-"))
     rows = docs.select(q(id).alias("id"), whole.alias("text"), F.xxhash64(name, whole).alias("k1"), F.xxhash64(F.lit(7), whole, name).alias("k2"))
@@ -161,7 +173,7 @@ def compare_edited(docs: DataFrame, id: str = "doc_id", text: str = "text", high
     size = F.length("text")
     edited = F.concat(F.substr("text", F.lit(1), size - half), F.when(F.col("inner"), F.substr("text", F.lit(1), half)).otherwise(F.col("lent")))
     made = copies.select("k1", "k2", "next1", "next2", "inner", "id", size.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    made = made.select(*[c for c in made.columns if c not in ("text", "edited")], F.sha2("edited", 256).alias("edited_sha256"), signature(F.col("text"), stop).alias("own"), signature(F.col("edited"), stop).alias("changed"))
+    made = made.select(*[c for c in made.columns if c not in ("text", "edited")], F.sha2("edited", 256).alias("edited_sha256"), signature(F.col("text"), out_of_band).alias("own"), signature(F.col("edited"), out_of_band).alias("changed"))
     signed = cut(made)  # read twice below
     following = signed.filter(~F.col("inner")).select(F.col("k1").alias("next1_b"), F.col("k2").alias("next2_b"), F.col("own").alias("following"))
     out = signed.join(following, (F.col("next1") == F.col("next1_b")) & (F.col("next2") == F.col("next2_b")))

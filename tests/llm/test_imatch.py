@@ -77,25 +77,25 @@ def signed(x):
 class Brute:
     """Signatures and likeness by plain loops."""
 
-    def __init__(self, texts, high):
+    def __init__(self, texts, high, low=0.0):
         self.df = Counter(s for x in texts for s in (t >> 44 for t in self.terms(x)))
-        self.stop = {s for s, n in self.df.items() if n > max(high * len(texts), 1)}
+        self.inside = lambda s: low * len(texts) <= self.df[s] <= max(high * len(texts), 1)
 
     def terms(self, text):
         return list(dict.fromkeys(xx(t.encode()) for t in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if t))
 
     def sign(self, text):
-        every = self.terms(text)
-        kept = [t for t in every if t >> 44 not in self.stop]
-        kept = sorted(kept if len(kept) >= 0.2 * len(every) else every, key=signed)
-        octave = max(1, math.floor(math.log2(max(len(kept), 1) / 0.81) + 0.5))
+        every = sorted(self.terms(text), key=signed)
+        band, rest = [[t for t in every if self.inside(t >> 44) == kind] for kind in (True, False)]
+        octave = max(1, math.floor(math.log2(max(len(band) + len(rest) / 8, 1) / 0.81) + 0.5))
         hashes = []
         for bits in (octave - 1, octave, octave + 1):
             for j in range(12):
                 f, cell = divmod(j, min(2**bits, 16))
-                own = [t for t in kept if xx((bits * 16 + f).to_bytes(4, "little"), xx(t)) % 2**bits == cell]
+                place = lambda t: xx((bits * 16 + f).to_bytes(4, "little"), xx(t))  # noqa: E731, B023
+                own = [t for t in band if place(t) % 2**bits == cell] + [t for t in rest if place(t) % 2**bits == cell and (place(t) >> 40) % 8 == 0]
                 hashes.append(f"{xx(own) >> 32:x}" if own else "")
-        return octave, f"{xx(sorted(every, key=signed)) >> 32:x}", hashes
+        return octave, f"{xx(every) >> 32:x}", hashes
 
     @staticmethod
     def like(a, b):
@@ -107,10 +107,8 @@ class Brute:
         return sum(mine[k] == theirs[k] for k in known) / len(known) if known else 0.0
 
 
-def test_against_brute_force(spark):
-    sf = "/root/testdata/sf0.001"
-    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    own = Brute([x or "" for _, x in rows], 0.01)
+def by_brute_force(rows, high, low=0.0):
+    own = Brute([x or "" for _, x in rows], high, low)
     order = sorted(rows, reverse=True)
     want = []
     for k, (i, x) in enumerate(order):
@@ -119,8 +117,37 @@ def test_against_brute_force(spark):
         a, b, c = own.sign(x), own.sign(x[: len(x) - half] + y[:half]), own.sign(y)
         text = lambda s: ":".join([str(s[0]), s[1], *s[2]])
         want.append((i, text(a), text(b), round(own.like(a, b), 9), round(own.like(a, c), 9)))
-    got = [(r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in QUERIES["op8_imatch_fingerprints"](spark, sf).collect()]
-    assert sorted(got) == sorted(want)
+    return sorted(want)
+
+
+def collected(df):
+    return sorted((r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in df.collect())
+
+
+def test_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert collected(QUERIES["op8_imatch_fingerprints"](spark, sf)) == by_brute_force(rows, 0.01)
+
+
+def test_band_of_two_sides(spark):
+    rnd = random.Random(6)
+    rows = [(k, " ".join(f"w{int(rnd.paretovariate(0.6)) % 5000}" for _ in range(rnd.randint(1, 80)))) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(compare_edited(df, high=0.2, low=0.02)) == by_brute_force(rows, 0.2, 0.02)
+
+
+def test_recall_by_share_of_frequent_terms(spark):
+    """Texts of 100 terms of which some are rare: an edited text stays nearer than the next one, whatever the share."""
+    rnd = random.Random(1)
+    common = [f"f{k}" for k in range(500)]
+    for percent in (0, 10, 17, 20, 23, 30, 50, 100):
+        rows = []
+        for k in range(300):
+            words = rnd.sample(common, 100 - percent) + [f"r{rnd.randrange(10**6)}" for _ in range(percent)]
+            rows.append((k, " ".join(rnd.sample(words, 100))))
+        got = compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sum(r["near_edited"] > r["near_next"] for r in got) >= 0.9 * len(got), percent
 
 
 def test_hot_group_of_edited_copies(spark):
