@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from operator import ne
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,36 +91,68 @@ def estimate_tokens(text: Column) -> Column:
     return F.when(s == "", 0).otherwise(F.greatest(F.ceil(F.length(s) / 4), F.size(F.split(F.trim(s), "\\s+")))).cast("int")
 
 
-def _jaro_winkler(a: str, b: str) -> float:
+def _places(b: str) -> dict[str, int]:
+    """For each character a number whose bits say where it stands."""
+    at: dict[str, int] = {}
+    for j, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << j
+    return at
+
+
+def _jaro_winkler(a: str, b: str, at: dict[str, int]) -> float:
+    """at = _places(b). Each character of a takes the first place still free within reach, found as the lowest bit."""
     if not a or not b:
         return 0.0
+    if a == b:
+        return 1.0
     reach = max(len(a), len(b)) // 2 - 1
-    used, hits = [False] * len(b), []
+    if reach < 0:
+        return 0.0
+    free, window, hits = (1 << len(b)) - 1, (1 << 2 * reach + 1) - 1, []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
+        here = at.get(c, 0) & free
+        if here:
+            here &= window << i >> reach
+            if here:
+                free ^= here & -here
                 hits.append(c)
-                break
-    if not hits:
+    m = len(hits)
+    if not m:
         return 0.0
-    others = [c for j, c in enumerate(b) if used[j]]
-    m, swaps = len(hits), sum(x != y for x, y in zip(hits, others, strict=True)) // 2
+    others = [c for c, left in zip(b, f"{free:0{len(b)}b}"[::-1], strict=True) if left == "0"]
+    swaps = sum(map(ne, hits, others)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     prefix = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(len(a), len(b), 4))
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+class _Likeness:
+    """Likenesses within one batch of rows, each pair of texts once."""
+
+    def __init__(self) -> None:
+        self.places: dict[str, dict[str, int]] = {}
+        self.known: dict[tuple[str, str], float] = {}
+
+    def __call__(self, a: str | None, b: str | None) -> float:
+        pair = (a or "", b or "")
+        if pair not in self.known:
+            if pair[1] not in self.places:
+                self.places[pair[1]] = _places(pair[1])
+            self.known[pair] = _jaro_winkler(*pair, self.places[pair[1]])
+        return self.known[pair]
+
+
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler likeness; Spark has no such function, so Arrow batches."""
-    return pd.Series([_jaro_winkler(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(list(map(_Likeness(), a, b)), dtype="float64")
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def jaro_winkler_all(a: pd.Series, items: pd.Series) -> pd.Series:
     """The likeness of a text to each of an array of texts."""
-    return pd.Series([[_jaro_winkler(x or "", y or "") for y in ys] for x, ys in zip(a, items)], dtype=object)
+    like = _Likeness()
+    return pd.Series([[like(x, y) for y in ys] for x, ys in zip(a, items)], dtype=object)
 
 
 # The names under which a decider's fields may stand, the first found counts.
