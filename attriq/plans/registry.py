@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from attriq.functions import names, text
 from attriq.functions.vectors import cosine
-from attriq.operators import arbiter, decide, features, joins, metrics, prompts, ranking, recall, sets, subtype
+from attriq.operators import arbiter, decide, features, joins, metrics, prompts, ranking, recall, scorer, sets, subtype
 from attriq.plans import fixtures as fx
 from attriq.plans.pipeline import once
 from attriq.sources import shared_dir
@@ -191,11 +191,13 @@ CLASS_NAMES = ["NONE", "AUTO", "LLM-Co", "LLM-NoCo", "P1-Strong", "P1-High", "P1
 CLASS_NAMES += ["P0-High", "P0-Medium", "P0-Low", "A1-Strong", "A2-Confirm", "A2-Weak-Co", "B-Comp-2way", "B-Comp-3way", "C0-Org-Strong", "C0-Org-Medium", "C0-NoOrg", "C1-DefaultNone", "other"]
 
 
-@query(f"""WITH t AS (SELECT *, {STRATEGY_SQL} AS strategy FROM (SELECT unnest({CLASS_NAMES}) AS subtype)) SELECT subtype, strategy, {CLASS_SQL} AS kind, {DIFFICULTY_SQL} AS difficulty,
+@query(f"""WITH t AS (SELECT *, {STRATEGY_SQL} AS strategy FROM (SELECT o_orderkey, {CLASS_NAMES}[1 + o_orderkey % {len(CLASS_NAMES)}] AS subtype FROM orders)) SELECT o_orderkey, subtype, strategy, {CLASS_SQL} AS kind, {DIFFICULTY_SQL} AS difficulty,
   CASE WHEN strategy IN ('none', 'auto') THEN 'standard' WHEN strategy = 'p0_high' THEN 'llm_noco' ELSE strategy END AS prompt_type FROM t""")
 def class_tables(s, d):
+    """Each order under one of all class names in turn, with what the tables say of it."""
     c = F.col("subtype")
-    t = s.createDataFrame([(x,) for x in CLASS_NAMES], "subtype string").withColumns({"strategy": subtype.strategy(c), "kind": subtype.rule_first_of(c), "difficulty": subtype.difficulty(c)})
+    name = F.get(F.array(*map(F.lit, CLASS_NAMES)), (F.col("o_orderkey") % len(CLASS_NAMES)).cast("int")).alias("subtype")
+    t = fx.read(s, d, "orders").select("o_orderkey", name).withColumns({"strategy": subtype.strategy(c), "kind": subtype.rule_first_of(c), "difficulty": subtype.difficulty(c)})
     return t.withColumn("prompt_type", subtype.prompt_type(F.col("strategy")))
 
 
@@ -386,6 +388,46 @@ def assembled_features(s, d):
     return found.select("record_id", "aid", *[F.round(F.col("features")[i], 11).alias(f"f{i}") for i in range(19)])
 
 
+# Trees over the seven similarity features: a numeric split with zero as missing, a set of coauthor counts (1 to 3, 5, 34), NaN as missing.
+TREES = """tree
+max_feature_idx=6
+objective=binary sigmoid:1
+
+Tree=0
+split_feature=0 3 5
+threshold=0.4 0 0.3
+decision_type=2 1 6
+left_child=-1 -2 -4
+right_child=1 2 -3
+cat_boundaries=0 2
+cat_threshold=46 4
+leaf_value=-0.9 0.8 0.3 -0.2
+
+Tree=1
+split_feature=2 4
+threshold=0.35 0.2
+decision_type=10 0
+left_child=1 -2
+right_child=-1 -3
+leaf_value=0.45 -0.35 0.15
+
+end of trees
+"""
+
+
+@query(f"""WITH {fx.SQL_PAPERS}, f AS (SELECT record_id, aid, coalesce(s0, 0) AS s0, coalesce(s2, 0) AS s2, coalesce(s3, 0) AS s3, coalesce(s4, 0) AS s4, coalesce(s5, 0) AS s5 FROM {SIM_SQL}),
+  raw AS (SELECT record_id, aid, CASE WHEN s0 <= 0.4 THEN -0.9 WHEN trunc(s3) IN (1, 2, 3, 5, 34) THEN 0.8 WHEN abs(s5) <= 1e-35 OR s5 <= 0.3 THEN -0.2 ELSE 0.3 END
+    + CASE WHEN s2 > 0.35 THEN 0.45 WHEN s4 <= 0.2 THEN -0.35 ELSE 0.15 END AS r FROM f)
+  SELECT record_id, aid, round(1 / (1 + exp(-r::DOUBLE)), 9) AS score FROM raw""")
+def scored_by_trees(s, d):
+    """Pairs scored by trees that were written as text and read again."""
+    path = f"{shared_dir(s).rstrip('/')}/trees-{uuid.uuid4().hex}"
+    s.createDataFrame([(TREES,)], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
+    sims = recall.sim_features(fx.pair_sims(s, d))
+    made = sims.select("record_id", "aid", F.array(*[c for c in sims.columns if c not in ("record_id", "aid")]).alias("features"))
+    return scorer.score_text(scorer.load_text(s, f"{path}/part-*"), made).withColumn("score", F.round("score", 9))
+
+
 @query("""WITH c AS (SELECT o_custkey, o_orderpriority AS v, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY 1, 2)
   SELECT o_custkey, v AS main FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, f) AS k FROM c) WHERE k = 1""")
 def main_venue(s, d):

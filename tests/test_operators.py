@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from attriq.config import Gate
 from attriq.functions import names, text
+from attriq.functions.text import jaro_winkler, jaro_winkler_all
 from attriq import sources
 from attriq.__main__ import main
 from attriq.operators import arbiter, decide, joins, metrics, ranking, recall, scorer, sets, subtype
@@ -358,7 +359,95 @@ def test_trees_from_text(spark, tmp_path):
     with pytest.raises(Exception, match="2 features"):
         scorer.score_text(model, df.withColumn("features", F.array(F.lit(1.0)))).collect()
     with pytest.raises(ValueError):
-        scorer.parse_text(TREES.replace("decision_type=2 10", "decision_type=1 10"))
+        scorer.parse_text(TREES.replace("objective=binary", "objective=regression"))
+    assert "Python" not in scorer.score_text(model, df)._jdf.queryExecution().toString()
+
+
+def walked(text, x):
+    """The sum of the leaves of a row by plain steps."""
+    total = 0.0
+    for block in text.split("\nTree=")[1:]:
+        t = {k: v.split() for k, v in (line.split("=") for line in block.splitlines() if "=" in line)}
+        at = 0 if t.get("split_feature") else -1
+        while at >= 0:
+            v, kind, bound = x[int(t["split_feature"][at])], int(t["decision_type"][at]), float(t["threshold"][at])
+            v = float("nan") if v is None else v
+            if kind & 1:
+                first, last = (int(b) for b in t["cat_boundaries"][int(bound) : int(bound) + 2])
+                words = [int(w) for w in t["cat_threshold"][first:last]]
+                k = -1 if math.isnan(v) else int(v) if math.isfinite(v) else -1
+                left = 0 <= k < 32 * len(words) and bool(words[k // 32] >> k % 32 & 1) and v > -1
+            else:
+                missing = kind >> 2 & 3
+                if math.isnan(v) and missing != 2:
+                    v = 0.0
+                gone = math.isnan(v) if missing == 2 else missing == 1 and abs(v) <= 1e-35
+                left = bool(kind & 2) if gone else v <= bound
+            at = int(t["left_child" if left else "right_child"][at])
+        total += float(t["leaf_value"][~at])
+    return total
+
+
+def grown(rnd, leaves, features):
+    """A tree as text: leaves are split at random, numeric and categorical, with every kind of missing values."""
+    split, threshold, kind, left, right, bounds, words = [], [], [], [-1], [-2], [0], []
+    for n in range(1, leaves):
+        if n > 1:  # leaf ~k of some parent becomes node n - 1
+            side, at = rnd.choice([(c, i) for c in (left, right) for i, v in enumerate(c) if v < 0])
+            old, side[at] = side[at], n - 1
+            left.append(old)
+            right.append(~n)
+        split.append(rnd.randrange(features))
+        if rnd.random() < 0.3:
+            threshold.append(len(bounds) - 1)
+            kind.append(1)
+            words += [rnd.getrandbits(32) for _ in range(rnd.randint(1, 2))]
+            bounds.append(len(words))
+        else:
+            threshold.append(rnd.choice([0.0, 1.5, -2.25, 1e-35, rnd.uniform(-3, 40)]))
+            kind.append(rnd.choice([0, 2]) | rnd.choice([0, 4, 8]))
+    rows = {"split_feature": split, "threshold": threshold, "decision_type": kind, "left_child": left, "right_child": right, "cat_boundaries": bounds, "cat_threshold": words, "leaf_value": [rnd.uniform(-1, 1) for _ in range(leaves)]}
+    return "\n".join(f"{k}={' '.join(map(str, v))}" for k, v in rows.items())
+
+
+def test_trees_against_plain_steps(spark):
+    rnd = random.Random(5)
+    nan, inf = float("nan"), float("inf")
+    text = "tree\nmax_feature_idx=3\nobjective=binary sigmoid:1\n" + "".join(f"\nTree={k}\n{grown(rnd, rnd.randint(2, 31), 4)}\n" for k in range(60)) + "\nend of trees\n"
+    rows = [[rnd.choice([None, nan, inf, -inf, 0.0, -0.0, 1e-36, -0.5, -1.0, 1.5, rnd.uniform(-5, 70), float(rnd.randrange(70))]) for _ in range(4)] for _ in range(300)]
+    df = spark.createDataFrame([("r", str(k), x) for k, x in enumerate(rows)], "record_id string, aid string, features array<double>")
+    got = {int(r["aid"]): r["score"] for r in scorer.score_text(scorer.parse_text(text), df).collect()}
+    for k, x in enumerate(rows):
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-walked(text, x))), rel=1e-12), x
+    assert scorer.score_text(scorer.parse_text(text), df.limit(0)).count() == 0
+
+
+def plain_jaro_winkler(a, b):
+    """Jaro-Winkler by loops over characters."""
+    if not a or not b or a == b:
+        return float(bool(a) and a == b)
+    reach, used, hits = max(len(a), len(b)) // 2 - 1, set(), []
+    for i, c in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if b[j] == c and j not in used), None)
+        if j is not None:
+            used.add(j)
+            hits.append(c)
+    if not hits:
+        return 0.0
+    m, swaps = len(hits), sum(x != b[j] for x, j in zip(hits, sorted(used), strict=True)) // 2
+    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    same = [x == y for x, y in zip(a[:4], b[:4])]
+    return jaro + 0.1 * (same.index(False) if False in same else len(same)) * (1 - jaro)
+
+
+def test_jaro_winkler_against_loops(spark):
+    rnd = random.Random(8)
+    made = lambda n: "".join(rnd.choices("abcdé ", k=rnd.randint(0, n)))
+    rows = [(made(n), [made(n) for _ in range(3)]) for n in (1, 2, 3, 6, 20, 90) for _ in range(60)] + [("a", ["a", "", "b"]), (None, ["x", None])]
+    df = spark.createDataFrame(rows, "a string, items array<string>")
+    for r in df.select("a", "items", jaro_winkler_all("a", "items").alias("all"), jaro_winkler("a", F.col("items")[0]).alias("first")).collect():
+        want = [plain_jaro_winkler(r["a"] or "", b or "") for b in r["items"]]
+        assert r["all"] == want and r["first"] == want[0], r
 
 
 def test_commands(spark, tmp_path):
