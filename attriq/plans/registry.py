@@ -216,10 +216,10 @@ def class_reasons(s, d):
     return _classified(s, d).select("record_id", "reason")
 
 
-@query(f"""WITH {fx.SQL_CANDIDATES}, e AS (SELECT c.*, s.subtype, CASE WHEN c.aid::BIGINT % 9 = 0 THEN 'none' ELSE c.aid END AS predicted FROM candidates c JOIN classified s USING (record_id)),
-  q AS (SELECT *, CASE WHEN predicted = 'none' THEN 'low' WHEN (coauthor_org_match_count > 0 AND org_sim >= 0.7) OR (coauthor_count >= 2 AND org_sim >= 0.7 AND venue_sim >= 0.8) OR (title_sim_max >= 0.9 AND org_sim >= 0.8) THEN 'high'
-    WHEN coauthor_count >= 1 OR venue_sim >= 0.8 OR org_sim >= 0.7 THEN 'medium' ELSE 'low' END AS quantified FROM e)
-  SELECT record_id, aid, quantified, CASE WHEN predicted = 'none' THEN 'high' WHEN quantified <> 'high' THEN quantified
+# The evidence of a predicted candidate, and what is left of a said "high".
+QUANTIFIED_SQL = """CASE WHEN predicted = 'none' THEN 'low' WHEN (coauthor_org_match_count > 0 AND org_sim >= 0.7) OR (coauthor_count >= 2 AND org_sim >= 0.7 AND venue_sim >= 0.8) OR (title_sim_max >= 0.9 AND org_sim >= 0.8) THEN 'high'
+    WHEN coauthor_count >= 1 OR venue_sim >= 0.8 OR org_sim >= 0.7 THEN 'medium' ELSE 'low' END"""
+CALIBRATED_SQL = """CASE WHEN predicted = 'none' THEN 'high' WHEN quantified <> 'high' THEN quantified
     WHEN org_sim < 0.5 AND coauthor_count < 2 THEN 'medium' WHEN org_sim < 0.5 AND venue_sim < 0.8 THEN 'medium'
     WHEN left(subtype, 2) IN ('P2', 'P3') AND coauthor_org_match_count = 0 THEN 'medium' WHEN left(subtype, 2) IN ('P2', 'P3') AND org_sim < 0.5 THEN 'low'
     WHEN subtype LIKE 'P1-Weak%' AND coauthor_org_match_count = 0 THEN 'medium' WHEN subtype LIKE 'P1-Weak%' AND org_sim < 0.7 THEN 'low' WHEN subtype LIKE 'P1-Weak%' AND coauthor_count = 1 AND org_sim < 0.9 THEN 'low'
@@ -228,7 +228,12 @@ def class_reasons(s, d):
     WHEN subtype = 'P0-Medium' AND org_sim < 0.85 THEN 'low' WHEN subtype = 'P0-Medium' AND venue_sim < 0.8 AND org_sim < 0.8 THEN 'low'
     WHEN subtype IN ('P1-Strong-Comp', 'P1-High-Comp', 'P1-Medium-Comp') AND NOT (coauthor_count >= 3 AND venue_sim >= 0.9) AND coauthor_org_match_count = 0 THEN 'medium'
     WHEN subtype IN ('P1-Strong-Comp', 'P1-High-Comp', 'P1-Medium-Comp') AND NOT (coauthor_count >= 3 AND venue_sim >= 0.9) AND org_sim < 0.5 THEN 'low'
-    WHEN subtype IN ('P1-Strong-Comp', 'P1-High-Comp', 'P1-Medium-Comp') AND NOT (coauthor_count >= 3 AND venue_sim >= 0.9) AND coauthor_count < 2 AND org_sim < 0.7 THEN 'low' ELSE 'high' END AS calibrated FROM q""")
+    WHEN subtype IN ('P1-Strong-Comp', 'P1-High-Comp', 'P1-Medium-Comp') AND NOT (coauthor_count >= 3 AND venue_sim >= 0.9) AND coauthor_count < 2 AND org_sim < 0.7 THEN 'low' ELSE 'high' END"""
+
+
+@query(f"""WITH {fx.SQL_CANDIDATES}, e AS (SELECT c.*, s.subtype, CASE WHEN c.aid::BIGINT % 9 = 0 THEN 'none' ELSE c.aid END AS predicted FROM candidates c JOIN classified s USING (record_id)),
+  q AS (SELECT *, {QUANTIFIED_SQL} AS quantified FROM e)
+  SELECT record_id, aid, quantified, {CALIBRATED_SQL} AS calibrated FROM q""")
 def confidence_calibration(s, d):
     c = _stage(s, d)
     e = c.join(_classified(s, d, c).select("record_id", "subtype"), "record_id")
@@ -939,18 +944,21 @@ def unfinished_cases(s, d):
 RESULT_SQL = f"""{fx.SQL_CANDIDATES}, {ANSWERS_SQL}, {RULE_FIRST_SQL}, g AS (SELECT record_id, truth, subtype, num_candidates, hit, {STRATEGY_SQL} AS strategy FROM classified),
   y AS (SELECT g.*, an.n, an.status, an.said, t.title_sim_max AS tt, t.coauthor_count AS tc, t.coauthor_org_match_count AS tm, t.org_sim AS oo, t.venue_sim AS vv, t.aid AS top_aid, h.coauthor_count AS hc, h.coauthor_org_match_count AS hm
     FROM g JOIN an USING (record_id) LEFT JOIN candidates t ON t.record_id = g.record_id AND t.rank = 1 LEFT JOIN candidates h ON h.record_id = g.record_id AND h.rank = g.hit),
-  z AS (SELECT *, strategy = 'none' AS is_none, strategy = 'auto' AS is_auto, strategy NOT IN ('none', 'auto') AND status <> 'ok' AS bad FROM y)"""
+  e AS (SELECT record_id, said AS predicted, subtype, coalesce(hc, 0) AS coauthor_count, coalesce(hm, 0) AS coauthor_org_match_count, coalesce(oo, 0) AS org_sim, coalesce(vv, 0) AS venue_sim, coalesce(tt, 0) AS title_sim_max FROM y),
+  sure AS (SELECT record_id, {CALIBRATED_SQL} AS calibrated FROM (SELECT *, {QUANTIFIED_SQL} AS quantified FROM e)),
+  z AS (SELECT *, strategy = 'none' AS is_none, strategy = 'auto' AS is_auto, strategy NOT IN ('none', 'auto') AND status <> 'ok' AS bad FROM y JOIN sure USING (record_id))"""
 
 
 @query(f"""WITH {RESULT_SQL} SELECT record_id, CASE WHEN is_none THEN 'none' WHEN is_auto THEN top_aid WHEN bad THEN 'error' ELSE said END AS predicted,
   CASE WHEN is_none THEN '无候选作者' WHEN is_auto THEN '自动分配: title_sim=' || CAST(CAST(tt AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ', coauthor=' || tc || ', 机构验证=' || CASE WHEN tm > 0 THEN 'True' ELSE 'False' END WHEN bad THEN CASE status WHEN 'error' THEN '[rate_limit] too fast' ELSE '[empty_response] ' END ELSE 'alike' END AS reasoning,
   truth, CAST(num_candidates AS INTEGER) AS num_candidates, subtype, CASE WHEN bad THEN 'error' ELSE strategy END AS strategy, CASE WHEN is_none OR bad THEN 0 ELSE round(tt, 6) END AS top1_title_sim, CAST(CASE WHEN is_none OR bad THEN 0 ELSE tc END AS INTEGER) AS top1_coauthor_count,
-  CASE WHEN is_none OR bad THEN 0 ELSE oo END AS top1_org_sim, CASE WHEN is_none OR bad THEN 0 ELSE vv END AS top1_venue_sim FROM z""")
+  CASE WHEN is_none OR bad THEN 0 ELSE oo END AS top1_org_sim, CASE WHEN is_none OR bad THEN 0 ELSE vv END AS top1_venue_sim,
+  CASE WHEN is_none OR is_auto THEN 'high' WHEN bad THEN 'error' ELSE calibrated END AS confidence, CAST(CASE WHEN is_none OR is_auto OR bad THEN 0 ELSE 7 * num_candidates END AS INTEGER) AS estimated_prompt_tokens FROM z""")
 def result_rows(s, d):
     c = _stage(s, d)
-    asked = prompts.listed_candidates(subtype.order_by_coauthors(c)).withColumn("tokens", F.lit(7))
+    asked = prompts.listed_candidates(subtype.order_by_coauthors(c)).withColumn("tokens", 7 * F.size("aids"))
     rows = decide.result_rows(_classified(s, d, c), c, features.candidate_stats(fx.pair_sims(s, d)), once(_answers(s, d, c)), asked, fx.records(s, d).select("record_id", F.col("truth").alias("aid")))
-    return rows.drop("confidence", "estimated_prompt_tokens").withColumn("top1_title_sim", F.round("top1_title_sim", 6))
+    return rows.withColumn("top1_title_sim", F.round("top1_title_sim", 6))
 
 
 @query("SELECT page_id, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
