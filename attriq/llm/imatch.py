@@ -28,8 +28,8 @@ def slot(term: Column) -> Column:
     return F.shiftrightunsigned(term, 64 - SLOT_BITS).cast("int")
 
 
-def outside(docs: DataFrame, text: str, high: float, low: float = 0.0) -> bytes:
-    """A byte for each slot: 1 if terms of that slot are in over `high` or under `low` of all documents, so outside the band.
+def outside(docs: DataFrame, text: str, high: float, low: float = 0.0) -> Column:
+    """A bit for each slot, seven a byte: 1 if terms of that slot are in over `high` or under `low` of all documents, so outside the band.
 
     Slots take the place of terms, so that counting takes bounded memory however large the vocabulary; a
     slot holds mean terms of a document / 2 ** SLOT_BITS of the documents by chance, far less than `high`
@@ -39,10 +39,10 @@ def outside(docs: DataFrame, text: str, high: float, low: float = 0.0) -> bytes:
     n = docs.count()
     counted = docs.select(F.explode(terms(F.coalesce(q(text), F.lit("")))).alias("t")).groupBy(slot(F.col("t")).alias("slot")).agg(F.count("*").alias("df"))
     inside = (F.col("df") <= max(high * n, 1)) & (F.col("df") >= low * n)
-    out = bytearray([int(low > 0)]) * (1 << SLOT_BITS)
+    out = bytearray([127 * int(low > 0)]) * ((1 << SLOT_BITS) // 7 + 1)
     for r in counted.filter(inside if low > 0 else ~inside).select("slot").collect():
-        out[r["slot"]] = int(low <= 0)
-    return bytes(out)
+        out[r["slot"] // 7] ^= 1 << r["slot"] % 7
+    return F.lit(bytes(out))
 
 
 def let(value: Column, use) -> Column:
@@ -50,7 +50,7 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def signature(text: Column, out: bytes) -> Column:
+def signature(text: Column, out: Column) -> Column:
     """struct(octave, whole, hashes) of a text; out as `outside` gives it.
 
     Each random lexicon subset takes the terms of the inverse document frequency band in one cell of a hash, and of
@@ -59,7 +59,9 @@ def signature(text: Column, out: bytes) -> Column:
     edited text share one lexicon. The densest subsets take one of 2 ** (octave - 1) terms; the octave goes by the
     number of terms, those outside counted at their share. whole is the hash of all terms.
     """
-    usual = lambda t: F.substring(F.lit(out), slot(t) + 1, F.lit(1)) == F.lit(b"\x00")
+    # Bytes below 128 are characters, whose codes are the bits.
+    bits_at = lambda at: F.ascii(F.substring(out, F.floor(at / 7).cast("int") + 1, F.lit(1)).cast("string"))
+    usual = lambda t: F.getbit(bits_at(slot(t)), slot(t) % 7) == 0
     # For terms outside the band, some high bits of the hash have to be zero too.
     high_bits = ((1 << OUTSIDE_BITS) - 1) << 40
 
@@ -85,7 +87,7 @@ def signature(text: Column, out: bytes) -> Column:
         return let(F.struct((F.pow(F.lit(2.0), bits).cast("long") - 1).alias("mask"), (bits * 16).cast("int").alias("seed")), made)
 
     def signed(every: Column) -> Column:
-        parts = F.struct(F.filter(every, usual).alias("band"), F.filter(every, lambda t: ~usual(t)).alias("rest"))
+        parts = let(F.filter(every, usual), lambda band: F.struct(band.alias("band"), F.array_except(every, band).alias("rest")))
         weight = lambda kept: F.size(kept["band"]) + F.size(kept["rest"]) / (1 << OUTSIDE_BITS)
         return let(parts, lambda kept: over(every, kept, F.greatest(F.round(F.log2(F.greatest(weight(kept), F.lit(1.0)) / BEST)), F.lit(1)).cast("int")))
 
