@@ -953,7 +953,7 @@ RESULT_SQL = f"""{fx.SQL_CANDIDATES}, {ANSWERS_SQL}, {RULE_FIRST_SQL}, g AS (SEL
   CASE WHEN is_none THEN '无候选作者' WHEN is_auto THEN '自动分配: title_sim=' || CAST(CAST(tt AS DECIMAL(30,15)) AS DECIMAL(18,2)) || ', coauthor=' || tc || ', 机构验证=' || CASE WHEN tm > 0 THEN 'True' ELSE 'False' END WHEN bad THEN CASE status WHEN 'error' THEN '[rate_limit] too fast' ELSE '[empty_response] ' END ELSE 'alike' END AS reasoning,
   truth, CAST(num_candidates AS INTEGER) AS num_candidates, subtype, CASE WHEN bad THEN 'error' ELSE strategy END AS strategy, CASE WHEN is_none OR bad THEN 0 ELSE round(tt, 6) END AS top1_title_sim, CAST(CASE WHEN is_none OR bad THEN 0 ELSE tc END AS INTEGER) AS top1_coauthor_count,
   CASE WHEN is_none OR bad THEN 0 ELSE oo END AS top1_org_sim, CASE WHEN is_none OR bad THEN 0 ELSE vv END AS top1_venue_sim,
-  CASE WHEN is_none OR is_auto THEN 'high' WHEN bad THEN 'error' ELSE calibrated END AS confidence, CAST(CASE WHEN is_none OR is_auto OR bad THEN 0 ELSE 7 * num_candidates END AS INTEGER) AS estimated_prompt_tokens FROM z""")
+  CASE WHEN is_none OR is_auto THEN 'high' WHEN bad THEN 'error' ELSE calibrated END AS confidence, CAST(CASE WHEN is_none OR is_auto OR bad THEN 0 ELSE 7 * least(num_candidates, 10) END AS INTEGER) AS estimated_prompt_tokens FROM z""")
 def result_rows(s, d):
     c = _stage(s, d)
     asked = prompts.listed_candidates(subtype.order_by_coauthors(c)).withColumn("tokens", 7 * F.size("aids"))
