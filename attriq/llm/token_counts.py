@@ -39,7 +39,23 @@ class PrefixCounter:
         self.vocab = {raw(t): i for t, i in spec["model"]["vocab"].items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank = {(raw(a), raw(b)): r for r, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.vocab))
+        #: The two parts that each token is merged from, and the rank of that merge; single bytes have none.
+        self.parts: dict[bytes, tuple[int, bytes, bytes]] = {}
+        for (a, b), r in self.rank.items():
+            self.parts.setdefault(a + b, (r, a, b))
+        #: Tokens that several merges make, or that aren't their own encoding: pairs with them are merged anew.
+        self.unsure = {t for t in self.vocab if len(t) > 1 and t not in self.parts}
+        if len(self.parts) < len(self.rank):
+            seen: set[bytes] = set()
+            for a, b in self.rank:
+                self.unsure |= {a + b} & seen
+                seen.add(a + b)
+        self.unsure |= {t for t, (r, a, b) in self.parts.items() if not self._beside(a, b, r)}
+        #: The most bytes of a token by its last two bytes.
+        self.most: dict[bytes, int] = {}
+        for t in self.vocab:
+            if len(t) > self.most.get(t[-2:], 1):
+                self.most[t[-2:]] = len(t)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.split = regex.compile(SPLIT)
         #: Where cutting at single spaces would not cut at a piece's border.
@@ -71,12 +87,30 @@ class PrefixCounter:
             parts = out
         return parts
 
+    def _beside(self, a: bytes, b: bytes, limit: int = 1 << 60) -> bool:
+        """Whether no merge across their border comes before the tokens a and b are made, nor one of lower rank than limit after.
+
+        The merges are undone from the last on; of each state, the parts at the border are looked up as a pair.
+        """
+        rank, parts = self.rank, self.parts
+        while True:
+            if rank.get((a, b), limit) < limit:
+                return False
+            x, y = parts.get(a), parts.get(b)
+            if x is None and y is None:
+                return True
+            if y is None or (x is not None and x[0] > y[0]):
+                limit, a = x[0], x[2]
+            else:
+                limit, b = y[0] + 1, y[1]  # a pair of equal rank that begins further left goes first
+
     def _pair(self, a: bytes, b: bytes) -> bool:
         known = self.fits.get((a, b))
         if known is None:
             if len(self.fits) > self.limit:
                 self.fits.clear()
-            known = self.fits[a, b] = self._merge(a + b) == [a, b]
+            sure = a not in self.unsure and b not in self.unsure
+            known = self.fits[a, b] = self._beside(a, b) if sure else self._merge(a + b) == [a, b]
         return known
 
     def prefixes(self, piece: bytes) -> list[int]:
@@ -92,11 +126,11 @@ class PrefixCounter:
         return count
 
     def _prefixes(self, piece: bytes) -> list[int]:
-        vocab, pair = self.vocab, self._pair
+        vocab, pair, most = self.vocab, self._pair, self.most
         last: list[bytes] = [b""]
         count = [0]
         for i in range(1, len(piece) + 1):
-            for at in range(max(0, i - self.longest), i):
+            for at in range(max(0, i - most.get(piece[max(0, i - 2) : i], 1)), i):
                 token = piece[at:i]
                 if token in vocab and (not at or pair(last[at], token)):
                     last.append(token)
@@ -111,7 +145,7 @@ class PrefixCounter:
         if n is None:
             if len(self.pieces) > self.limit:
                 self.pieces.clear()
-            n = self.prefixes(piece.encode())[-1]
+            n = self._prefixes(piece.encode())[-1]
             if len(piece) <= 64:
                 self.pieces[piece] = n
         return n
@@ -172,9 +206,24 @@ class PrefixCounter:
         return out
 
     def within(self, text: str, total: int, budget: int) -> int:
-        """Most code points of a prefix of text, which has `total` tokens, whose count is within the budget: read from the table of the prefixes that come near it."""
+        """Most code points of a prefix of text, which has `total` tokens, whose count is within the budget: read from the table of the prefixes that come near it.
+
+        The split has a border before each single space behind other than white space, whatever follows, so counts up to there add up. The
+        prefix ends between the last of these within the budget and the next: each that is longer has the tokens up to that one at least.
+        """
         if total <= budget:
             return len(text)
+        if not self.tangled.search(text) and not (self.special and any(s in text for s in self.special)):
+            first, *rest = text.split(" ")
+            done, sure, base, at = self._unit(first), 0, 0, len(first)  # tokens so far; the last border within the budget, tokens up to there
+            for x in rest:
+                if at and text[at - 1] not in "\t\n\x0b\x0c\r":
+                    if done > budget:
+                        break
+                    sure, base = at, done
+                done += n if (n := self.units.get(x)) is not None else self._unit(" " + x)
+                at += 1 + len(x)
+            return sure + longest_within(self.table(text[sure:at]), budget - base)
         # A prefix has no more tokens than its bytes; the count seldom falls from one prefix to the next, and by a few at most.
         end = min(len(text), 4 * budget + 64)
         while True:

@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -14,7 +15,7 @@ from attriq.functions import names, text
 from attriq.functions.text import jaro_winkler, jaro_winkler_all
 from attriq import sources
 from attriq.__main__ import main
-from attriq.operators import arbiter, decide, joins, metrics, ranking, recall, scorer, sets, subtype
+from attriq.operators import arbiter, decide, features, joins, metrics, ranking, recall, scorer, sets, subtype
 from attriq.plans import fixtures as fx
 from attriq.plans import pipeline, registry
 from attriq.sources import chat_service, sinks
@@ -487,3 +488,14 @@ def test_strict_candidate_check(spark):
     assert [tuple(r) for r in joins.check_candidates(d, f).collect()] == [("3", -1, 1)]
     with pytest.raises(Exception, match="candidates differ for 3"):
         joins.check_candidates(d, f, strict=True).collect()
+
+
+def test_author_score_at_half_a_place(spark):
+    """A share of which half of the sixth place is left is rounded as SQL rounds it."""
+    weights = {"up": 4.854155, "down": 4.145229, "ten": 4.125429}
+    texts = spark.createDataFrame([(w, w, "title", w) for w in weights], "record_id string, aid string, field string, text string")
+    papers = spark.createDataFrame([(w, "title", k, (w, "other")[k]) for w in weights for k in (0, 1)], "aid string, field string, pub_id int, text string")
+    idf = spark.createDataFrame([("title", w, x) for w, x in weights.items()], "field string, word string, idf double")
+    out = {r["aid"]: r["score_author"] for r in features.word_features(texts, papers, idf, jaro=False).collect()}
+    assert out == {w: duckdb.execute(f"SELECT round({x}::DOUBLE / 2, 6)").fetchall()[0][0] for w, x in weights.items()}
+    assert out["up"] == 2.427078 and out["down"] == 2.072614
