@@ -157,7 +157,7 @@ def _from_texts(texts: DataFrame, wanted: DataFrame, schema: str, make: Callable
     return texts.select("row", "text", place("row").alias("place")).mapInArrow(run, kind).join(wanted, F.col("node") == F.col("want"), "left_semi")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs(a, b) whose whole sets have a Jaccard similarity of at least `percent`; texts has (row, text)."""
 
     def whole(part: list) -> dict[str, list]:
@@ -210,6 +210,21 @@ def _apart(placed: DataFrame, texts: DataFrame, signed: DataFrame, percent: int,
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def labelled(made: DataFrame, classes: DataFrame, roots: DataFrame, more: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(row, id, n_shingles, component) of made(row, id, n, k1, k2): classes(k1, k2, node) by their roots(node, root), which those of more(a, b) that whole sets confirm join."""
+    label = classes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
+    if not more.isEmpty():
+        # These links join components, so what is left to search is a graph of their roots.
+        root_of = lambda c: roots.select(F.col("node").alias(f"of_{c}"), F.col("root").alias(f"root_{c}"))
+        links = verified(more, texts, percent, shingle).join(root_of("a"), F.col("a") == F.col("of_a"), "left").join(root_of("b"), F.col("b") == F.col("of_b"), "left")
+        above = components(cut(links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct()))
+        above = above.select(F.col("node").alias("below"), F.col("root").alias("above"))
+        label = label.join(above, F.col("root") == F.col("below"), "left").select("k1", "k2", F.coalesce("above", "root").alias("root"))
+    label = label.select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("root").alias("component"))
+    out = made.select("row", "id", F.col("n").alias("n_shingles"), "k1", "k2").join(label, (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")))
+    return out.select("row", "id", "n_shingles", "component")
+
+
 def near_groups(rows: DataFrame, row: str, id: str = "doc_id", text: str = "text", percent: int = 80, shingle: int = 5) -> DataFrame:
     """(row, id, n_shingles, component) of each row: rows are linked at a shingle Jaccard similarity of `percent` or more.
 
@@ -245,20 +260,10 @@ def near_groups(rows: DataFrame, row: str, id: str = "doc_id", text: str = "text
     members = cut(spread.join(shared, F.col("bucket") == F.col("of")).select("bucket", "node", *[F.col(f"h{i}").bitwiseXOR(F.lit(m)).alias(f"h{i}") for i, m in enumerate(_MASKS)]))
     first = members.select("node", F.explode(F.array(*[f"h{i}" for i in range(len(_MASKS))])).alias("head")).filter("node <> head")
     first = cut(_alike(first.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")), signed, percent))
-    roots = cut(components(cut(_verified(first, texts, percent, shingle))))
+    roots = cut(components(cut(verified(first, texts, percent, shingle))))
     placed = members.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     more = cut(_apart(placed, texts, signed, percent, shingle).join(first, ["a", "b"], "left_anti"))
-    label = classes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
-    if not more.isEmpty():
-        # These links join components, so what is left to search is a graph of their roots.
-        root_of = lambda c: roots.select(F.col("node").alias(f"of_{c}"), F.col("root").alias(f"root_{c}"))
-        links = _verified(more, texts, percent, shingle).join(root_of("a"), F.col("a") == F.col("of_a"), "left").join(root_of("b"), F.col("b") == F.col("of_b"), "left")
-        above = components(cut(links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct()))
-        above = above.select(F.col("node").alias("below"), F.col("root").alias("above"))
-        label = label.join(above, F.col("root") == F.col("below"), "left").select("k1", "k2", F.coalesce("above", "root").alias("root"))
-    label = label.select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("root").alias("component"))
-    out = made.select("row", "id", F.col("n").alias("n_shingles"), "k1", "k2").join(label, (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")))
-    return out.select("row", "id", "n_shingles", "component")
+    return labelled(made, classes, roots, more, texts, percent, shingle)
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, shingle: int = 4) -> DataFrame:

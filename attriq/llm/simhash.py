@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from attriq.llm.common import cut, map_arrow, only
+from attriq.llm.common import cut, map_arrow, new_path, only, released
 from attriq.llm.components import components
+from attriq.llm.minhash import labelled, shingles, verified
 
 #: Rows that a group of the search holds on average at most, before it is split.
 GROUP = 4096
@@ -190,3 +197,162 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", bit
     classes = known.join(least, F.col("root") == F.col("root_b")).select(F.col("fp").alias("fp_b"), "component_id")
     out = rows.join(classes, F.col("fp") == F.col("fp_b"))
     return out.select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Search at a Jaccard similarity: there 64 bits are too few, so fingerprints are wide and tables of some of their bits bring pairs together.
+
+#: Longs of a wide fingerprint.
+WIDE = 16
+#: A pair at the least similarity asked for shares no table once in 1 / MISS.
+MISS = 1e-5
+#: Tables in which members meet heads of their group before the search.
+FIRST = 8
+_ODD = np.random.default_rng(7).integers(0, 2**64, WIDE, dtype=np.uint64) | np.uint64(1)
+_MASKS = (0, 0x0000_0005_2DA3_9C71, 0x0000_000A_D25C_638E)
+
+
+def wide_print(found: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingle hashes in 64 * WIDE bits: a bit is set if it is in over half of the hashes mixed anew for each long."""
+    counts = np.zeros(64 * WIDE, dtype=np.int64)
+    for k in range(0, len(found), 255):
+        h = found[k : k + 255, None] * _ODD
+        for step in (32, 29):
+            h ^= h >> np.uint64(step)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        counts += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(found), bitorder="little").view(np.int64)
+
+
+def differing(percent: int) -> float:
+    """The most of their bits in which fingerprints of two sets of that Jaccard similarity are expected to differ: their angle over pi, the widest for equal sizes."""
+    return math.acos(2 * percent / (100 + percent)) / math.pi
+
+
+@lru_cache(maxsize=8)
+def tables_for(n: int, percent: int) -> np.ndarray:
+    """The bits of each table: so many that groups of random fingerprints have some 32 to 64 of n, in so many tables that a pair misses all by MISS."""
+    bits = max(6, math.ceil(math.log2(max(n, 2))) - 6)
+    number = math.ceil(math.log(MISS) / math.log1p(-((1 - differing(percent)) ** bits)))
+    rng = np.random.default_rng(11)
+    dealt = np.concatenate([rng.permutation(64 * WIDE) for _ in range(1 + number * bits // (64 * WIDE))])
+    return dealt[: number * bits].reshape(number, bits)
+
+
+def _heads(g: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places: each row of a group with the group's three heads."""
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(g)]))
+    for mask in _MASKS:
+        order = np.lexsort((node ^ mask, g))
+        yield np.arange(len(g)), order[starts][group]
+
+
+def _across(g: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places: all rows of a group that have different roots, each pair once, some million at a time."""
+    order = np.lexsort((root, g))
+    g, root, at = g[order], root[order], np.arange(len(g))
+    last = lambda new: np.r_[at[1:][new], len(g)][np.cumsum(np.r_[0, new])]  # noqa: E731  (the place behind each row's run)
+    end = last(g[1:] != g[:-1])
+    after = last((g[1:] != g[:-1]) | (root[1:] != root[:-1]))
+    total = np.cumsum(end - after)
+    begin = 0
+    while begin < len(g):
+        done = total[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(total, done + 1_000_000, "right")))
+        number = (end - after)[begin:stop]
+        a = np.repeat(at[begin:stop], number)
+        b = np.arange(len(a)) - np.repeat(total[begin:stop] - number - done, number) + np.repeat(after[begin:stop], number)
+        yield order[a], order[b]
+        begin = stop
+
+
+def candidates(prints: DataFrame, tables: np.ndarray, number: int, percent: int, heads: bool = False) -> DataFrame:
+    """(a, b), once each: pairs of prints(node, root, n, fp) that share a group of a table and can have the similarity.
+
+    They have different roots; with heads, one of the two is one of three heads of the group. Sizes and 128 bits of the
+    fingerprints discard pairs. Rows travel with those bits only, a group is in one task.
+    """
+    rate, places = differing(percent), 1 << np.arange(tables.shape[1], dtype=np.int64)
+    most = math.ceil(128 * rate + 5 * math.sqrt(128 * rate * (1 - rate)))
+    spread_kind, pair_kind = StructType.fromDDL("grp long, node long, root long, n long, s0 long, s1 long"), StructType.fromDDL("a long, b long")
+    column = lambda b, k: b.column(k).to_numpy(zero_copy_only=False)
+    batch = lambda kind, arrays: pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], schema=to_arrow_schema(kind))
+    pick, above = _heads if heads else _across, np.arange(len(tables), dtype=np.int64) << 40
+
+    def spread(batches):
+        def made():
+            for whole in batches:
+                for k in range(0, whole.num_rows, 256):
+                    b = whole.slice(k, 256)
+                    fp = np.ascontiguousarray(b.column(3).flatten().to_numpy(zero_copy_only=False)).reshape(-1, WIDE)
+                    bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
+                    keys = bits[:, tables].astype(np.int64) @ places | above
+                    yield batch(spread_kind, [keys.ravel(), *[np.repeat(x, len(tables)) for x in (column(b, 0), column(b, 1), column(b, 2), fp[:, 0], fp[:, 1])]])
+
+        return released(made())
+
+    def search(batches):
+        def pairs(rows):
+            (g, node, root, n), (s0, s1) = rows[:4], rows[4:].view(np.uint64)
+            for a, b in pick(g, node, root):
+                keep = np.bitwise_count(s0[a] ^ s0[b]).astype(np.int64) + np.bitwise_count(s1[a] ^ s1[b]) <= most
+                a, b = a[keep], b[keep]
+                keep = (root[a] != root[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+                a, b = node[a[keep]], node[b[keep]]
+                if len(a):
+                    yield batch(pair_kind, np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+
+        def made():
+            held, size, ready = [], 0, 100_000
+            for b in batches:
+                held.append(np.stack([column(b, k) for k in range(6)]))
+                size += b.num_rows
+                if size >= ready:
+                    rows = np.concatenate(held, axis=1)
+                    end = int(np.searchsorted(rows[0], rows[0, -1]))  # where the last group begins; it may go on
+                    yield from pairs(rows[:, :end]) if end else ()
+                    held, size = [rows[:, end:]], rows.shape[1] - end
+                    ready = max(100_000, 2 * size)
+            if size:
+                yield from pairs(np.concatenate(held, axis=1))
+
+        return released(made())
+
+    rows = prints.select("node", "root", "n", "fp").mapInArrow(spread, spread_kind)
+    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + number * len(tables) // 1_000_000)
+    return rows.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(search, pair_kind).distinct()
+
+
+def similar_groups(rows: DataFrame, row: str, id: str = "doc_id", text: str = "text", percent: int = 80, shingle: int = 5) -> DataFrame:
+    """(row, id, n_shingles, component) of each row: rows are linked at a shingle Jaccard similarity of `percent` or more.
+
+    `row` is a long that tells rows apart and stays the same when rows is read again; ids take no part. component is the
+    row of one member, the same for all. Rows with equal sets fall together before the search; null and empty texts are such copies.
+
+    SimHash brings pairs together: rows that agree on all bits of a table of their wide fingerprints. First members meet heads
+    of their groups, so that a group of near-copies isn't squared; then all of a group that aren't yet connected meet each
+    other. Each link is verified on the whole sets. A pair is missed only where no table agrees or 128 bits mislead.
+    """
+
+    def sign(batches):
+        for b in batches:
+            found = [shingles(x, shingle) for x in b["text"]]
+            keys = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 2**64) for s in found], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield {"row": b["row"], "id": b["id"], "n": [len(s) for s in found], "k1": keys[:, 0], "k2": keys[:, 1], "fp": [wide_print(s) for s in found]}
+
+    spark, kind = rows.sparkSession, rows.schema[id].dataType.simpleString()
+    given = only(rows, row=row, id=id, text=text)
+    texts = given.select("row", "text")
+    made = map_arrow(given, f"row long, id {kind}, n long, k1 long, k2 long, fp array<long>", sign)
+    made.write.parquet(path := new_path(spark, "signed"))
+    made = spark.read.schema(made.schema).parquet(path)
+    classes = cut(made.groupBy("k1", "k2").agg(F.min("row").alias("node")))
+    prints = cut(made.filter("n > 0").join(classes, F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "n", "fp"))
+    number = prints.count()
+    tables = tables_for(number, percent)
+    first = cut(candidates(prints.withColumn("root", F.col("node")), tables[:FIRST], number, percent, heads=True))
+    roots = cut(components(cut(verified(first, texts, percent, shingle))))
+    placed = prints.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root"), "n", "fp")
+    more = cut(candidates(placed, tables, number, percent).join(first, ["a", "b"], "left_anti"))
+    return labelled(made, classes, roots, more, texts, percent, shingle)

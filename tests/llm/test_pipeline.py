@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from attriq.llm import simhash
 from attriq.llm.decontaminate import Benchmark, word_hashes
 from tests.llm.test_line_dedup import brute as brute_lines
 
@@ -120,3 +122,14 @@ def test_copies_against_brute_jaccard(spark):
         first.setdefault(g, i)
     again = docs.unionByName(docs.filter("doc_id < 5"))
     assert sorted(r["doc_id"] for r in corpus_pipeline.copies(spark, again, sf).collect()) == sorted(first.values())
+
+
+def test_copies_by_simhash(spark, monkeypatch):
+    """SimHash tables bring the pairs together: where none agrees, edited copies stay; equal sets fall together before."""
+    text = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, text), (2, text.replace("w50", "new")), (3, text.upper())]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda: sorted(r["doc_id"] for r in corpus_pipeline.copies(spark, docs, None).collect())
+    assert kept() == [1]
+    monkeypatch.setattr(simhash, "tables_for", lambda n, percent: np.zeros((0, 6), dtype=np.int64))
+    assert kept() == [1, 2]

@@ -99,3 +99,24 @@ def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in QUERIES["op7_simhash"](spark, sf).collect()), key=str)
     assert got == brute_classes([(i, fingerprint(x)) for i, x in rows])
+
+
+def test_wide_prints_and_tables():
+    """Fingerprints of pairs at 0.8 differ as the angle says, and the tables bring such pairs together."""
+    rng = np.random.default_rng(3)
+    tables = simhash.tables_for(200_000, 80)
+    unpacked = lambda x: np.unpackbits(x.view(np.uint8), bitorder="little")
+    share, met = [], 0
+    for _ in range(300):
+        both = rng.integers(0, 2**64, 240, dtype=np.uint64)
+        a, b = (unpacked(simhash.wide_print(np.concatenate([both, rng.integers(0, 2**64, 30, dtype=np.uint64)]))) for _ in range(2))
+        share.append((a != b).mean())
+        met += (a[tables] == b[tables]).all(axis=1).any()
+    assert met == 300 and abs(np.mean(share) - simhash.differing(80)) < 0.01
+
+
+def test_pairs_across_roots():
+    rng = np.random.default_rng(4)
+    g, root = np.sort(rng.integers(0, 6, 90)), rng.integers(0, 5, 90)
+    got = [tuple(sorted((int(p), int(q)))) for a, b in simhash._across(g, np.arange(90), root) for p, q in zip(a, b, strict=True)]
+    assert sorted(got) == [(p, q) for p in range(90) for q in range(p + 1, 90) if g[p] == g[q] and root[p] != root[q]]
