@@ -157,14 +157,25 @@ def _from_texts(texts: DataFrame, wanted: DataFrame, schema: str, make: Callable
     return texts.select("row", "text", place("row").alias("place")).mapInArrow(run, kind).join(wanted, F.col("node") == F.col("want"), "left_semi")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """The pairs(a, b) whose whole sets have a Jaccard similarity of at least `percent`; texts has (row, text)."""
+def sets_of(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, found, map): the whole set and its parity map of each row of texts(row, text) in wanted(want)."""
+
+    def whole(part: list) -> dict[str, list]:
+        found = [shingles(x, shingle) for x in part]
+        return {"found": [s.view(np.int64) for s in found], "map": [parity(s) for s in found]}
+
+    return _from_texts(texts, wanted, "node long, found array<long>, map array<long>", whole)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs(a, b) whose whole sets have a Jaccard similarity of at least `percent`; texts has (row, text), sets those sets if they are there."""
 
     def whole(part: list) -> dict[str, list]:
         return {"found": [shingles(x, shingle).view(np.int64) for x in part]}
 
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct())
-    sets = cut(_from_texts(texts, wanted, "node long, found array<long>", whole))
+    if sets is None:
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct())
+        sets = cut(_from_texts(texts, wanted, "node long, found array<long>", whole))
     side = lambda s: sets.select(F.col("node").alias(f"node_{s}"), F.col("found").alias(f"found_{s}"))
     both = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
     common = F.size(F.array_intersect("found_a", "found_b"))
@@ -210,13 +221,13 @@ def _apart(placed: DataFrame, texts: DataFrame, signed: DataFrame, percent: int,
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def labelled(made: DataFrame, classes: DataFrame, roots: DataFrame, more: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+def labelled(made: DataFrame, classes: DataFrame, roots: DataFrame, more: DataFrame, texts: DataFrame, percent: int, shingle: int, sets: DataFrame | None = None) -> DataFrame:
     """(row, id, n_shingles, component) of made(row, id, n, k1, k2): classes(k1, k2, node) by their roots(node, root), which those of more(a, b) that whole sets confirm join."""
     label = classes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
     if not more.isEmpty():
         # These links join components, so what is left to search is a graph of their roots.
         root_of = lambda c: roots.select(F.col("node").alias(f"of_{c}"), F.col("root").alias(f"root_{c}"))
-        links = verified(more, texts, percent, shingle).join(root_of("a"), F.col("a") == F.col("of_a"), "left").join(root_of("b"), F.col("b") == F.col("of_b"), "left")
+        links = verified(more, texts, percent, shingle, sets).join(root_of("a"), F.col("a") == F.col("of_a"), "left").join(root_of("b"), F.col("b") == F.col("of_b"), "left")
         above = components(cut(links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct()))
         above = above.select(F.col("node").alias("below"), F.col("root").alias("above"))
         label = label.join(above, F.col("root") == F.col("below"), "left").select("k1", "k2", F.coalesce("above", "root").alias("root"))

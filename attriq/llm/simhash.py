@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from attriq.llm.common import cut, map_arrow, new_path, only, released
 from attriq.llm.components import components
-from attriq.llm.minhash import labelled, shingles, verified
+from attriq.llm.minhash import MAP, labelled, sets_of, shingles, verified
 
 #: Rows that a group of the search holds on average at most, before it is split.
 GROUP = 4096
@@ -207,6 +207,8 @@ WIDE = 16
 MISS = 1e-5
 #: Tables in which members meet heads of their group before the search.
 FIRST = 8
+#: Nodes of a family of which all pairs are looked at; larger ones meet by the rarest members of their sets.
+FEW = 8
 _ODD = np.random.default_rng(7).integers(0, 2**64, WIDE, dtype=np.uint64) | np.uint64(1)
 _MASKS = (0, 0x0000_0005_2DA3_9C71, 0x0000_000A_D25C_638E)
 
@@ -267,18 +269,66 @@ def _across(g: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[tuple
         begin = stop
 
 
+def _joined(g: np.ndarray, node: np.ndarray, root: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """A spanning forest of the near pairs of each group, as two rows of roots; rows of one root are one from the start."""
+    every, forest = np.arange(len(g)), Forest(len(g))
+    order = np.lexsort((root, g))
+    new = np.r_[True, (g[order[1:]] != g[order[:-1]]) | (root[order[1:]] != root[order[:-1]])]
+    forest.link(order, order[np.maximum.accumulate(np.where(new, every, 0))])
+    for a, b in _heads(g, node, root):
+        keep = near(a, b)
+        forest.link(a[keep], b[keep])
+    for a, b in _across(g, node, forest.roots(every)):
+        keep = near(a, b)
+        forest.link(a[keep], b[keep])
+    return np.stack([root, root[forest.roots(every)]])
+
+
+def _in_groups(rows: DataFrame, parts: int, pairs: Callable[[np.ndarray], Iterator[np.ndarray]]) -> DataFrame:
+    """(a, b), once each, of the pairs (two rows of an array) that `pairs` yields for whole groups; rows has long columns, the group first. A group is in one task."""
+    kind, width = StructType.fromDDL("a long, b long"), len(rows.columns)
+    to = to_arrow_schema(kind)
+
+    def search(batches):
+        def found(part):
+            for both in pairs(part):
+                both = both[:, both[0] != both[1]]
+                if both.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.sort(both, axis=0), axis=1)], schema=to)
+
+        def made():
+            held, size, ready = [], 0, 100_000
+            for b in batches:
+                held.append(np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(width)]))
+                size += b.num_rows
+                if size >= ready:
+                    part = np.concatenate(held, axis=1)
+                    end = int(np.searchsorted(part[0], part[0, -1]))  # where the last group begins; it may go on
+                    yield from found(part[:, :end]) if end else ()
+                    held, size = [part[:, end:]], part.shape[1] - end
+                    ready = max(100_000, 2 * size)
+            if size:
+                yield from found(np.concatenate(held, axis=1))
+
+        return released(made())
+
+    group = rows.columns[0]
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts)
+    return rows.repartition(parts, group).sortWithinPartitions(group).mapInArrow(search, kind).distinct()
+
+
 def candidates(prints: DataFrame, tables: np.ndarray, number: int, percent: int, heads: bool = False) -> DataFrame:
-    """(a, b), once each: pairs of prints(node, root, n, fp) that share a group of a table and can have the similarity.
+    """(a, b), once each, of prints(node, root, n, fp) that share a group of a table, have different roots and can have the similarity.
 
-    They have different roots; with heads, one of the two is one of three heads of the group. Sizes and 128 bits of the
-    fingerprints discard pairs. Rows travel with those bits only, a group is in one task.
+    With heads, the nodes of the pairs in which one of the two is one of three heads of the group. Otherwise the roots of a spanning
+    forest of all such pairs, so that a group of m rows makes m - 1 at most. Sizes and 128 bits of the fingerprints discard pairs.
+    Rows travel with those bits only.
     """
     rate, places = differing(percent), 1 << np.arange(tables.shape[1], dtype=np.int64)
     most = math.ceil(128 * rate + 5 * math.sqrt(128 * rate * (1 - rate)))
-    spread_kind, pair_kind = StructType.fromDDL("grp long, node long, root long, n long, s0 long, s1 long"), StructType.fromDDL("a long, b long")
+    spread_kind = StructType.fromDDL("grp long, node long, root long, n long, s0 long, s1 long")
     column = lambda b, k: b.column(k).to_numpy(zero_copy_only=False)
-    batch = lambda kind, arrays: pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], schema=to_arrow_schema(kind))
-    pick, above = _heads if heads else _across, np.arange(len(tables), dtype=np.int64) << 40
+    above = np.arange(len(tables), dtype=np.int64) << 40
 
     def spread(batches):
         def made():
@@ -288,40 +338,65 @@ def candidates(prints: DataFrame, tables: np.ndarray, number: int, percent: int,
                     fp = np.ascontiguousarray(b.column(3).flatten().to_numpy(zero_copy_only=False)).reshape(-1, WIDE)
                     bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
                     keys = bits[:, tables].astype(np.int64) @ places | above
-                    yield batch(spread_kind, [keys.ravel(), *[np.repeat(x, len(tables)) for x in (column(b, 0), column(b, 1), column(b, 2), fp[:, 0], fp[:, 1])]])
+                    arrays = [keys.ravel(), *[np.repeat(x, len(tables)) for x in (column(b, 0), column(b, 1), column(b, 2), fp[:, 0], fp[:, 1])]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], schema=to_arrow_schema(spread_kind))
 
         return released(made())
 
-    def search(batches):
-        def pairs(rows):
-            (g, node, root, n), (s0, s1) = rows[:4], rows[4:].view(np.uint64)
-            for a, b in pick(g, node, root):
-                keep = np.bitwise_count(s0[a] ^ s0[b]).astype(np.int64) + np.bitwise_count(s1[a] ^ s1[b]) <= most
-                a, b = a[keep], b[keep]
-                keep = (root[a] != root[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
-                a, b = node[a[keep]], node[b[keep]]
-                if len(a):
-                    yield batch(pair_kind, np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+    def pairs(rows):
+        (g, node, root, n), (s0, s1) = rows[:4], rows[4:].view(np.uint64)
 
-        def made():
-            held, size, ready = [], 0, 100_000
-            for b in batches:
-                held.append(np.stack([column(b, k) for k in range(6)]))
-                size += b.num_rows
-                if size >= ready:
-                    rows = np.concatenate(held, axis=1)
-                    end = int(np.searchsorted(rows[0], rows[0, -1]))  # where the last group begins; it may go on
-                    yield from pairs(rows[:, :end]) if end else ()
-                    held, size = [rows[:, end:]], rows.shape[1] - end
-                    ready = max(100_000, 2 * size)
-            if size:
-                yield from pairs(np.concatenate(held, axis=1))
+        def near(a, b):
+            keep = np.flatnonzero(np.bitwise_count(s0[a] ^ s0[b]).astype(np.int64) + np.bitwise_count(s1[a] ^ s1[b]) <= most)
+            a, b = a[keep], b[keep]
+            return keep[(root[a] != root[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)]
 
-        return released(made())
+        if not heads:
+            yield _joined(g, node, root, near)
+            return
+        for a, b in _heads(g, node, root):
+            keep = near(a, b)
+            yield np.stack([node[a[keep]], node[b[keep]]])
 
     rows = prints.select("node", "root", "n", "fp").mapInArrow(spread, spread_kind)
-    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + number * len(tables) // 1_000_000)
-    return rows.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(search, pair_kind).distinct()
+    return _in_groups(rows, 1 + number * len(tables) // 1_000_000, pairs)
+
+
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(grp, node, n, at, m0, m1, ...): the rarest members of each set of sets(node, family, n, found, map) that another set of its family holds too.
+
+    Members are ordered by the number of the family's sets that hold them; `at` is the place in that order and grp stands for the member in
+    its family. Sets with the similarity share one of their first members, as many as a set can lack and one more, so only those are returned.
+    """
+    held = sets.select("node", F.explode("found").alias("member"), F.xxhash64("family").alias("salt")).select("node", F.col("member").bitwiseXOR(F.col("salt")).alias("grp"))
+    often = held.groupBy(F.col("grp").alias("of")).agg(F.count("*").alias("often")).filter("often > 1")
+    shared = held.join(often, F.col("grp") == F.col("of")).groupBy(F.col("node").alias("of")).agg(F.sort_array(F.collect_list(F.struct("often", "grp"))).alias("shared"))
+    first = sets.join(shared, F.col("node") == F.col("of")).withColumn("own", F.col("n") - F.size("shared"))
+    first = first.withColumn("taken", F.expr(f"cast(greatest(0, n - (n * {percent} + 99) div 100 + 1 - own) as int)"))
+    first = first.select("node", "n", "own", "map", F.posexplode(F.slice("shared", F.lit(1), F.col("taken"))).alias("k", "one"))
+    return first.select("one.grp", "node", "n", (F.col("own") + F.col("k")).alias("at"), *[F.col("map")[k].alias(f"m{k}") for k in range(MAP)])
+
+
+def meetings(first: DataFrame, percent: int, heads: bool = False) -> DataFrame:
+    """(a, b), once each: pairs of the nodes of rarest(), placed as (grp, node, root, n, at, m0, ...), that meet at a member, have different roots and can have the similarity.
+
+    With heads, one of the two is one of three heads of the group. Sizes, places and maps never mislead: behind the first member that
+    two sets share, they share no more than what the shorter rest holds.
+    """
+
+    def pairs(rows):
+        (g, node, root, n, at), maps = rows[:5], np.ascontiguousarray(rows[5:].T).view(np.uint64)
+        for a, b in (_heads if heads else _across)(g, node, root):
+            both = n[a] + n[b]
+            keep = (root[a] != root[b]) & (np.minimum(n[a] - at[a], n[b] - at[b]) * (100 + percent) >= both * percent)
+            a, b, both = a[keep], b[keep], both[keep]
+            for k in range(0, len(a), 100_000):
+                x, y = a[k : k + 100_000], b[k : k + 100_000]
+                apart = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64)
+                keep = (apart * (100 + percent) <= both[k : k + 100_000] * (100 - percent)) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+                yield np.stack([node[x[keep]], node[y[keep]]])
+
+    return _in_groups(first, 1, pairs)
 
 
 def similar_groups(rows: DataFrame, row: str, id: str = "doc_id", text: str = "text", percent: int = 80, shingle: int = 5) -> DataFrame:
@@ -330,9 +405,11 @@ def similar_groups(rows: DataFrame, row: str, id: str = "doc_id", text: str = "t
     `row` is a long that tells rows apart and stays the same when rows is read again; ids take no part. component is the
     row of one member, the same for all. Rows with equal sets fall together before the search; null and empty texts are such copies.
 
-    SimHash brings pairs together: rows that agree on all bits of a table of their wide fingerprints. First members meet heads
-    of their groups, so that a group of near-copies isn't squared; then all of a group that aren't yet connected meet each
-    other. Each link is verified on the whole sets. A pair is missed only where no table agrees or 128 bits mislead.
+    SimHash brings rows together that agree on all bits of a table of their wide fingerprints. First members meet heads
+    of their groups; then spanning forests of what can be near in a group join rows to families, so that edits of one text that
+    aren't similar enough to each other aren't paired. Within a small family all meet, within a large one those that share one of their
+    sets' rarest members, which loses none; there too they meet heads first. Each link is verified on the whole sets. A pair is missed
+    only where no table agrees or 128 bits mislead.
     """
 
     def sign(batches):
@@ -352,7 +429,24 @@ def similar_groups(rows: DataFrame, row: str, id: str = "doc_id", text: str = "t
     number = prints.count()
     tables = tables_for(number, percent)
     first = cut(candidates(prints.withColumn("root", F.col("node")), tables[:FIRST], number, percent, heads=True))
-    roots = cut(components(cut(verified(first, texts, percent, shingle))))
-    placed = prints.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root"), "n", "fp")
-    more = cut(candidates(placed, tables, number, percent).join(first, ["a", "b"], "left_anti"))
-    return labelled(made, classes, roots, more, texts, percent, shingle)
+    links = cut(verified(first, texts, percent, shingle))
+    roots = cut(components(links))
+    rooted = lambda df: df.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
+    placed = rooted(prints)
+    family = components(cut(candidates(placed, tables, number, percent)))
+    members = cut(placed.join(family.select(F.col("node").alias("of"), F.col("root").alias("family")), F.col("root") == F.col("of")).select("node", "root", "family", "n"))
+    sets = cut(sets_of(texts, members.select(F.col("node").alias("want")), shingle))
+    sizes = members.groupBy(F.col("family").alias("of")).agg(F.count("*").alias("members"))
+    few = members.join(sizes.filter(F.col("members") <= FEW), F.col("family") == F.col("of")).select("node", "root", "family", "n")
+    other = few.select(F.col("node").alias("other"), F.col("root").alias("root_b"), F.col("family").alias("of"), F.col("n").alias("m"))
+    able = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    more = few.join(other, (F.col("family") == F.col("of")) & (F.col("root") < F.col("root_b")) & able).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    many = cut(members.join(sizes.filter(F.col("members") > FEW), F.col("family") == F.col("of")).select(F.col("node").alias("of"), "family", "n"))
+    if not many.isEmpty():
+        rare = cut(rarest(sets.join(many, F.col("node") == F.col("of")).drop("of"), percent))
+        ready = lambda: rooted(rare).select("grp", "node", "root", "n", "at", *[f"m{k}" for k in range(MAP)])
+        again = cut(meetings(ready(), percent, heads=True).join(first, ["a", "b"], "left_anti"))
+        roots = cut(components(cut(links.unionByName(verified(again, texts, percent, shingle, sets)))))
+        more = more.unionByName(meetings(ready(), percent).join(again, ["a", "b"], "left_anti"))
+    more = cut(more.join(first, ["a", "b"], "left_anti"))
+    return labelled(made, classes, roots, more, texts, percent, shingle, sets)

@@ -133,3 +133,19 @@ def test_copies_by_simhash(spark, monkeypatch):
     assert kept() == [1]
     monkeypatch.setattr(simhash, "tables_for", lambda n, percent: np.zeros((0, 6), dtype=np.int64))
     assert kept() == [1, 2]
+
+
+def test_edits_of_one_text_are_not_paired(spark, monkeypatch):
+    """Edits of one text that are seldom similar enough to each other: few pairs come to the whole sets, and no group is lost."""
+    rnd = random.Random(8)
+    base = [f"h{k}" for k in range(140)]
+    texts = [" ".join(x if rnd.random() > rnd.choice([0.02, 0.05, 0.07]) else f"e{rnd.randrange(10**6)}" for x in base) for _ in range(400)]
+    docs = spark.createDataFrame([(k, x, "en", "s", len(x)) for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    groups, seen, labelled = jaccard_groups(texts), [], simhash.labelled
+    monkeypatch.setattr(simhash, "labelled", lambda made, classes, roots, more, *rest: seen.append(more.count()) or labelled(made, classes, roots, more, *rest))
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.copies(spark, docs, None).collect())
+    first = {}
+    for k, g in enumerate(groups):
+        first.setdefault(g, k)
+    assert kept == sorted(first.values()) and 1 < len(kept) < len(texts)
+    assert seen[0] < 5 * len(texts)

@@ -120,3 +120,23 @@ def test_pairs_across_roots():
     g, root = np.sort(rng.integers(0, 6, 90)), rng.integers(0, 5, 90)
     got = [tuple(sorted((int(p), int(q)))) for a, b in simhash._across(g, np.arange(90), root) for p, q in zip(a, b, strict=True)]
     assert sorted(got) == [(p, q) for p in range(90) for q in range(p + 1, 90) if g[p] == g[q] and root[p] != root[q]]
+
+
+def test_joined_by_near_pairs():
+    """The forest connects roots as all near pairs of a group do, with fewer links than rows."""
+    rng = np.random.default_rng(6)
+    g, root, node = np.sort(rng.integers(0, 5, 120)), rng.integers(0, 60, 120), rng.permutation(120)
+    near = lambda a, b: (node[a] * node[b]) % 11 == 3
+    a, b = simhash._joined(g, node, root, near)
+    assert len(a) <= 120
+
+    def groups(pairs):
+        up = {int(r): int(r) for r in root}
+        for x, y in pairs:
+            old, new = up[int(x)], up[int(y)]
+            up = {k: new if v == old else v for k, v in up.items()}
+        return sorted(sorted(k for k in up if up[k] == v) for v in set(up.values()))
+
+    want = [(root[x], root[y]) for x in range(120) for y in range(x) if g[x] == g[y] and near(x, y)]
+    assert groups(zip(a, b, strict=True)) == groups(want)
+    assert 1 < len(groups(want)) < len(set(root.tolist()))
