@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 from array import array
 from bisect import bisect_right
@@ -20,7 +21,9 @@ ENDS = [c + " " for c in "\t\n\x0b\x0c\r"]
 BETWEEN = regex.compile("[\t-\r] [\t-\r]")
 
 #: Texts whose new words are counted together.
-AT_ONCE = 500
+AT_ONCE = 2000
+#: Last bytes by which the sizes of tokens are known, and how many more endings are kept.
+ENDING, KEPT = 4, 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -31,21 +34,24 @@ def byte_letters() -> dict[str, int]:
 
 
 class _Sizes(dict):
-    """Sizes of the tokens that end with given last bytes, three where there are as many, the largest first."""
+    """Sizes of the tokens that end with given last bytes, ENDING where there are as many, the largest first."""
 
     def __init__(self, vocab: dict[bytes, int]) -> None:
         found: dict[bytes, set[int]] = {}
         for t in vocab:
-            if len(t) > 2:
-                found.setdefault(t[-3:], set()).add(len(t))
+            if len(t) >= ENDING:
+                found.setdefault(t[-ENDING:], set()).add(len(t))
         self.vocab = vocab
         super().__init__((k, (*sorted(v, reverse=True), *self.short(k))) for k, v in found.items())
+        self.most = len(self) + KEPT
 
     def short(self, end: bytes) -> list[int]:
-        return [n for n in (2, 1) if len(end) >= n and end[-n:] in self.vocab]
+        return [n for n in range(ENDING - 1, 0, -1) if len(end) >= n and end[-n:] in self.vocab]
 
     def __missing__(self, end: bytes) -> tuple[int, ...]:
-        found = self[end] = tuple(self.short(end))
+        found = tuple(self.short(end))
+        if len(self) < self.most:
+            self[end] = found
         return found
 
 
@@ -86,6 +92,9 @@ class PrefixCounter:
         self.limit = cache
         self.units: dict[str, int] = {}
         self.pieces: dict[str, int] = {}
+        #: Those of before the last overflow: frequent ones are taken from there, the others go with the next.
+        self.old_units: dict[str, int] = {}
+        self.old_pieces: dict[str, int] = {}
         self.fits: dict[int, bool] = {}
         self.tables: dict[bytes, list[int]] = {}
 
@@ -154,7 +163,7 @@ class PrefixCounter:
         """Goes on from the prefixes that last (the number of each one's last token) and count hold to the whole piece."""
         number, sizes, fits, pair = self.vocab.get, self.sizes, self.fits, self._pair
         for i in range(len(count), len(piece) + 1):
-            for size in sizes[piece[i - 3 if i > 3 else 0 : i]]:
+            for size in sizes[piece[i - ENDING if i > ENDING else 0 : i]]:
                 at = i - size
                 if at < 0 or (token := number(piece[at:i])) is None:
                     continue
@@ -177,21 +186,29 @@ class PrefixCounter:
         for x in texts:
             new.update(x.split(" "))
         if len(self.units) + len(new) > self.limit:
-            self.units.clear()
+            self.units, self.old_units = {}, self.units
         if len(self.pieces) + len(new) > self.limit:
-            self.pieces.clear()
+            self.pieces, self.old_pieces = {}, self.pieces
         units, pieces = self.units, self.pieces
-        split = {x: [" " + x] if x.isascii() and x.isalpha() else self.split.findall(" " + x) for x in new if x not in units and len(x) <= 64}
+        new.difference_update(units)
+        for x in new & self.old_units.keys():
+            units[x] = self.old_units[x]
+        new.difference_update(units)
+        split = {x: [" " + x] if x.isascii() and x.isalpha() else self.split.findall(" " + x) for x in new if len(x) <= 64}
+        wanted = {p for found in split.values() for p in found}.difference(pieces)
+        for p in wanted & self.old_pieces.keys():
+            pieces[p] = self.old_pieces[p]
+        wanted.difference_update(pieces)
         last, count, before = [0], [0], b""
-        for piece, text in sorted((p.encode(), p) for p in {p for found in split.values() for p in found} if p not in pieces):
+        for piece in sorted(map(str.encode, wanted)):
             same, most = 0, min(len(piece), len(before))
             while same < most and piece[same] == before[same]:
                 same += 1
             del last[same + 1 :], count[same + 1 :]
             self._extend(piece, last, count)
-            pieces[text], before = count[-1], piece
+            pieces[piece.decode()], before = count[-1], piece
         for x, found in split.items():
-            units[x] = sum(map(pieces.__getitem__, found))
+            units[x] = pieces[found[0]] if len(found) == 1 else sum(map(pieces.__getitem__, found))
 
     def _piece(self, piece: str) -> int:
         n = self.pieces.get(piece)
@@ -340,6 +357,8 @@ _made: dict[str, PrefixCounter] = {}
 def counter(path: str) -> PrefixCounter:
     if path not in _made:
         _made[path] = PrefixCounter(path)
+        gc.collect()
+        gc.freeze()  # its tables stay, so later collections needn't go through them
     return _made[path]
 
 

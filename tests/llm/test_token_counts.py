@@ -72,6 +72,19 @@ def test_shared_prefixes():
     assert [own.count(x) for x in texts] == list(map(number, texts))
 
 
+def test_words_outlive_a_full_cache():
+    """When the kept words are too many, those still in use are taken over and not counted again."""
+    own, seen = PrefixCounter(PATH, cache=60), []
+    extend = own._extend
+    own._extend = lambda piece, last, count: seen.append(piece) or extend(piece, last, count)
+    often = [f"often{a}{b}" for a in "abcdef" for b in "ghijk"]
+    for k in range(6):
+        texts = [" " + " ".join(often + [f"once{k}{a}{b}" for a in "lmnop" for b in "qrs"])]
+        own.learn(texts)
+        assert [own.count(x) for x in texts] == list(map(number, texts))
+    assert len(seen) == len(set(seen)) and len(own.units) <= 60 and len(own.old_units) <= 60
+
+
 def test_operator(spark):
     rows = [(1, "hello world", 5), (None, None, 6), (3, "", 7), (3, "", 7), (4, "ab " * 40_000, 8), (5, "z" * 50_000, 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
