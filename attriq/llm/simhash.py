@@ -406,8 +406,8 @@ def similar_groups(rows: DataFrame, row: str, id: str = "doc_id", text: str = "t
     row of one member, the same for all. Rows with equal sets fall together before the search; null and empty texts are such copies.
 
     SimHash brings rows together that agree on all bits of a table of their wide fingerprints. First members meet heads
-    of their groups; then spanning forests of what can be near in a group join rows to families, so that edits of one text that
-    aren't similar enough to each other aren't paired. Within a small family all meet, within a large one those that share one of their
+    of their groups, and what can be near of these is a family from the start; then spanning forests of what can be near in a group join
+    such families, so that edits of one text that aren't similar enough to each other aren't paired. Within a small family all meet, within a large one those that share one of their
     sets' rarest members, which loses none; there too they meet heads first. Each link is verified on the whole sets. A pair is missed
     only where no table agrees or 128 bits mislead.
     """
@@ -431,12 +431,16 @@ def similar_groups(rows: DataFrame, row: str, id: str = "doc_id", text: str = "t
     first = cut(candidates(prints.withColumn("root", F.col("node")), tables[:FIRST], number, percent, heads=True))
     links = cut(verified(first, texts, percent, shingle))
     roots = cut(components(links))
-    rooted = lambda df: df.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
-    placed = rooted(prints)
-    family = components(cut(candidates(placed, tables, number, percent)))
-    members = cut(placed.join(family.select(F.col("node").alias("of"), F.col("root").alias("family")), F.col("root") == F.col("of")).select("node", "root", "family", "n"))
+    rooted = lambda df, roots: df.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
+    # Pairs of the first tables join families, verified or not; what all tables add is a graph of those.
+    begun = cut(components(first))
+    family = components(cut(candidates(rooted(prints, begun), tables, number, percent))).select(F.col("node").alias("of"), F.col("root").alias("family"))
+    placed = rooted(prints.select("node", "n"), begun).withColumnRenamed("root", "begun").join(family, F.col("begun") == F.col("of"), "left")
+    placed = rooted(placed.select("node", "n", F.coalesce("family", "begun").alias("family")), roots)
+    whole = placed.groupBy("family").agg(F.max("family").alias("of"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("of")
+    members = cut(placed.join(whole, F.col("family") == F.col("of")).select("node", "root", "family", "n"))
     sets = cut(sets_of(texts, members.select(F.col("node").alias("want")), shingle))
-    sizes = members.groupBy(F.col("family").alias("of")).agg(F.count("*").alias("members"))
+    sizes = members.groupBy("family").agg(F.max("family").alias("of"), F.count("*").alias("members")).select("of", "members")
     few = members.join(sizes.filter(F.col("members") <= FEW), F.col("family") == F.col("of")).select("node", "root", "family", "n")
     other = few.select(F.col("node").alias("other"), F.col("root").alias("root_b"), F.col("family").alias("of"), F.col("n").alias("m"))
     able = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
@@ -444,7 +448,7 @@ def similar_groups(rows: DataFrame, row: str, id: str = "doc_id", text: str = "t
     many = cut(members.join(sizes.filter(F.col("members") > FEW), F.col("family") == F.col("of")).select(F.col("node").alias("of"), "family", "n"))
     if not many.isEmpty():
         rare = cut(rarest(sets.join(many, F.col("node") == F.col("of")).drop("of"), percent))
-        ready = lambda: rooted(rare).select("grp", "node", "root", "n", "at", *[f"m{k}" for k in range(MAP)])
+        ready = lambda: rooted(rare, roots).select("grp", "node", "root", "n", "at", *[f"m{k}" for k in range(MAP)])
         again = cut(meetings(ready(), percent, heads=True).join(first, ["a", "b"], "left_anti"))
         roots = cut(components(cut(links.unionByName(verified(again, texts, percent, shingle, sets)))))
         more = more.unionByName(meetings(ready(), percent).join(again, ["a", "b"], "left_anti"))

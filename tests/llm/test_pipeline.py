@@ -149,3 +149,27 @@ def test_edits_of_one_text_are_not_paired(spark, monkeypatch):
         first.setdefault(g, k)
     assert kept == sorted(first.values()) and 1 < len(kept) < len(texts)
     assert seen[0] < 5 * len(texts)
+
+
+def test_large_group_is_a_family_from_the_start(spark, monkeypatch):
+    """What can be near in the first tables joins families, so the forests of all tables don't link a large group once more in each table."""
+    rnd = random.Random(9)
+    base = [f"h{k}" for k in range(140)]
+    texts = [" ".join(x if rnd.random() > rnd.choice([0.02, 0.05, 0.07]) else f"e{rnd.randrange(10**6)}" for x in base) for _ in range(300)]
+    texts += [" ".join(f"w{rnd.randrange(5000)}" for _ in range(80)) for _ in range(50)]
+    docs = spark.createDataFrame([(k, x, "en", "s", len(x)) for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    seen, candidates = [], simhash.candidates
+
+    def counted(*args, heads=False):
+        pairs = candidates(*args, heads=heads)
+        seen.append((heads, pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(simhash, "candidates", counted)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.copies(spark, docs, None).collect())
+    first = {}
+    for k, g in enumerate(jaccard_groups(texts)):
+        first.setdefault(g, k)
+    assert kept == sorted(first.values()) and 50 < len(kept) < len(texts)
+    (heads, met), (others, joined) = seen
+    assert heads and not others and 0 < met <= 3 * simhash.FIRST * len(texts) and joined < len(texts)
