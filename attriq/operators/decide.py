@@ -227,15 +227,21 @@ def read_answers(answers: DataFrame, by_number: bool = False) -> DataFrame:
     return out.select("record_id", said.alias("predicted"), "a.confidence", "a.reasoning")
 
 
-def cases(answers: DataFrame, asked: DataFrame, truth: DataFrame, by_number: bool = False) -> DataFrame:
+def cases(answers: DataFrame, asked: DataFrame, truth: DataFrame, by_number: bool = False, candidates: DataFrame | None = None) -> DataFrame:
     """(case_id, gt, pred, match, status, raw, in_tokens, out_tokens): outcomes of a judgement run.
 
     answers: see call; asked(record_id, aids). An answer that came is parsed: status ok, or parse_fail where
-    it says nothing; else UNFINISHED. by_number reads numbers as places of aids.
+    it says nothing; else UNFINISHED. by_number reads numbers as places of aids, but not those that are the
+    id of one of candidates(record_id, aid), listed or not.
     """
     out = answers.join(asked.select("record_id", "aids"), "record_id").join(truth.select("record_id", F.col("aid").alias("gt")), "record_id", "left")
     said = parse_answer(F.col("content"))["answer"]
-    if by_number:
+    if by_number and candidates is not None:
+        out = out.withColumn("said", said)
+        own = candidates.select("record_id", F.col("aid").alias("said"), F.lit(True).alias("own")).distinct()
+        out = out.join(own, ["record_id", "said"], "left")
+        said = F.when(F.col("own"), F.col("said")).otherwise(by_place(F.col("said"), F.col("aids")))
+    elif by_number:
         said = by_place(said, F.col("aids"))
     came = F.col("status") == "ok"
     pred = F.when(came, F.coalesce(F.nullif(said, F.lit("")), F.lit("PARSE_FAIL"))).otherwise("UNFINISHED")
