@@ -152,8 +152,8 @@ def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def check_candidates(decisions: DataFrame, features: DataFrame, strict: bool = False) -> DataFrame:
-    """Decisions whose number of candidates isn't that of the features; error rows are exempt, a missing number is -1."""
-    pool = features.groupBy("record_id").agg(F.count_distinct("aid").alias("featured"))
+    """Decisions whose number of candidates isn't that of the features(record_id, aid), or of these counted (record_id, featured); error rows are exempt, a missing number is -1."""
+    pool = features if "featured" in features.columns else features.groupBy("record_id").agg(F.count_distinct("aid").alias("featured"))
     out = decisions.filter("predicted <> 'error'").join(pool, "record_id", "left")
     out = out.select("record_id", F.coalesce("num_candidates", F.lit(-1)).alias("num_candidates"), F.coalesce("featured", F.lit(0)).alias("featured"))
     bad = out.filter("num_candidates <> featured")

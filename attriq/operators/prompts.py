@@ -181,7 +181,7 @@ def listed_candidates(candidates: DataFrame, most: int = 10) -> DataFrame:
     """(record_id, prompt, aids): candidates in co_rank order, one a line by number, and the aids those numbers stand for."""
     line = F.format_string(LIST_LINE, "co_rank", "aid", "title_sim_max", "org_sim", "venue_sim", "coauthor_count", "coauthor_org_match_count")
     few = candidates.filter(F.col("co_rank") <= most).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("co_rank", line.alias("line"), "aid"))).alias("l"))
-    n = candidates.groupBy("record_id").agg(F.count("*").alias("n"))
+    n = candidates.groupBy("record_id").agg((F.max("n") if "n" in candidates.columns else F.count("*")).alias("n"))
     text = _lines(F.lit(LIST_HEAD), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), _if(F.col("n") > most, F.format_string(LIST_MORE, "n")))
     return few.join(n, "record_id").select("record_id", F.format_string(BRIEF, text).alias("prompt"), F.transform("l", lambda x: x["aid"]).alias("aids"))
 

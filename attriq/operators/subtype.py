@@ -10,7 +10,10 @@ from attriq.config import DEFAULT_PROMPT, DEFAULT_STRATEGY, PROMPT_TYPES, RULE_F
 
 
 def evidence(candidates: DataFrame) -> DataFrame:
-    """What classification needs of each record: first coauthor match in the top three, rivals, and the values at that candidate and at the top."""
+    """What classification needs of each record: first coauthor match in the top three, rivals, and the values at that candidate and at the top.
+
+    A table with the first candidates only, three by rank at least, has the number of all in n.
+    """
     has = F.col("coauthor_count") > 0
     top3 = F.col("rank") <= 3
     at = F.struct("rank", "aid", "title_sim_max", "coauthor_count", "coauthor_org_match_count")
@@ -18,7 +21,7 @@ def evidence(candidates: DataFrame) -> DataFrame:
     top = F.max(F.when(F.col("rank") == 1, F.struct("aid", "title_sim_max", "title_sim_top5_avg", "org_sim", "venue_sim", "coauthor_count")))
     second = F.max(F.when(F.col("rank") == 2, F.col("title_sim_max")))
     return candidates.groupBy("record_id").agg(
-        F.count("*").alias("num_candidates"), first.alias("hit"), F.count_if(has & top3).alias("rivals"), top.alias("top"), second.alias("second_title"),
+        (F.max("n") if "n" in candidates.columns else F.count("*")).alias("num_candidates"), first.alias("hit"), F.count_if(has & top3).alias("rivals"), top.alias("top"), second.alias("second_title"),
     )
 
 
